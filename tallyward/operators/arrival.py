@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,14 +57,15 @@ def _record_filter():
     They cannot raise the running maximum at any point, so this is the map-side combine of a
     prefix maximum. On a dense stream it leaves a small part of the rows to shuffle.
     """
-    no_time, order_by = _NO_TIME, [(name, "ascending") for name in ARRIVAL]
+    no_time, (time, seq) = _NO_TIME, ARRIVAL
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.take(pc.sort_indices(batch, sort_keys=order_by))
-            seen = batch.column("seen_us").to_numpy(zero_copy_only=False)
+            arrived = batch.column(time).cast(pa.int64()).to_numpy()
+            order = np.lexsort((batch.column(seq).to_numpy(), arrived))
+            seen = batch.column("seen_us").to_numpy()[order]
             before = np.maximum.accumulate(np.concatenate(([no_time], seen)))[:-1]
-            yield batch.filter(pa.array(seen > before))
+            yield batch.take(pa.array(order[seen > before]))
 
     return keep
 
@@ -121,12 +121,15 @@ def late_side_output(
     policy: LatenessPolicy,
     closers: DataFrame | None = None,
     carried_max: Column | None = None,
-    path: str | None = None,
+    work: str | None = None,
 ) -> DataFrame:
     """Every late trip with its window, the watermark it met and how far behind that it was.
 
     Late trips are found by their window's closer, so only they and the trips that may raise the
-    running maximum go through the range shuffle.
+    running maximum go through the range shuffle. They are staged first, because picking range
+    bounds reads its input once more and should not read all trips again.
+
+    work is a folder to stage in, which the next call with the same folder overwrites.
     """
     closers = window_closers(trips, policy) if closers is None else closers
     late = flag_late(trips, closers, policy, carried_max).where("is_late")
@@ -134,7 +137,10 @@ def late_side_output(
     time, seq = ARRIVAL
     seen = trips.select(time, seq, F.unix_micros("event_time").alias("seen_us"))
     records = seen.mapInArrow(_record_filter(), seen.schema)
-    scanned = scan_arrivals(late.unionByName(records, allowMissingColumns=True), path)
+    rows = stage(
+        late.unionByName(records, allowMissingColumns=True), "late-and-records", work and f"{work}/late-and-records"
+    )
+    scanned = scan_arrivals(rows, work and f"{work}/arrivals")
     newest = F.col("max_before") if carried_max is None else F.greatest("max_before", carried_max)
     return (
         scanned.where(F.col("window_start").isNotNull())

@@ -32,7 +32,7 @@ def event_time_windows(trips: DataFrame, policy: LatenessPolicy, closers: DataFr
     return (
         flagged.where(~F.col("is_late"))
         .groupBy(*KEYS)
-        .agg(F.count(F.lit(1)).alias("trip_count"), F.first("window_closed").alias("closed"))
+        .agg(F.count(F.lit(1)).alias("trip_count"), F.bool_or("window_closed").alias("closed"))
     )
 
 

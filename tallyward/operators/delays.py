@@ -32,14 +32,19 @@ def zone_class_share(trips: DataFrame, name: str = "tunnel") -> DataFrame:
 def class_examples(trips: DataFrame) -> DataFrame:
     """First arrival of each delay class. For tunnel delays only harbor zones qualify.
 
-    min_by combines on the map side, so a class that holds most rows is never gathered.
+    Two steps, so that the pass over all trips is a plain hash aggregate of one timestamp per class
+    (min_by over a struct would sort every trip). The second pass keeps only the trips of those
+    instants, and combines on the map side should one instant hold very many. The zone rule is part
+    of the aggregates rather than a filter, which would evaluate the class a second time per trip.
     """
-    candidates = with_delay_class(trips).where(
-        (F.col("delay_class") != "tunnel") | F.col("zone").isin(HARBOR_ZONES)
-    )
+    time, seq = ARRIVAL
+    classed = with_delay_class(trips)
+    qualifies = (F.col("delay_class") != "tunnel") | F.col("zone").isin(HARBOR_ZONES)
+    first_times = classed.groupBy("delay_class").agg(F.min(F.when(qualifies, F.col(time))).alias(time))
     example = F.struct("trip_seq", "trip_id", "zone", "event_time", "processing_time", "fare", "surge_multiplier")
     return (
-        candidates.groupBy("delay_class")
-        .agg(F.min_by(example, F.struct(*ARRIVAL)).alias("first"))
+        classed.join(F.broadcast(first_times), ["delay_class", time])  # one row per class
+        .groupBy("delay_class")
+        .agg(F.min_by(example, F.when(qualifies, F.col(seq))).alias("first"))
         .select("delay_class", "first.*")
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.policy import HARBOR_ZONES, ZONES
+from tallyward.policy import ZONES
 
 # Arrival order. trip_seq breaks ties, so the order is total.
 ARRIVAL = ("processing_time", "trip_seq")
@@ -28,7 +28,7 @@ def trips_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone_no = F.col("user_id") % 6
     zone = F.element_at(F.array(*map(F.lit, ZONES)), (zone_no + 1).cast("int"))
     draw = (event_id * 7919 + 104729) % 1000
-    normal_below = F.when(zone.isin(HARBOR_ZONES), 677).otherwise(929)
+    normal_below = F.when(zone_no >= ZONES.index("harbor_north"), 677).otherwise(929)
     base = F.unix_micros(F.when(draw >= 995, F.date_trunc("day", ts)).otherwise(ts))
     delay_ms = (
         F.when(draw < normal_below, 1000 + event_id * 31 % 4001)

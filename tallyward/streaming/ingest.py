@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.functions.clock import minutes, window_start
+from tallyward.functions.measures import zero_if_null
 from tallyward.operators.arrival import late_side_output
 from tallyward.operators.closing import flag_late, window_closers
 from tallyward.policy import LatenessPolicy
@@ -35,7 +36,7 @@ LATE_COLUMNS = "window_start TIMESTAMP, window_end TIMESTAMP, watermark TIMESTAM
 STATE_SCHEMA = "clock STRING, zone STRING, window_start TIMESTAMP, trip_count BIGINT, closed BOOLEAN"
 PROGRESS_SCHEMA = (
     "rows BIGINT, total_rows BIGINT, late BIGINT, total_late BIGINT, "
-    "max_event_us BIGINT, max_processing_us BIGINT, trip_columns STRING, late_columns STRING"
+    "min_processing_us BIGINT, max_event_us BIGINT, max_processing_us BIGINT, trip_columns STRING, late_columns STRING"
 )
 COUNT_TABLES = {"event": "zone_counts_event_time", "processing": "zone_counts_processing_time"}
 
@@ -118,6 +119,7 @@ class CountingStream:
             total_rows=(before.total_rows if before else 0) + stats["rows"],
             late=late,
             total_late=(before.total_late if before else 0) + late,
+            min_processing_us=stats["min_processing_us"],
             max_event_us=max_event,
             max_processing_us=max_processing,
             trip_columns=trip_columns,
@@ -148,7 +150,7 @@ class CountingStream:
         return f"{self.root}/{table}/batch_id={batch_id}"
 
     def _write_late(self, trips, closers, carried, batch_id) -> tuple[int, list[str]]:
-        late = late_side_output(trips, self.policy, closers, carried, path=f"{self.root}/_work/arrivals")
+        late = late_side_output(trips, self.policy, closers, carried, work=f"{self.root}/_work")
         stats = late.agg(
             F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in OPTIONAL_COLUMNS]
         ).first()
@@ -224,6 +226,33 @@ class CountingStream:
             .withColumn("watermark", F.col("max_event_time") - minutes(self.policy.watermark_delay_minutes))
         )
 
+    def summary(self) -> DataFrame:
+        """Per finished batch: its rows and arrival range, the watermark at its end, late trips, and
+        how many windows of each clock it closed over which span."""
+
+        def closed(clock):
+            start = F.col("window_start")
+            return self.zone_counts(clock).groupBy("batch_id").agg(
+                F.count(F.lit(1)).alias(f"{clock}_windows"),
+                F.sum("trip_count").alias(f"{clock}_trips"),
+                F.min(start).alias(f"{clock}_first_start"),
+                (F.max(start) + minutes(self.policy.window_minutes)).alias(f"{clock}_last_end"),
+            )
+
+        batches = self.progress().select(
+            "batch_id",
+            (F.col("total_rows") - F.col("rows") + 1).alias("first_row"),
+            F.col("total_rows").alias("last_row"),
+            F.timestamp_micros("min_processing_us").alias("first_arrival"),
+            F.col("max_processing_time").alias("last_arrival"),
+            "max_event_time",
+            "watermark",
+            "late",
+        )
+        joined = batches.join(closed("event"), "batch_id", "left").join(closed("processing"), "batch_id", "left")
+        numbers = [f"{clock}_{what}" for clock in COUNT_TABLES for what in ("windows", "trips")]
+        return joined.withColumns({name: zero_if_null(F.col(name)) for name in numbers})
+
     def last_batch(self) -> int:
         return self.progress().agg(F.max("batch_id")).first()[0]
 

@@ -37,7 +37,7 @@ def repeat_rows(df: DataFrame, times: str, step: int = COPIES_PER_STEP) -> DataF
     many = (
         df.where(F.col(times) > step)
         .withColumn("_step", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {step})")))
-        .repartition(F.rand(0))
+        .repartition("_step")
         .withColumn(times, F.least(F.lit(step).cast("long"), F.col(times) - F.col("_step") * step))
     )
     rows = few.select(*columns, times).unionByName(many.select(*columns, times))
@@ -81,10 +81,6 @@ class ChangeLog:
     def commits_of_job(self, job: str) -> DataFrame:
         return self.commits().where(F.col("metadata")["job"] == job)
 
-    def has_batch(self, app_id: str, batch_id: int) -> bool:
-        done = self.commits().where((F.col("app_id") == app_id) & (F.col("batch_id") >= batch_id))
-        return bool(done.head(1))
-
     # -- reading ------------------------------------------------------------------------------
 
     def log(self, after: int | None, upto: int) -> DataFrame:
@@ -138,8 +134,7 @@ class ChangeLog:
 
     # -- writing ------------------------------------------------------------------------------
 
-    def _commit(self, changes: DataFrame, operation: str, mode: str, **details) -> int | None:
-        parent = self.version()
+    def _commit(self, parent: int | None, changes: DataFrame, operation: str, mode: str, **details) -> int | None:
         version = 0 if parent is None else parent + 1
         target = f"{self.path}/log/version={version}"
         changes.select(*self.columns, F.col("delta").cast("long").alias("delta")).write.mode("overwrite").parquet(target)
@@ -174,10 +169,12 @@ class ChangeLog:
     ) -> int | None:
         """Add rows. Returns the new version, or None when there was nothing to do: no rows, or
         this application's batch is already in."""
-        if app_id is not None and self.has_batch(app_id, batch_id):
+        mine = F.when(F.col("app_id") == F.lit(app_id), F.col("batch_id"))
+        parent, done = self.commits().agg(F.max("version"), F.max(mine)).first()
+        if app_id is not None and done is not None and done >= batch_id:
             return None
         changes = rows.select(*self.columns, F.lit(1).alias("delta"))
-        return self._commit(changes, "WRITE", "Append", app_id=app_id, batch_id=batch_id, metadata=metadata)
+        return self._commit(parent, changes, "WRITE", "Append", app_id=app_id, batch_id=batch_id, metadata=metadata)
 
     def replace_where(self, predicate: str, rows: DataFrame, metadata: dict | None = None) -> int | None:
         """Replace exactly the rows matching predicate; new rows outside of it are refused."""
@@ -185,11 +182,12 @@ class ChangeLog:
         if rows.where(~matches).head(1):
             raise ValueError(f"new rows do not all satisfy {predicate}")
         changes = rows.select(*self.columns, F.lit(1).cast("long").alias("delta"))
-        if self.version() is not None:
-            old = self._net(self.version(), predicate).withColumn("delta", -F.col("delta"))
+        parent = self.version()
+        if parent is not None:
+            old = self._net(parent, predicate).withColumn("delta", -F.col("delta"))
             changes = changes.unionByName(old)
         return self._commit(
-            changes, "WRITE", "Overwrite", predicate=predicate, touched=predicate, metadata=metadata
+            parent, changes, "WRITE", "Overwrite", predicate=predicate, touched=predicate, metadata=metadata
         )
 
     def restore(self, version: int) -> int | None:
@@ -205,6 +203,7 @@ class ChangeLog:
             .where(F.col("delta") != 0)
         )
         return self._commit(
+            current,
             changes,
             "RESTORE",
             "",
@@ -216,6 +215,8 @@ class ChangeLog:
 
     def difference(self, before: int, after: int, predicate: str | None = None) -> DataFrame:
         """Rows gained (+) and lost (-) from one version to a later one, from the log between them."""
+        if before > after:
+            raise ValueError(f"version {before} is newer than {after}")
         rows = self.log(self._check_version(before), self._check_version(after))
         if predicate is not None:
             rows = rows.where(predicate)
