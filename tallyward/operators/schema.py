@@ -26,6 +26,10 @@ def describe_columns(df: DataFrame, before: DataFrame | None = None) -> DataFram
     return counts.select(F.explode(per_column).alias("c")).select("c.*")
 
 
+def has_column(df: DataFrame, column: str = "surge_multiplier") -> bool:
+    return column in df.columns
+
+
 def data_files(df: DataFrame) -> DataFrame:
     """Distinct data files behind a file-based DataFrame."""
     return df.select(F.col("_metadata.file_path").alias("file_path")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tallyward.functions.clock import fmt, outside_day, within_day
 from tallyward.operators import arrival, batches, counts, delays, health, schema
 from tallyward.operators.closing import flag_late, window_closers
-from tallyward.policy import CORRECTION_JOB, SAMPLE_ROWS, LatenessPolicy
+from tallyward.policy import CORRECTION_JOB, HISTORY_COMMITS, SAMPLE_ROWS, LatenessPolicy
 from tallyward.session import new_dir, prepare, stage
 from tallyward.sources.trips import (
     SURGE_FROM,
@@ -397,6 +397,14 @@ def commit_summary(trips):
     return changelog.commit_summary(log.commits_since(-1)).drop("files_added")
 
 
+@query
+def commit_report(trips):
+    log, _, _ = _corrected_log(trips)
+    corrections.undo_correction(log)
+    newest = changelog.commit_report(log.history(HISTORY_COMMITS))
+    return newest.select("version", "operation", "files_removed", "rows_added", "details")
+
+
 @query
 def correction_commits(trips):
     log, _, _ = _corrected_log(trips)

@@ -355,6 +355,12 @@ UNION ALL SELECT 'restored', (SELECT n FROM good_day), (SELECT n FROM other), tr
         LOG,
         """SELECT operation, mode, count(*) AS commits, sum(rows_added)::BIGINT AS rows_added,
   sum(rows_removed)::BIGINT AS rows_removed FROM history GROUP BY operation, mode""",
+    ),
+    "commit_report": _with(
+        LOG,
+        """SELECT version, operation, 0::BIGINT AS files_removed, rows_added,
+  CASE WHEN version = 3 THEN 'late_data_correction: rebuild 2024-01-02 window counts from late events'
+    WHEN version = 4 THEN 'restored to 2' ELSE '' END AS details FROM history""",
     ),
     "correction_commits": _with(
         LOG,

@@ -4,6 +4,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -55,3 +57,15 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     path = path or new_dir(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def one_row(spark: SparkSession, schema: T.StructType, values: dict) -> DataFrame:
+    """A single row of literals; missing values are NULL."""
+
+    def literal(value):
+        if isinstance(value, dict):
+            return F.create_map(*[F.lit(part) for pair in value.items() for part in pair])
+        return F.lit(value)
+
+    columns = [literal(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema]
+    return spark.range(0, 1, 1, 1).select(*columns)

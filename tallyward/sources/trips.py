@@ -81,13 +81,19 @@ def write_arrivals(trips: DataFrame, path: str, files: int | None = None) -> Non
     )
 
 
+def _with_sequence(trips: DataFrame) -> DataFrame:
+    """Producers that send no trip_seq get one from trip_id, so that equal arrival times still
+    have one fixed order."""
+    return trips.withColumn("trip_seq", F.coalesce("trip_seq", F.xxhash64("trip_id")))
+
+
 def read_arrivals(spark: SparkSession, path: str) -> DataFrame:
     """Batch read of JSON lines. A malformed line fails the read instead of becoming NULLs."""
-    return spark.read.schema(TRIP_SCHEMA).option("mode", "FAILFAST").json(path)
+    return _with_sequence(spark.read.schema(TRIP_SCHEMA).option("mode", "FAILFAST").json(path))
 
 
 def stream_arrivals(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(TRIP_SCHEMA).option("mode", "FAILFAST")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path)
+    return _with_sequence(reader.json(path))

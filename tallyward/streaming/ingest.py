@@ -26,7 +26,7 @@ from tallyward.functions.measures import zero_if_null
 from tallyward.operators.arrival import late_side_output
 from tallyward.operators.closing import flag_late, window_closers
 from tallyward.policy import LatenessPolicy
-from tallyward.session import prepare
+from tallyward.session import one_row, prepare
 from tallyward.sources.trips import OPTIONAL_COLUMNS, TRIP_SCHEMA, stream_arrivals
 from tallyward.tables.changelog import ChangeLog
 
@@ -199,9 +199,8 @@ class CountingStream:
         return closed.select("zone", "window_start", "trip_count", F.lit(batch_id).cast("long").alias("batch_id"))
 
     def _write_progress(self, batch_id: int, **values) -> None:
-        schema = T.StructType.fromDDL(PROGRESS_SCHEMA)
-        row = self.spark.createDataFrame([tuple(values[name] for name in schema.names)], schema)
-        row.coalesce(1).write.mode("overwrite").parquet(self._partition("progress", batch_id))
+        row = one_row(self.spark, T.StructType.fromDDL(PROGRESS_SCHEMA), values)
+        row.write.mode("overwrite").parquet(self._partition("progress", batch_id))
 
     @staticmethod
     def _add_columns(known: str | None, seen: list[str]) -> str:

@@ -11,12 +11,16 @@ Every commit that is not a plain append records which rows it may have touched,
 read adds up deltas only under those predicates; all other rows are a plain scan without shuffle.
 """
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyward.functions.clock import fmt
 from tallyward.policy import COPIES_PER_STEP
+from tallyward.session import one_row
 
 COMMIT_SCHEMA = (
     "parent_version BIGINT, committed_at TIMESTAMP, operation STRING, mode STRING, predicate STRING, "
@@ -25,6 +29,9 @@ COMMIT_SCHEMA = (
 )
 EVERYTHING = "true"
 
+# Predicates are evaluated again by later reads, so they must always mean the same rows.
+_UNSTABLE = re.compile(r"\b(current_\w+|now|curdate|localtimestamp|rand|randn|random|uuid)\b", re.IGNORECASE)
+
 
 def repeat_rows(df: DataFrame, times: str, step: int = COPIES_PER_STEP) -> DataFrame:
     """Each row as often as its `times` column says.
@@ -154,14 +161,9 @@ class ChangeLog:
             "files_added": len(written.inputFiles()),
             **details,
         }
-        schema = T.StructType.fromDDL(COMMIT_SCHEMA)
-        commit = self.spark.createDataFrame([tuple(row.get(name) for name in schema.names)], schema)
-        (
-            commit.withColumn("committed_at", F.current_timestamp())
-            .coalesce(1)
-            .write.mode("overwrite")
-            .parquet(f"{self.path}/commits/version={version}")
-        )
+        commit = one_row(self.spark, T.StructType.fromDDL(COMMIT_SCHEMA), row)
+        commit = commit.withColumn("committed_at", F.current_timestamp())
+        commit.write.mode("overwrite").parquet(f"{self.path}/commits/version={version}")
         return version
 
     def append(
@@ -178,6 +180,8 @@ class ChangeLog:
 
     def replace_where(self, predicate: str, rows: DataFrame, metadata: dict | None = None) -> int | None:
         """Replace exactly the rows matching predicate; new rows outside of it are refused."""
+        if _UNSTABLE.search(predicate):
+            raise ValueError(f"a predicate must not depend on when it runs: {predicate}")
         matches = F.coalesce(F.expr(predicate), F.lit(False))
         if rows.where(~matches).head(1):
             raise ValueError(f"new rows do not all satisfy {predicate}")
@@ -251,3 +255,22 @@ def commit_summary(commits: DataFrame) -> DataFrame:
         F.sum("rows_added").alias("rows_added"),
         F.sum("rows_removed").alias("rows_removed"),
     )
+
+
+def commit_report(commits: DataFrame) -> DataFrame:
+    """History for reading: when, what, how much, and for marked jobs and restores why."""
+    meta = F.col("metadata")
+    details = F.when(F.col("operation") == "RESTORE", F.concat(F.lit("restored to "), meta["restored_version"])).when(
+        meta["job"].isNotNull(), F.concat_ws(": ", meta["job"], meta["description"])
+    )
+    return commits.select(
+        "version",
+        fmt(F.col("committed_at")).alias("committed"),
+        "operation",
+        "mode",
+        "files_added",
+        F.lit(0).cast("long").alias("files_removed"),  # a change log only ever adds files
+        "rows_added",
+        "rows_removed",
+        F.coalesce(details, F.lit("")).alias("details"),
+    )

@@ -91,6 +91,11 @@ def test_new_rows_must_satisfy_the_predicate(spark, log):
         log.replace_where("batch_id = 1", counts(spark, [("b", 1, 1, None)]))
 
 
+def test_predicates_that_change_with_time_are_refused(spark, log):
+    with pytest.raises(ValueError, match="when it runs"):
+        log.replace_where("window_start < current_timestamp()", log.read())
+
+
 def test_replace_on_an_empty_range(spark, log):
     version = log.replace_where("zone = 'z'", counts(spark, [("z", 1, 1, 9)]))
     assert version == 3 and log.read().count() == 7

@@ -46,6 +46,14 @@ def test_json_lines_round_trip_keeps_microseconds_and_missing_keys(spark):
     assert any("surge_multiplier" not in line for line in lines) and any("surge_multiplier" in line for line in lines)
 
 
+def test_lines_without_a_sequence_get_one_from_the_trip_id(spark, tmp_path):
+    line = '{"trip_id": "%s", "zone": "a", "event_time": "2026-01-01T10:00:00.123Z", "processing_time": "2026-01-01T10:00:02.000Z", "fare": 1.5}'
+    (tmp_path / "x.json").write_text("\n".join(line % i for i in range(5)))
+    got = rows(read_arrivals(spark, str(tmp_path)), "trip_seq", "event_time", "surge_multiplier")
+    assert len({r[0] for r in got}) == 5 and None not in {r[0] for r in got}
+    assert {r[1] for r in got} == {at("10:00:00.123000", "2026-01-01")} and {r[2] for r in got} == {None}
+
+
 def test_files_follow_arrival_order(spark):
     path = new_dir(spark, "landing")
     write_arrivals(frame(spark, make_trips(60)).repartition(5), path, files=3)
