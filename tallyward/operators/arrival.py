@@ -116,31 +116,29 @@ def number_arrivals(
     )
 
 
-def late_side_output(
+def late_and_records(
     trips: DataFrame,
     policy: LatenessPolicy,
-    closers: DataFrame | None = None,
+    closers: DataFrame,
     carried_max: Column | None = None,
-    work: str | None = None,
+    path: str | None = None,
 ) -> DataFrame:
-    """Every late trip with its window, the watermark it met and how far behind that it was.
-
-    Late trips are found by their window's closer, so only they and the trips that may raise the
-    running maximum go through the range shuffle. They are staged first, because picking range
-    bounds reads its input once more and should not read all trips again.
+    """Late trips (with window_start), and the trips that may raise the running maximum (without).
 
-    work is a folder to stage in, which the next call with the same folder overwrites.
+    Staged, because picking range bounds reads its input once more and should not read all trips.
     """
-    closers = window_closers(trips, policy) if closers is None else closers
     late = flag_late(trips, closers, policy, carried_max).where("is_late")
     late = late.drop("is_late", "window_closed").withColumn("seen_us", F.lit(None).cast("long"))
-    time, seq = ARRIVAL
-    seen = trips.select(time, seq, F.unix_micros("event_time").alias("seen_us"))
+    seen = trips.select(*ARRIVAL, F.unix_micros("event_time").alias("seen_us"))
     records = seen.mapInArrow(_record_filter(), seen.schema)
-    rows = stage(
-        late.unionByName(records, allowMissingColumns=True), "late-and-records", work and f"{work}/late-and-records"
-    )
-    scanned = scan_arrivals(rows, work and f"{work}/arrivals")
+    return stage(late.unionByName(records, allowMissingColumns=True), "late-and-records", path)
+
+
+def with_watermark(
+    rows: DataFrame, policy: LatenessPolicy, carried_max: Column | None = None, path: str | None = None
+) -> DataFrame:
+    """The late trips of late_and_records with the watermark they met and their lateness."""
+    scanned = scan_arrivals(rows, path)
     newest = F.col("max_before") if carried_max is None else F.greatest("max_before", carried_max)
     return (
         scanned.where(F.col("window_start").isNotNull())
@@ -151,6 +149,16 @@ def late_side_output(
     )
 
 
+def late_side_output(trips: DataFrame, policy: LatenessPolicy, carried_max: Column | None = None) -> DataFrame:
+    """Every late trip with its window, the watermark it met and how far behind that it was.
+
+    Late trips are found by their window's closer, so only they and the trips that may raise the
+    running maximum go through the range shuffle.
+    """
+    rows = late_and_records(trips, policy, window_closers(trips, policy), carried_max)
+    return with_watermark(rows, policy, carried_max)
+
+
 def late_by_watermark(policy: LatenessPolicy) -> Column:
     """The late test on a numbered stream: the window's closing mark is at or below the watermark."""
     closes = F.col("window_start") + minutes(policy.closes_after)

@@ -105,7 +105,7 @@ def late_by_batch(flagged: DataFrame) -> DataFrame:
     """Late trips per batch and zone, ranked most first; a zone's name settles ties."""
     counts = flagged.where("is_late").groupBy("batch_id", "zone").agg(F.count(F.lit(1)).alias("late"))
     most_first = W.partitionBy("batch_id").orderBy(F.desc("late"), "zone")
-    return counts.withColumn("place", F.row_number().over(most_first))
+    return counts.withColumn("place", F.row_number().over(most_first).cast("long"))
 
 
 def late_examples(flagged: DataFrame, n: int = LATE_EXAMPLES) -> DataFrame:
@@ -117,7 +117,7 @@ def late_examples(flagged: DataFrame, n: int = LATE_EXAMPLES) -> DataFrame:
     delay = delay_minutes(F.col("event_time"), F.col("processing_time"))
     return (
         flagged.where("is_late")
-        .withColumn("place", F.row_number().over(in_batch.orderBy("position")))
+        .withColumn("place", F.row_number().over(in_batch.orderBy("position")).cast("long"))
         .withColumn("more", F.greatest(F.count(F.lit(1)).over(in_batch) - n, F.lit(0)))
         .where(F.col("place") <= n)
         .withColumn("delay", delay)

@@ -29,16 +29,17 @@ CORRECTED_DAY = "2024-01-02"
 NEXT_DAY = "2024-01-03"
 HARBOR_ZONE = "harbor_tunnel"
 OTHER_ZONE = "downtown"
-STREAM_SLICES = 4
+STREAM_SLICES = 3
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
 def _wall_clock(df: DataFrame) -> DataFrame:
-    """UTC instants as timestamps without zone, so a collected result does not depend on the client."""
-    zoned = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
-    return df.withColumns({name: F.col(name).cast("timestamp_ntz") for name in zoned})
+    """UTC instants without zone and days as text, so a collected result does not depend on the client."""
+    kinds = {T.TimestampType: "timestamp_ntz", T.DateType: "string"}
+    casts = {f.name: F.col(f.name).cast(kinds[type(f.dataType)]) for f in df.schema if type(f.dataType) in kinds}
+    return df.withColumns(casts)
 
 
 def query(function: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:

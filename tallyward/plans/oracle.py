@@ -147,7 +147,7 @@ _LATE_EVENTS = """SELECT trip_seq, trip_id, zone, event_time, processing_time, f
   window_start + INTERVAL 15 MINUTE AS window_end, watermark,
   ((epoch_us(watermark) - epoch_us(event_time) + 500) // 1000) / 1000.0::DOUBLE AS lateness_seconds
 FROM late"""
-_COVERAGE = """SELECT CAST(event_time AS DATE) AS event_day, count(*) AS trips, count(surge_multiplier) AS with_value,
+_COVERAGE = """SELECT CAST(CAST(event_time AS DATE) AS VARCHAR) AS event_day, count(*) AS trips, count(surge_multiplier) AS with_value,
   count(*) - count(surge_multiplier) AS without_value FROM trips GROUP BY 1"""
 
 

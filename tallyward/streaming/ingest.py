@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tallyward.functions.clock import minutes, window_start
 from tallyward.functions.measures import zero_if_null
-from tallyward.operators.arrival import late_side_output
+from tallyward.operators.arrival import late_and_records, with_watermark
 from tallyward.operators.closing import flag_late, window_closers
 from tallyward.policy import LatenessPolicy
 from tallyward.session import one_row, prepare
@@ -150,12 +150,14 @@ class CountingStream:
         return f"{self.root}/{table}/batch_id={batch_id}"
 
     def _write_late(self, trips, closers, carried, batch_id) -> tuple[int, list[str]]:
-        late = late_side_output(trips, self.policy, closers, carried, work=f"{self.root}/_work")
-        stats = late.agg(
+        work = f"{self.root}/_work"
+        found = late_and_records(trips, self.policy, closers, carried, f"{work}/late-and-records")
+        stats = found.where(F.col("window_start").isNotNull()).agg(
             F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in OPTIONAL_COLUMNS]
         ).first()
         seen = [c for c in OPTIONAL_COLUMNS if stats[c]]
         if stats["rows"]:
+            late = with_watermark(found, self.policy, carried, f"{work}/arrivals")
             unseen = [c for c in OPTIONAL_COLUMNS if c not in seen]
             late.drop(*unseen).write.mode("overwrite").parquet(self._partition("late_events", batch_id))
         return stats["rows"], seen

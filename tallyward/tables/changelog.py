@@ -141,15 +141,22 @@ class ChangeLog:
 
     # -- writing ------------------------------------------------------------------------------
 
-    def _commit(self, parent: int | None, changes: DataFrame, operation: str, mode: str, **details) -> int | None:
+    def _commit(
+        self, parent: int | None, changes: DataFrame, operation: str, mode: str, only: str | None = None, **details
+    ) -> int | None:
+        """Write the changes, then the commit. New rows and removed rows must satisfy `only`."""
         version = 0 if parent is None else parent + 1
         target = f"{self.path}/log/version={version}"
         changes.select(*self.columns, F.col("delta").cast("long").alias("delta")).write.mode("overwrite").parquet(target)
-        written = self.spark.read.schema("delta BIGINT").parquet(target)
-        added, removed = written.agg(
+        written = self.spark.read.schema(T.StructType(list(self.schema)).add("delta", T.LongType())).parquet(target)
+        allowed = F.lit(True) if only is None else F.coalesce(F.expr(only), F.lit(False))
+        added, removed, outside = written.agg(
             F.coalesce(F.sum(F.greatest("delta", F.lit(0))), F.lit(0)),
             F.coalesce(-F.sum(F.least("delta", F.lit(0))), F.lit(0)),
+            F.count_if(~allowed),
         ).first()
+        if outside:
+            raise ValueError(f"{outside} new rows do not satisfy {only}; nothing was committed")
         if not added and not removed:
             return None  # an empty version is never committed
         row = {
@@ -182,16 +189,13 @@ class ChangeLog:
         """Replace exactly the rows matching predicate; new rows outside of it are refused."""
         if _UNSTABLE.search(predicate):
             raise ValueError(f"a predicate must not depend on when it runs: {predicate}")
-        matches = F.coalesce(F.expr(predicate), F.lit(False))
-        if rows.where(~matches).head(1):
-            raise ValueError(f"new rows do not all satisfy {predicate}")
         changes = rows.select(*self.columns, F.lit(1).cast("long").alias("delta"))
         parent = self.version()
         if parent is not None:
             old = self._net(parent, predicate).withColumn("delta", -F.col("delta"))
             changes = changes.unionByName(old)
         return self._commit(
-            parent, changes, "WRITE", "Overwrite", predicate=predicate, touched=predicate, metadata=metadata
+            parent, changes, "WRITE", "Overwrite", predicate, predicate=predicate, touched=predicate, metadata=metadata
         )
 
     def restore(self, version: int) -> int | None:

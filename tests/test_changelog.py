@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from model import rows
 from pyspark.sql import functions as F
@@ -162,3 +165,39 @@ def test_only_corrected_rows_are_added_up_on_read(spark, log):
     assert plan.startswith("Union")
     scan_only = log.as_of(2)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in scan_only
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_operations_match_a_list_of_versions(spark, seed):
+    rng = random.Random(seed)
+    log = ChangeLog(spark, new_dir(spark, "log"), "k STRING, n BIGINT")
+
+    def some(keys, most=4):
+        return [(rng.choice(keys), rng.choice([1, 2, None])) for _ in range(rng.randint(1, most))]
+
+    def table(cells):
+        return spark.createDataFrame(cells, "k STRING, n BIGINT")
+
+    first = some("abc")
+    log.append(table(first))
+    versions = [Counter(first)]
+    for _ in range(6):
+        now, action = versions[-1], rng.choice(["append", "replace", "replace", "restore"])
+        if action == "append":
+            cells = some("abcd")
+            done, new = log.append(table(cells)), now + Counter(cells)
+        elif action == "replace":
+            key = rng.choice("abcd")
+            cells = some(key)
+            done = log.replace_where(f"k = '{key}'", table(cells))
+            new = Counter({row: c for row, c in now.items() if row[0] != key}) + Counter(cells)
+        else:
+            target = rng.randrange(len(versions))
+            done, new = log.restore(target), versions[target]
+        if done is not None:
+            versions.append(new)
+        else:
+            assert new == now
+    assert log.version() == len(versions) - 1
+    for version, want in enumerate(versions):
+        assert Counter(rows(log.as_of(version))) == want

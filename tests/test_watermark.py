@@ -116,7 +116,7 @@ def test_positions_and_watermarks_of_all_rows(spark):
     assert all(r[3] == (r[1] - 1) // 7 + 1 for r in got)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 200), st.integers(0, 90), st.sampled_from("ab")), min_size=1, max_size=25))
 def test_any_small_stream(spark, cells):
     """Minute-grained clocks give many ties on both of them."""
