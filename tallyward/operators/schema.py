@@ -31,21 +31,17 @@ def has_column(df: DataFrame, column: str = "surge_multiplier") -> bool:
 
 
 def data_files(df: DataFrame) -> DataFrame:
-    """Distinct data files behind a file-based DataFrame."""
-    return df.select(F.col("_metadata.file_path").alias("file_path")).distinct()
+    """Data files behind a file-based DataFrame, with the rows each contributes."""
+    return df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Files kept, added and removed between two listings from data_files."""
-    seen = before.select("file_path", F.lit(1).alias("old"), F.lit(0).alias("new")).unionByName(
-        after.select("file_path", F.lit(0).alias("old"), F.lit(1).alias("new"))
-    )
-    per_file = seen.groupBy("file_path").agg(F.max("old").alias("old"), F.max("new").alias("new"))
-    return per_file.agg(
-        F.count_if((F.col("old") == 1) & (F.col("new") == 1)).alias("kept"),
-        F.count_if((F.col("old") == 0) & (F.col("new") == 1)).alias("added"),
-        F.count_if((F.col("old") == 1) & (F.col("new") == 0)).alias("removed"),
-    )
+    """Files and rows kept, added and removed between two listings from data_files."""
+    sides = before.withColumn("side", F.lit("before")).unionByName(after.withColumn("side", F.lit("after")))
+    old, new = F.bool_or(F.col("side") == "before"), F.bool_or(F.col("side") == "after")
+    status = F.when(old & new, "kept").when(new, "added").otherwise("removed")
+    per_file = sides.groupBy("file_path").agg(status.alias("status"), F.max("rows").alias("rows"))
+    return per_file.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
 
 
 def coverage_by_day(trips: DataFrame, column: str = "surge_multiplier") -> DataFrame:

@@ -312,6 +312,11 @@ WHERE place <= 4""",
   UNION ALL SELECT 6, 'batch_id', 'int', false, count(*), count(*) FROM trips
   UNION ALL SELECT 7, 'surge_multiplier', 'double', true, count(*),
     count(CASE WHEN processing_time >= TIMESTAMP '2024-01-16' THEN surge_multiplier END) FROM trips)""",
+    ),
+    "file_inventory": _with(
+        TRIPS,
+        """SELECT CASE WHEN processing_time < TIMESTAMP '2024-01-16' THEN 'kept' ELSE 'added' END AS status,
+  count(*) AS rows FROM trips GROUP BY 1""",
     ),
     "json_round_trip": _with(
         TRIPS,
@@ -371,6 +376,11 @@ UNION ALL SELECT 'restored', (SELECT n FROM good_day), (SELECT n FROM other), tr
         LOG,
         """SELECT version, operation, rows_added, rows_removed,
   CASE WHEN version <= 2 THEN 'first' ELSE 'last' END AS "end", 1::BIGINT AS skipped FROM history WHERE version <> 3""",
+    ),
+    "log_files": _with(
+        LOG,
+        """SELECT 'kept' AS status, (SELECT count(*) FROM good) AS rows
+UNION ALL SELECT 'added', n2 + nb FROM rows_of""",
     ),
     "stream_zone_counts": _with(STREAM, f"{_COUNTS} event_closed"),
     "stream_processing_counts": _with(STREAM, f"{_COUNTS} arrival_closed"),

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.functions.clock import fmt
+from tallyward.operators.schema import data_files
 from tallyward.policy import COPIES_PER_STEP
 from tallyward.session import one_row
 
@@ -235,9 +236,9 @@ class ChangeLog:
         return not self.difference(before, after, predicate).head(1)
 
     def files(self, version: int | None = None) -> DataFrame:
+        """Data files of the log up to a version, with their rows."""
         version = self._check_version(version)
-        rows = self.spark.read.parquet(f"{self.path}/log").where(F.col("version") <= version)
-        return rows.select(F.col("_metadata.file_path").alias("file_path")).distinct()
+        return data_files(self.spark.read.parquet(f"{self.path}/log").where(F.col("version") <= version))
 
     def register(self, name: str, version: int | None = None) -> None:
         """Make a version queryable with spark.sql under a name."""
