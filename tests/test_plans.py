@@ -43,6 +43,16 @@ def test_closers_too_large_to_broadcast_are_shuffled_instead(spark):
     assert shuffled == flag_late(trips, closers, POLICY).where("is_late").count()
 
 
+def test_closers_reach_the_ordered_pass_pre_aggregated(spark, monkeypatch):
+    """The single ordered pass is fed by an aggregate over windows, and adds one exchange only."""
+    seen = []
+    monkeypatch.setattr("tallyward.operators.closing.stage", lambda df, *a: seen.append(df) or stage(df, "closers"))
+    window_closers(trips_from_events(spark, SF), POLICY)
+    plan = plan_of(seen[0])
+    single = plan.index("Exchange SinglePartition")
+    assert plan.count("Exchange") == 2 and "Aggregate" in plan[single:] and "Exchange hashpartitioning" in plan[single:]
+
+
 def test_numbering_never_gathers_rows_in_one_task(spark):
     narrow = trips_from_events(spark, SF).select("trip_seq", "event_time", "processing_time")
     plan = plan_of(arrival.number_arrivals(narrow, POLICY))
