@@ -6,35 +6,78 @@ from pyspark.sql import functions as F
 
 from tallyward.functions.clock import delay_minutes, lateness_seconds, minutes, watermark, window_start
 from tallyward.functions.measures import zero_if_null
-from tallyward.operators.arrival import late_by_watermark
+from tallyward.operators.arrival import late_by_watermark, number_arrivals
 from tallyward.operators.closing import window_closers
 from tallyward.operators.counts import both_clocks, closed_counts, event_time_windows, processing_time_windows
-from tallyward.policy import LATE_EXAMPLES, LatenessPolicy
+from tallyward.policy import BATCH_SIZE, CLOSERS_PER_ARRIVAL_WINDOW, LATE_EXAMPLES, LatenessPolicy
 from tallyward.session import stage
 from tallyward.sources.trips import ARRIVAL
 
 TOTAL = "TOTAL"
 
 
-def _closing_batch(closers: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Batch that holds each window's closer: the first batch whose end finds the window final."""
+def closer_positions(
+    trips: DataFrame, closers: DataFrame, policy: LatenessPolicy, longest: int = CLOSERS_PER_ARRIVAL_WINDOW
+) -> DataFrame:
+    """Stream position of every closer: closer_time, closer_seq, position.
+
+    Only these few positions are needed, so the trips are counted, not sorted: each trip falls into a
+    slot between the closers of its arrival window, slots are counted with a map-side combine, and
+    counts are added up along the stream (one row per arrival window and per closer). In a stream
+    that follows the clock an arrival window holds one or two closers. Where a bulk load puts
+    many into one, looking through them for each trip would cost more than the full numbering, which
+    is then used instead.
+    """
     time, seq = ARRIVAL
-    batches = numbered.select(F.col(time).alias("closer_time"), F.col(seq).alias("closer_seq"), "batch_id")
-    return stage(
-        closers.join(batches, ["closer_time", "closer_seq"]).select("window_start", "batch_id"), "closing-batch"
+    points = closers.where(F.col("closer_time").isNotNull()).select(
+        window_start(F.col("closer_time"), policy).alias("arrival_window"),
+        F.struct(F.col("closer_time").alias("time"), F.col("closer_seq").alias("seq")).alias("closer"),
+    )
+    most = points.distinct().groupBy("arrival_window").count().agg(F.max("count")).first()[0]
+    if most is not None and most > longest:
+        numbered = number_arrivals(trips.select("event_time", time, seq), policy)
+        return numbered.select(F.col(time).alias("closer_time"), F.col(seq).alias("closer_seq"), "position")
+
+    per_window = stage(
+        points.groupBy("arrival_window").agg(F.sort_array(F.collect_set("closer")).alias("closers")), "closer-slots"
+    )
+    arrival = F.struct(F.col(time).alias("time"), F.col(seq).alias("seq"))
+    earlier_closers = F.size(F.filter("closers", lambda closer: closer < arrival))
+    slots = (
+        trips.select(window_start(F.col(time), policy).alias("arrival_window"), time, seq)
+        .join(per_window, "arrival_window", "left")
+        .groupBy("arrival_window", F.when(F.col("closers").isNull(), 0).otherwise(earlier_closers).alias("slot"))
+        .agg(F.count(F.lit(1)).alias("trips"))
+    )
+    upto = slots.withColumn("position", F.sum("trips").over(W.orderBy("arrival_window", "slot")))
+    # The closer itself is a trip, and the last one of its slot.
+    return (
+        per_window.select("arrival_window", F.posexplode("closers").alias("slot", "closer"))
+        .join(upto, ["arrival_window", "slot"])
+        .select(F.col("closer.time").alias("closer_time"), F.col("closer.seq").alias("closer_seq"), "position")
     )
 
 
-def emitted_windows(trips: DataFrame, numbered: DataFrame, policy: LatenessPolicy) -> DataFrame:
-    """Closed windows of both clocks with their count and the batch that emits them."""
+def emitted_windows(trips: DataFrame, policy: LatenessPolicy, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """Closed windows of both clocks with their count and the batch that emits them: the batch that
+    holds the window's closer, as that is the first whose end finds the window final."""
     event_closers = window_closers(trips, policy)
     arrival_closers = window_closers(trips, policy, clock="processing_time", final_after=policy.window_minutes)
-    event = closed_counts(event_time_windows(trips, policy, event_closers))
-    processing = closed_counts(processing_time_windows(trips, policy))
-    return both_clocks(
-        event.join(_closing_batch(event_closers, numbered), "window_start"),
-        processing.join(_closing_batch(arrival_closers, numbered), "window_start"),
-    ).select("clock", "zone", "window_start", "trip_count", "batch_id")
+    closers = both_clocks(event_closers, arrival_closers)
+    batch_id = F.expr(f"(position - 1) div {int(batch_size)} + 1").alias("batch_id")
+    batches = stage(
+        closers.join(closer_positions(trips, closers, policy), ["closer_time", "closer_seq"]).select(
+            "clock", "window_start", batch_id
+        ),
+        "closing-batches",
+    )
+    windows = both_clocks(
+        closed_counts(event_time_windows(trips, policy, event_closers)),
+        closed_counts(processing_time_windows(trips, policy)),
+    )
+    return windows.join(batches, ["clock", "window_start"]).select(
+        "clock", "zone", "window_start", "trip_count", "batch_id"
+    )
 
 
 def flag_numbered(numbered: DataFrame, policy: LatenessPolicy) -> DataFrame:

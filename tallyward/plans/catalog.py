@@ -128,20 +128,18 @@ def through_day_windows(trips):
 
 @query
 def emission_batch(trips):
-    narrow = trips.select("trip_seq", "zone", "event_time", "processing_time")
-    return batches.emitted_windows(trips, arrival.number_arrivals(narrow, POLICY), POLICY)
+    return batches.emitted_windows(trips, POLICY)
 
 
 @query
 def batch_summary(trips):
-    flagged = _numbered(trips.select("trip_seq", "zone", "event_time", "processing_time"))
-    return batches.batch_summary(flagged, batches.emitted_windows(trips, flagged, POLICY), POLICY)
+    flagged = _numbered(trips.select("trip_seq", "event_time", "processing_time"))
+    return batches.batch_summary(flagged, batches.emitted_windows(trips, POLICY), POLICY)
 
 
 @query
 def batch_zone_totals(trips):
-    numbered = arrival.number_arrivals(trips.select("trip_seq", "event_time", "processing_time"), POLICY)
-    return batches.batch_zone_totals(batches.emitted_windows(trips, numbered, POLICY))
+    return batches.batch_zone_totals(batches.emitted_windows(trips, POLICY))
 
 
 @query

@@ -25,9 +25,12 @@ NEXT_MORNING_HOURS = (6, 9)
 
 CORRECTION_JOB = "late_data_correction"
 
-# Rows of one batch or copies of one row that a single task may expand at a time.
+# Copies of one row that a task writes at a time.
 COPIES_PER_STEP = 10_000
 
+# Closers of one arrival window that each trip is compared with before all trips are numbered instead.
+CLOSERS_PER_ARRIVAL_WINDOW = 32
+
 
 @dataclass(frozen=True)
 class LatenessPolicy:

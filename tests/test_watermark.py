@@ -20,9 +20,10 @@ def late_of(spark, trips):
 
 
 def emitted_of(spark, trips, batch_size):
-    df = frame(spark, trips)
-    numbered = arrival.number_arrivals(df, POLICY, batch_size)
-    found = rows(batches.emitted_windows(df, numbered, POLICY), "clock", "zone", "window_start", "trip_count", "batch_id")
+    found = rows(
+        batches.emitted_windows(frame(spark, trips), POLICY, batch_size),
+        "clock", "zone", "window_start", "trip_count", "batch_id",
+    )
     return {c: {r[1:] for r in found if r[0] == c} for c in ("event", "processing")}
 
 
@@ -106,6 +107,24 @@ def test_matches_the_row_model_for_every_batch_size(spark, batch_size):
     assert got["processing"] == want["processing"]
 
 
+@pytest.mark.parametrize("longest", [0, 1000])
+def test_closer_positions_counted_or_numbered(spark, longest):
+    """A bulk load: trips of ten hours arrive within three minutes, many closers in one arrival window."""
+    trips = [trip(i, at("00:00") + i * 3 * MINUTE, at("12:00") + timedelta(seconds=i // 2)) for i in range(200)]
+    df = frame(spark, trips)
+    closers = window_closers(df, POLICY)
+    found = set(rows(batches.closer_positions(df, closers, POLICY, longest), "closer_seq", "position"))
+    wanted = {(r[0], expected(trips)["order"].index(r[0]) + 1) for r in rows(closers.where("closer_seq IS NOT NULL"), "closer_seq")}
+    assert len(wanted) > 30 and wanted <= found
+
+
+def test_bulk_load_emission_matches_the_row_model(spark):
+    trips = [trip(i, at("00:00") + i * 3 * MINUTE, at("12:00") + timedelta(seconds=i // 2)) for i in range(250)]
+    got = emitted_of(spark, trips, 7)
+    want = expected(trips, 7)
+    assert got["event"] == want["event"] and got["processing"] == want["processing"]
+
+
 def test_positions_and_watermarks_of_all_rows(spark):
     trips = random_trips(300, seed=5)
     want = expected(trips)
