@@ -33,14 +33,15 @@ def closer_positions(
         window_start(F.col("closer_time"), policy).alias("arrival_window"),
         F.struct(F.col("closer_time").alias("time"), F.col("closer_seq").alias("seq")).alias("closer"),
     )
-    most = points.distinct().groupBy("arrival_window").count().agg(F.max("count")).first()[0]
+    # At most one closer per distinct window, so even all of them in one array stay small.
+    per_window = stage(
+        points.groupBy("arrival_window").agg(F.sort_array(F.collect_set("closer")).alias("closers")), "closer-slots"
+    )
+    most = per_window.agg(F.max(F.size("closers"))).first()[0]
     if most is not None and most > longest:
         numbered = number_arrivals(trips.select("event_time", time, seq), policy)
         return numbered.select(F.col(time).alias("closer_time"), F.col(seq).alias("closer_seq"), "position")
 
-    per_window = stage(
-        points.groupBy("arrival_window").agg(F.sort_array(F.collect_set("closer")).alias("closers")), "closer-slots"
-    )
     arrival = F.struct(F.col(time).alias("time"), F.col(seq).alias("seq"))
     earlier_closers = F.size(F.filter("closers", lambda closer: closer < arrival))
     slots = (
@@ -65,11 +66,8 @@ def emitted_windows(trips: DataFrame, policy: LatenessPolicy, batch_size: int =
     arrival_closers = window_closers(trips, policy, clock="processing_time", final_after=policy.window_minutes)
     closers = both_clocks(event_closers, arrival_closers)
     batch_id = F.expr(f"(position - 1) div {int(batch_size)} + 1").alias("batch_id")
-    batches = stage(
-        closers.join(closer_positions(trips, closers, policy), ["closer_time", "closer_seq"]).select(
-            "clock", "window_start", batch_id
-        ),
-        "closing-batches",
+    batches = closers.join(closer_positions(trips, closers, policy), ["closer_time", "closer_seq"]).select(
+        "clock", "window_start", batch_id
     )
     windows = both_clocks(
         closed_counts(event_time_windows(trips, policy, event_closers)),
