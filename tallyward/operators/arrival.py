@@ -110,7 +110,8 @@ def number_arrivals(
     trips: DataFrame, policy: LatenessPolicy, batch_size: int = BATCH_SIZE, path: str | None = None
 ) -> DataFrame:
     """Stream position, batch number and watermark of every trip at its arrival."""
-    scanned = scan_arrivals(trips.withColumn("seen_us", F.unix_micros("event_time")), path)
+    given = F.coalesce("event_time", F.raise_error(F.lit("trip without event_time")))
+    scanned = scan_arrivals(trips.withColumn("seen_us", F.unix_micros(given)), path)
     return scanned.withColumn("watermark", watermark(F.col("max_before"), policy)).withColumn(
         "batch_id", F.expr(f"(position - 1) div {int(batch_size)} + 1")
     )

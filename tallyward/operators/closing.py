@@ -34,14 +34,14 @@ def window_closers(
     ).agg(F.min(F.struct(F.col(time).alias("time"), F.col(seq).alias("seq"))).alias("arrival"))
 
     no_arrival = F.lit(None).cast("struct<time:timestamp,seq:bigint>")
-    marks = first.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("own").alias("window_start"), no_arrival.alias("arrival"), F.lit(True).alias("occupied")),
-                F.struct(F.col("newest_closed").alias("window_start"), F.col("arrival"), F.lit(False).alias("occupied")),
-            )
-        ).alias("m")
-    ).select("m.*")
+    untimed = F.col("arrival.time").isNull()  # NULL sorts first, so one trip without a time shows
+    own_mark = F.struct(
+        F.col("own").alias("window_start"), no_arrival.alias("arrival"), F.lit(True).alias("occupied"), untimed.alias("untimed")
+    )
+    closing_mark = F.struct(
+        F.col("newest_closed").alias("window_start"), F.col("arrival"), F.lit(False).alias("occupied"), untimed.alias("untimed")
+    )
+    marks = first.select(F.explode(F.array(own_mark, closing_mark)).alias("m")).select("m.*")
     # A window closes at the earliest arrival among marks of its own or any newer window. This
     # ordered pass sees at most four rows per distinct window (35,040 windows a year), never raw
     # rows, and the grouping after it needs no further shuffle.
@@ -50,18 +50,13 @@ def window_closers(
         marks.withColumn("closer", F.min("arrival").over(own_or_newer))
         .where("occupied")
         .groupBy("window_start")
-        .agg(F.min("closer").alias("closer"))
-    )
-    staged = stage(
-        closers.select(
-            "window_start", F.col("closer.time").alias("closer_time"), F.col("closer.seq").alias("closer_seq")
-        ),
-        "closers",
-        path,
+        .agg(F.min("closer").alias("closer"), F.bool_or("untimed").alias("untimed"))
     )
-    if staged.where(F.col("window_start").isNull()).head(1):
-        raise ValueError(f"rows without {clock} cannot be assigned to a window")
-    return staged
+    time_of, seq_of = F.col("closer.time").alias("closer_time"), F.col("closer.seq").alias("closer_seq")
+    staged = stage(closers.select("window_start", time_of, seq_of, "untimed"), "closers", path)
+    if staged.where(F.col("window_start").isNull() | F.col("untimed")).head(1):
+        raise ValueError(f"trips without {clock} or without {time} cannot be judged")
+    return staged.drop("untimed")
 
 
 def arrived_after_closer() -> Column:

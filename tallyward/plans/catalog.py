@@ -171,6 +171,12 @@ def disagreement_share(trips):
     return health.disagreement_share(health.align_clocks(_closed_event(trips), _closed_processing(trips)))
 
 
+@query
+def hourly_rollup(trips):
+    """Closed 15-minute counts rolled up to hours of the day."""
+    return corrections.hourly(_closed_event(trips), "trips")
+
+
 @query
 def late_by_zone(trips):
     return health.late_by_zone(_flagged(trips)).orderBy(F.desc("late"), "zone")

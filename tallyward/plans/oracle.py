@@ -242,6 +242,11 @@ ORDER BY a.event + b.event DESC, window_start LIMIT 8""",
         STREAM,
         """SELECT zone, count(*) AS windows,
   (count(*) FILTER (diff <> 0))::DOUBLE / count(*) AS disagree_share FROM aligned GROUP BY zone""",
+    ),
+    "hourly_rollup": _with(
+        STREAM,
+        """SELECT CAST(date_part('hour', window_start) AS INTEGER) AS hour, sum(trip_count)::BIGINT AS trips
+FROM event_closed GROUP BY 1""",
     ),
     "late_by_zone": _with(
         STREAM, "SELECT zone, count(*) AS events, count(*) FILTER (is_late) AS late FROM flagged GROUP BY zone"

@@ -10,7 +10,6 @@ from tallyward.policy import LatenessPolicy
 from pyspark.sql import functions as F
 
 POLICY = LatenessPolicy()
-COUNTS = "zone STRING, window_start TIMESTAMP, trip_count BIGINT"
 
 
 def table(spark, cells):

@@ -85,10 +85,17 @@ def test_trips_before_1970(spark):
     assert dict(starts) == {t.trip_seq: window(t.event_time) for t in trips}
 
 
-def test_missing_event_time_is_refused(spark):
-    broken = [trip(1, "10:00:00", "10:00:01"), trip(2, None, "10:00:02")]
-    with pytest.raises(ValueError, match="without event_time"):
-        window_closers(frame(spark, broken), POLICY)
+@pytest.mark.parametrize("event, arrival_time", [(None, "10:00:02"), ("10:30:00", None), ("10:00:00", None)])
+def test_missing_times_are_refused(spark, event, arrival_time):
+    broken = frame(spark, [trip(1, "10:00:00", "10:00:01"), trip(2, event, arrival_time)])
+    with pytest.raises(ValueError, match="without event_time or without processing_time"):
+        window_closers(broken, POLICY)
+
+
+def test_numbering_refuses_a_missing_event_time(spark):
+    broken = frame(spark, [trip(1, "10:00:00", "10:00:01"), trip(2, None, "10:00:02")])
+    with pytest.raises(Exception, match="trip without event_time"):
+        arrival.number_arrivals(broken, POLICY)
 
 
 def test_other_policy(spark):
