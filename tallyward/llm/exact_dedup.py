@@ -38,7 +38,8 @@ def text_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     per_salt = salted.groupBy("digest", "salt", "text").agg(
         F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
-    return per_salt.groupBy("digest", "text").agg(
+    # Dealt by digest alone, which serves both this grouping and the look at texts per digest after it.
+    return per_salt.repartition("digest").groupBy("digest", "text").agg(
         F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
     )
 
