@@ -4,8 +4,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyward.llm.decontaminate import contaminated
 from tallyward.llm.exact_dedup import exact_duplicates
 from tallyward.llm.simhash import near_duplicates
+from tallyward.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,12 +20,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
 }
 
@@ -38,4 +50,24 @@ ORACLE = {
         FROM d
         WINDOW same AS (PARTITION BY text)
     """,
+    "op8_decontamination": """
+        WITH folded AS (
+            SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+        ), worded AS (
+            SELECT side, id, [w FOR w IN regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF w <> ''] AS words
+            FROM folded
+        ), widths AS (SELECT DISTINCT least(5, len(words)) AS width FROM worded WHERE side = 1 AND len(words) > 0
+        ), shingles AS (
+            SELECT DISTINCT side, id, width,
+                   unnest([array_to_string(words[i:i + width - 1], ' ') FOR i IN range(1, len(words) - width + 2)]) AS shingle
+            FROM worded JOIN widths ON len(words) >= width AND (side = 0 OR width = least(5, len(words)))
+        ), sizes AS (SELECT id, width, count(*) AS item_shingles FROM shingles WHERE side = 1 GROUP BY ALL)
+        SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, item_shingles, count(*) / item_shingles AS containment
+        FROM shingles d JOIN shingles i ON d.side = 0 AND i.side = 1 AND d.shingle = i.shingle AND d.width = i.width
+        JOIN sizes s ON s.id = i.id
+        GROUP BY d.id, i.id, item_shingles
+        HAVING count(*) * 5 >= item_shingles * 4
+    """,
 }
