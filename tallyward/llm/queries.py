@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyward.llm.decontaminate import contaminated
 from tallyward.llm.exact_dedup import exact_duplicates
+from tallyward.llm.line_dedup import dedup_lines
 from tallyward.llm.simhash import near_duplicates
 from tallyward.llm.toxicity import toxicity
 
@@ -24,6 +25,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -35,11 +40,46 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_toxicity": op4_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
 }
 
 ORACLE = {
+    "op7_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line_no
+            FROM documents
+        ), words AS (
+            SELECT DISTINCT doc_id, line_no, unnest([w FOR w IN regexp_split_to_array(lower(line), '\\s+') IF w <> '']) AS word FROM lines
+        ), counted AS (SELECT *, count(*) OVER (PARTITION BY word) AS freq FROM words
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY freq, word) AS place,
+                   count(*) OVER (PARTITION BY doc_id, line_no) AS n
+            FROM counted
+        ), sets AS (
+            SELECT doc_id, line_no, n, list(word ORDER BY word) AS words, list(word ORDER BY place) AS by_rarity FROM placed GROUP BY ALL
+        ), classes AS (
+            SELECT words, n, any_value(by_rarity) AS by_rarity, min((doc_id, line_no)) AS first FROM sets GROUP BY words, n
+        ), prefixes AS (
+            SELECT first, words, n, unnest(by_rarity[:n - CAST(ceil(n * 4 / 5) AS BIGINT) + 1]) AS word FROM classes
+        ), near AS (
+            SELECT DISTINCT b.words FROM prefixes a JOIN prefixes b ON a.word = b.word AND a.first < b.first
+             AND least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4
+            WHERE len(list_intersect(a.words, b.words)) * 9 >= (a.n + b.n) * 4
+        ), lost AS (
+            SELECT s.doc_id, s.line_no FROM sets s JOIN classes c ON s.words = c.words
+            WHERE (s.doc_id, s.line_no) <> c.first OR s.words IN (SELECT words FROM near)
+        ), kept AS (
+            SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (x.line_no IS NULL) AS text,
+                   list(x.line_no ORDER BY x.line_no) FILTER (x.line_no IS NOT NULL) AS removed
+            FROM lines l LEFT JOIN lost x ON l.doc_id = x.doc_id AND l.line_no = x.line_no GROUP BY l.doc_id
+        )
+        SELECT d.doc_id, CASE WHEN removed IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text,
+               CAST(coalesce(removed, []) AS INT[]) AS removed_lines
+        FROM documents d JOIN kept k USING (doc_id)
+    """,
     "op1_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
         SELECT doc_id,
