@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyward.llm.decontaminate import contaminated
 from tallyward.llm.exact_dedup import exact_duplicates
+from tallyward.llm.html_text import extract_text
 from tallyward.llm.line_dedup import dedup_lines
 from tallyward.llm.simhash import near_duplicates
 from tallyward.llm.toxicity import toxicity
+from tallyward.llm.warc import audit, replicas
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +23,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(*replicas(_table(spark, sf_dir, "pages")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -39,13 +49,35 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_warc_audit": op3_warc_audit,
     "op4_toxicity": op4_toxicity,
+    "op6_html_text": op6_html_text,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
 }
 
 ORACLE = {
+    "op3_warc_audit": """
+        WITH r AS (
+            SELECT page_id, page_id // 1000 AS archive, concat(
+                'WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', page_id, '>', chr(13), chr(10),
+                'WARC-Target-URI: ', url, chr(13), chr(10), 'WARC-Date: 2024-01-01T00:00:00Z', chr(13), chr(10),
+                'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(coalesce(html, '')),
+                chr(13), chr(10), chr(13), chr(10), html) AS head
+            FROM pages
+        ), placed AS (
+            SELECT *, coalesce(sum(strlen(head) + 4) OVER (PARTITION BY archive ORDER BY page_id
+                                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS record_offset
+            FROM r
+        )
+        SELECT archive, CAST(record_offset AS BIGINT) AS record_offset, page_id AS record_id,
+               CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'changed' END AS fault,
+               sha256(concat(head, chr(13), chr(10), chr(13), chr(10))) AS sha256_a,
+               CASE WHEN page_id % 211 <> 5 THEN
+                    sha256(concat(head[:length(head) - 1], '#', chr(13), chr(10), chr(13), chr(10))) END AS sha256_b
+        FROM placed WHERE page_id % 211 = 5 OR page_id % 97 = 13
+    """,
     "op7_line_dedup": """
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
