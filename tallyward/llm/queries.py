@@ -3,11 +3,14 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyward.llm.decontaminate import contaminated
+from tallyward.llm.edit_counts import derived_edits, recount, send_vocabulary, token_trees
 from tallyward.llm.exact_dedup import exact_duplicates
 from tallyward.llm.html_text import extract_text
 from tallyward.llm.line_dedup import dedup_lines
+from tallyward.llm.quality import quality
 from tallyward.llm.simhash import near_duplicates
 from tallyward.llm.toxicity import toxicity
 from tallyward.llm.warc import audit, replicas
@@ -31,6 +34,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
@@ -47,14 +54,26 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after the edits; pretokens are those of the edited text."""
+    vocabulary = send_vocabulary(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = token_trees(docs, vocabulary).withColumn("edits", derived_edits())
+    return recount(trees, vocabulary).select(
+        "doc_id", "tokens_before", "tokens_after", "reencoded", F.size("tokens").alias("pretokens"), F.sha2("text", 256).alias("edited_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_warc_audit": op3_warc_audit,
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_html_text": op6_html_text,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE = {

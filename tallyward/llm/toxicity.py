@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyward.llm.learning import CALIBRATION_FOLD, Logistic, batch_words, bounded, fold, sample, training_labels, with_rows
 from tallyward.session import stage
 
 ORDERS = (2, 3, 4, 5, 6)
@@ -31,35 +31,13 @@ BUCKET_BITS = 18
 DISCOUNT = 0.75
 #: Rows of the calibration fold that the logistic curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
-#: Labelled rows up to which they are sent to the documents instead of the documents to them.
-BROADCAST_LABELS = 1_000_000
 #: Evidence (natural logarithm of the odds) from which on a word is telling.
 TELLING = 3.0
 UNIFORM = 1e-4
-FOLDS = 5
-CALIBRATION_FOLD = 4
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fold() -> Column:
-    """Held out where 0. Depends on doc_id alone and is never an input of a score."""
-    return F.crc32(F.col("doc_id").cast("string")) % FOLDS
-
-
-def batch_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words of a batch, and for each word of each text its place among them and its text."""
-    lists = pc.split_pattern(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), " ")
-    rows = pc.list_parent_indices(lists).to_numpy()
-    parts = pc.ascii_split_whitespace(pc.list_flatten(lists))
-    rows = rows[pc.list_parent_indices(parts).to_numpy()]
-    words = pc.utf8_trim(pc.list_flatten(parts), PUNCTUATION)
-    full = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-    coded = words.filter(pa.array(full)).dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(), rows[full]
-
-
 def _grams(words: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per order, at every character of every word: order, word no., buckets of context and n-gram.
 
@@ -88,7 +66,7 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in bounded(batches):
         words, places, rows = batch_words(batch.column("text"))
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[rows]
         for y in (0, 1):
@@ -183,55 +161,27 @@ def _features(texts: pa.Array, models: KneserNey) -> np.ndarray:
     return np.column_stack([np.bincount(rows, evidence, len(texts)) / n, most, telling])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means and scales of the columns, and weights with the intercept last, by Newton's method."""
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return mean, scale, w
-
-
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows outside the held-out fold: text, toxic, fold. Of several labels the toxic one counts."""
-    labelled = labels.where("toxic IN (0, 1)").where(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = stage(labelled, "toxicity-labels")
-    if labelled.count() <= BROADCAST_LABELS:  # about 20 bytes each; beyond that the join shuffles
-        labelled = F.broadcast(labelled)
-    texts = docs.select("doc_id", "text").join(labelled, "doc_id")
-    return texts.select("text", "toxic", fold().alias("fold"))
-
-
 def toxicity_scorer(docs: DataFrame, labels: DataFrame):
     """Fit on labelled rows of docs; returns a function from an Arrow array of texts to scores."""
-    rows = training_rows(docs, labels)
-    counted = rows.where(F.col("fold") != CALIBRATION_FOLD).select("text", "toxic")
-    words = counted.mapInArrow(_count_words, "word STRING, toxic INT, n BIGINT")
+    known, texts = training_labels(labels, "toxic"), docs.select("doc_id", "text")
+    counted = with_rows(texts, known.where(F.col("fold") != CALIBRATION_FOLD).select("doc_id", F.col("label").alias("toxic")))
+    words = counted.select("text", "toxic").mapInArrow(_count_words, "word STRING, toxic INT, n BIGINT")
     models = fit_models(words.groupBy("word", "toxic").agg(F.sum("n").alias("n")))
     model = docs.sparkSession.sparkContext.broadcast(models)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             x = _features(batch.column("text"), model.value)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [batch.column("toxic")], names=["a", "b", "c", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [batch.column("label")], names=["a", "b", "c", "label"])
 
-    held = rows.where(F.col("fold") == CALIBRATION_FOLD).orderBy(F.xxhash64("text"), "toxic").limit(CALIBRATION_ROWS)
-    measured = held.mapInArrow(measure, "a DOUBLE, b DOUBLE, c DOUBLE, toxic INT").toArrow()
+    held = with_rows(texts, sample(known.where(F.col("fold") == CALIBRATION_FOLD).select("doc_id", "label"), CALIBRATION_ROWS))
+    measured = held.select("text", "label").mapInArrow(measure, "a DOUBLE, b DOUBLE, c DOUBLE, label INT").toArrow()
     x = np.column_stack([measured.column(c).to_numpy() for c in "abc"])
-    y = measured.column("toxic").to_numpy()
-    curve = fit_logistic(x, y) if 0 < y.sum() < len(y) else None
+    y = measured.column("label").to_numpy()
+    curve = Logistic(x, y) if 0 < y.sum() < len(y) else None
 
     def score(texts: pa.Array) -> np.ndarray:
-        if curve is None:
-            return np.zeros(len(texts))
-        mean, scale, w = curve
-        z = (_features(texts, model.value) - mean) / scale
-        return 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
+        return np.zeros(len(texts)) if curve is None else curve.score(_features(texts, model.value))
 
     return score
 
@@ -248,7 +198,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = toxicity_scorer(docs, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch.column("text")))], names=["doc_id", "score"])
 
     rows = docs.select("doc_id", "text").mapInArrow(scored, "doc_id BIGINT, score DOUBLE")
@@ -260,7 +210,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = toxicity_scorer(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches):
             yield batch.filter(pa.array(score(batch.column("text")) < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
