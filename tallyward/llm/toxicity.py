@@ -1,6 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class (toxic, ordinary) has a character model over words, with orders up to six. A word's
+Each class (toxic, ordinary) has a character model over words, with orders up to five. A word's
 probability is interpolated Kneser-Ney: absolute discounting at each order, occurrences at the highest
 order, continuation counts (distinct longer n-grams that end in it) below. The lowest orders are shared: both
 classes back off to one pooled model, so an expression that neither class has seen tells nothing, and a rare
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tallyward.llm.learning import CALIBRATION_FOLD, Logistic, batch_words, bounded, fold, sample, training_labels, with_rows
 from tallyward.session import stage
 
-ORDERS = (2, 3, 4, 5, 6)
+ORDERS = (2, 3, 4, 5)
 #: Orders up to this one are pooled over the classes.
 SHARED_ORDER = 3
 BUCKET_BITS = 18
@@ -34,6 +34,8 @@ CALIBRATION_ROWS = 20_000
 #: Evidence (natural logarithm of the odds) from which on a word is telling.
 TELLING = 3.0
 UNIFORM = 1e-4
+#: Words whose n-grams a task combines before they are shuffled.
+WORDS_AT_A_TIME = 200_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,24 +79,31 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of each batch with their shorter n-gram and their occurrences."""
+    """Distinct n-grams of WORDS_AT_A_TIME words with their shorter n-gram and their occurrences."""
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
-        toxic, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("toxic", "n"))
-        shorter = None
-        for order, word_no, context, gram in _grams(batch.column("word")):
-            whole = (toxic[word_no] << 2 * BUCKET_BITS) | (context << BUCKET_BITS) | gram
-            if shorter is not None:
-                pairs = np.stack([whole, shorter])
-                rank = np.lexsort(pairs)
-                pairs, times = pairs[:, rank], n[word_no][rank]
-                new = np.flatnonzero(np.concatenate(([True], np.any(pairs[:, 1:] != pairs[:, :-1], axis=0)))[: len(rank)])
-                if len(new):
-                    of_order = pa.array(np.full(len(new), order, np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [of_order, *(pa.array(p[new]) for p in pairs), pa.array(np.add.reduceat(times, new))],
-                        names=["n_order", "gram", "shorter", "n"],
-                    )
-            shorter = whole
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) >= WORDS_AT_A_TIME:
+            yield from _grams_of(pa.Table.from_batches(waiting))
+            waiting = []
+    if waiting:
+        yield from _grams_of(pa.Table.from_batches(waiting))
+
+
+def _grams_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    toxic, n = (table.column(c).to_numpy().astype(np.int64) for c in ("toxic", "n"))
+    shorter = None
+    for order, word_no, context, gram in _grams(table.column("word")):
+        whole = (toxic[word_no] << 2 * BUCKET_BITS) | (context << BUCKET_BITS) | gram
+        if shorter is not None and len(whole):
+            rank = np.lexsort((shorter, whole))
+            pairs, times = (whole[rank], shorter[rank]), n[word_no][rank]
+            new = np.flatnonzero(np.concatenate(([True], (pairs[0][1:] != pairs[0][:-1]) | (pairs[1][1:] != pairs[1][:-1]))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(new), order, np.int32)), *(pa.array(p[new]) for p in pairs), pa.array(np.add.reduceat(times, new))],
+                names=["n_order", "gram", "shorter", "n"],
+            )
+        shorter = whole
 
 
 @dataclass
