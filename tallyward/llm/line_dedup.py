@@ -9,10 +9,13 @@ documents) has a Jaccard similarity of at least 0.8 with it.
 2. Lines with the same words form a class (a map-side combined minimum finds its first line), so copies
    never meet in a join, however many there are.
 3. Prefix filter: two classes can only match if they share one of their rarest n - ceil(0.8 n) + 1 words.
-   Words in the prefix of a single class are dropped before the join.
-4. Length filter, and positional filter: from the places of the shared word, enough words must be left to
-   reach the needed overlap.
-5. Candidates are verified on their words, read again for candidate lines only.
+4. Length filter; positional filter: from the places of the shared word, enough words must be left to reach
+   the needed overlap; and a 64-bit map of each class's words bounds the difference of two sets.
+5. It is enough to know one earlier match. So a class is first compared with the leader of each of its prefix
+   words, the earliest class that has it, which takes one candidate per prefix word even among thousands of
+   variants of a line. Only classes that do not resemble the leader are compared with all others of the word.
+   A class whose leaders all fail verification is compared with all others in a second round.
+6. Candidates are verified on their words, read again for candidate lines only.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -24,121 +27,168 @@ from tallyward.session import stage
 #: Jaccard similarity as a fraction, kept in integers so that both sides of 0.8 are exact.
 NEED, OF = 4, 5
 BUCKETS = 1 << 15
-HASH_BITS = 55
-#: Candidate lines up to which their positions are sent to the documents (about 40 bytes each); beyond that the
-#: join shuffles.
-BROADCAST_LINES = 1_000_000
+HASH_BITS = 27
+#: Rows up to which positions of lines, or lists of lost lines, are sent to the documents (about 60 bytes each); beyond
+#: that the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 POSITION = ("doc_id", "row_key", "line_no")
+CLASS = ("set_hash", "set_check")
 
 
 def line_words(line: Column) -> Column:
     """Words in lower case, in the order of the line."""
-    return F.array_remove(F.split(F.lower(line), r"\s+"), "")
-
-
-def _with_keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, line_no, line: one row per line; rows with the same doc_id and text are one document."""
-    return _with_keys(docs).select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    return keyed.select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def rarity(docs: DataFrame) -> Column:
     """Array of BUCKETS steps: how common the words of a bucket are, on a logarithmic scale."""
-    words = docs.select(F.explode(line_words(F.col("text"))).alias("word"))
-    counts = words.groupBy(_bucket(F.col("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(line_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
+    bucket = F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int")
+    counts = words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     steps = [0] * BUCKETS
-    for bucket, step in counts.select("bucket", F.floor(4 * F.log2("n"))).collect():  # at most BUCKETS rows
-        steps[bucket] = step
+    most = (1 << (32 - HASH_BITS)) - 1
+    for at, step in counts.select("bucket", F.floor(F.log2("n"))).collect():  # at most BUCKETS rows
+        steps[at] = min(step, most)
     return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<int>")
 
 
-def _ordered_words(line: Column, rare: Column) -> Column:
-    """Distinct words of a line as numbers, rarest first."""
+def _by_rarity(hashes: Column, rare: Column) -> Column:
+    """Word hashes in the order (how common, hash), as numbers of 32 bits."""
+
+    def number(h: Column) -> Column:
+        step = F.get(rare, h.bitwiseAND(BUCKETS - 1).cast("int"))
+        # The sign bit is turned, so that signed numbers sort by the step in their highest bits.
+        unsigned = F.shiftleft(step, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS).cast("int"))
+        return unsigned.bitwiseXOR(F.lit(-(1 << 31)))
+
+    return F.sort_array(F.transform(hashes, number))
 
-    def number(word: Column) -> Column:
-        step = F.get(rare, _bucket(word)).cast("long")
-        return F.shiftleft(step, HASH_BITS).bitwiseOR(F.xxhash64(word).bitwiseAND((1 << HASH_BITS) - 1))
 
-    return F.sort_array(F.array_distinct(F.transform(line_words(line), number)))
+def _bits(hashes: Column) -> Column:
+    def add(bits: Column, h: Column) -> Column:
+        place = F.shiftrightunsigned(h, 20).bitwiseAND(63).cast("int")
+        return bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+
+    return F.aggregate(hashes, F.lit(0).cast("long"), add)
 
 
 def line_sets(docs: DataFrame, rare: Column) -> DataFrame:
-    """Position, set_hash and set_check (together 128 bits), n (distinct words) and prefix of each line."""
-    numbered = lines_of(docs).select(*POSITION, _ordered_words(F.col("line"), rare).alias("words"))
-    n = F.size("words")
-    prefix_length = F.expr(f"size(words) - (size(words) * {NEED} + {OF - 1}) div {OF} + 1").cast("int")
-    sets = numbered.where(n > 0).select(
+    """Per line with a word: position, class (set_hash and set_check, 96 bits), n (distinct words), prefix
+    and bits (a bit for each word, by its hash).
+
+    Prefix words are 32-bit numbers: different words with the same number only add candidates.
+    """
+    hashes = F.sort_array(F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))))
+    hashed = lines_of(docs).select(*POSITION, hashes.alias("hashes")).where(F.size("hashes") > 0)
+    n = F.size("hashes")
+    prefix_length = F.expr(f"size(hashes) - (size(hashes) * {NEED} + {OF - 1}) div {OF} + 1").cast("int")
+    return hashed.select(
         *POSITION,
-        F.xxhash64("words").alias("set_hash"),
-        F.xxhash64(F.lit(1), "words").alias("set_check"),
+        F.xxhash64("hashes").alias("set_hash"),
+        F.hash("hashes").alias("set_check"),
         n.alias("n"),
         # Up to three words, 0.8 needs the same words.
-        F.when(n > 3, F.slice("words", F.lit(1), prefix_length)).alias("prefix"),
+        F.when(n > 3, F.slice(_by_rarity(F.col("hashes"), rare), F.lit(1), prefix_length)).alias("prefix"),
+        F.when(n > 3, _bits(F.col("hashes"))).alias("bits"),
     )
-    return sets
 
 
-def _classes(sets: DataFrame) -> DataFrame:
+def line_classes(sets: DataFrame) -> DataFrame:
+    """One row per class, with the position of its first line."""
     first = F.min(F.struct(*POSITION)).alias("first")
-    return sets.groupBy("set_hash", "set_check", "n", "prefix").agg(first)
+    return sets.groupBy(*CLASS, "n", "prefix", "bits").agg(first).select(*CLASS, "n", "prefix", "bits", "first.*")
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """a, b: set hashes of two classes that pass the prefix, length and positional filters, a < b."""
-    starts = classes.select("set_hash", "n", F.posexplode("prefix").alias("place", "word"))
-    shared = starts.withColumn("classes", F.count(F.lit(1)).over(W.partitionBy("word"))).where("classes > 1")
-    shared = stage(shared.drop("classes"), "line-prefixes")
-    a, b = (shared.select("word", *[F.col(c).alias(f"{c}_{s}") for c in ("set_hash", "n", "place")]) for s in "ab")
-    long_enough = f"least(n_a, n_b) * {OF} >= greatest(n_a, n_b) * {NEED}"
-    # Overlap needed: ceil(t / (1 + t) * (n_a + n_b)); this word and what follows it on both sides can give it.
-    in_place = f"least(n_a - place_a, n_b - place_b) * {NEED + OF} >= (n_a + n_b) * {NEED}"
-    pairs = a.join(b, "word")
-    pairs = pairs.where("set_hash_a < set_hash_b").where(long_enough).where(in_place)
-    return pairs.select(F.col("set_hash_a").alias("a"), F.col("set_hash_b").alias("b")).distinct()
+def _alike(a: str, b: str) -> Column:
+    """Length filter, and the map of words: |A - B| + |B - A| can be at most (n_a + n_b) / 9 at 0.8."""
+    n_a, n_b = f"{a}n", f"{b}n"
+    sizes = f"least({n_a}, {n_b}) * {OF} >= greatest({n_a}, {n_b}) * {NEED}"
+    return F.expr(f"{sizes} AND bit_count({a}bits ^ {b}bits) * {NEED + OF} <= ({n_a} + {n_b}) * {OF - NEED}")
 
 
-def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """set_hash and set_check of classes that match another class with an earlier first line."""
-    pairs = stage(candidate_pairs(classes), "line-candidates")
+def _starts(classes: DataFrame, prefix: str = "") -> DataFrame:
+    """word, and set_hash, n, bits, doc and place of each class that has it in its prefix."""
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))  # without id comes first
+    rows = classes.where("prefix IS NOT NULL").select("set_hash", "n", "bits", doc.alias("doc"), F.posexplode("prefix").alias("place", "word"))
+    return rows.select("word", *[F.col(c).alias(prefix + c) for c in ("set_hash", "n", "bits", "doc", "place")])
+
+
+def _with_earlier(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs a, b of set hashes that share a prefix word and pass all filters, b not in a later document.
+
+    In place: overlap needed is ceil(t / (1 + t) * (n_a + n_b)); the shared word and what follows it on both sides must
+    be able to give it.
+    """
+    in_place = F.expr(f"least(a_n - a_place, b_n - b_place) * {NEED + OF} >= (a_n + b_n) * {NEED}")
+    pairs = a.join(b, (a["word"] == b["word"]) & (F.col("b_doc") <= F.col("a_doc")) & (F.col("a_set_hash") != F.col("b_set_hash")) & _alike("a_", "b_") & in_place)
+    return pairs.select(F.col("a_set_hash").alias("a"), F.col("b_set_hash").alias("b"))
+
+
+def first_candidates(classes: DataFrame) -> DataFrame:
+    """a, b, by_leader: each class with the leaders it resembles, and, for words whose leader it does not resemble, with
+    all earlier classes that pass the filters."""
+    rows, same_word = _starts(classes, "a_"), W.partitionBy("word")
+    leader = F.min(F.struct(F.col("a_doc").alias("doc"), F.col("a_set_hash").alias("set_hash"), F.col("a_n").alias("n"), F.col("a_bits").alias("bits")))
+    led = rows.withColumn("leader", leader.over(same_word)).where("leader.set_hash <> a_set_hash")
+    like = _alike("a_", "leader.")
+    with_leader = led.where(like).select(F.col("a_set_hash").alias("a"), F.col("leader.set_hash").alias("b"), F.lit(True).alias("by_leader"))
+    with_all = _with_earlier(led.where(~like).drop("leader"), _starts(classes, "b_")).withColumn("by_leader", F.lit(False))
+    return with_leader.unionByName(with_all).groupBy("a", "b").agg(F.bool_or("by_leader").alias("by_leader"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Staged rows, marked to be sent to the other side of a join if there are few enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """set_hash and set_check of classes with a Jaccard similarity of 0.8 to one whose first line is earlier."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
-    wanted = classes.join(named, "set_hash", "left_semi").select("set_hash", "set_check", "first")
-    wanted = stage(wanted.select("set_hash", "set_check", "first.*"), "line-wanted")
-    positions = wanted.withColumn("first", F.struct(*POSITION))
-    if wanted.count() <= BROADCAST_LINES:
-        positions = F.broadcast(positions)
-    lines = lines_of(docs)
-    here = [lines[c].eqNullSafe(positions[c]) for c in POSITION]
-    read = lines.join(positions, here).select("set_hash", "set_check", "first", F.array_distinct(line_words(F.col("line"))).alias("words"))
-    read = stage(read, "line-words")
-    a, b = (read.select([F.col(c).alias(f"{c}_{s}") for c in read.columns]) for s in "ab")
-    both = pairs.join(a, F.col("a") == F.col("set_hash_a")).join(b, F.col("b") == F.col("set_hash_b"))
-    overlap = F.size(F.array_intersect("words_a", "words_b"))
-    union = F.size("words_a") + F.size("words_b") - overlap
-    later_is_a = F.col("first_a") > F.col("first_b")
-    return (
-        both.where(overlap * OF >= union * NEED)
-        .select(*[F.when(later_is_a, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(c) for c in ("set_hash", "set_check")])
-        .distinct()
-    )
+    wanted = stage(classes.select(*CLASS, *POSITION).join(named, "set_hash", "left_semi"), "line-wanted")
+    lines, wanted = lines_of(docs), _small(wanted)
+    here = [lines[c].eqNullSafe(wanted[c]) for c in POSITION]
+    first = F.struct(*[lines[c] for c in POSITION]).alias("first")
+    words = F.array_distinct(line_words(F.col("line"))).alias("words")
+    read = stage(lines.join(wanted, here).select(*CLASS, first, words), "line-words")
+    a, b = (read.select([F.col(c).alias(f"{s}_{c}") for c in read.columns]) for s in "ab")
+    both = pairs.join(a, F.col("a") == F.col("a_set_hash")).join(b, F.col("b") == F.col("b_set_hash"))
+    overlap = F.size(F.array_intersect("a_words", "b_words"))
+    union = F.size("a_words") + F.size("b_words") - overlap
+    later_is_a = F.col("a_first") > F.col("b_first")
+    later = [F.when(later_is_a, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c) for c in CLASS]
+    return both.where(overlap * OF >= union * NEED).select(*later).distinct()
+
+
+def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """set_hash and set_check of classes that match a class with an earlier first line."""
+    pairs = stage(first_candidates(classes), "line-candidates")
+    near = stage(verified(docs, classes, pairs.select("a", "b")), "line-near")
+    # Compared with leaders instead of all others, and not found near.
+    open_classes = pairs.where("by_leader").select(F.col("a").alias("set_hash")).distinct().join(near, "set_hash", "left_anti")
+    again = stage(classes.join(open_classes, "set_hash", "left_semi"), "line-again")
+    if not again.head(1):
+        return near
+    rest = _with_earlier(_small(stage(_starts(again, "a_"), "line-again-words")), _starts(classes, "b_"))
+    rest = stage(rest.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "line-candidates")
+    return near.unionByName(verified(docs, classes, rest)).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, removed: the sorted numbers of removed lines of each document that loses any."""
     sets = stage(line_sets(docs, rarity(docs)), "line-sets")
-    classes = stage(_classes(sets), "line-classes")
+    classes = stage(line_classes(sets), "line-classes")
     near = near_classes(docs, classes).withColumn("near", F.lit(True))
-    judged = classes.select("set_hash", "set_check", "first").join(near, ["set_hash", "set_check"], "left")
-    rows = sets.select(*POSITION, "set_hash", "set_check").join(judged, ["set_hash", "set_check"])
-    later = ~F.struct(*POSITION).eqNullSafe(F.col("first"))
-    lost = rows.where(F.col("near").isNotNull() | later)
+    first = F.struct(*POSITION).alias("first")
+    judged = classes.select(*CLASS, first).join(near, list(CLASS), "left")
+    rows = sets.select(*POSITION, *CLASS).join(judged, list(CLASS))
+    lost = rows.where(F.col("near").isNotNull() | ~F.struct(*POSITION).eqNullSafe(F.col("first")))
     return lost.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
@@ -146,15 +196,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with `text` freed of repeated lines, and removed_lines, the numbers (from 0) of lost lines.
 
     docs needs doc_id and text; other columns stay as they are (a column named removed_lines is replaced).
-    Words are runs without white space, in lower case. Lines without a word stay, and do not match
-    anything. NULL texts stay NULL, empty texts empty; a document may lose all its lines and is then empty.
-    Rows with the same doc_id and text are one document and come out alike. Among rows with the same doc_id
-    and different texts a hash of the text decides which is earlier; rows without doc_id come first. An
-    empty table gives an empty result. Equality of word sets is decided by 128-bit hashes; all other matches
-    by the words.
+    Words are runs between spaces, in lower case. Lines without a word stay, and do not match anything. NULL
+    texts stay NULL, empty texts empty; a document may lose all its lines and is then empty. Rows with the
+    same doc_id and text are one document and come out alike. Among rows with the same doc_id and different
+    texts a hash of the text decides which is earlier; rows without doc_id come first. An empty table gives an
+    empty result. Equality of word sets is decided by 96-bit hashes of them; all other matches by the words.
     """
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lost = removed_lines(source).select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key"), F.col("removed").alias("_removed"))
+    lost = _small(stage(lost, "line-lost"))
     key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     joined = docs.withColumn("_key", key).join(
         lost, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_row_key")), "left"

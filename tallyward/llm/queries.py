@@ -103,7 +103,7 @@ ORACLE = {
                    unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line_no
             FROM documents
         ), words AS (
-            SELECT DISTINCT doc_id, line_no, unnest([w FOR w IN regexp_split_to_array(lower(line), '\\s+') IF w <> '']) AS word FROM lines
+            SELECT DISTINCT doc_id, line_no, unnest([w FOR w IN string_split(lower(line), ' ') IF w <> '']) AS word FROM lines
         ), counted AS (SELECT *, count(*) OVER (PARTITION BY word) AS freq FROM words
         ), placed AS (
             SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY freq, word) AS place,
