@@ -86,7 +86,7 @@ def line_sets(docs: DataFrame, rare: Column) -> DataFrame:
     Prefix words are 32-bit numbers: different words with the same number only add candidates.
     """
     hashes = F.sort_array(F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))))
-    hashed = lines_of(docs).select(*POSITION, hashes.alias("hashes")).where(F.size("hashes") > 0)
+    hashed = lines_of(docs).where(F.trim("line") != "").select(*POSITION, hashes.alias("hashes"))
     n = F.size("hashes")
     prefix_length = F.expr(f"size(hashes) - (size(hashes) * {NEED} + {OF - 1}) div {OF} + 1").cast("int")
     return hashed.select(

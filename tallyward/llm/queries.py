@@ -11,6 +11,7 @@ from tallyward.llm.exact_dedup import exact_duplicates
 from tallyward.llm.html_text import extract_text
 from tallyward.llm.line_dedup import dedup_lines
 from tallyward.llm.quality import quality
+from tallyward.llm.sentencepiece import decode, encode, load_pieces
 from tallyward.llm.simhash import near_duplicates
 from tallyward.llm.toxicity import toxicity
 from tallyward.llm.warc import audit, replicas
@@ -26,6 +27,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding gives the text back."""
+    pieces = load_pieces()
+    decoded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), pieces), pieces)
+    same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
+    return decoded.select("doc_id", "ids", "n_tokens", same.alias("round_trip"))
+
+
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(*replicas(_table(spark, sf_dir, "pages")))
 
@@ -66,6 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_warc_audit": op3_warc_audit,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
