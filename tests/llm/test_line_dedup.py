@@ -1,0 +1,80 @@
+import random
+from itertools import combinations
+
+import pytest
+
+from tallyward.llm import line_dedup
+
+
+def brute_force(cases):
+    """Texts and lost lines by comparing every line with every earlier one."""
+    lines = [(i, n, frozenset(w for w in line.lower().split(" ") if w)) for i, t in sorted(cases) for n, line in enumerate((t or "").split("\n"))]
+    lost = set()
+    for (i, n, a), (j, m, b) in combinations(lines, 2):
+        if a and b and len(a & b) * 5 >= len(a | b) * 4:
+            lost.add((j, m))
+    out = {}
+    for i, t in cases:
+        gone = sorted(n for j, n in lost if j == i)
+        kept = "\n".join(line for n, line in enumerate((t or "").split("\n")) if n not in gone)
+        out[i] = (kept if gone else t, gone)
+    return out
+
+
+def result(df):
+    return {r.doc_id: (r.text, r.removed_lines) for r in df.collect()}
+
+
+def similar_lines(seed, lines=120):
+    """Variants of a few lines, short and long, with words taken out, put in or repeated."""
+    rnd = random.Random(seed)
+    base = [[rnd.choice("abcdefghijklmnopqrstuvwxyz") * rnd.randint(1, 3) for _ in range(rnd.choice([1, 3, 4, 5, 9, 20, 60]))] for _ in range(12)]
+    out = []
+    for _ in range(lines):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 0, 1, 1, 2, 4])):
+            if words and rnd.random() < 0.5:
+                words.pop(rnd.randrange(len(words)))
+            else:
+                words.insert(rnd.randint(0, len(words)), f"w{rnd.randrange(50)}")
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_all_pairs(docs, seed):
+    lines, rnd = similar_lines(seed), random.Random(seed)
+    cases = [(i, "\n".join(rnd.choices(lines, k=6))) for i in range(25)]
+    assert result(line_dedup.dedup_lines(docs(cases))) == brute_force(cases)
+
+
+def test_variants_of_one_line(docs):
+    """A leader that resembles only some of many variants; the joins that shuffle instead of broadcast."""
+    words = [f"w{i}" for i in range(10)]
+    cases = [(i, " ".join(words[: i % 10] + [f"x{i}"] + words[i % 10 + 1 :])) for i in range(40)] + [(50, " ".join(words))]
+    assert result(line_dedup.dedup_lines(docs(cases))) == brute_force(cases)
+
+
+def test_joins_without_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    cases = [(i, line) for i, line in enumerate(similar_lines(9, 40))]
+    assert result(line_dedup.dedup_lines(docs(cases))) == brute_force(cases)
+
+
+def test_edges(docs):
+    cases = [(1, None), (2, ""), (3, "\n \n"), (4, "same line here\n\nsame line here"), (5, "Same LINE here"), (6, "w " * 50_000), (7, "w")]
+    table = docs(cases)
+    got = line_dedup.dedup_lines(table)
+    assert got.columns == [*table.columns, "removed_lines"]
+    assert result(got) == brute_force(cases)
+    assert line_dedup.dedup_lines(docs([])).count() == 0
+
+
+def test_rows_without_id_and_repeated_rows(docs):
+    got = line_dedup.dedup_lines(docs([(2, "one two three\nfour"), (2, "one two three\nfour"), (None, "four"), (3, "One two three")]))
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("2", "one two three"), ("2", "one two three"), ("3", ""), ("None", "four")]
+
+
+def test_native(docs):
+    plan = line_dedup.dedup_lines(docs([(1, "a b c d e"), (2, "a b c d f")]))._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
