@@ -34,11 +34,11 @@ from tallyward.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Frequent words whose ids are sent to all tasks (some 60 bytes each in a worker).
-WORDS = 1 << 19
+#: Frequent words whose ids are sent to all tasks (some 200 bytes each in a worker).
+WORDS = 1 << 17
 LATTICE_CHARS = 48
 #: Other words that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 1 << 16
 #: Below every score of a piece: what a character without a piece costs in Viterbi.
 UNKNOWN_PENALTY = 10.0
 
