@@ -10,7 +10,7 @@ documents) has a Jaccard similarity of at least 0.8 with it.
    never meet in a join, however many there are.
 3. Prefix filter: two classes can only match if they share one of their rarest n - ceil(0.8 n) + 1 words.
 4. Length filter; positional filter: from the places of the shared word, enough words must be left to reach
-   the needed overlap; and a 64-bit map of each class's words bounds the difference of two sets.
+   the needed overlap; and 64 parities of each class's words bound the difference of two sets.
 5. It is enough to know one earlier match. So a class is first compared with the leader of each of its prefix
    words, the earliest class that has it, which takes one candidate per prefix word even among thousands of
    variants of a line. Only classes that do not resemble the leader are compared with all others of the word.
@@ -74,14 +74,14 @@ def _by_rarity(hashes: Column, rare: Column) -> Column:
 def _bits(hashes: Column) -> Column:
     def add(bits: Column, h: Column) -> Column:
         place = F.shiftrightunsigned(h, 20).bitwiseAND(63).cast("int")
-        return bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
 
     return F.aggregate(hashes, F.lit(0).cast("long"), add)
 
 
 def line_sets(docs: DataFrame, rare: Column) -> DataFrame:
     """Per line with a word: position, class (set_hash and set_check, 96 bits), n (distinct words), prefix
-    and bits (a bit for each word, by its hash).
+    and bits (64 parities of the words, by their hash: each differing word turns one of them).
 
     Prefix words are 32-bit numbers: different words with the same number only add candidates.
     """
@@ -107,7 +107,7 @@ def line_classes(sets: DataFrame) -> DataFrame:
 
 
 def _alike(a: str, b: str) -> Column:
-    """Length filter, and the map of words: |A - B| + |B - A| can be at most (n_a + n_b) / 9 at 0.8."""
+    """Length filter, and parities: the bits that differ are at most |A - B| + |B - A|, and |A - B| + |B - A| can be at most (n_a + n_b) / 9 at 0.8."""
     n_a, n_b = f"{a}n", f"{b}n"
     sizes = f"least({n_a}, {n_b}) * {OF} >= greatest({n_a}, {n_b}) * {NEED}"
     return F.expr(f"{sizes} AND bit_count({a}bits ^ {b}bits) * {NEED + OF} <= ({n_a} + {n_b}) * {OF - NEED}")
