@@ -125,7 +125,7 @@ def _measured(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     """None without training labels of both classes."""
-    known = training_labels(labels, "quality")
+    docs, known = docs.select("doc_id", *COLUMNS), training_labels(labels, "quality")
     to_fit = with_rows(docs, sample(known.where(F.col("fold") != CALIBRATION_FOLD), LABELLED_ROWS))
     to_calibrate = with_rows(docs, sample(known.where(F.col("fold") == CALIBRATION_FOLD), CALIBRATION_ROWS))
     unlabelled = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
