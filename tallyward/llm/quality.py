@@ -119,8 +119,8 @@ def _measured(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([*x, batch.column("label")], names=["text", "metadata", "label"])
 
     found = rows.select(*COLUMNS, "label").mapInArrow(measure, "text ARRAY<DOUBLE>, metadata ARRAY<DOUBLE>, label INT").toArrow()
-    views = [np.array(found.column(c).to_pylist(), float).reshape(found.num_rows, -1) for c in ("text", "metadata")]
-    return views[0], views[1], found.column("label").to_numpy()
+    text, metadata = (np.array(found.column(c).to_pylist(), float) for c in ("text", "metadata"))
+    return text, metadata, found.column("label").to_numpy()
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
