@@ -120,27 +120,32 @@ def _starts(classes: DataFrame, prefix: str = "") -> DataFrame:
     return rows.select("word", *[F.col(c).alias(prefix + c) for c in ("set_hash", "n", "bits", "doc", "place")])
 
 
-def _with_earlier(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs a, b of set hashes that share a prefix word and pass all filters, b not in a later document.
+def _earlier_and_alike() -> Column:
+    """All filters for rows a and b of a word, b not in a later document.
 
-    In place: overlap needed is ceil(t / (1 + t) * (n_a + n_b)); the shared word and what follows it on both sides must
-    be able to give it.
+    In place: overlap needed is ceil(t / (1 + t) * (n_a + n_b)); the shared word and what follows it on both
+    sides must be able to give it.
     """
     in_place = F.expr(f"least(a_n - a_place, b_n - b_place) * {NEED + OF} >= (a_n + b_n) * {NEED}")
-    pairs = a.join(b, (a["word"] == b["word"]) & (F.col("b_doc") <= F.col("a_doc")) & (F.col("a_set_hash") != F.col("b_set_hash")) & _alike("a_", "b_") & in_place)
-    return pairs.select(F.col("a_set_hash").alias("a"), F.col("b_set_hash").alias("b"))
+    return (F.col("b_doc") <= F.col("a_doc")) & (F.col("a_set_hash") != F.col("b_set_hash")) & _alike("a_", "b_") & in_place
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.col("a_set_hash").alias("a"), F.col("b_set_hash").alias("b"))
 
 
 def first_candidates(classes: DataFrame) -> DataFrame:
     """a, b, by_leader: each class with the leaders it resembles, and, for words whose leader it does not resemble, with
-    all earlier classes that pass the filters."""
-    rows, same_word = _starts(classes, "a_"), W.partitionBy("word")
+    all earlier classes that pass the filters.
+
+    Both sides of the join have the same rows and columns before the leader is added, so Spark deals them by word once.
+    """
+    a, b, same_word = _starts(classes, "a_"), _starts(classes, "b_"), W.partitionBy("word")
     leader = F.min(F.struct(F.col("a_doc").alias("doc"), F.col("a_set_hash").alias("set_hash"), F.col("a_n").alias("n"), F.col("a_bits").alias("bits")))
-    led = rows.withColumn("leader", leader.over(same_word)).where("leader.set_hash <> a_set_hash")
-    like = _alike("a_", "leader.")
-    with_leader = led.where(like).select(F.col("a_set_hash").alias("a"), F.col("leader.set_hash").alias("b"), F.lit(True).alias("by_leader"))
-    with_all = _with_earlier(led.where(~like).drop("leader"), _starts(classes, "b_")).withColumn("by_leader", F.lit(False))
-    return with_leader.unionByName(with_all).groupBy("a", "b").agg(F.bool_or("by_leader").alias("by_leader"))
+    led = a.withColumn("leader", leader.over(same_word)).where("leader.set_hash <> a_set_hash").withColumn("by_leader", _alike("a_", "leader."))
+    chosen = F.when(F.col("by_leader"), F.col("b_set_hash") == F.col("leader.set_hash")).otherwise(_earlier_and_alike())
+    found = led.join(b, (led["word"] == b["word"]) & chosen)
+    return found.groupBy(F.col("a_set_hash").alias("a"), F.col("b_set_hash").alias("b")).agg(F.bool_or("by_leader").alias("by_leader"))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -175,7 +180,8 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     again = stage(classes.join(open_classes, "set_hash", "left_semi"), "line-again")
     if not again.head(1):
         return near
-    rest = _with_earlier(_small(stage(_starts(again, "a_"), "line-again-words")), _starts(classes, "b_"))
+    rows, others = _small(stage(_starts(again, "a_"), "line-again-words")), _starts(classes, "b_")
+    rest = _pairs(others.join(rows, (rows["word"] == others["word"]) & _earlier_and_alike()))
     rest = stage(rest.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "line-candidates")
     return near.unionByName(verified(docs, classes, rest)).distinct()
 
