@@ -110,8 +110,10 @@ def number_arrivals(
     trips: DataFrame, policy: LatenessPolicy, batch_size: int = BATCH_SIZE, path: str | None = None
 ) -> DataFrame:
     """Stream position, batch number and watermark of every trip at its arrival."""
-    given = F.coalesce("event_time", F.raise_error(F.lit("trip without event_time")))
-    scanned = scan_arrivals(trips.withColumn("seen_us", F.unix_micros(given)), path)
+    happened = F.coalesce("event_time", F.raise_error(F.lit("trip without event_time")))
+    arrived = F.coalesce("processing_time", F.raise_error(F.lit("trip without processing_time")))
+    timed = trips.withColumn("processing_time", arrived).withColumn("seen_us", F.unix_micros(happened))
+    scanned = scan_arrivals(timed, path)
     return scanned.withColumn("watermark", watermark(F.col("max_before"), policy)).withColumn(
         "batch_id", F.expr(f"(position - 1) div {int(batch_size)} + 1")
     )

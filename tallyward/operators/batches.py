@@ -1,61 +1,60 @@
 """Micro-batch bookkeeping over a numbered stream: which batch emits a window, batch summaries."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyward.functions.clock import delay_minutes, lateness_seconds, minutes, watermark, window_start
 from tallyward.functions.measures import zero_if_null
-from tallyward.operators.arrival import late_by_watermark, number_arrivals
+from tallyward.operators.arrival import late_by_watermark
 from tallyward.operators.closing import window_closers
 from tallyward.operators.counts import both_clocks, closed_counts, event_time_windows, processing_time_windows
-from tallyward.policy import BATCH_SIZE, CLOSERS_PER_ARRIVAL_WINDOW, LATE_EXAMPLES, LatenessPolicy
-from tallyward.session import stage
+from tallyward.policy import BATCH_SIZE, LATE_EXAMPLES, LatenessPolicy
 from tallyward.sources.trips import ARRIVAL
 
 TOTAL = "TOTAL"
 
 
-def closer_positions(
-    trips: DataFrame, closers: DataFrame, policy: LatenessPolicy, longest: int = CLOSERS_PER_ARRIVAL_WINDOW
-) -> DataFrame:
+def _slot_counter(closers: pa.Table):
+    """Count the trips of each batch by the number of closers that arrived before them."""
+    closer_time, closer_seq = (closers.column(c).to_numpy() for c in ("time_us", "seq"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            time, seq = (batch.column(c).to_numpy() for c in ("time_us", "seq"))
+            # Trips stand before closers, so that a closer, itself a trip, is the last one of its slot.
+            order = np.lexsort((np.concatenate([seq, closer_seq]), np.concatenate([time, closer_time])))
+            is_closer = order >= len(time)
+            counts = np.bincount(np.cumsum(is_closer)[~is_closer], minlength=len(closer_time) + 1)
+            slots = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "trips"])
+
+    return count
+
+
+def closer_positions(trips: DataFrame, closers: DataFrame) -> DataFrame:
     """Stream position of every closer: closer_time, closer_seq, position.
 
-    Only these few positions are needed, so the trips are counted, not sorted: each trip falls into a
-    slot between the closers of its arrival window, slots are counted with a map-side combine, and
-    counts are added up along the stream (one row per arrival window and per closer). In a stream
-    that follows the clock an arrival window holds one or two closers. Where a bulk load puts
-    many into one, looking through them for each trip would cost more than the full numbering, which
-    is then used instead.
+    Only these few positions are needed, so the trips are counted, not sorted: each falls into a slot
+    between two closers, and slots are counted with a map-side combine and added up along the stream.
+    There is at most one closer per distinct window and clock (35,040 windows a year), so the closers
+    themselves can go to every task, and the ordered sum sees one row per closer.
     """
     time, seq = ARRIVAL
     points = closers.where(F.col("closer_time").isNotNull()).select(
-        window_start(F.col("closer_time"), policy).alias("arrival_window"),
-        F.struct(F.col("closer_time").alias("time"), F.col("closer_seq").alias("seq")).alias("closer"),
-    )
-    # At most one closer per distinct window, so even all of them in one array stay small.
-    per_window = stage(
-        points.groupBy("arrival_window").agg(F.sort_array(F.collect_set("closer")).alias("closers")), "closer-slots"
+        F.unix_micros("closer_time").alias("time_us"), F.col("closer_seq").alias("seq")
     )
-    most = per_window.agg(F.max(F.size("closers"))).first()[0]
-    if most is not None and most > longest:
-        numbered = number_arrivals(trips.select("event_time", time, seq), policy)
-        return numbered.select(F.col(time).alias("closer_time"), F.col(seq).alias("closer_seq"), "position")
-
-    arrival = F.struct(F.col(time).alias("time"), F.col(seq).alias("seq"))
-    earlier_closers = F.size(F.filter("closers", lambda closer: closer < arrival))
-    slots = (
-        trips.select(window_start(F.col(time), policy).alias("arrival_window"), time, seq)
-        .join(per_window, "arrival_window", "left")
-        .groupBy("arrival_window", F.when(F.col("closers").isNull(), 0).otherwise(earlier_closers).alias("slot"))
-        .agg(F.count(F.lit(1)).alias("trips"))
-    )
-    upto = slots.withColumn("position", F.sum("trips").over(W.orderBy("arrival_window", "slot")))
-    # The closer itself is a trip, and the last one of its slot.
-    return (
-        per_window.select("arrival_window", F.posexplode("closers").alias("slot", "closer"))
-        .join(upto, ["arrival_window", "slot"])
-        .select(F.col("closer.time").alias("closer_time"), F.col("closer.seq").alias("closer_seq"), "position")
+    points = points.distinct().orderBy("time_us", "seq").toArrow()
+    numbered = trips.sparkSession.createDataFrame(points.append_column("slot", pa.array(range(len(points)), pa.int64())))
+    rows = trips.select(F.unix_micros(time).alias("time_us"), F.col(seq).alias("seq"))
+    slots = rows.mapInArrow(_slot_counter(points), "slot BIGINT, trips BIGINT").groupBy("slot").agg(F.sum("trips").alias("trips"))
+    upto = slots.withColumn("position", F.sum("trips").over(W.orderBy("slot")))
+    return numbered.join(upto, "slot").select(
+        F.timestamp_micros("time_us").alias("closer_time"), F.col("seq").alias("closer_seq"), "position"
     )
 
 
@@ -66,7 +65,7 @@ def emitted_windows(trips: DataFrame, policy: LatenessPolicy, batch_size: int =
     arrival_closers = window_closers(trips, policy, clock="processing_time", final_after=policy.window_minutes)
     closers = both_clocks(event_closers, arrival_closers)
     batch_id = F.expr(f"(position - 1) div {int(batch_size)} + 1").alias("batch_id")
-    batches = closers.join(closer_positions(trips, closers, policy), ["closer_time", "closer_seq"]).select(
+    batches = closers.join(closer_positions(trips, closers), ["closer_time", "closer_seq"]).select(
         "clock", "window_start", batch_id
     )
     windows = both_clocks(

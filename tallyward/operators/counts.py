@@ -38,9 +38,10 @@ def event_time_windows(trips: DataFrame, policy: LatenessPolicy, closers: DataFr
 
 def processing_time_windows(trips: DataFrame, policy: LatenessPolicy) -> DataFrame:
     """All trips per zone and arrival window, with whether the arrival clock has passed it."""
-    counts = trips.groupBy(
-        "zone", window_start(F.col("processing_time"), policy).alias("window_start")
-    ).agg(F.count(F.lit(1)).alias("trip_count"))
+    arrived = F.coalesce("processing_time", F.raise_error(F.lit("trip without processing_time")))
+    counts = trips.groupBy("zone", window_start(arrived, policy).alias("window_start")).agg(
+        F.count(F.lit(1)).alias("trip_count")
+    )
     passed = F.col("window_start") + minutes(policy.window_minutes) <= newest(trips, "processing_time")
     return counts.withColumn("closed", passed)
 

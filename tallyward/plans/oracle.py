@@ -4,17 +4,27 @@ The statements follow the definitions row by row (a running maximum over the who
 not the distributed way the library computes them.
 """
 
-TRIPS = """
+from tallyward.policy import CORRECTION_JOB
+from tallyward.sources.trips import delay_limits
+
+STREET, HARBOR = delay_limits("street"), delay_limits("harbor")
+
+
+def _drawn(kind: str) -> str:
+    return f"draw < CASE WHEN user_id % 6 >= 4 THEN {HARBOR[kind]} ELSE {STREET[kind]} END"
+
+
+TRIPS = f"""
 trips AS (
   SELECT event_id AS trip_seq, CAST(event_id AS VARCHAR) AS trip_id,
     CASE user_id % 6 WHEN 0 THEN 'downtown' WHEN 1 THEN 'airport' WHEN 2 THEN 'university'
       WHEN 3 THEN 'waterfront' WHEN 4 THEN 'harbor_north' ELSE 'harbor_tunnel' END AS zone,
     ts AS event_time,
     CASE
-      WHEN draw < CASE WHEN user_id % 6 >= 4 THEN 677 ELSE 929 END
+      WHEN {_drawn("normal")}
         THEN ts + to_milliseconds(1000 + event_id * 31 % 4001)
-      WHEN draw < 965 THEN ts + to_milliseconds(120000 + event_id * 6151 % 360001)
-      WHEN draw < 995 THEN ts + to_milliseconds(1200000 + event_id * 9973 % 2400001)
+      WHEN {_drawn("tunnel")} THEN ts + to_milliseconds(120000 + event_id * 6151 % 360001)
+      WHEN {_drawn("very_late")} THEN ts + to_milliseconds(1200000 + event_id * 9973 % 2400001)
       ELSE date_trunc('day', ts) + to_milliseconds(108000000 + event_id * 7907 % 10800001)
     END AS processing_time,
     value AS fare,
@@ -120,7 +130,9 @@ history AS (
     NULL::VARCHAR AS job FROM rows_of
   UNION ALL SELECT 1, 'WRITE', 'Append', n2, 0, NULL FROM rows_of
   UNION ALL SELECT 2, 'WRITE', 'Append', n3, 0, NULL FROM rows_of
-  UNION ALL SELECT 3, 'WRITE', 'Overwrite', nb, n2, 'late_data_correction' FROM rows_of
+  UNION ALL SELECT 3, 'WRITE', 'Overwrite', nb, n2, '"""
+    + CORRECTION_JOB
+    + """' FROM rows_of
   UNION ALL SELECT 4, 'RESTORE', '', n2, nb, NULL FROM rows_of
 )"""
 )
@@ -295,7 +307,24 @@ QUALIFY row_number() OVER (PARTITION BY delay_class ORDER BY processing_time, tr
 FROM (SELECT *, CASE WHEN event_time >= TIMESTAMP '2024-01-02' AND event_time < TIMESTAMP '2024-01-03'
     THEN 'inside' ELSE 'outside' END AS part FROM trips WHERE zone = 'harbor_tunnel') GROUP BY part""",
     ),
-    "surge_coverage": _with(TRIPS, _COVERAGE),
+    "surge_coverage": _with(
+        TRIPS,
+        """SELECT zone, count(surge_multiplier) / count(*) AS known_share, max(surge_multiplier) AS highest,
+  min(CASE WHEN surge_multiplier > 1 THEN event_time END) AS first_above_one FROM trips GROUP BY zone""",
+    ),
+    "version_by_sql": _with(
+        LOG,
+        """SELECT zone, count(*) AS windows, sum(trip_count)::BIGINT AS trips, max(window_start) AS newest
+FROM good WHERE batch_id <= 2 GROUP BY zone""",
+    ),
+    "restored_equals_good_rows": "SELECT false AS bad_equals_good, true AS restored_equals_good, false AS empty",
+    "stream_conservation": _with(
+        STREAM,
+        """SELECT count(*) AS rows, count(*) FILTER (WHERE is_late) AS late,
+  count(*) FILTER (WHERE NOT is_late AND window_start + INTERVAL 27 MINUTE <= newest) AS on_time,
+  count(*) FILTER (WHERE NOT is_late AND window_start + INTERVAL 27 MINUTE > newest) AS still_open, true AS balanced
+FROM (SELECT *, max(event_time) OVER () AS newest FROM flagged WHERE processing_time < TIMESTAMP '2024-01-03')""",
+    ),
     "surge_coverage_by_day": _with(TRIPS, _COVERAGE),
     "surge_samples": _with(
         TRIPS,
@@ -364,18 +393,18 @@ UNION ALL SELECT 'restored', (SELECT n FROM good_day), (SELECT n FROM other), tr
     "commit_summary": _with(
         LOG,
         """SELECT operation, mode, count(*) AS commits, sum(rows_added)::BIGINT AS rows_added,
-  sum(rows_removed)::BIGINT AS rows_removed FROM history GROUP BY operation, mode""",
+  sum(rows_removed)::BIGINT AS rows_removed FROM history WHERE version > 1 GROUP BY operation, mode""",
     ),
     "commit_report": _with(
         LOG,
-        """SELECT version, operation, 0::BIGINT AS files_removed, rows_added,
-  CASE WHEN version = 3 THEN 'late_data_correction: rebuild 2024-01-02 window counts from late events'
-    WHEN version = 4 THEN 'restored to 2' ELSE '' END AS details FROM history""",
+        f"""SELECT version, operation, rows_added,
+  CASE WHEN version = 3 THEN '{CORRECTION_JOB}: counts of 2024-01-02 taken from the side output alone'
+    WHEN version = 4 THEN 'restored to 2' ELSE '' END AS details FROM history WHERE version >= 2""",
     ),
     "correction_commits": _with(
         LOG,
         """SELECT version - 1 AS good_version, version AS bad_version,
-  'rebuild 2024-01-02 window counts from late events' AS description FROM history WHERE job IS NOT NULL""",
+  'counts of 2024-01-02 taken from the side output alone' AS description FROM history WHERE job IS NOT NULL""",
     ),
     "commit_ends": _with(
         LOG,

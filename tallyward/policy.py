@@ -23,14 +23,11 @@ TUNNEL_DELAY_SECONDS = (120, 480)
 VERY_LATE_DELAY_SECONDS = (1200, 3600)
 NEXT_MORNING_HOURS = (6, 9)
 
-CORRECTION_JOB = "late_data_correction"
+CORRECTION_JOB = "rebuild-day-from-late"
 
 # Copies of one row that a task writes at a time.
 COPIES_PER_STEP = 10_000
 
-# Closers of one arrival window that each trip is compared with before all trips are numbered instead.
-CLOSERS_PER_ARRIVAL_WINDOW = 32
-
 
 @dataclass(frozen=True)
 class LatenessPolicy:

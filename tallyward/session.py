@@ -1,6 +1,5 @@
 """Session settings and staged tables in the shared checkpoint folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,15 +30,11 @@ def get_session(app_name: str = "tallyward", **settings) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; a temporary one only when Spark itself is local."""
+    """Folder every executor can reach: the cluster's checkpoint folder, else one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="tallyward-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staged"
 
 
 def new_dir(spark: SparkSession, label: str) -> str:

@@ -1,6 +1,8 @@
 """Trips as an arrival stream: the JSON-lines form and a view over the `events` table."""
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.policy import ZONES
@@ -17,6 +19,18 @@ OPTIONAL_COLUMNS = ("surge_multiplier",)
 # Only what the view needs; the time is declared zoned because the pipeline works in UTC instants.
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, value DOUBLE"
 
+# Delay classes of the view, trips of a thousand: made up for this fixture, enough of each class to be seen.
+DELAY_SHARES = {
+    "street": {"normal": 900, "tunnel": 50, "very_late": 40, "next_morning": 10},
+    "harbor": {"normal": 640, "tunnel": 310, "very_late": 40, "next_morning": 10},
+}
+
+
+def delay_limits(kind: str) -> dict[str, int]:
+    """The draw (0 to 999) below which a trip is in a class or one before it."""
+    return dict(zip(DELAY_SHARES[kind], accumulate(DELAY_SHARES[kind].values())))
+
+
 # First day on which phones of the view send surge_multiplier.
 SURGE_FROM = "2024-01-16"
 
@@ -28,12 +42,16 @@ def trips_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone_no = F.col("user_id") % 6
     zone = F.element_at(F.array(*map(F.lit, ZONES)), (zone_no + 1).cast("int"))
     draw = (event_id * 7919 + 104729) % 1000
-    normal_below = F.when(zone_no >= ZONES.index("harbor_north"), 677).otherwise(929)
-    base = F.unix_micros(F.when(draw >= 995, F.date_trunc("day", ts)).otherwise(ts))
+    street, harbor = delay_limits("street"), delay_limits("harbor")
+
+    def drawn(kind: str) -> Column:
+        return draw < F.when(zone_no >= ZONES.index("harbor_north"), harbor[kind]).otherwise(street[kind])
+
+    base = F.unix_micros(F.when(drawn("very_late"), ts).otherwise(F.date_trunc("day", ts)))
     delay_ms = (
-        F.when(draw < normal_below, 1000 + event_id * 31 % 4001)
-        .when(draw < 965, 120_000 + event_id * 6151 % 360_001)
-        .when(draw < 995, 1_200_000 + event_id * 9973 % 2_400_001)
+        F.when(drawn("normal"), 1000 + event_id * 31 % 4001)
+        .when(drawn("tunnel"), 120_000 + event_id * 6151 % 360_001)
+        .when(drawn("very_late"), 1_200_000 + event_id * 9973 % 2_400_001)
         .otherwise(108_000_000 + event_id * 7907 % 10_800_001)
     )
     surge = F.when(

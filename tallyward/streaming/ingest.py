@@ -5,12 +5,12 @@
     window_state/batch_id=N/    counts still open, or closed by batch N, on both clocks
     zone_counts_event_time/     change log of closed event-time windows
     zone_counts_processing_time/
-    progress/batch_id=N/        clocks and totals after batch N, written last
+    progress/batch_id=N/        clocks, totals and count-table versions after batch N, written last
 
 Batch N reads the state of batch N-1 and overwrites only its own partitions, so a replay of the same
 files rewrites the same rows. Readers ignore batches above the newest one in progress.
 
-Files must land in arrival order: across batches, processing_time must not go back.
+Files must land in arrival order: across batches, (processing_time, trip_seq) must not go back.
 """
 
 from collections.abc import Callable
@@ -36,7 +36,8 @@ LATE_COLUMNS = "window_start TIMESTAMP, window_end TIMESTAMP, watermark TIMESTAM
 STATE_SCHEMA = "clock STRING, zone STRING, window_start TIMESTAMP, trip_count BIGINT, closed BOOLEAN"
 PROGRESS_SCHEMA = (
     "rows BIGINT, total_rows BIGINT, late BIGINT, total_late BIGINT, "
-    "min_processing_us BIGINT, max_event_us BIGINT, max_processing_us BIGINT, trip_columns STRING, late_columns STRING"
+    "min_processing_us BIGINT, max_event_us BIGINT, max_processing_us BIGINT, max_seq BIGINT, "
+    "event_version BIGINT, processing_version BIGINT, trip_columns STRING, late_columns STRING"
 )
 COUNT_TABLES = {"event": "zone_counts_event_time", "processing": "zone_counts_processing_time"}
 
@@ -94,6 +95,8 @@ class CountingStream:
             late_columns = before.late_columns
         max_event = _latest(before and before.max_event_us, stats["max_event_us"])
         max_processing = _latest(before and before.max_processing_us, stats["max_processing_us"])
+        max_seq = stats["newest"].seq if stats["rows"] else before and before.max_seq
+        versions = {clock: before and before[f"{clock}_version"] for clock in COUNT_TABLES}
 
         if stats["rows"]:
             # From here on everything derives from the written partition: columnar, pruned, durable.
@@ -109,6 +112,7 @@ class CountingStream:
             self.after_step("window_state", batch_id)
             for clock, log in self.counts.items():
                 log.append(self._closed_by(clock, batch_id), app_id=APP_ID, batch_id=batch_id)
+                versions[clock] = log.version()
                 self.after_step(COUNT_TABLES[clock], batch_id)
         else:
             self._carry_windows(batch_id)
@@ -122,6 +126,9 @@ class CountingStream:
             min_processing_us=stats["min_processing_us"],
             max_event_us=max_event,
             max_processing_us=max_processing,
+            max_seq=max_seq,
+            event_version=versions["event"],
+            processing_version=versions["processing"],
             trip_columns=trip_columns,
             late_columns=late_columns,
         )
@@ -135,13 +142,16 @@ class CountingStream:
             F.min(F.unix_micros("processing_time")).alias("min_processing_us"),
             F.max(F.unix_micros("processing_time")).alias("max_processing_us"),
             F.max(F.unix_micros("event_time")).alias("max_event_us"),
+            F.min(F.struct(F.unix_micros("processing_time").alias("us"), F.col("trip_seq").alias("seq"))).alias("oldest"),
+            F.max(F.struct(F.unix_micros("processing_time").alias("us"), F.col("trip_seq").alias("seq"))).alias("newest"),
             *[F.count(c).alias(c) for c in OPTIONAL_COLUMNS],
         ).first()
         if stats["untimed"]:
             raise ValueError(f"batch {batch_id}: {stats['untimed']} trips without event_time or processing_time")
-        newest = before and before.max_processing_us
-        if newest is not None and stats["rows"] and stats["min_processing_us"] < newest:
-            raise ValueError(f"batch {batch_id} arrives out of order: processing_time goes back")
+        if before and before.max_processing_us is not None and stats["rows"]:
+            # The whole pair must grow: equal instants over two batches have one order too.
+            if tuple(stats["oldest"]) <= (before.max_processing_us, before.max_seq):
+                raise ValueError(f"batch {batch_id} arrives out of order: (processing_time, trip_seq) goes back")
         return stats
 
     # -- writing ------------------------------------------------------------------------------
@@ -278,8 +288,11 @@ class CountingStream:
         base = T.StructType.fromDDL(f"{TRIP_SCHEMA}, {LATE_COLUMNS}")
         return self._table("late_events", base, "late_columns", upto)
 
-    def zone_counts(self, clock: str = "event") -> DataFrame:
-        return self.counts[clock].read()
+    def zone_counts(self, clock: str = "event", upto: int | None = None) -> DataFrame:
+        """Counts of windows closed by finished batches: the table as of the version that progress names."""
+        version = self._progress_row(self.last_batch() if upto is None else upto)[f"{clock}_version"]
+        log = self.counts[clock]
+        return self.spark.createDataFrame([], log.schema) if version is None else log.as_of(version)
 
     def open_windows(self, upto: int | None = None) -> DataFrame:
         last = self.last_batch() if upto is None else upto

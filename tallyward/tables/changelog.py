@@ -35,21 +35,19 @@ _UNSTABLE = re.compile(r"\b(current_\w+|now|curdate|localtimestamp|rand|randn|ra
 
 
 def repeat_rows(df: DataFrame, times: str, step: int = COPIES_PER_STEP) -> DataFrame:
-    """Each row as often as its `times` column says.
+    """Each row as often as its `times` column says; a count below one is an error, as only a damaged log has it.
 
-    A row with very many copies is first cut into steps that are spread over all tasks, so no task
-    writes more than `step` copies of a row.
+    Rows are first cut into steps that are spread over all tasks, so no task writes more than `step` copies
+    of a row at a time.
     """
     columns = [c for c in df.columns if c != times]
-    few = df.where(F.col(times) <= step)
-    many = (
-        df.where(F.col(times) > step)
-        .withColumn("_step", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {step})")))
-        .repartition("_step")
-        .withColumn(times, F.least(F.lit(step).cast("long"), F.col(times) - F.col("_step") * step))
-    )
-    rows = few.select(*columns, times).unionByName(many.select(*columns, times))
-    return rows.withColumn("_copy", F.explode(F.expr(f"sequence(1L, {times})"))).select(*columns)
+    n = F.col(times)
+    sound = df.withColumn(times, F.when(n >= 1, n).otherwise(F.raise_error(F.concat(F.lit("damaged log: a row with net count "), n.cast("string")))))
+    steps = sound.withColumn("_step", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {step})")))
+    dealt = steps.repartition(F.xxhash64(*columns), "_step")
+    left = F.least(F.lit(step).cast("long"), n - F.col("_step") * step)
+    copies = dealt.withColumn(times, left).withColumn("_copy", F.explode(F.expr(f"sequence(1L, {times})")))
+    return copies.select(*columns)
 
 
 class ChangeLog:
@@ -274,7 +272,6 @@ def commit_report(commits: DataFrame) -> DataFrame:
         "operation",
         "mode",
         "files_added",
-        F.lit(0).cast("long").alias("files_removed"),  # a change log only ever adds files
         "rows_added",
         "rows_removed",
         F.coalesce(details, F.lit("")).alias("details"),

@@ -42,7 +42,7 @@ def apply_bad_correction(counts: ChangeLog, late: DataFrame, day_start: str) ->
     bad = counts.replace_where(
         day_predicate(day_start),
         rebuild_from_late(late, day_start),
-        metadata={"job": CORRECTION_JOB, "description": f"rebuild {day_start} window counts from late events"},
+        metadata={"job": CORRECTION_JOB, "description": f"counts of {day_start} taken from the side output alone"},
     )
     return good, bad
 

@@ -158,6 +158,12 @@ def test_many_copies_are_expanded_in_steps(spark):
     assert dict(rows(got)) == {"a": 25, "b": 1, "c": 10}
 
 
+@pytest.mark.parametrize("n", [0, -1])
+def test_a_net_count_below_one_is_refused(spark, n):
+    with pytest.raises(Exception, match="damaged log"):
+        repeat_rows(spark.createDataFrame([("a", n)], "k STRING, n BIGINT"), "n").collect()
+
+
 def test_only_corrected_rows_are_added_up_on_read(spark, log):
     """A read after a correction shuffles the corrected range only; the rest is a plain scan."""
     corrections.apply_bad_correction(log, counts(spark, [("a", 30, 1, 0)]), DAY)

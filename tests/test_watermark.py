@@ -114,13 +114,12 @@ def test_matches_the_row_model_for_every_batch_size(spark, batch_size):
     assert got["processing"] == want["processing"]
 
 
-@pytest.mark.parametrize("longest", [0, 1000])
-def test_closer_positions_counted_or_numbered(spark, longest):
+def test_closer_positions_of_a_bulk_load(spark):
     """A bulk load: trips of ten hours arrive within three minutes, many closers in one arrival window."""
     trips = [trip(i, at("00:00") + i * 3 * MINUTE, at("12:00") + timedelta(seconds=i // 2)) for i in range(200)]
     df = frame(spark, trips)
     closers = window_closers(df, POLICY)
-    found = set(rows(batches.closer_positions(df, closers, POLICY, longest), "closer_seq", "position"))
+    found = set(rows(batches.closer_positions(df, closers), "closer_seq", "position"))
     wanted = {(r[0], expected(trips)["order"].index(r[0]) + 1) for r in rows(closers.where("closer_seq IS NOT NULL"), "closer_seq")}
     assert len(wanted) > 30 and wanted <= found
 
@@ -199,3 +198,11 @@ def test_carried_maximum_makes_the_second_half_like_one_stream(spark):
     assert {r[0] for r in rows(flagged.where("is_late"), "trip_seq")} == want
     out = rows(arrival.late_side_output(df, POLICY, carried_max=carried), "trip_seq", "watermark")
     assert {r[0]: r[1] for r in out} == {s: expected(trips)["late"][s][0] for s in want}
+
+
+def test_trips_without_arrival_are_refused(spark):
+    df = frame(spark, [trip(1, at("10:00"), at("10:00:02")), trip(2, at("10:01"), None)])
+    with pytest.raises(Exception, match="without processing_time"):
+        counts.processing_time_windows(df, POLICY).collect()
+    with pytest.raises(Exception, match="without processing_time"):
+        arrival.number_arrivals(df, POLICY).collect()
