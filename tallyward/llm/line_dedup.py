@@ -113,11 +113,11 @@ def _alike(a: str, b: str) -> Column:
     return F.expr(f"{sizes} AND bit_count({a}bits ^ {b}bits) * {NEED + OF} <= ({n_a} + {n_b}) * {OF - NEED}")
 
 
-def _starts(classes: DataFrame, prefix: str = "") -> DataFrame:
-    """word, and set_hash, n, bits, doc and place of each class that has it in its prefix."""
-    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))  # without id comes first
-    rows = classes.where("prefix IS NOT NULL").select("set_hash", "n", "bits", doc.alias("doc"), F.posexplode("prefix").alias("place", "word"))
-    return rows.select("word", *[F.col(c).alias(prefix + c) for c in ("set_hash", "n", "bits", "doc", "place")])
+def _starts(classes: DataFrame, prefix: str) -> DataFrame:
+    """word, and who (doc, set_hash, n, bits) and place of each class that has it in its prefix."""
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")  # without id comes first
+    rows = classes.where("prefix IS NOT NULL").select(F.struct(doc, "set_hash", "n", "bits").alias("who"), F.posexplode("prefix").alias("place", "word"))
+    return rows.select("word", F.col("who").alias(f"{prefix}_who"), F.col("place").alias(f"{prefix}_place"))
 
 
 def _earlier_and_alike() -> Column:
@@ -126,12 +126,13 @@ def _earlier_and_alike() -> Column:
     In place: overlap needed is ceil(t / (1 + t) * (n_a + n_b)); the shared word and what follows it on both
     sides must be able to give it.
     """
-    in_place = F.expr(f"least(a_n - a_place, b_n - b_place) * {NEED + OF} >= (a_n + b_n) * {NEED}")
-    return (F.col("b_doc") <= F.col("a_doc")) & (F.col("a_set_hash") != F.col("b_set_hash")) & _alike("a_", "b_") & in_place
+    in_place = F.expr(f"least(a_who.n - a_place, b_who.n - b_place) * {NEED + OF} >= (a_who.n + b_who.n) * {NEED}")
+    other = F.col("a_who.set_hash") != F.col("b_who.set_hash")
+    return (F.col("b_who.doc") <= F.col("a_who.doc")) & other & _alike("a_who.", "b_who.") & in_place
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.col("a_set_hash").alias("a"), F.col("b_set_hash").alias("b"))
+    return joined.select(F.col("a_who.set_hash").alias("a"), F.col("b_who.set_hash").alias("b"))
 
 
 def first_candidates(classes: DataFrame) -> DataFrame:
@@ -140,12 +141,12 @@ def first_candidates(classes: DataFrame) -> DataFrame:
 
     Both sides of the join have the same rows and columns before the leader is added, so Spark deals them by word once.
     """
-    a, b, same_word = _starts(classes, "a_"), _starts(classes, "b_"), W.partitionBy("word")
-    leader = F.min(F.struct(F.col("a_doc").alias("doc"), F.col("a_set_hash").alias("set_hash"), F.col("a_n").alias("n"), F.col("a_bits").alias("bits")))
-    led = a.withColumn("leader", leader.over(same_word)).where("leader.set_hash <> a_set_hash").withColumn("by_leader", _alike("a_", "leader."))
-    chosen = F.when(F.col("by_leader"), F.col("b_set_hash") == F.col("leader.set_hash")).otherwise(_earlier_and_alike())
+    a, b = _starts(classes, "a"), _starts(classes, "b")
+    led = a.withColumn("leader", F.min("a_who").over(W.partitionBy("word"))).where("leader.set_hash <> a_who.set_hash")
+    led = led.withColumn("by_leader", _alike("a_who.", "leader."))
+    chosen = F.when(F.col("by_leader"), F.col("b_who.set_hash") == F.col("leader.set_hash")).otherwise(_earlier_and_alike())
     found = led.join(b, (led["word"] == b["word"]) & chosen)
-    return found.groupBy(F.col("a_set_hash").alias("a"), F.col("b_set_hash").alias("b")).agg(F.bool_or("by_leader").alias("by_leader"))
+    return found.groupBy(F.col("a_who.set_hash").alias("a"), F.col("b_who.set_hash").alias("b")).agg(F.bool_or("by_leader").alias("by_leader"))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -180,7 +181,7 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     again = stage(classes.join(open_classes, "set_hash", "left_semi"), "line-again")
     if not again.head(1):
         return near
-    rows, others = _small(stage(_starts(again, "a_"), "line-again-words")), _starts(classes, "b_")
+    rows, others = _small(stage(_starts(again, "a"), "line-again-words")), _starts(classes, "b")
     rest = _pairs(others.join(rows, (rows["word"] == others["word"]) & _earlier_and_alike()))
     rest = stage(rest.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "line-candidates")
     return near.unionByName(verified(docs, classes, rest)).distinct()
