@@ -173,7 +173,8 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
 
     The words are dealt by word before they are exploded, so grouping their edges moves nothing.
     """
-    here = words.select("word").repartition("word")
+    # A stated number of partitions, as words are few bytes until they are exploded and would be put together.
+    here = words.select("word").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     start = F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start")
     spans = here.select("word", start)
     longest = F.least(F.lit(pieces.longest), F.length("word") - F.col("start"))
