@@ -6,10 +6,11 @@ Content Extraction via Text Density", 2011):
     C / T * log_b(C / LC * T / LT),   b = ln(C / (C - LC) * LC + LC_body / C_body * C + e)
 
 with C characters, T tags, LC characters in links and LT links below the node. The node whose children's
-densities have the largest sum is the core of the content. The smallest density on the path from the
-body to it is the threshold: beside the core, siblings on that path are kept where they reach it. Page furniture
-that says what it is (by tag, role, class or id) is left out beforehand, as short articles can be thinner
-than their footer.
+densities have the largest sum is the core of the content, and the article or main around it (else the body)
+is its container. Density grows with the size of a node, so it cannot tell a short paragraph from furniture: all
+of the container is kept but blocks beside the path to the core that are half or more links and thinner than
+everything on the path from the body to it. Page furniture that says what it is (by tag, role, class or id) is
+left out beforehand, as short articles can be thinner than their footer.
 
 A page is one row and never leaves its task; the parser below is the small per-row helper.
 """
@@ -181,16 +182,18 @@ def main_text(html: str | None) -> str:
         inside[i] = inside[page.parents[i]]
     core = max((i for i in range(n) if inside[i] and not out[i]), key=lambda i: (sums[i], chars[i], -i), default=body)
     path = [core]
-    while path[-1] not in (body, 0) and page.tags[path[-1]] not in ("article", "main"):
+    while path[-1] not in (body, 0):
         path.append(page.parents[path[-1]])
-    # Inside an article its own path decides; the rest of the body is not part of it.
     threshold = min(densities[i] for i in path)
+    container = next((i for i in path if page.tags[i] in ("article", "main")), path[-1])
     on_path, keep = set(path), [False] * n
-    keep[path[-1]] = True
-    for i in range(path[-1] + 1, n):
+    keep[container] = True
+    for i in range(container + 1, n):
         up = page.parents[i]
-        beside = up in on_path and up != core and i not in on_path
-        keep[i] = keep[up] and not out[i] and (not beside or densities[i] >= threshold or page.tags[i] in HEADINGS)
+        beside = up in on_path and up != core and i not in on_path and page.tags[i] not in HEADINGS
+        if page.tags[container] in ("article", "main"):
+            beside &= page.tags[i] in BLOCK  # a link between words of the article is one of them
+        keep[i] = keep[up] and not out[i] and not (beside and 2 * link_chars[i] >= chars[i] and densities[i] < threshold)
     blocks: dict[int, list[str]] = {}
     for node, block, text in page.texts:
         if keep[node] and not out[node]:

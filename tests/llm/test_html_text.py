@@ -29,6 +29,27 @@ def test_pages(html, text):
     assert main_text(html) == text
 
 
+def test_all_of_an_article_beside_its_core():
+    """Long lists, tables and nested sections have the core; what is shorter or thinner stays, links do not."""
+    def paragraphs(n, size):
+        return [f"{c}{'x' * (size - 2)}." for c in "abcdefgh"[:n]]
+
+    def marked_up(parts, tag):
+        return "".join(f"<{tag}>{p}</{tag}>" for p in parts)
+
+    links = "<div><a href=1>One more story</a> <a href=2>Another story</a></div>"
+    few, many, long = paragraphs(3, 100), ["y" * 100] * 20, paragraphs(5, 400)
+    for page in ("<article>{}</article>", "<main><div>{}</div></main>", "<body><div>{}</div></body>"):
+        listed = marked_up(few, "p") + links + f"<ul>{marked_up(many, 'li')}</ul>"
+        assert main_text(page.format(listed)) == "\n".join(few + many)
+        table = marked_up(few, "p") + f"<table>{'<tr><td>' + 'z' * 90 + '</td></tr>'}{marked_up(['<td>' + m + '</td>' for m in many], 'tr')}</table>"
+        assert main_text(page.format(table)) == "\n".join(few + ["z" * 90] + many)
+        short = paragraphs(5, 200)
+        sections = f"<section><h2>A</h2>{marked_up(long, 'p')}</section><section><h2>B</h2>{marked_up(short, 'p')}</section>{links}"
+        assert main_text(page.format(sections)) == "\n".join(["A", *long, "B", *short])
+    assert main_text(f"<article>See <a href=1>this link</a> first.<div>{marked_up(long, 'p')}</div></article>").startswith("See this link first.")
+
+
 def test_deep_and_long():
     deep = "<div>" * 3000 + "<p>deep</p><p>down</p>" + "</div>" * 3000
     assert main_text(f"<body>{deep}</body>") == "deep\ndown"
