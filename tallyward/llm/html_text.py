@@ -31,17 +31,24 @@ BLOCK = frozenset(
 )
 #: Never content, whatever they hold.
 FURNITURE = frozenset(
-    "aside audio button canvas dialog embed footer form head iframe input label map menu nav noscript object "
-    "option script search select style svg template textarea title video".split()
+    "aside audio button canvas embed footer head iframe input label map nav noscript "
+    "option script select style svg template textarea title video".split()
 )
-#: Whole parts of class names, ids and roles that mark furniture.
+#: Furniture unless content stands in them, as a whole page can stand in one form.
+WRAPS = frozenset("dialog form menu object search".split())
+#: Whole parts of class names, ids and roles that mark comments, adverts, navigation and the page's own margins.
 HINTS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment "
-    "comments complementary consent contentinfo cookie cookies dialog disqus footer gdpr login masthead menu modal "
-    "nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion "
-    "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
-    "subscribe subscription toolbar topbar widget".split()
+    "ad ads adsense advert adverts advertisement advertising breadcrumb breadcrumbs comment comments complementary "
+    "contentinfo disqus footer masthead menu nav navbar navigation pager pagination sidebar sponsor sponsored toolbar "
+    "topbar".split()
 )
+#: Those that name content as well (search history, social policy): furniture if two of them agree, or with links.
+WEAK_HINTS = frozenset(
+    "alert banner byline consent cookie cookies dialog gdpr login modal newsletter notice notices notification overlay "
+    "popup promo promotion recommended related replies reply respond search share sharing signup skip social subscribe "
+    "subscription widget".split()
+)
+HIDDEN, MARKED, DOUBTFUL = 3, 2, 1
 HOLDS_CONTENT = frozenset(("html", "body", "article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Open elements that a start tag closes, and where the search for them ends.
@@ -63,7 +70,7 @@ class Page(HTMLParser):
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.marked = ["#root"], [0], [False]
+        self.tags, self.parents, self.marked = ["#root"], [0], [0]
         self.texts: list[tuple[int, int, str]] = []
         self.block = 0
         self.open = [0]
@@ -93,7 +100,7 @@ class Page(HTMLParser):
             self.texts.append((self.open[-1], self.block, " "))
         self.tags.append(tag)
         self.parents.append(self.open[-1])
-        self.marked.append(bool(attrs) and _furniture(dict(attrs)))
+        self.marked.append(_furniture(dict(attrs)) if attrs else 0)
         if tag not in VOID:
             self.open.append(len(self.tags) - 1)
 
@@ -111,27 +118,50 @@ class Page(HTMLParser):
         self.texts.append((self.open[-1], self.block, data))
 
 
-def _furniture(attrs: dict) -> bool:
+def _furniture(attrs: dict) -> int:
+    """HIDDEN, MARKED as furniture, DOUBTFUL, or 0."""
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style") or ""):
-        return True
-    names = " ".join(attrs.get(a) or "" for a in ("class", "id", "role"))
-    return any(part.lower() in HINTS for part in _NAME_PART.findall(names))
+        return HIDDEN
+    parts = {part.lower() for a in ("class", "id", "role") for part in _NAME_PART.findall(attrs.get(a) or "")}
+    if parts & HINTS:
+        return MARKED
+    return min(len(parts & WEAK_HINTS), MARKED)
 
 
 def _left_out(page: Page) -> list[bool]:
-    """Per node: it or one of its ancestors is page furniture."""
+    """Per node: it or one of its ancestors is page furniture.
+
+    What is hidden never counts. Other marked nodes and WRAPS stay where they hold an article, a main or an h1,
+    or most characters of the article around them (on a page without articles: of the page).
+    """
     n = len(page.tags)
-    holds, in_article = [False] * n, [False] * n
+    holds, article, never, in_link = [False] * n, [0] * n, [False] * n, [False] * n
     for i in range(n - 1, 0, -1):
         holds[page.parents[i]] |= holds[i] or page.tags[i] in HOLDS_CONTENT or page.tags[i] == "h1"
+    for i in range(1, n):
+        up, tag = page.parents[i], page.tags[i]
+        never[i] = never[up] or tag in FURNITURE or (page.marked[i] == HIDDEN and tag not in HOLDS_CONTENT and not holds[i] and tag not in HEADINGS)
+        in_link[i] = in_link[up] or tag == "a"
+        article[i] = i if tag in ("article", "main") else article[up]
+    chars, link_chars = [0] * n, [0] * n
+    for node, _, text in page.texts:
+        if not never[node]:
+            size = len("".join(text.split()))
+            chars[node] += size
+            link_chars[node] += size * in_link[node]
+    for i in range(n - 1, 0, -1):
+        chars[page.parents[i]] += chars[i]
+        link_chars[page.parents[i]] += link_chars[i]
+    no_articles = not any(article)
     out = [False] * n
     for i in range(1, n):
         up, tag = page.parents[i], page.tags[i]
-        in_article[i] = in_article[up] or tag in ("article", "main")
-        marked = page.marked[i] and tag not in HOLDS_CONTENT and not holds[i] and tag not in HEADINGS
-        out[i] = out[up] or tag in FURNITURE or marked
+        most = (article[i] or no_articles) and 2 * chars[i] > chars[article[i]] and 2 * link_chars[i] < chars[i]
+        stays = tag in HOLDS_CONTENT or holds[i] or tag in HEADINGS or most
+        marked = page.marked[i] == MARKED or tag in WRAPS or (page.marked[i] == DOUBTFUL and 2 * link_chars[i] >= chars[i])
+        out[i] = out[up] or never[i] or (marked and not stays)
         # A header is the page's, or holds the title of an article: then only headings are text.
-        out[i] |= tag == "header" and not in_article[i]
+        out[i] |= tag == "header" and not article[i]
         if not out[i] and page.tags[up] == "header" and tag not in HEADINGS and not holds[i]:
             out[i] = True
     return out

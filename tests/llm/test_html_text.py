@@ -50,6 +50,31 @@ def test_all_of_an_article_beside_its_core():
     assert main_text(f"<article>See <a href=1>this link</a> first.<div>{marked_up(long, 'p')}</div></article>").startswith("See this link first.")
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        # The whole page stands in one form; another one asks for a name.
+        (f"<body><form><div><h2>T</h2><p>{P2}</p><p>{P2}</p></div></form></body>", f"T\n{P2_TEXT}\n{P2_TEXT}"),
+        (f"<body><form><nav><a href=1>Home</a></nav><article><p>{P2}</p></article></form></body>", P2_TEXT),
+        (f"<body><div><p>{P2}</p><p>{P2}</p></div><form>Name <input></form></body>", f"{P2_TEXT}\n{P2_TEXT}"),
+        # Names that content has as well.
+        *(
+            (f"<article><h1>T</h1><p>{P2}</p><div {name}><p>{P2}</p></div></article>", f"T\n{P2_TEXT}\n{P2_TEXT}")
+            for name in ("class='elementor-widget-text-editor'", "id='related-work'", "class=search-history", "class=social-policy")
+        ),
+        (f"<article><h2>T</h2><div class=widget><p>{P2}</p><p>{P2}</p></div></article>", f"T\n{P2_TEXT}\n{P2_TEXT}"),
+        # A node called comment has most of its article, or is one below it.
+        (f"<article><h1>T</h1><div class=comment><p>{P2}</p></div></article>", f"T\n{P2_TEXT}"),
+        (f"<article><h1>T</h1><p>{P2}</p><p>{P2}</p><div class=comment><p>{P2}</p></div></article>", f"T\n{P2_TEXT}\n{P2_TEXT}"),
+        # Furniture with links, with two such names, and hidden.
+        (f"<article><p>{P2}</p><div class=related><a href=1>One</a> <a href=2>Two</a></div><div class='social-share'>Tell all</div></article>", P2_TEXT),
+        (f"<article><p>Short.</p><div hidden><p>{P2}</p></div></article>", "Short."),
+    ],
+)
+def test_content_in_what_furniture_is_called(html, text):
+    assert main_text(html) == text
+
+
 def test_deep_and_long():
     deep = "<div>" * 3000 + "<p>deep</p><p>down</p>" + "</div>" * 3000
     assert main_text(f"<body>{deep}</body>") == "deep\ndown"
