@@ -100,6 +100,14 @@ def test_n_gram_counts_against_plain_counting(spark):
         assert sum(models.grams[order, y].sum() for y in (0, 1)) == sum(counts.values())
 
 
+def test_words_alike_in_four_characters_are_told_apart(spark):
+    """After abcde f is toxic, after xbcde g: contexts of four characters say the same of both."""
+    words = [("abcdef", 1, 50), ("abcdeg", 0, 50), ("xbcdef", 0, 50), ("xbcdeg", 1, 50)]
+    models = toxicity.fit_models(spark.createDataFrame(words, "word STRING, toxic INT, n BIGINT"))
+    toxic, ordinary = models.word_evidence(pa.array(["abcdef", "abcdeg"]))
+    assert toxic > 3 and ordinary < -3
+
+
 def test_word_probabilities_sum_to_one(spark):
     """Over all next characters, discounted counts and backoff weights of a context share out everything."""
     words = [("abcab", 1, 3), ("abd", 1, 2), ("x", 0, 1)]
