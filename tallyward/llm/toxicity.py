@@ -6,7 +6,8 @@ order, continuation counts (distinct longer n-grams that end in it) below. The l
 classes back off to one pooled model, so an expression that neither class has seen tells nothing, and a rare
 one only what the longer contexts it shares with known expressions tell. A document's evidence is the
 difference of its two log-likelihoods per word, the same for its most telling word, and the share of telling
-words. A logistic curve, fitted on labelled rows that the models have not seen, turns it into a score.
+words. A logistic curve, fitted on labelled rows of each class that the models have not seen (where the labels
+allow that), turns it into a score.
 
 Counts cover every labelled training row and grow with the input: words are counted per class with a
 map-side combine, n-grams are counted from that word table. The model that travels to the tasks has a fixed
@@ -18,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.learning import CALIBRATION_FOLD, Logistic, batch_words, bounded, fold, sample, training_labels, with_rows
+from tallyward.llm.learning import CALIBRATION_FOLD, FOLDS, Logistic, batch_words, bounded, fold, sample, training_labels, with_rows
 from tallyward.session import stage
 
 ORDERS = (2, 3, 4, 5, 6)
@@ -29,7 +30,7 @@ ORDERS = (2, 3, 4, 5, 6)
 SHARED_ORDER = 3
 BUCKET_BITS = 18
 DISCOUNT = 0.75
-#: Rows of the calibration fold that the logistic curve is fitted on, at most.
+#: Rows of each class that the logistic curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
 #: Evidence (natural logarithm of the odds) from which on a word is telling.
 TELLING = 3.0
@@ -170,10 +171,41 @@ def _features(texts: pa.Array, models: KneserNey) -> np.ndarray:
     return np.column_stack([np.bincount(rows, evidence, len(texts)) / n, most, telling])
 
 
+def _held_apart(known: DataFrame) -> tuple[Column, Column, list[int]] | None:
+    """Which rows of known the models learn from, which the curve is fitted on, and how many of those have
+    label 0 and 1. None without both classes.
+
+    A fold is held apart for the curve if both classes occur in it and outside of it, else all rows serve both.
+    """
+    found = np.zeros((FOLDS, 2), np.int64)
+    for row in known.groupBy("fold", "label").count().collect():
+        found[row["fold"], row["label"]] += row["count"]
+    if not found.sum(axis=0).all():
+        return None
+    for held in (CALIBRATION_FOLD, *(f for f in range(1, FOLDS) if f != CALIBRATION_FOLD)):
+        if found[held].all() and (found.sum(axis=0) - found[held]).all():
+            return F.col("fold") != held, F.col("fold") == held, found[held].tolist()
+    return F.lit(True), F.lit(True), found.sum(axis=0).tolist()
+
+
+def _fit_curve(x: np.ndarray, y: np.ndarray, of_class: list[int]) -> Logistic:
+    """Fitted on a sample per class; of_class rows of label 0 and 1 stand behind it."""
+    curve = Logistic(x, y)
+    shares = [n / min(n, CALIBRATION_ROWS) for n in of_class]
+    curve.intercept += np.log(shares[1] / shares[0])
+    return curve
+
+
 def toxicity_scorer(docs: DataFrame, labels: DataFrame):
     """Fit on labelled rows of docs; returns a function from an Arrow array of texts to scores."""
-    known, texts = training_labels(labels, "toxic"), docs.select("doc_id", "text")
-    counted = with_rows(texts, known.where(F.col("fold") != CALIBRATION_FOLD).select("doc_id", F.col("label").alias("toxic")))
+    texts = docs.select("doc_id", "text")
+    known = training_labels(labels, "toxic")
+    known = stage(with_rows(docs.select("doc_id"), known).distinct(), "labels-in-use")
+    parts = _held_apart(known)
+    if parts is None:
+        return lambda texts: np.zeros(len(texts))
+    learned, held, of_class = parts
+    counted = with_rows(texts, known.where(learned).select("doc_id", F.col("label").alias("toxic")))
     words = counted.select("text", "toxic").mapInArrow(_count_words, "word STRING, toxic INT, n BIGINT")
     models = fit_models(words.groupBy("word", "toxic").agg(F.sum("n").alias("n")))
     model = docs.sparkSession.sparkContext.broadcast(models)
@@ -183,14 +215,14 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame):
             x = _features(batch.column("text"), model.value)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [batch.column("label")], names=["a", "b", "c", "label"])
 
-    held = with_rows(texts, sample(known.where(F.col("fold") == CALIBRATION_FOLD).select("doc_id", "label"), CALIBRATION_ROWS))
-    measured = held.select("text", "label").mapInArrow(measure, "a DOUBLE, b DOUBLE, c DOUBLE, label INT").toArrow()
+    chosen = [sample(known.where(held & (F.col("label") == y)).select("doc_id", "label"), CALIBRATION_ROWS) for y in (0, 1)]
+    rows = with_rows(texts, chosen[0].union(chosen[1]))
+    measured = rows.select("text", "label").mapInArrow(measure, "a DOUBLE, b DOUBLE, c DOUBLE, label INT").toArrow()
     x = np.column_stack([measured.column(c).to_numpy() for c in "abc"])
-    y = measured.column("label").to_numpy()
-    curve = Logistic(x, y) if 0 < y.sum() < len(y) else None
+    curve = _fit_curve(x, measured.column("label").to_numpy(), of_class)
 
     def score(texts: pa.Array) -> np.ndarray:
-        return np.zeros(len(texts)) if curve is None else curve.score(_features(texts, model.value))
+        return curve.score(_features(texts, model.value))
 
     return score
 

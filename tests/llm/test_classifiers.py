@@ -130,6 +130,25 @@ def test_views_exchange_labels():
     assert right[1] >= right[0] - 0.01 and right[1] > 0.8
 
 
+@pytest.mark.parametrize("sampled, toxic_folds", [(20_000, (1, 2, 3)), (50, (1, 2, 3, 4))])
+def test_few_toxic_labels_are_not_lost(spark, docs, monkeypatch, sampled, toxic_folds):
+    """No toxic label in the calibration fold, or so few that a plain sample of it has none."""
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", sampled)
+    rows, labels = made(1200)
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    most = {f: 8 for f in toxic_folds}
+    known = []
+    for i, q, t, *rest in labels:
+        if t and (most.get(fold[i], 0) == 0):
+            continue
+        most[fold[i]] = most.get(fold[i], 0) - t
+        known.append((i, q, t, *rest))
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs(rows), spark.createDataFrame(known, LABELS)).where("held_out").collect()}
+    right = [got[x[0]] == x[2] for x in labels if x[0] in got]
+    found = [got[x[0]] for x in labels if x[0] in got and x[2]]
+    assert sum(right) > 0.9 * len(right) and sum(found) > 0.8 * len(found)
+
+
 def test_batches_are_cut_by_bytes():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 50, "", "c" * 3, "d" * 9]})
     parts = list(learning.bounded(iter([batch, batch.slice(0, 0)]), most=12))
