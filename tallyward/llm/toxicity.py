@@ -10,8 +10,10 @@ words. A logistic curve, fitted on labelled rows of each class that the models h
 allow that), turns it into a score.
 
 Counts cover every labelled training row and grow with the input: words are counted per class with a
-map-side combine, n-grams are counted from that word table. The model that travels to the tasks has a fixed
-size, 2**BUCKET_BITS hashed n-grams and contexts per order and class.
+map-side combine, n-grams are counted from that word table, as they are, in Spark tables. They are joined to the
+n-grams of the distinct words of all documents, and a word's evidence is added up once. The evidence of the
+SENT_WORDS most frequent words goes to the documents; other words, none of which can be frequent, are joined
+per document and word.
 """
 
 from collections.abc import Iterator
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,44 +31,36 @@ from tallyward.session import stage
 ORDERS = (2, 3, 4, 5, 6)
 #: Orders up to this one are pooled over the classes.
 SHARED_ORDER = 3
-BUCKET_BITS = 18
+#: Words that are sent to the documents with their evidence, at most, and how long they may be.
+SENT_WORDS, SENT_CHARACTERS = 2**17, 48
 DISCOUNT = 0.75
 #: Rows of each class that the logistic curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
 #: Evidence (natural logarithm of the odds) from which on a word is telling.
 TELLING = 3.0
 UNIFORM = 1e-4
-#: Words whose n-grams a task combines before they are shuffled.
-WORDS_AT_A_TIME = 200_000
+#: N-grams that a task combines before they are shuffled.
+GRAMS_AT_A_TIME = 200_000
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+START = "\1"
 
 
-def _grams(words: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per order, at every character of every word: order, word no., buckets of context and n-gram.
+def _windows(word: str) -> Iterator[str]:
+    """The n-gram of the highest order at every character and the end sign of a word."""
+    top = ORDERS[-1]
+    text = START * (top - 1) + word + "\n"  # words hold no white space
+    return (text[at : at + top] for at in range(len(word) + 1))
+
+
+def _grams(words: pa.Array) -> Iterator[tuple[int, list[int], list[str], list[str]]]:
+    """Per order, at every character of every word: order, word no., context and n-gram.
 
     A word is read as if start signs stood before it, and ends with an end sign.
     """
-    text = "".join(word + "\n" for word in words.to_pylist())  # words hold no white space
-    chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    at = np.arange(len(chars))
-    ends = chars == 10
-    word_no = np.cumsum(ends) - ends
-    first = np.concatenate(([True], ends[:-1]))[: len(chars)]
-    place = at - np.maximum.accumulate(np.where(first, at, 0))
+    windows = [(no, window) for no, word in enumerate(words.to_pylist()) for window in _windows(word)]
     for order in ORDERS:
-        context = np.full(len(chars), order, np.uint64)
-        for back in range(order - 1, 0, -1):
-            before = np.where(place >= back, np.roll(chars, back), 1).astype(np.uint64)
-            context = (context ^ before) * _PRIME
-            context ^= context >> np.uint64(29)
-        gram = (context ^ chars.astype(np.uint64)) * _PRIME
-        gram ^= gram >> np.uint64(32)
-        yield order, word_no, _bucket(context * _PRIME), _bucket(gram * _PRIME)
-
-
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        grams = [window[-order:] for _, window in windows]
+        yield order, [no for no, _ in windows], [gram[:-1] for gram in grams], grams
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,96 +74,162 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([words.filter(seen), of_class, pa.array(n).filter(seen)], names=["word", "toxic", "n"])
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of WORDS_AT_A_TIME words with their shorter n-gram and their occurrences."""
-    waiting: list[pa.RecordBatch] = []
-    for batch in batches:
-        waiting.append(batch)
-        if sum(b.num_rows for b in waiting) >= WORDS_AT_A_TIME:
-            yield from _grams_of(pa.Table.from_batches(waiting))
-            waiting = []
-    if waiting:
-        yield from _grams_of(pa.Table.from_batches(waiting))
-
-
-def _grams_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    toxic, n = (table.column(c).to_numpy().astype(np.int64) for c in ("toxic", "n"))
-    shorter = None
-    for order, word_no, context, gram in _grams(table.column("word")):
-        whole = (toxic[word_no] << 2 * BUCKET_BITS) | (context << BUCKET_BITS) | gram
-        if shorter is not None and len(whole):
-            rank = np.lexsort((shorter, whole))
-            pairs, times = (whole[rank], shorter[rank]), n[word_no][rank]
-            new = np.flatnonzero(np.concatenate(([True], (pairs[0][1:] != pairs[0][:-1]) | (pairs[1][1:] != pairs[1][:-1]))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(new), order, np.int32)), *(pa.array(p[new]) for p in pairs), pa.array(np.add.reduceat(times, new))],
-                names=["n_order", "gram", "shorter", "n"],
-            )
-        shorter = whole
+def _window_counts(keys: tuple[str, ...]):
+    """A function for mapInArrow: windows of the column word per value of the first key, with the sum of the
+    second (without one: their number), combined over GRAMS_AT_A_TIME."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            weights = batch.column(keys[1]).to_pylist() if len(keys) > 1 else [1] * batch.num_rows
+            for word, key, n in zip(batch.column("word").to_pylist(), batch.column(keys[0]).to_pylist(), weights):
+                for window in _windows(word):
+                    counts[window, key] = counts.get((window, key), 0) + n
+                    if len(counts) >= GRAMS_AT_A_TIME:
+                        yield _as_batch(counts)
+                        counts = {}
+        if counts:
+            yield _as_batch(counts)
+
+    def _as_batch(counts: dict) -> pa.RecordBatch:
+        columns = [pa.array([g for g, _ in counts]), pa.array([k for _, k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["gram", "key", "n"])
+
+    return count
+
+
+WINDOWS = "gram STRING, key BIGINT, n BIGINT"
+
+
+def _context(order: int) -> Column:
+    return F.substring("gram", 1, order - 1)
 
 
 @dataclass
 class KneserNey:
-    """Hashed counts by (order, class): of n-grams and contexts, and of different n-grams in a context."""
+    """Per order, counts of n-grams by class: gram, n0, n1. Pooled orders have all in n0."""
 
-    grams: dict
-    contexts: dict
-    kinds: dict
+    counts: dict[int, DataFrame]
 
-    def _step(self, key, context: np.ndarray, gram: np.ndarray, lower):
-        total = self.contexts[key][context]
-        known = np.maximum(total, 1)
-        seen = np.maximum(self.grams[key][gram] - DISCOUNT, 0) / known
-        return np.where(total > 0, seen + DISCOUNT * self.kinds[key][context] / known * lower, lower)
+    def _contexts(self, order: int) -> DataFrame:
+        """Per context and class its n-grams' counts and how many different ones there are."""
+        kinds = [F.sum((F.col(f"n{y}") > 0).cast("long")).alias(f"kinds{y}") for y in (0, 1)]
+        return self.counts[order].groupBy(_context(order).alias("context")).agg(*(F.sum(f"n{y}").alias(f"total{y}") for y in (0, 1)), *kinds)
+
+    def gram_evidence(self, grams: DataFrame) -> DataFrame:
+        """Per distinct n-gram of the highest order (column gram): toxic minus ordinary log-likelihood of its last sign."""
+        below = None
+        for order in ORDERS:
+            wanted = grams.select(F.expr(f"right(gram, {order})").alias("gram")).distinct().withColumn("context", _context(order))
+            rows = wanted.join(self.counts[order], "gram", "left").join(self._contexts(order), "context", "left")
+            lower = [F.lit(UNIFORM)] * 2
+            if below is not None:
+                rows = rows.withColumn("shorter", F.expr(f"right(gram, {order - 1})")).join(below.withColumnRenamed("gram", "shorter"), "shorter")
+                lower = [F.col("lower0"), F.col("lower1")]
+            steps = []
+            for y in (0, 1):
+                own = y if order > SHARED_ORDER else 0
+                total, n, kinds = (F.coalesce(F.col(f"{c}{own}"), F.lit(0)) for c in ("total", "n", "kinds"))
+                seen = F.greatest(n - DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1))
+                steps.append(F.when(total > 0, seen + DISCOUNT * kinds / F.greatest(total, F.lit(1)) * lower[y]).otherwise(lower[y]).alias(f"lower{y}"))
+            below = stage(rows.select("gram", *steps), f"toxicity-order-{order}")
+        return below.select("gram", (F.log("lower1") - F.log("lower0")).alias("evidence"))
+
+    def evidence_of(self, words: DataFrame) -> DataFrame:
+        """word, n and evidence of a table of distinct words with n."""
+        words = stage(words.select("word", "n").withColumn("word_id", F.monotonically_increasing_id()), "toxicity-vocabulary")
+        windows = stage(words.select("word", "word_id").mapInArrow(_window_counts(("word_id",)), WINDOWS), "toxicity-windows")
+        found = windows.join(self.gram_evidence(windows.select("gram").distinct()), "gram")
+        summed = found.groupBy(F.col("key").alias("word_id")).agg(F.sum(F.col("n") * F.col("evidence")).alias("evidence"))
+        return stage(words.join(summed, "word_id").select("word", "n", "evidence"), "toxicity-evidence")
 
     def word_evidence(self, words: pa.Array) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood of each word."""
-        shared, own, word_no = UNIFORM, {}, np.zeros(0, np.int64)
-        for order, word_no, context, gram in _grams(words):
-            if order <= SHARED_ORDER:
-                shared = self._step((order, 0), context, gram, shared)
-            else:
-                for y in (0, 1):
-                    own[y] = self._step((order, y), context, gram, own.get(y, shared))
-        return np.bincount(word_no, np.log(own[1]) - np.log(own[0]), len(words))
+        """Toxic minus ordinary log-likelihood of each word of a small array."""
+        spark = self.counts[ORDERS[0]].sparkSession
+        rows = self.evidence_of(spark.createDataFrame([(w, 1) for w in set(words.to_pylist())], "word STRING, n BIGINT")).collect()
+        known = {r["word"]: r["evidence"] for r in rows}
+        return np.array([known[w] for w in words.to_pylist()])
+
+    def _collected(self, column: str, tables: dict[int, DataFrame], index: str) -> dict:
+        frames = {order: table.toPandas().set_index(index) for order, table in tables.items()}
+        return {(order, y): frame[f"{column}{y}"] for order, frame in frames.items() for y in (0, 1)}
+
+    @property
+    def grams(self) -> dict:
+        """Counts by (order, class) of a small model."""
+        return self._collected("n", self.counts, "gram")
+
+    @property
+    def contexts(self) -> dict:
+        return {key: s.to_numpy() for key, s in self._collected("total", self._sorted_contexts(), "context").items()}
+
+    @property
+    def kinds(self) -> dict:
+        return {key: s.to_numpy() for key, s in self._collected("kinds", self._sorted_contexts(), "context").items()}
+
+    def _sorted_contexts(self) -> dict[int, DataFrame]:
+        return {order: self._contexts(order).orderBy("context") for order in ORDERS}
 
 
 def fit_models(words: DataFrame) -> KneserNey:
-    """words: word, toxic (0, 1) and n, one row per word and class.
+    """words: word, toxic (0, 1) and n, one row per word and class."""
+    found = words.mapInArrow(_window_counts(("toxic", "n")), WINDOWS)
+    found = stage(found.groupBy("gram", F.col("key").alias("y")).agg(F.sum("n").alias("n")), f"toxicity-grams-{ORDERS[-1]}")
+    counts = {}
+    for order in reversed(ORDERS):
+        if order < ORDERS[-1]:  # different longer n-grams
+            found = stage(found.groupBy(F.expr(f"right(gram, {order})").alias("gram"), "y").agg(F.count(F.lit(1)).alias("n")), f"toxicity-grams-{order}")
+        of_class = [F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)) for y in (0, 1)]
+        if order <= SHARED_ORDER:
+            of_class = [F.sum("n"), F.sum(F.lit(0).cast("long"))]
+        counts[order] = found.groupBy("gram").agg(*(c.alias(f"n{y}") for y, c in enumerate(of_class)))
+    return KneserNey(counts)
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in bounded(batches):
+        words, places, _ = batch_words(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(places, minlength=len(words)))], names=["word", "n"])
 
-    What comes to the driver is at most one row per bucket, whatever the size of words.
-    """
-    bits, top = BUCKET_BITS, ORDERS[-1]
-    found = words.mapInArrow(_count_grams, "n_order INT, gram BIGINT, shorter BIGINT, n BIGINT")
-    found = stage(found.groupBy("n_order", "gram", "shorter").agg(F.sum("n").alias("n")), "toxicity-grams")
-    highest = found.where(F.col("n_order") == top).groupBy("n_order", "gram").agg(F.sum("n").alias("n"))
-    lower = found.groupBy((F.col("n_order") - 1).alias("n_order"), F.col("shorter").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    counted = lower.unionByName(highest)
-    y = F.when(F.col("n_order") > SHARED_ORDER, F.shiftright("gram", 2 * bits)).otherwise(0).cast("int")
-    counted = counted.groupBy("n_order", y.alias("y"), F.col("gram").bitwiseAND((1 << 2 * bits) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-    tables = {}
-    for kind, bucket in (("grams", F.col("gram").bitwiseAND((1 << bits) - 1)), ("contexts", F.shiftright("gram", bits))):
-        rows = counted.groupBy("n_order", "y", bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-        order_of, class_of, at, n, kinds = (c.to_numpy() for c in rows.toArrow().columns)
-        for order in ORDERS:
-            for of_class in (0, 1):
-                own = (order_of == order) & (class_of == of_class)
-                for name, values in ((kind, n), ("kinds", kinds)):
-                    table = np.zeros(1 << bits, np.float32)
-                    table[at[own]] = values[own]
-                    tables.setdefault(name, {})[order, of_class] = table
-    return KneserNey(**tables)
-
-
-def _features(texts: pa.Array, models: KneserNey) -> np.ndarray:
-    """Per text: evidence per word, that of the most telling word, share of telling words. 0 without words."""
-    words, places, rows = batch_words(texts)
-    evidence = models.word_evidence(words)[places]
-    n = np.maximum(np.bincount(rows, minlength=len(texts)), 1)
-    most = np.zeros(len(texts))
-    np.maximum.at(most, rows, evidence)
-    telling = np.bincount(rows, evidence > TELLING, len(texts)) / n
-    return np.column_stack([np.bincount(rows, evidence, len(texts)) / n, most, telling])
+
+def _features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """docs (text and another column, which stays): evidence per word (a), that of the most telling word (b),
+    share of telling words (c). 0 without words."""
+    name = next(c for c in docs.columns if c != "text")
+    most_frequent = evidence.where(F.length("word") <= SENT_CHARACTERS).orderBy(F.desc("n"), "word").limit(SENT_WORDS)
+    sent = stage(most_frequent, "toxicity-sent")
+    model = docs.sparkSession.sparkContext.broadcast(sent.select("word", "evidence").toArrow())
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.value.column("word").combine_chunks()
+        values = np.append(model.value.column("evidence").to_numpy(), 0.0)
+        for batch in bounded(batches):
+            size = batch.num_rows
+            words, places, rows = batch_words(batch.column("text"))
+            at = pc.fill_null(pc.index_in(words.cast(known.type), value_set=known), len(known)).to_numpy()
+            of = values[at][places]
+            most = np.zeros(size)
+            np.maximum.at(most, rows, of)
+            rare = np.flatnonzero((at == len(known))[places])
+            pairs, times = np.unique(rows[rare] * max(1, len(words)) + places[rare], return_counts=True)
+            offsets = np.searchsorted(pairs // max(1, len(words)), np.arange(size + 1)).astype(np.int32)
+            others = pa.StructArray.from_arrays([words.take(pa.array(pairs % max(1, len(words)))).cast(pa.string()), pa.array(times.astype(np.int64))], names=["word", "times"])
+            sums = [np.bincount(rows, of, size), most, np.bincount(rows, of > TELLING, size)]
+            columns = [batch.column(name), pa.array(np.bincount(rows, minlength=size)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(offsets), others)]
+            yield pa.RecordBatch.from_arrays(columns, names=[name, "words", "total", "most", "telling", "rare"])
+
+    schema = f"{name} {docs.schema[name].dataType.simpleString()}, words BIGINT, total DOUBLE, most DOUBLE, telling DOUBLE, rare ARRAY<STRUCT<word: STRING, times: BIGINT>>"
+    rows = stage(docs.mapInArrow(add_up, schema).withColumn("row_id", F.monotonically_increasing_id()), "toxicity-rows")
+    pairs = rows.select("row_id", F.explode("rare").alias("of")).select("row_id", "of.word", "of.times").join(evidence.select("word", "evidence"), "word")
+    rest = pairs.groupBy("row_id").agg(
+        F.sum(F.col("times") * F.col("evidence")).alias("more"),
+        F.max("evidence").alias("top"),
+        F.sum(F.when(F.col("evidence") > TELLING, F.col("times")).otherwise(0)).alias("also"),
+    )
+    n = F.greatest("words", F.lit(1))
+    a, c = ((F.col(x) + F.coalesce(F.col(y), F.lit(0))) / n for x, y in (("total", "more"), ("telling", "also")))
+    rows = rows.drop("rare").join(rest, "row_id", "left")
+    return stage(rows.select(name, a.alias("a"), F.greatest("most", F.coalesce("top", F.lit(0.0))).alias("b"), c.alias("c")), "toxicity-features")
 
 
 def _held_apart(known: DataFrame) -> tuple[Column, Column, list[int]] | None:
@@ -196,35 +257,34 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, of_class: list[int]) -> Logistic:
     return curve
 
 
-def toxicity_scorer(docs: DataFrame, labels: DataFrame):
-    """Fit on labelled rows of docs; returns a function from an Arrow array of texts to scores."""
+def _scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text_hash and score of every row of docs. Fitted on labelled rows of docs."""
     texts = docs.select("doc_id", "text")
     known = training_labels(labels, "toxic")
     known = stage(with_rows(docs.select("doc_id"), known).distinct(), "labels-in-use")
-    parts = _held_apart(known)
+    parts, keyed = _held_apart(known), docs.select(F.struct("doc_id", _text_hash().alias("text_hash")).alias("key"), "text")
     if parts is None:
-        return lambda texts: np.zeros(len(texts))
+        return keyed.select("key.*", F.lit(0.0).alias("score"))
     learned, held, of_class = parts
     counted = with_rows(texts, known.where(learned).select("doc_id", F.col("label").alias("toxic")))
     words = counted.select("text", "toxic").mapInArrow(_count_words, "word STRING, toxic INT, n BIGINT")
     models = fit_models(words.groupBy("word", "toxic").agg(F.sum("n").alias("n")))
-    model = docs.sparkSession.sparkContext.broadcast(models)
+    vocabulary = docs.select("text").mapInArrow(_vocabulary, "word STRING, n BIGINT").groupBy("word").agg(F.sum("n").alias("n"))
+    features = _features(keyed, models.evidence_of(vocabulary)).select("key.*", "a", "b", "c")
+    chosen = [sample(known.where(held & (F.col("label") == y)).select("doc_id", "label"), CALIBRATION_ROWS) for y in (0, 1)]
+    measured = with_rows(features, chosen[0].union(chosen[1])).select("a", "b", "c", "label").toArrow()
+    curve = _fit_curve(np.column_stack([measured.column(c).to_numpy() for c in "abc"]), measured.column("label").to_numpy(), of_class)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
-            x = _features(batch.column("text"), model.value)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [batch.column("label")], names=["a", "b", "c", "label"])
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy() for c in "abc"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(curve.score(x))], names=["doc_id", "text_hash", "score"])
 
-    chosen = [sample(known.where(held & (F.col("label") == y)).select("doc_id", "label"), CALIBRATION_ROWS) for y in (0, 1)]
-    rows = with_rows(texts, chosen[0].union(chosen[1]))
-    measured = rows.select("text", "label").mapInArrow(measure, "a DOUBLE, b DOUBLE, c DOUBLE, label INT").toArrow()
-    x = np.column_stack([measured.column(c).to_numpy() for c in "abc"])
-    curve = _fit_curve(x, measured.column("label").to_numpy(), of_class)
+    return features.mapInArrow(score, "doc_id BIGINT, text_hash STRING, score DOUBLE")
 
-    def score(texts: pa.Array) -> np.ndarray:
-        return curve.score(_features(texts, model.value))
 
-    return score
+def _text_hash() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,22 +296,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for that. Repeated rows are scored alike. A row without doc_id is scored and has held_out NULL. Without
     training labels of both classes every score is 0. An empty table gives an empty result.
     """
-    score = toxicity_scorer(docs, labels)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch.column("text")))], names=["doc_id", "score"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(scored, "doc_id BIGINT, score DOUBLE")
+    rows = _scores(docs, labels)
     return rows.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that score below 0.5."""
-    score = toxicity_scorer(docs, labels)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
-            yield batch.filter(pa.array(score(batch.column("text")) < 0.5))
-
-    return docs.mapInArrow(keep, docs.schema)
+    toxic = stage(_scores(docs, labels).where("score >= 0.5").select("text_hash").distinct(), "toxic-texts")
+    hashed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), _text_hash().alias("text_hash"))
+    return hashed.join(toxic, "text_hash", "left_anti").select("row.*")
