@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyward.llm.decontaminate import contaminated
 from tallyward.llm.edit_counts import derived_edits, recount, send_vocabulary, token_trees
 from tallyward.llm.exact_dedup import exact_duplicates
+from tallyward.llm.filter_audit import audit_filters
 from tallyward.llm.html_text import extract_text
 from tallyward.llm.line_dedup import dedup_lines
 from tallyward.llm.quality import quality
@@ -73,6 +74,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE = {
@@ -171,4 +177,48 @@ ORACLE = {
         GROUP BY d.id, i.id, item_shingles
         HAVING count(*) * 5 >= item_shingles * 4
     """,
+    "op13_filter_audit": """
+        WITH texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+            FROM documents
+        ), marks AS (
+            SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+        ), rated AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                   || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+            FROM texts t LEFT JOIN marks m ON t.doc_id = m.doc_id
+        ), counted AS (
+            SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM rated GROUP BY ALL
+        ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM orders
+        ), told AS (
+            SELECT part, filter_order, step, n, good, toxic, filter_order[step] AS filter,
+                   contains(fails, filter_order[step]) AS here, fails = filter_order[step] AS alone,
+                   step > 1 AND regexp_matches(fails, '[' || rpad(filter_order[:step - 1], 5, '_') || ']') AS gone
+            FROM counted, steps
+        ), summed AS (
+            SELECT part, filter_order, step, filter,
+                   coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS kept,
+                   coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed,
+                   coalesce(sum(n) FILTER (here AND gone), 0) AS redundant,
+                   coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+                   coalesce(sum(good) FILTER (here AND NOT gone), 0) AS good_lost,
+                   coalesce(sum(toxic) FILTER (here AND NOT gone), 0) AS toxic_lost
+            FROM told GROUP BY ALL
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+        FROM summed
+    """,
 }
