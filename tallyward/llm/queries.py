@@ -11,6 +11,7 @@ from tallyward.llm.exact_dedup import exact_duplicates
 from tallyward.llm.filter_audit import audit_filters
 from tallyward.llm.html_text import extract_text
 from tallyward.llm.line_dedup import dedup_lines
+from tallyward.llm.mixing import mixture
 from tallyward.llm.quality import quality
 from tallyward.llm.sentencepiece import decode, encode, load_pieces
 from tallyward.llm.simhash import near_duplicates
@@ -74,6 +75,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op12_mixing": op12_mixing,
     "op13_filter_audit": op13_filter_audit,
 }
 

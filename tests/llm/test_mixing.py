@@ -1,0 +1,137 @@
+"""Mixing against plain arithmetic: targets by resharing in rounds, and the words of the mix counted one by one."""
+
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from tallyward.llm import mixing
+from tallyward.llm.mixing import mix_texts, mixture, permuted
+
+DOCS = "doc_id BIGINT, text STRING, source STRING, s BIGINT, row BIGINT, size STRING, block INT, words STRING"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, s, 1, 2, "x", 3, "y") for i, t, s in rows], DOCS)
+
+
+def shared_out(sizes):
+    """Targets by source, by sharing the excess again until no source is above twice its size."""
+    names = sorted((s for s in sizes if s is not None), key=str.encode) + [s for s in sizes if s is None]
+    weight = {name: (5, 2, 1)[i % 3] for i, name in enumerate(names)}
+    mix, full = Fraction(3 * sum(sizes.values()), 2), set()
+    while True:
+        rest = mix - sum(2 * sizes[n] for n in full)
+        sharing = sum(weight[n] for n in names if n not in full)
+        target = {n: Fraction(2 * sizes[n]) if n in full else rest * weight[n] / sharing for n in names}
+        above = {n for n in names if n not in full and target[n] > 2 * sizes[n]}
+        if not above:
+            return target
+        full |= above
+
+
+def text(name, n):
+    """n words that tell where they come from."""
+    return " \t".join(f"{name}:{i}" for i in range(n))
+
+
+def corpus():
+    rng = np.random.default_rng(3)
+    rows = []
+    for doc in range(120):
+        source = ["hot", "Zulu", "tiny", "é", "", None][min(int(rng.geometric(0.4)) - 1, 5)]
+        rows.append((doc, text(f"d{doc}", int(rng.integers(0, 90))), source))
+    rows += [(500, None, "hot"), (501, " \n\x0b ", None), (502, text("long", 9000), "Zulu"), (503, None, "blank"), (None, text("none", 30), "hot")]
+    return rows
+
+
+@pytest.fixture(params=[(16, 8, 4096), (512, 8192, 4096), (16, 8, 2)])
+def sizes(request, monkeypatch):
+    for name, value in zip(("BLOCK_WORDS", "SHARD_SLOTS", "BUNDLES"), request.param):
+        monkeypatch.setattr(mixing, name, value)
+    return request.param
+
+
+def test_every_word_of_the_mix(spark, sizes):
+    rows = corpus()
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in mixture(docs).collect()}
+    words = {i: (t or "").split() for i, t, _ in rows}
+    source_size = Counter()
+    for i, _, s in rows:
+        source_size[s] += len(words[i])
+    target = shared_out(source_size)
+    for i, _, s in rows:
+        r = got[i]
+        assert (r.size, r.source_size, r.source) == (len(words[i]), source_size[s], s)
+        assert r.target == pytest.approx(float(target[s]), rel=1e-12) and 0 <= r.taken <= 2 * r.size
+    taken = Counter()
+    for r in got.values():
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= Fraction(1, 2) for s in target)
+
+    blocks = mix_texts(docs).collect()
+    named = {f"d{i}": i for i in range(120)} | {"long": 502, "none": None}
+    counted, seen = Counter(), Counter()
+    for b in blocks:
+        found = b.text.split(" ")
+        assert 0 < len(found) <= sizes[0]
+        for before, word in zip([None, *found], found):
+            name, n = word.split(":")
+            counted[named[name]] += 1
+            seen[word] += 1
+            # Inside a block a word follows the one before it in its document, or a document begins.
+            assert before is None or before == f"{name}:{int(n) - 1}" or (n == "0" and before in {f"{k}:{len(words[v]) - 1}" for k, v in named.items() if words.get(v)})
+    assert counted == Counter({i: r.taken for i, r in got.items() if r.taken})
+    assert max(seen.values()) <= 2
+    places = Counter((b.shard, b.place) for b in blocks)
+    assert max(places.values()) == 1
+    held = Counter(b.shard for b in blocks)
+    assert all(held[shard] == sizes[1] for shard in list(held)[:-1] if shard != max(held)) and set(held) == set(range(len(held)))
+
+
+def test_the_same_rows_in_another_order(spark, sizes):
+    rows = corpus()
+    one, other = frame(spark, rows), frame(spark, rows[::-1]).repartition(7)
+    assert sorted(map(str, mixture(one).collect())) == sorted(map(str, mixture(other).collect()))
+
+
+def test_repeated_rows_are_rows_of_their_own(spark):
+    got = mixture(frame(spark, [(1, "a b c", "x")] * 40 + [(2, "a b c", "y")])).collect()
+    assert len(got) == 41 and {r.source_size for r in got if r.doc_id == 1} == {120}
+    assert sum(r.taken for r in got) in (184, 185) and all(r.taken <= 6 for r in got)
+
+
+def test_empty_tables_and_texts(spark):
+    assert mixture(frame(spark, [])).collect() == []
+    got = mixture(frame(spark, [(1, None, "x"), (2, "", None)])).collect()
+    assert [(r.size, r.target, r.taken) for r in got] == [(0, 0.0, 0)] * 2
+    assert mix_texts(frame(spark, [(1, None, "x")])).collect() == []
+
+
+def test_a_hot_source_is_packed_by_many_tasks(spark):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'one two three' AS text", "IF(id % 3 = 0, 'cold', 'hot') AS source")
+    packed, _ = mixing._prepared(docs)
+    placed = packed.where("s = 2").orderBy("first").collect()
+    assert [r["first"] for r in placed] == list(range(0, 3 * len(placed), 3))
+    assert packed.inputFiles() and mixture(docs).agg({"taken": "sum"}).first()[0] == 90_000
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 64, 65, 4097])
+def test_permutations(size):
+    every = np.arange(size)
+    for key in (0, 1, 2**40):
+        assert sorted(permuted(every, np.full(size, size), np.full(size, key))) == every.tolist()
+    big = np.full(1000, 10**15)
+    assert len(set(permuted(np.arange(1000), big, np.full(1000, 7)))) == 1000
+
+
+def test_draws_follow_the_shares(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 1000)
+    targets = spark.createDataFrame([(1, 50_000), (2, 30_000), (3, 20_000), (4, 0)], "s BIGINT, slots BIGINT")
+    drawn = mixing.draw(targets).toPandas()
+    assert drawn.groupby("shard").drawn.sum().tolist() == [1000] * 100
+    means = drawn.groupby("s").drawn.mean()
+    assert means.loc[[1, 2, 3]].tolist() == pytest.approx([500, 300, 200], abs=8) and 4 not in means
+    assert 10 < drawn[drawn.s == 1].drawn.std() < 22  # of a multinomial: sqrt(1000 / 4) = 15.8
