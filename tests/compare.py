@@ -42,7 +42,7 @@ def spark_rows(df):
 
 def connect(sf_dir):
     con = duckdb.connect()
-    for table in ("events", "documents", "pages", "benchmark", "labels", "conversations"):
+    for table in ("events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         path = f"{sf_dir}/{table}.parquet"
         source = f"{path}/*.parquet" if os.path.isdir(path) else path
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{source}')")
