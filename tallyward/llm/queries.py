@@ -9,6 +9,7 @@ from tallyward.llm.decontaminate import contaminated
 from tallyward.llm.edit_counts import derived_edits, recount, send_vocabulary, token_trees
 from tallyward.llm.exact_dedup import exact_duplicates
 from tallyward.llm.filter_audit import audit_filters
+from tallyward.llm.hard_negatives import hard_negatives
 from tallyward.llm.html_text import extract_text
 from tallyward.llm.line_dedup import dedup_lines
 from tallyward.llm.mixing import mixture
@@ -75,6 +76,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_mixing": op12_mixing,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -183,6 +189,27 @@ ORACLE = {
         GROUP BY d.id, i.id, item_shingles
         HAVING count(*) * 5 >= item_shingles * 4
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                   CAST(list_sum([p[1] * p[2] FOR p IN list_zip(a.x, b.x)]) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT * FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, p.vec_id AS positive_id,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INT) AS rank,
+               n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+         AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+        QUALIFY rank <= 5
+    """,
     "op13_filter_audit": """
         WITH texts AS (
             SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
