@@ -1,168 +1,172 @@
-"""Positions and running maxima over the whole arrival order, without a single-task sort.
+"""Positions and running maxima over the whole arrival order, in two levels and without a single-task sort.
 
-Rows are range-partitioned by (processing_time, trip_seq). Spark picks the range bounds from a
-sample of that full key, so a hot hour, or even one hot instant, is split over many tasks. Each
-range is scanned once in order; the totals of earlier ranges (one row per range) are added after.
-The scan is written before the totals are taken, so both see the same ranges whatever AQE does.
+Arrivals are cut into cells that follow one another in arrival order: hours of the arrival clock, where an hour with
+too many rows is cut into shorter steps, and an instant with too many rows into ranges of trip_seq. Each cell is
+scanned by one native window; the totals of earlier cells, one row per cell, are carried in. So a third of
+all rows in one hour, or in one instant, is spread over as many cells as its size asks for.
 """
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyward.functions.clock import lateness_seconds, minutes, watermark, window_end
+from tallyward.functions.clock import lateness_seconds, minutes, watermark, window_end, window_start
 from tallyward.operators.closing import flag_late, window_closers
 from tallyward.policy import BATCH_SIZE, LatenessPolicy
 from tallyward.session import stage
 from tallyward.sources.trips import ARRIVAL
 
-_NO_TIME = np.iinfo(np.int64).min
-
-
-# The two task functions are built inside functions: Spark then ships their code by value, and
-# executors need numpy and pyarrow but not this package.
-
-
-def _range_scanner():
-    """Running maximum and row number of one ordered range, before and at each row."""
-    no_time = _NO_TIME
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, rows = no_time, 0
-        for batch in batches:
-            seen = batch.column("seen_us").fill_null(no_time).to_numpy(zero_copy_only=False)
-            running = np.maximum.accumulate(np.concatenate(([best], seen)))
-            before = running[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns,
-                    pa.array(before, pa.int64(), mask=before == no_time),
-                    pa.array(np.arange(rows + 1, rows + 1 + len(seen)), pa.int64()),
-                ],
-                names=[*batch.schema.names, "range_max_before", "range_position"],
-            )
-            best, rows = running[-1], rows + len(seen)
-
-    return scan
-
-
-def _record_filter():
-    """Drop rows that an earlier arrival in the same Arrow batch already matches or exceeds.
-
-    They cannot raise the running maximum at any point, so this is the map-side combine of a
-    prefix maximum. On a dense stream it leaves a small part of the rows to shuffle.
-    """
-    no_time, (time, seq) = _NO_TIME, ARRIVAL
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrived = batch.column(time).cast(pa.int64()).to_numpy()
-            order = np.lexsort((batch.column(seq).to_numpy(), arrived))
-            seen = batch.column("seen_us").to_numpy()[order]
-            before = np.maximum.accumulate(np.concatenate(([no_time], seen)))[:-1]
-            yield batch.take(pa.array(order[seen > before]))
-
-    return keep
-
-
-def scan_arrivals(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """Add `position` (1-based) and `max_before`, the newest seen time of all earlier rows.
-
-    rows carries the ARRIVAL columns and seen_us, the event time in microseconds; rows whose
-    seen_us is NULL only look.
-    """
-    ordered = (
-        rows.repartitionByRange(*ARRIVAL)
-        .sortWithinPartitions(*ARRIVAL)
-        .withColumn("range_id", F.spark_partition_id())
-    )
-    schema = (
-        T.StructType(list(ordered.schema))
-        .add("range_max_before", T.LongType())
-        .add("range_position", T.LongType())
-    )
-    scanned = stage(ordered.mapInArrow(_range_scanner(), schema), "arrivals", path)
-    totals = scanned.groupBy("range_id").agg(
-        F.max(F.greatest("range_max_before", "seen_us")).alias("range_max"), F.count(F.lit(1)).alias("range_rows")
-    )
-    # One row per range, so both this ordered pass and the broadcast are bounded by the number of
-    # shuffle partitions, whatever the data size.
-    earlier = W.orderBy("range_id").rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(
-        "range_id",
-        F.max("range_max").over(earlier).alias("carried_max"),
-        F.coalesce(F.sum("range_rows").over(earlier), F.lit(0)).alias("carried_rows"),
-    )
-    return (
-        scanned.join(F.broadcast(carry), "range_id")
-        .withColumn("max_before", F.timestamp_micros(F.greatest("carried_max", "range_max_before")))
-        .withColumn("position", F.col("carried_rows") + F.col("range_position"))
-        .drop("range_id", "range_max_before", "range_position", "carried_max", "carried_rows", "seen_us")
-    )
+CELL_MICROS = 3_600_000_000
+#: Rows up to which an hour or an instant stays one cell.
+CELL_ROWS = 1 << 20
+CELL = ("cell_start", "cell_piece")
+
+
+class ArrivalCells:
+    """The cells of a set of arrivals, given as the ARRIVAL columns and seen_us, the event time in microseconds."""
+
+    def __init__(self, seen: DataFrame, most: int = CELL_ROWS):
+        self._crowded = None
+        totals = [F.max("seen_us").alias("cell_max"), F.count(F.lit(1)).alias("cell_rows")]
+        sizes = stage(self.place(seen).groupBy(*CELL).agg(*totals), "arrival-cells")
+        if sizes.where(F.col("cell_rows") > most).head(1):
+            self._crowded = stage(self._cuts(seen, sizes.where(F.col("cell_rows") > most), most), "crowded-cells")
+            sizes = stage(self.place(seen).groupBy(*CELL).agg(*totals), "arrival-cells")
+        # The only pass over all cells sees one row for each.
+        earlier = W.orderBy(*CELL).rowsBetween(W.unboundedPreceding, -1)
+        self.carry = sizes.select(
+            *CELL,
+            F.max("cell_max").over(earlier).alias("carried_max"),
+            F.coalesce(F.sum("cell_rows").over(earlier), F.lit(0)).alias("carried_rows"),
+        )
+
+    @staticmethod
+    def _arrived() -> tuple[Column, Column]:
+        """Arrival in microseconds, and the start of its hour."""
+        us = F.unix_micros(ARRIVAL[0])
+        return us, us - F.pmod(us, F.lit(CELL_MICROS))
+
+    def _cuts(self, seen: DataFrame, crowded: DataFrame, most: int) -> DataFrame:
+        """Per crowded hour: the step it is cut into, and its crowded instants with their range of trip_seq."""
+        us, hour = self._arrived()
+        step = F.greatest(F.expr(f"{CELL_MICROS} div (cell_rows div {most} + 1)"), F.lit(1))
+        steps = crowded.select(F.col("cell_start").alias("hour"), step.alias("step"))
+        seq = F.col(ARRIVAL[1]).cast("double")
+        instants = (
+            seen.select(hour.alias("hour"), us.alias("us"), seq.alias("seq"))
+            .join(steps, "hour", "left_semi")
+            .groupBy("hour", "us")
+            .agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("low"), F.max("seq").alias("high"))
+            .where(F.col("rows") > most)
+        )
+        width = (F.col("high") - F.col("low")) / F.ceil(F.col("rows") / most)
+        instant = F.struct(F.col("us"), F.col("low"), F.greatest(width, F.lit(1.0)).alias("width"))
+        # Each instant in a list stands for more than `most` rows, so lists are short.
+        lists = instants.groupBy("hour").agg(F.array_sort(F.collect_list(instant)).alias("instants"))
+        return steps.join(lists, "hour", "left")
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """rows with the cell each falls into."""
+        us, hour = self._arrived()
+        if self._crowded is None:
+            return rows.withColumn("cell_start", hour).withColumn("cell_piece", F.lit(0).cast("long"))
+        cut = rows.withColumn("hour", hour).join(self._crowded, "hour", "left")
+        into = us - F.col("hour")
+        stepped = F.col("hour") + F.coalesce(into - into % F.col("step"), F.lit(0))
+        mine = F.element_at(F.filter("instants", lambda i: i["us"] == us), 1)
+        last = F.array_max(F.transform(F.filter("instants", lambda i: i["us"] < us), lambda i: i["us"]))
+        instant = F.when(F.exists("instants", lambda i: i["us"] == us), mine)
+        piece = F.floor((F.col(ARRIVAL[1]).cast("double") - F.col("instant.low")) / F.col("instant.width"))
+        return (
+            cut.withColumn("instant", instant)
+            # What follows a crowded instant in its step starts a cell of its own.
+            .withColumn("cell_start", F.coalesce(F.col("instant.us"), F.greatest(stepped, last + 1)))
+            .withColumn("cell_piece", F.coalesce(piece, F.lit(0)).cast("long"))
+            .drop("hour", "step", "instants", "instant")
+        )
+
+    def scan(self, rows: DataFrame) -> DataFrame:
+        """Add `max_before`, the newest seen time of all earlier rows, and `position`, the place among rows if rows are
+        all arrivals. Rows whose seen_us is NULL only look."""
+        cell = W.partitionBy(*CELL).orderBy(*ARRIVAL)
+        before = F.max("seen_us").over(cell.rowsBetween(W.unboundedPreceding, -1))
+        return (
+            self.place(rows)
+            .join(self.carry, list(CELL))
+            .withColumn("max_before", F.timestamp_micros(F.greatest("carried_max", before)))
+            .withColumn("position", F.col("carried_rows") + F.row_number().over(cell))
+            .drop(*CELL, "carried_max", "carried_rows", "seen_us")
+        )
+
+
+def seen(trips: DataFrame) -> DataFrame:
+    """What cells and watermarks need of trips. A trip without one of its times is an error."""
+    time, seq = ARRIVAL
+    happened = F.coalesce("event_time", F.raise_error(F.lit("trip without event_time")))
+    arrived = F.coalesce(time, F.raise_error(F.lit("trip without processing_time")))
+    return trips.select(arrived.alias(time), seq, F.unix_micros(happened).alias("seen_us"))
 
 
 def number_arrivals(
-    trips: DataFrame, policy: LatenessPolicy, batch_size: int = BATCH_SIZE, path: str | None = None
+    trips: DataFrame, policy: LatenessPolicy, batch_size: int = BATCH_SIZE, most: int = CELL_ROWS
 ) -> DataFrame:
     """Stream position, batch number and watermark of every trip at its arrival."""
-    happened = F.coalesce("event_time", F.raise_error(F.lit("trip without event_time")))
-    arrived = F.coalesce("processing_time", F.raise_error(F.lit("trip without processing_time")))
-    timed = trips.withColumn("processing_time", arrived).withColumn("seen_us", F.unix_micros(happened))
-    scanned = scan_arrivals(timed, path)
+    scanned = ArrivalCells(seen(trips), most).scan(trips.withColumn("seen_us", F.unix_micros("event_time")))
     return scanned.withColumn("watermark", watermark(F.col("max_before"), policy)).withColumn(
         "batch_id", F.expr(f"(position - 1) div {int(batch_size)} + 1")
     )
 
 
-def late_and_records(
-    trips: DataFrame,
-    policy: LatenessPolicy,
-    closers: DataFrame,
-    carried_max: Column | None = None,
-    path: str | None = None,
-) -> DataFrame:
-    """Late trips (with window_start), and the trips that may raise the running maximum (without).
+def late_side_output(trips: DataFrame, policy: LatenessPolicy, most: int = CELL_ROWS) -> DataFrame:
+    """Every late trip with its window, the watermark it met and how far behind that it was.
 
-    Staged, because picking range bounds reads its input once more and should not read all trips.
+    Late trips are found by their window's closer. Only they are shuffled whole; of all others the arrival and the
+    event time go to the scan.
     """
-    late = flag_late(trips, closers, policy, carried_max).where("is_late")
-    late = late.drop("is_late", "window_closed").withColumn("seen_us", F.lit(None).cast("long"))
-    seen = trips.select(*ARRIVAL, F.unix_micros("event_time").alias("seen_us"))
-    records = seen.mapInArrow(_record_filter(), seen.schema)
-    return stage(late.unionByName(records, allowMissingColumns=True), "late-and-records", path)
+    late = flag_late(trips, window_closers(trips, policy), policy).where("is_late").drop("is_late", "window_closed")
+    all_seen = seen(trips)
+    looking = late.withColumn("seen_us", F.lit(None).cast("long"))
+    scanned = ArrivalCells(all_seen, most).scan(looking.unionByName(all_seen, allowMissingColumns=True))
+    return with_lateness(scanned.where(F.col("window_start").isNotNull()), policy).drop("position")
 
 
-def with_watermark(
-    rows: DataFrame, policy: LatenessPolicy, carried_max: Column | None = None, path: str | None = None
-) -> DataFrame:
-    """The late trips of late_and_records with the watermark they met and their lateness."""
-    scanned = scan_arrivals(rows, path)
-    newest = F.col("max_before") if carried_max is None else F.greatest("max_before", carried_max)
+def with_lateness(late: DataFrame, policy: LatenessPolicy) -> DataFrame:
+    """Scanned late trips with the watermark they met instead of max_before, the end of their window and their lateness."""
     return (
-        scanned.where(F.col("window_start").isNotNull())
-        .withColumn("window_end", window_end(F.col("window_start"), policy))
-        .withColumn("watermark", watermark(newest, policy))
+        late.withColumn("window_end", window_end(F.col("window_start"), policy))
+        .withColumn("watermark", watermark(F.col("max_before"), policy))
         .withColumn("lateness_seconds", lateness_seconds(F.col("watermark"), F.col("event_time")))
-        .drop("max_before", "position")
+        .drop("max_before")
     )
 
 
-def late_side_output(trips: DataFrame, policy: LatenessPolicy, carried_max: Column | None = None) -> DataFrame:
-    """Every late trip with its window, the watermark it met and how far behind that it was.
-
-    Late trips are found by their window's closer, so only they and the trips that may raise the
-    running maximum go through the range shuffle.
-    """
-    rows = late_and_records(trips, policy, window_closers(trips, policy), carried_max)
-    return with_watermark(rows, policy, carried_max)
-
-
 def late_by_watermark(policy: LatenessPolicy) -> Column:
     """The late test on a numbered stream: the window's closing mark is at or below the watermark."""
     closes = F.col("window_start") + minutes(policy.closes_after)
     return F.coalesce(closes <= F.col("watermark"), F.lit(False))
+
+
+def judge_arrivals(
+    trips: DataFrame, policy: LatenessPolicy, carried_max: Column, rows: int, most: int = CELL_ROWS
+) -> DataFrame:
+    """One part of a stream: its trips with position in the part, max_before, window_start and is_late.
+
+    carried_max is the newest event time of all parts before, NULL for the first. A part known to have no more rows
+    than a cell is one cell, and needs no totals.
+    """
+    looked = trips.withColumn("seen_us", F.unix_micros("event_time"))
+    if rows <= most:
+        order = W.partitionBy().orderBy(*ARRIVAL)
+        before = F.max("seen_us").over(order.rowsBetween(W.unboundedPreceding, -1))
+        scanned = looked.withColumn("max_before", F.timestamp_micros(before)).withColumn("position", F.row_number().over(order).cast("long"))
+        scanned = scanned.drop("seen_us")
+    else:
+        scanned = ArrivalCells(seen(trips), most).scan(looked)
+    newest = F.greatest("max_before", carried_max)
+    return (
+        scanned.withColumn("max_before", newest)
+        .withColumn("window_start", window_start(F.col("event_time"), policy))
+        .withColumn("watermark", watermark(F.col("max_before"), policy))
+        .withColumn("is_late", late_by_watermark(policy))
+        .drop("watermark")
+    )

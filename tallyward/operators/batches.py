@@ -143,22 +143,30 @@ def batch_zone_totals(emitted: DataFrame) -> DataFrame:
 
 def late_by_batch(flagged: DataFrame) -> DataFrame:
     """Late trips per batch and zone, ranked most first; a zone's name settles ties."""
-    counts = flagged.where("is_late").groupBy("batch_id", "zone").agg(F.count(F.lit(1)).alias("late"))
+    return ranked_late(flagged.where("is_late").groupBy("batch_id", "zone").agg(F.count(F.lit(1)).alias("late")))
+
+
+def ranked_late(counts: DataFrame) -> DataFrame:
+    """batch_id, zone and late with the place of each zone in its batch."""
     most_first = W.partitionBy("batch_id").orderBy(F.desc("late"), "zone")
     return counts.withColumn("place", F.row_number().over(most_first).cast("long"))
 
 
 def late_examples(flagged: DataFrame, n: int = LATE_EXAMPLES) -> DataFrame:
-    """First n late trips of each batch with their delay, and how many more there were.
+    """First n late trips of each batch with their delay, and how many more there were."""
+    counts = flagged.where("is_late").groupBy("batch_id").agg(F.count(F.lit(1)).alias("all_late"))
+    more = counts.select("batch_id", F.greatest(F.col("all_late") - n, F.lit(0)).alias("more"))
+    return first_late(flagged, n).join(more, "batch_id")
 
-    A group is one batch, so its size is bounded by the batch size.
-    """
-    in_batch = W.partitionBy("batch_id")
+
+def first_late(flagged: DataFrame, n: int = LATE_EXAMPLES) -> DataFrame:
+    """First n late trips of each batch in arrival order. The limit holds before the shuffle too, so a batch of any
+    number of late trips deals n rows per task."""
     delay = delay_minutes(F.col("event_time"), F.col("processing_time"))
+    arrived = W.partitionBy("batch_id").orderBy(*ARRIVAL)
     return (
         flagged.where("is_late")
-        .withColumn("place", F.row_number().over(in_batch.orderBy("position")).cast("long"))
-        .withColumn("more", F.greatest(F.count(F.lit(1)).over(in_batch) - n, F.lit(0)))
+        .withColumn("place", F.row_number().over(arrived).cast("long"))
         .where(F.col("place") <= n)
         .withColumn("delay", delay)
         .select(
@@ -171,6 +179,5 @@ def late_examples(flagged: DataFrame, n: int = LATE_EXAMPLES) -> DataFrame:
             F.expr("delay div 60").alias("delay_hours"),
             (F.col("delay") % 60).alias("delay_minutes"),
             "lateness_seconds",
-            "more",
         )
     )

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tallyward.functions.clock import fmt, outside_day, within_day
 from tallyward.operators import arrival, batches, counts, delays, health, schema
 from tallyward.operators.closing import flag_late, window_closers
-from tallyward.policy import CORRECTION_JOB, SAMPLE_ROWS, LatenessPolicy
+from tallyward.policy import BATCH_SIZE, CORRECTION_JOB, SAMPLE_ROWS, LatenessPolicy
 from tallyward.session import new_dir, prepare, stage
 from tallyward.sources.trips import (
     SURGE_FROM,
@@ -18,6 +18,7 @@ from tallyward.sources.trips import (
     through_day,
     trips_from_events,
     write_arrivals,
+    write_batches,
 )
 from tallyward.streaming.ingest import COUNT_SCHEMA, CountingStream
 from tallyward.tables import changelog, corrections
@@ -551,3 +552,68 @@ def stream_conservation(trips):
     left = stream.open_windows().where("clock = 'event'").agg(F.coalesce(F.sum("trip_count"), F.lit(0)).alias("still_open"))
     joined = totals.withColumns({"on_time": on_time.scalar(), "still_open": left.scalar()})
     return joined.withColumn("balanced", F.expr("on_time + late + still_open = rows"))
+
+
+def _micro_batched(trips: DataFrame) -> CountingStream:
+    """The whole stream in micro-batches of BATCH_SIZE trips, one landed file each."""
+    spark = trips.sparkSession
+    landing = new_dir(spark, "landing")
+    write_batches(arrival.number_arrivals(trips, POLICY), landing, BATCH_SIZE)
+    stream = CountingStream(spark, new_dir(spark, "stream"), POLICY)
+    stream.run(landing, files_per_batch=1)
+    return stream
+
+
+@query
+def stream_emission_batch(trips):
+    """Which micro-batch of the stream closed each window."""
+    stream = _micro_batched(trips)
+    return counts.both_clocks(stream.zone_counts("event"), stream.zone_counts("processing"))
+
+
+@query
+def stream_batch_report(trips):
+    """Per micro-batch and zone: trips in windows closed on each clock, late trips and the zone's place among late ones."""
+    stream = _micro_batched(trips)
+    return stream.batch_zone_totals().join(stream.late_by_batch(), ["batch_id", "zone"], "full")
+
+
+@query
+def stream_late_examples(trips):
+    """First late trips of each micro-batch, and how many more there were."""
+    return _micro_batched(trips).late_examples()
+
+
+@query
+def stream_batch_summary(trips):
+    """Bounds, watermark, late trips and closed windows of each micro-batch, from progress alone."""
+    return _micro_batched(trips).summary().drop("event_trips", "processing_trips")
+
+
+@query
+def stored_side_output_rate(trips):
+    """Side-output rate from what each batch added, not from trips."""
+    return health.side_output_rate(_streamed(trips).late_by_zone())
+
+
+@query
+def stored_completeness_by_zone(trips):
+    stream = _streamed(trips, crash_after=("tallies", 2))
+    return health.completeness_by_zone(health.completeness_by_window(stream.window_tallies()))
+
+
+@query
+def stored_worst_windows(trips):
+    return health.worst_windows(health.completeness_by_window(_streamed(trips).window_tallies()))
+
+
+@query
+def stop_inside_a_file(trips):
+    """One landed file, read up to the end of the second day, then to its end: batches, trips and closed windows of both."""
+    spark = trips.sparkSession
+    landing, stop = new_dir(spark, "landing"), F.unix_micros(F.lit(NEXT_DAY).cast("timestamp"))
+    write_arrivals(trips, landing, files=1)
+    stream = CountingStream(spark, new_dir(spark, "stream"), POLICY)
+    stream.run(landing, stop_us=spark.range(1).select(stop).first()[0])
+    stream.run(landing)
+    return stream.summary().select("batch_id", "first_row", "last_row", "late", "event_windows", "event_trips", "processing_windows", "processing_trips")

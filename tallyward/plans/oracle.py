@@ -428,3 +428,38 @@ UNION ALL SELECT 'added', n2 + nb FROM rows_of""",
   (SELECT coalesce(sum(trip_count), 0)::BIGINT FROM event_open) AS still_open""",
     ),
 }
+
+# What the stream does in micro-batches, and from its stored tallies, has the definition of the batch queries.
+ORACLE |= {
+    name: ORACLE[same]
+    for name, same in {
+        "stream_emission_batch": "emission_batch",
+        "stream_late_examples": "late_examples_per_batch",
+        "stream_batch_summary": "batch_summary",
+        "stored_side_output_rate": "side_output_rate",
+        "stored_completeness_by_zone": "completeness_by_zone",
+        "stored_worst_windows": "worst_windows",
+    }.items()
+}
+ORACLE |= {
+    "stream_batch_report": f"""SELECT * FROM ({ORACLE["batch_zone_totals"]}) FULL JOIN ({ORACLE["late_by_batch"]}) USING (batch_id, zone)""",
+    "stop_inside_a_file": _with(
+        STREAM
+        + """,
+parts AS (SELECT * EXCLUDE (batch_id), CASE WHEN processing_time < TIMESTAMP '2024-01-03' THEN 1 ELSE 2 END AS part FROM flagged),
+stopped AS (SELECT max(event_time) AS max_event, max(processing_time) AS max_processing FROM parts WHERE part = 1),
+event_batches AS (
+  SELECT w.*, CASE WHEN window_start + INTERVAL 27 MINUTE <= max_event THEN 1 ELSE 2 END AS batch_id FROM event_closed w, stopped
+),
+arrival_batches AS (
+  SELECT w.*, CASE WHEN window_start + INTERVAL 15 MINUTE <= max_processing THEN 1 ELSE 2 END AS batch_id FROM arrival_closed w, stopped
+)""",
+        """SELECT batch_id, first_row, last_row, late,
+  (SELECT count(*) FROM event_batches e WHERE e.batch_id = b.batch_id) AS event_windows,
+  (SELECT coalesce(sum(trip_count), 0)::BIGINT FROM event_batches e WHERE e.batch_id = b.batch_id) AS event_trips,
+  (SELECT count(*) FROM arrival_batches e WHERE e.batch_id = b.batch_id) AS processing_windows,
+  (SELECT coalesce(sum(trip_count), 0)::BIGINT FROM arrival_batches e WHERE e.batch_id = b.batch_id) AS processing_trips
+FROM (SELECT part AS batch_id, min(position) AS first_row, max(position) AS last_row, count(*) FILTER (is_late) AS late
+      FROM parts GROUP BY part) b""",
+    ),
+}

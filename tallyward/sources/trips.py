@@ -91,12 +91,20 @@ def write_arrivals(trips: DataFrame, path: str, files: int | None = None) -> Non
     A column that is NULL is left out of its line, as from a phone that does not know it yet.
     """
     ranged = trips.repartitionByRange(files, *ARRIVAL) if files else trips.repartitionByRange(*ARRIVAL)
-    (
-        ranged.sortWithinPartitions(*ARRIVAL)
-        .write.mode("append")
-        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-        .json(path)
-    )
+    _write_lines(ranged.sortWithinPartitions(*ARRIVAL), path)
+
+
+def write_batches(numbered: DataFrame, path: str, rows_per_file: int) -> None:
+    """Append JSON lines in arrival order, rows_per_file in each file but the last of all. numbered are trips with
+    their batch_id for that batch size (number_arrivals)."""
+    # A range holds whole batches, so files that are cut by their length are the batches.
+    ranged = numbered.repartitionByRange("batch_id").sortWithinPartitions(*ARRIVAL)
+    _write_lines(ranged.select(*[c.split()[0] for c in TRIP_SCHEMA.split(", ")]), path, maxRecordsPerFile=rows_per_file)
+
+
+def _write_lines(rows: DataFrame, path: str, **options) -> None:
+    wire = rows.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    wire.options(**options).json(path)
 
 
 def _with_sequence(trips: DataFrame) -> DataFrame:
@@ -105,13 +113,6 @@ def _with_sequence(trips: DataFrame) -> DataFrame:
     return trips.withColumn("trip_seq", F.coalesce("trip_seq", F.xxhash64("trip_id")))
 
 
-def read_arrivals(spark: SparkSession, path: str) -> DataFrame:
+def read_arrivals(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Batch read of JSON lines. A malformed line fails the read instead of becoming NULLs."""
     return _with_sequence(spark.read.schema(TRIP_SCHEMA).option("mode", "FAILFAST").json(path))
-
-
-def stream_arrivals(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(TRIP_SCHEMA).option("mode", "FAILFAST")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return _with_sequence(reader.json(path))

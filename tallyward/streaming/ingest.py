@@ -1,45 +1,51 @@
 """The counting stream: JSON arrivals in, four tables out, safe to crash and replay at any point.
 
-    trips_raw/batch_id=N/       every trip as received
+    trips_raw/batch_id=N/       every trip as received, with the verdict on it (position, max_before, window_start, is_late)
     late_events/batch_id=N/     trips that came after their window had closed
+    tallies/batch_id=N/         trips and late trips of the batch per clock, zone and window
     window_state/batch_id=N/    counts still open, or closed by batch N, on both clocks
-    zone_counts_event_time/     change log of closed event-time windows
-    zone_counts_processing_time/
-    progress/batch_id=N/        clocks, totals and count-table versions after batch N, written last
+    zone_counts_event_time/batch_id=N/        windows closed by batch N
+    zone_counts_processing_time/batch_id=N/
+    progress/batch_id=N/        clocks and totals after batch N, written last
 
 Batch N reads the state of batch N-1 and overwrites only its own partitions, so a replay of the same
-files rewrites the same rows. Readers ignore batches above the newest one in progress.
+files rewrites the same rows. Readers ignore batches above the newest one in progress. No step lists what
+earlier batches wrote, so a batch costs the same however many came before it.
 
-Files must land in arrival order: across batches, (processing_time, trip_seq) must not go back.
+Files are admitted in arrival order by the landing index. A file that begins before what has been counted is refused.
 """
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.functions.clock import minutes, window_start
-from tallyward.functions.measures import zero_if_null
-from tallyward.operators.arrival import late_and_records, with_watermark
-from tallyward.operators.closing import flag_late, window_closers
-from tallyward.policy import LatenessPolicy
-from tallyward.session import one_row, prepare
-from tallyward.sources.trips import OPTIONAL_COLUMNS, TRIP_SCHEMA, stream_arrivals
-from tallyward.tables.changelog import ChangeLog
-
-APP_ID = "tallyward-stream"
+from tallyward.operators import batches
+from tallyward.operators.arrival import CELL_ROWS, judge_arrivals, with_lateness
+from tallyward.operators.counts import both_clocks
+from tallyward.policy import LATE_EXAMPLES, LatenessPolicy
+from tallyward.session import one_row, prepare, stage
+from tallyward.sources.landing import Admission, publish, stream_entries
+from tallyward.sources.trips import OPTIONAL_COLUMNS, TRIP_SCHEMA
+from tallyward.streaming.live import LANDED
+
 COUNT_SCHEMA = "zone STRING, window_start TIMESTAMP, trip_count BIGINT, batch_id BIGINT"
+VERDICT = "position BIGINT, max_before TIMESTAMP, window_start TIMESTAMP, is_late BOOLEAN"
 LATE_COLUMNS = "window_start TIMESTAMP, window_end TIMESTAMP, watermark TIMESTAMP, lateness_seconds DOUBLE"
+TALLY_SCHEMA = "clock STRING, zone STRING, window_start TIMESTAMP, trips BIGINT, late BIGINT"
 STATE_SCHEMA = "clock STRING, zone STRING, window_start TIMESTAMP, trip_count BIGINT, closed BOOLEAN"
+COUNT_TABLES = {"event": "zone_counts_event_time", "processing": "zone_counts_processing_time"}
+#: What is known of the windows a batch closes, per clock.
+CLOSED = ("windows", "trips", "first_start_us", "last_start_us")
 PROGRESS_SCHEMA = (
-    "rows BIGINT, total_rows BIGINT, late BIGINT, total_late BIGINT, "
+    "rows BIGINT, total_rows BIGINT, late BIGINT, total_late BIGINT, entries BIGINT, "
     "min_processing_us BIGINT, max_event_us BIGINT, max_processing_us BIGINT, max_seq BIGINT, "
-    "event_version BIGINT, processing_version BIGINT, trip_columns STRING, late_columns STRING"
+    "trip_columns STRING, late_columns STRING, "
+    + ", ".join(f"{clock}_{what} BIGINT" for clock in COUNT_TABLES for what in CLOSED)
 )
-COUNT_TABLES = {"event": "zone_counts_event_time", "processing": "zone_counts_processing_time"}
 
 
 def _latest(a: int | None, b: int | None) -> int | None:
@@ -53,23 +59,52 @@ class CountingStream:
         root: str,
         policy: LatenessPolicy | None = None,
         after_step: Callable[[str, int], None] | None = None,
+        on_batch: Callable[[int, dict], None] | None = None,
+        cell_rows: int = CELL_ROWS,
     ):
-        """root is the folder of all tables; after_step is called after each write of a batch."""
+        """root is the folder of all tables; after_step is called after each write of a batch, on_batch after the
+        last with the batch's figures. cell_rows is the number of rows that one task scans."""
         self.spark = prepare(spark)
         self.root = root.rstrip("/")
         self.policy = policy or LatenessPolicy()
         self.after_step = after_step or (lambda step, batch_id: None)
-        self.counts = {
-            clock: ChangeLog(spark, f"{self.root}/{name}", COUNT_SCHEMA) for clock, name in COUNT_TABLES.items()
-        }
+        self.on_batch = on_batch or (lambda batch_id, figures: None)
+        self.cell_rows = cell_rows
+        self._newest: tuple[int, Row] | None = None
 
     # -- running ------------------------------------------------------------------------------
 
-    def run(self, landing: str, files_per_batch: int | None = None) -> None:
-        """Process everything that has landed and stop; a later run continues from there."""
+    def run(self, landing: str, files_per_batch: int | None = None, stop_us: int | None = None) -> None:
+        """Process everything that has landed and stop; a later run continues from there.
+
+        With stop_us, trips from that instant of the arrival clock on are left for a later run, also those in a file that
+        has earlier ones.
+        """
+        publish(self.spark, landing, stop_us)
+        admission = None
+
+        def batch(entries: DataFrame, spark_id: int) -> None:
+            nonlocal admission
+            if admission is None:
+                before = self._progress_row(spark_id)
+                key = before and before.max_processing_us is not None and (before.max_processing_us, before.max_seq)
+                admission = Admission(self.spark, landing, key or None, before.entries if before else 0)
+            admitted = admission.take(entries.count())
+            if admitted.files:
+                self._apply(admitted.read(self.spark), spark_id + 1, admitted.__dict__)
+            else:
+                self.apply(self.spark.createDataFrame([], TRIP_SCHEMA), spark_id + 1)
+
+        landed = [
+            F.count(F.lit(1)).alias("files"),
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+            F.min("first_us").alias("first_us"),
+            F.max("last_us").alias("last_us"),
+        ]
         query = (
-            stream_arrivals(self.spark, landing, files_per_batch)
-            .writeStream.foreachBatch(lambda batch, spark_id: self.apply(batch, spark_id + 1))
+            stream_entries(self.spark, landing, files_per_batch)
+            .observe(LANDED, *landed)
+            .writeStream.foreachBatch(batch)
             .option("checkpointLocation", f"{self.root}/_checkpoint")
             .trigger(availableNow=True)
             .start()
@@ -77,142 +112,148 @@ class CountingStream:
         query.awaitTermination()
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch. Calling it again with the same rows leaves the same tables."""
-        before, late, late_columns = self._progress_row(batch_id - 1), 0, ""
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            stats = self._check(batch, batch_id, before)
-            seen = [c for c in OPTIONAL_COLUMNS if stats[c]]
-            if stats["rows"]:
-                unseen = [c for c in OPTIONAL_COLUMNS if c not in seen]
-                batch.drop(*unseen).write.mode("overwrite").parquet(self._partition("trips_raw", batch_id))
-        finally:
-            batch.unpersist()
-        self.after_step("trips_raw", batch_id)
-
-        trip_columns = self._add_columns(before and before.trip_columns, seen)
-        if before:
-            late_columns = before.late_columns
-        max_event = _latest(before and before.max_event_us, stats["max_event_us"])
-        max_processing = _latest(before and before.max_processing_us, stats["max_processing_us"])
-        max_seq = stats["newest"].seq if stats["rows"] else before and before.max_seq
-        versions = {clock: before and before[f"{clock}_version"] for clock in COUNT_TABLES}
-
-        if stats["rows"]:
-            # From here on everything derives from the written partition: columnar, pruned, durable.
-            trips = self.spark.read.schema(TRIP_SCHEMA).parquet(self._partition("trips_raw", batch_id))
-            carried = None
-            if before and before.max_event_us is not None:
-                carried = F.timestamp_micros(F.lit(before.max_event_us))
-            closers = window_closers(trips, self.policy, path=f"{self.root}/_work/closers")
-            late, seen_late = self._write_late(trips, closers, carried, batch_id)
-            late_columns = self._add_columns(late_columns, seen_late)
-            self.after_step("late_events", batch_id)
-            self._write_windows(trips, closers, carried, max_event, max_processing, batch_id)
-            self.after_step("window_state", batch_id)
-            for clock, log in self.counts.items():
-                log.append(self._closed_by(clock, batch_id), app_id=APP_ID, batch_id=batch_id)
-                versions[clock] = log.version()
-                self.after_step(COUNT_TABLES[clock], batch_id)
-        else:
-            self._carry_windows(batch_id)
-
-        self._write_progress(
-            batch_id,
-            rows=stats["rows"],
-            total_rows=(before.total_rows if before else 0) + stats["rows"],
-            late=late,
-            total_late=(before.total_late if before else 0) + late,
-            min_processing_us=stats["min_processing_us"],
-            max_event_us=max_event,
-            max_processing_us=max_processing,
-            max_seq=max_seq,
-            event_version=versions["event"],
-            processing_version=versions["processing"],
-            trip_columns=trip_columns,
-            late_columns=late_columns,
-        )
-        self.after_step("progress", batch_id)
-
-    def _check(self, batch: DataFrame, batch_id: int, before):
-        """Look at the whole batch before anything of it is written."""
+        """One micro-batch of trips. Calling it again with the same rows leaves the same tables."""
+        key = F.struct(F.unix_micros("processing_time").alias("us"), F.col("trip_seq").alias("seq"))
         stats = batch.agg(
             F.count(F.lit(1)).alias("rows"),
             F.count_if(F.col("event_time").isNull() | F.col("processing_time").isNull()).alias("untimed"),
-            F.min(F.unix_micros("processing_time")).alias("min_processing_us"),
-            F.max(F.unix_micros("processing_time")).alias("max_processing_us"),
             F.max(F.unix_micros("event_time")).alias("max_event_us"),
-            F.min(F.struct(F.unix_micros("processing_time").alias("us"), F.col("trip_seq").alias("seq"))).alias("oldest"),
-            F.max(F.struct(F.unix_micros("processing_time").alias("us"), F.col("trip_seq").alias("seq"))).alias("newest"),
+            F.min(key).alias("oldest"),
+            F.max(key).alias("newest"),
             *[F.count(c).alias(c) for c in OPTIONAL_COLUMNS],
         ).first()
-        if stats["untimed"]:
-            raise ValueError(f"batch {batch_id}: {stats['untimed']} trips without event_time or processing_time")
-        if before and before.max_processing_us is not None and stats["rows"]:
+        before = self._progress_row(batch_id - 1)
+        if stats.untimed:
+            raise ValueError(f"batch {batch_id}: {stats.untimed} trips without event_time or processing_time")
+        if before and before.max_processing_us is not None and stats.rows:
             # The whole pair must grow: equal instants over two batches have one order too.
-            if tuple(stats["oldest"]) <= (before.max_processing_us, before.max_seq):
+            if tuple(stats.oldest) <= (before.max_processing_us, before.max_seq):
                 raise ValueError(f"batch {batch_id} arrives out of order: (processing_time, trip_seq) goes back")
-        return stats
+        facts = {
+            "rows": stats.rows,
+            "entries": 0,
+            "first_us": stats.oldest.us if stats.rows else None,
+            "last": tuple(stats.newest) if stats.rows else None,
+            "max_event_us": stats.max_event_us,
+            "optional": {c: stats[c] for c in OPTIONAL_COLUMNS},
+        }
+        self._apply(batch, batch_id, facts)
+
+    def _apply(self, batch: DataFrame, batch_id: int, facts: dict) -> None:
+        """A batch whose figures are known, so nothing has to be looked at before the first write."""
+        before, rows = self._progress_row(batch_id - 1), facts["rows"]
+        max_event = _latest(before and before.max_event_us, facts["max_event_us"])
+        last_us, last_seq = facts["last"] or (before and (before.max_processing_us, before.max_seq)) or (None, None)
+        seen, late, late_seen, closed = [c for c in OPTIONAL_COLUMNS if facts["optional"][c]], 0, [], {}
+        if rows:
+            late, late_seen = self._write_trips(batch, batch_id, rows, seen, before and before.max_event_us)
+            self.after_step("trips_raw", batch_id)
+            self._write_late(batch_id, late, late_seen)
+            self.after_step("late_events", batch_id)
+            self._write_tallies(batch_id)
+            self.after_step("tallies", batch_id)
+        self._write_windows(batch_id, rows, max_event, last_us)
+        self.after_step("window_state", batch_id)
+        for clock, name in COUNT_TABLES.items():
+            if rows:
+                closed |= self._write_closed(clock, batch_id)
+                self.after_step(name, batch_id)
+        figures = {
+            "rows": rows,
+            "total_rows": (before.total_rows if before else 0) + rows,
+            "late": late,
+            "total_late": (before.total_late if before else 0) + late,
+            "entries": (before.entries if before else 0) + facts["entries"],
+            "min_processing_us": facts["first_us"],
+            "max_event_us": max_event,
+            "max_processing_us": last_us,
+            "max_seq": last_seq,
+            "trip_columns": self._add_columns(before and before.trip_columns, seen),
+            "late_columns": self._add_columns(before and before.late_columns, late_seen),
+            **closed,
+        }
+        schema = T.StructType.fromDDL(PROGRESS_SCHEMA)
+        one_row(self.spark, schema, figures).write.mode("overwrite").parquet(self._partition("progress", batch_id))
+        self._newest = batch_id, Row(**{f.name: figures.get(f.name) for f in schema})
+        self.after_step("progress", batch_id)
+        self.on_batch(batch_id, figures)
 
     # -- writing ------------------------------------------------------------------------------
 
     def _partition(self, table: str, batch_id: int) -> str:
         return f"{self.root}/{table}/batch_id={batch_id}"
 
-    def _write_late(self, trips, closers, carried, batch_id) -> tuple[int, list[str]]:
-        work = f"{self.root}/_work"
-        found = late_and_records(trips, self.policy, closers, carried, f"{work}/late-and-records")
-        stats = found.where(F.col("window_start").isNotNull()).agg(
-            F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in OPTIONAL_COLUMNS]
-        ).first()
-        seen = [c for c in OPTIONAL_COLUMNS if stats[c]]
-        if stats["rows"]:
-            late = with_watermark(found, self.policy, carried, f"{work}/arrivals")
+    def _write_trips(self, batch, batch_id, rows, seen, carried_us) -> tuple[int, list[str]]:
+        """Judge and write the trips in one pass, and count late ones on the way."""
+        if rows > self.cell_rows:
+            # Cells are found by looks at all rows, which should not parse the lines each time.
+            batch = stage(batch, "arrivals", f"{self.root}/_work/arrivals")
+        carried = F.timestamp_micros(F.lit(carried_us).cast("long"))
+        judged = judge_arrivals(batch, self.policy, carried, rows, self.cell_rows)
+        observed = Observation(f"trips-{batch_id}")
+        counted = {"late": F.count_if("is_late")} | {c: F.count(F.when(F.col("is_late"), F.col(c))) for c in OPTIONAL_COLUMNS}
+        judged = judged.observe(observed, *[c.alias(name) for name, c in counted.items()])
+        unseen = [c for c in OPTIONAL_COLUMNS if c not in seen]
+        judged.drop(*unseen).write.mode("overwrite").parquet(self._partition("trips_raw", batch_id))
+        return observed.get["late"], [c for c in OPTIONAL_COLUMNS if observed.get[c]]
+
+    def _judged(self, batch_id: int) -> DataFrame:
+        """The written trips of a batch: columnar, pruned, durable. Everything else derives from them."""
+        return self.spark.read.schema(f"{TRIP_SCHEMA}, {VERDICT}").parquet(self._partition("trips_raw", batch_id))
+
+    def _write_late(self, batch_id: int, late: int, seen: list[str]) -> None:
+        if late:
+            found = with_lateness(self._judged(batch_id).where("is_late"), self.policy).drop("is_late")
             unseen = [c for c in OPTIONAL_COLUMNS if c not in seen]
-            late.drop(*unseen).write.mode("overwrite").parquet(self._partition("late_events", batch_id))
-        return stats["rows"], seen
+            found.drop(*unseen).write.mode("overwrite").parquet(self._partition("late_events", batch_id))
+
+    def _write_tallies(self, batch_id: int) -> None:
+        """Both clocks in one grouping: a trip counts in its event window, on time or late, and in its arrival window."""
+        own = F.struct(F.lit("event").alias("clock"), F.col("window_start"), F.col("is_late"))
+        arrival = window_start(F.col("processing_time"), self.policy)
+        other = F.struct(F.lit("processing").alias("clock"), arrival.alias("window_start"), F.lit(False).alias("is_late"))
+        placed = self._judged(batch_id).select("zone", F.explode(F.array(own, other)).alias("w")).select("zone", "w.*")
+        tallies = placed.groupBy("clock", "zone", "window_start").agg(
+            F.count_if(~F.col("is_late")).alias("trips"), F.count_if("is_late").alias("late")
+        )
+        tallies.write.mode("overwrite").parquet(self._partition("tallies", batch_id))
 
     def _state(self, batch_id: int) -> DataFrame:
         return self.spark.read.schema(STATE_SCHEMA).parquet(self._partition("window_state", batch_id))
 
-    def _carried_windows(self, batch_id: int) -> DataFrame:
-        """Windows the batch before left open; nothing before the first batch."""
-        if batch_id == 1:
-            return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self._state(batch_id - 1).where(~F.col("closed"))
-
-    def _carry_windows(self, batch_id: int) -> None:
-        self._carried_windows(batch_id).write.mode("overwrite").parquet(self._partition("window_state", batch_id))
-
-    def _write_windows(self, trips, closers, carried, max_event, max_processing, batch_id) -> None:
-        policy, one = self.policy, F.count(F.lit(1)).alias("trip_count")
-        on_time = flag_late(trips, closers, policy, carried).where(~F.col("is_late"))
-        by_event = on_time.groupBy("zone", "window_start").agg(one).withColumn("clock", F.lit("event"))
-        arrival_window = window_start(F.col("processing_time"), policy).alias("window_start")
-        by_arrival = trips.groupBy("zone", arrival_window).agg(one).withColumn("clock", F.lit("processing"))
-        event_final = F.col("window_start") + minutes(policy.final_after) <= F.timestamp_micros(F.lit(max_event))
-        arrival_final = F.col("window_start") + minutes(policy.window_minutes) <= F.timestamp_micros(
-            F.lit(max_processing)
-        )
-        (
-            self._carried_windows(batch_id)
-            .drop("closed")
-            .unionByName(by_event)
-            .unionByName(by_arrival)
-            .groupBy("clock", "zone", "window_start")
-            .agg(F.sum("trip_count").alias("trip_count"))
-            .withColumn("closed", F.when(F.col("clock") == "event", event_final).otherwise(arrival_final))
-            .write.mode("overwrite")
-            .parquet(self._partition("window_state", batch_id))
+    def _write_windows(self, batch_id: int, rows: int, max_event: int | None, max_processing: int | None) -> None:
+        """Windows the batch before left open, with what the batch adds, and whether they are final now."""
+        if batch_id > 1:
+            left = self._state(batch_id - 1).where(~F.col("closed"))
+        else:
+            left = self.spark.createDataFrame([], STATE_SCHEMA)
+        path = self._partition("window_state", batch_id)
+        if not rows:
+            left.write.mode("overwrite").parquet(path)
+            return
+        tallies = self.spark.read.schema(TALLY_SCHEMA).parquet(self._partition("tallies", batch_id))
+        added = tallies.where("trips > 0").select("clock", "zone", "window_start", F.col("trips").alias("trip_count"))
+
+        def passed(after: int, clock_us: int) -> Column:
+            return F.col("window_start") + minutes(after) <= F.timestamp_micros(F.lit(clock_us))
+
+        final = F.when(F.col("clock") == "event", passed(self.policy.final_after, max_event)).otherwise(
+            passed(self.policy.window_minutes, max_processing)
         )
+        summed = left.drop("closed").unionByName(added).groupBy("clock", "zone", "window_start")
+        counts = summed.agg(F.sum("trip_count").alias("trip_count")).withColumn("closed", final)
+        counts.write.mode("overwrite").parquet(path)
 
-    def _closed_by(self, clock: str, batch_id: int) -> DataFrame:
+    def _write_closed(self, clock: str, batch_id: int) -> dict[str, int]:
+        """Windows that the batch closes on a clock, and figures about them taken from the write itself."""
+        observed, start = Observation(f"{clock}-{batch_id}"), F.unix_micros("window_start")
         closed = self._state(batch_id).where((F.col("clock") == clock) & F.col("closed"))
-        return closed.select("zone", "window_start", "trip_count", F.lit(batch_id).cast("long").alias("batch_id"))
-
-    def _write_progress(self, batch_id: int, **values) -> None:
-        row = one_row(self.spark, T.StructType.fromDDL(PROGRESS_SCHEMA), values)
-        row.write.mode("overwrite").parquet(self._partition("progress", batch_id))
+        figures = [F.count(F.lit(1)), F.coalesce(F.sum("trip_count"), F.lit(0)), F.min(start), F.max(start)]
+        closed = closed.select("zone", "window_start", "trip_count").observe(
+            observed, *[f.alias(f"{clock}_{what}") for what, f in zip(CLOSED, figures)]
+        )
+        closed.write.mode("overwrite").parquet(self._partition(COUNT_TABLES[clock], batch_id))
+        return dict(observed.get)
 
     @staticmethod
     def _add_columns(known: str | None, seen: list[str]) -> str:
@@ -224,6 +265,8 @@ class CountingStream:
     def _progress_row(self, batch_id: int):
         if batch_id == 0:
             return None
+        if self._newest and self._newest[0] == batch_id:
+            return self._newest[1]
         return self.spark.read.schema(PROGRESS_SCHEMA).parquet(self._partition("progress", batch_id)).first()
 
     def progress(self) -> DataFrame:
@@ -239,18 +282,16 @@ class CountingStream:
 
     def summary(self) -> DataFrame:
         """Per finished batch: its rows and arrival range, the watermark at its end, late trips, and
-        how many windows of each clock it closed over which span."""
-
-        def closed(clock):
-            start = F.col("window_start")
-            return self.zone_counts(clock).groupBy("batch_id").agg(
-                F.count(F.lit(1)).alias(f"{clock}_windows"),
-                F.sum("trip_count").alias(f"{clock}_trips"),
-                F.min(start).alias(f"{clock}_first_start"),
-                (F.max(start) + minutes(self.policy.window_minutes)).alias(f"{clock}_last_end"),
-            )
-
-        batches = self.progress().select(
+        how many windows of each clock it closed over which span. Read from progress alone."""
+        closed = []
+        for clock in COUNT_TABLES:
+            first, last = (F.timestamp_micros(f"{clock}_{end}_start_us") for end in ("first", "last"))
+            closed += [
+                *[F.coalesce(f"{clock}_{what}", F.lit(0)).alias(f"{clock}_{what}") for what in ("windows", "trips")],
+                first.alias(f"{clock}_first_start"),
+                (last + minutes(self.policy.window_minutes)).alias(f"{clock}_last_end"),
+            ]
+        return self.progress().select(
             "batch_id",
             (F.col("total_rows") - F.col("rows") + 1).alias("first_row"),
             F.col("total_rows").alias("last_row"),
@@ -259,20 +300,30 @@ class CountingStream:
             "max_event_time",
             "watermark",
             "late",
+            *closed,
         )
-        joined = batches.join(closed("event"), "batch_id", "left").join(closed("processing"), "batch_id", "left")
-        numbers = [f"{clock}_{what}" for clock in COUNT_TABLES for what in ("windows", "trips")]
-        return joined.withColumns({name: zero_if_null(F.col(name)) for name in numbers})
+
+    def batch_zone_totals(self) -> DataFrame:
+        """Trips in windows that each batch closed, per zone and clock, with a total row per batch."""
+        return batches.batch_zone_totals(both_clocks(self.zone_counts("event"), self.zone_counts("processing")))
+
+    def late_by_batch(self) -> DataFrame:
+        """Late trips per batch and zone, ranked most first, from the tallies."""
+        late = self.tallies().where("late > 0").groupBy("batch_id", "zone").agg(F.sum("late").alias("late"))
+        return batches.ranked_late(late)
+
+    def late_examples(self, n: int = LATE_EXAMPLES) -> DataFrame:
+        """First n late trips of each batch, and how many more there were, from progress."""
+        first = batches.first_late(self.late_events().withColumn("is_late", F.lit(True)), n)
+        more = self.progress().select("batch_id", F.greatest(F.col("late") - n, F.lit(0)).alias("more"))
+        return first.join(more, "batch_id")
 
     def last_batch(self) -> int:
         return self.progress().agg(F.max("batch_id")).first()[0]
 
-    def _table(self, name: str, base: T.StructType, added: str, upto: int | None) -> DataFrame:
-        last = self.last_batch() if upto is None else upto
-        optional = [c for c in (self._progress_row(last)[added] or "").split(",") if c]
-        kept = [f for f in base if f.name not in OPTIONAL_COLUMNS or f.name in optional]
-        schema = T.StructType(kept).add("batch_id", T.LongType())
+    def _table(self, name: str, schema: T.StructType, last: int) -> DataFrame:
         # The declared schema gives NULL for a column that older files lack; no footers are merged.
+        schema = T.StructType(list(schema)).add("batch_id", T.LongType())
         try:
             rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException as error:
@@ -281,19 +332,42 @@ class CountingStream:
             rows = self.spark.createDataFrame([], schema)
         return rows.where(F.col("batch_id") <= last)
 
+    def _with_optional(self, name: str, ddl: str, added: str, upto: int | None) -> DataFrame:
+        last = self.last_batch() if upto is None else upto
+        optional = [c for c in (self._progress_row(last)[added] or "").split(",") if c]
+        kept = [f for f in T.StructType.fromDDL(ddl) if f.name not in OPTIONAL_COLUMNS or f.name in optional]
+        return self._table(name, T.StructType(kept), last)
+
     def trips(self, upto: int | None = None) -> DataFrame:
-        return self._table("trips_raw", T.StructType.fromDDL(TRIP_SCHEMA), "trip_columns", upto)
+        return self._with_optional("trips_raw", TRIP_SCHEMA, "trip_columns", upto)
 
     def late_events(self, upto: int | None = None) -> DataFrame:
-        base = T.StructType.fromDDL(f"{TRIP_SCHEMA}, {LATE_COLUMNS}")
-        return self._table("late_events", base, "late_columns", upto)
+        return self._with_optional("late_events", f"{TRIP_SCHEMA}, {LATE_COLUMNS}", "late_columns", upto)
+
+    def tallies(self, upto: int | None = None) -> DataFrame:
+        """What each batch added per clock, zone and window: trips that count, and late ones."""
+        return self._table("tallies", T.StructType.fromDDL(TALLY_SCHEMA), self.last_batch() if upto is None else upto)
 
     def zone_counts(self, clock: str = "event", upto: int | None = None) -> DataFrame:
-        """Counts of windows closed by finished batches: the table as of the version that progress names."""
-        version = self._progress_row(self.last_batch() if upto is None else upto)[f"{clock}_version"]
-        log = self.counts[clock]
-        return self.spark.createDataFrame([], log.schema) if version is None else log.as_of(version)
+        """Counts of windows closed by finished batches."""
+        schema = T.StructType(T.StructType.fromDDL(COUNT_SCHEMA).fields[:-1])
+        return self._table(COUNT_TABLES[clock], schema, self.last_batch() if upto is None else upto)
 
     def open_windows(self, upto: int | None = None) -> DataFrame:
         last = self.last_batch() if upto is None else upto
         return self._state(last).where(~F.col("closed")).drop("closed")
+
+    # -- health, kept up to date by each batch --------------------------------------------------
+
+    def late_by_zone(self, upto: int | None = None) -> DataFrame:
+        """Events and late events per zone, added up from the tallies: no trip is read."""
+        mine = self.tallies(upto).where("clock = 'event'").groupBy("zone")
+        return mine.agg(F.sum(F.col("trips") + F.col("late")).alias("events"), F.sum("late").alias("late"))
+
+    def window_tallies(self, upto: int | None = None) -> DataFrame:
+        """On-time and late trips per zone and closed window, added up from the tallies."""
+        last = self.last_batch() if upto is None else upto
+        final = F.timestamp_micros(F.lit(self._progress_row(last).max_event_us).cast("long"))
+        closed = F.col("window_start") + minutes(self.policy.final_after) <= final
+        mine = self.tallies(last).where("clock = 'event'").where(closed).groupBy("zone", "window_start")
+        return mine.agg(F.sum("trips").alias("on_time"), F.sum("late").alias("late"))

@@ -10,7 +10,7 @@ from tallyward.session import new_dir
 from tallyward.sources.trips import arrivals_between, read_arrivals, write_arrivals
 from tallyward.streaming.ingest import CountingStream
 
-STEPS = ["trips_raw", "late_events", "window_state", "zone_counts_event_time", "zone_counts_processing_time", "progress"]
+STEPS = ["trips_raw", "late_events", "tallies", "window_state", "zone_counts_event_time", "zone_counts_processing_time", "progress"]
 
 
 def make_trips(n=240, surge_from=None, seed=1):

@@ -165,19 +165,22 @@ def test_invariants_on_a_larger_stream(spark):
     assert processing == 3000
 
 
-def test_one_instant_with_a_third_of_all_rows_is_split_over_ranges(spark):
-    """Ranges are cut by the full arrival key, so a hot instant does not become one task."""
+@pytest.mark.parametrize("most", [500, 1 << 20])
+def test_one_instant_with_a_third_of_all_rows_is_split_over_cells(spark, most):
+    """Cells of a crowded hour and a crowded instant, against one running maximum over all rows."""
     n = 30_000
     hot = F.col("id") % 3 == 0
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     df = spark.range(0, n, 1, 8).select(
         F.col("id").alias("trip_seq"),
-        F.when(hot, start + F.expr("INTERVAL 1 HOUR")).otherwise(F.timestamp_micros(F.unix_micros(start) + F.col("id") * 1_000_000)).alias("processing_time"),
-        F.timestamp_micros(F.unix_micros(start) + F.col("id") * 900_000).alias("event_time"),
+        F.when(hot, start + F.expr("INTERVAL 1 HOUR 7 MINUTES")).otherwise(F.timestamp_micros(F.unix_micros(start) + F.col("id") * 700_000)).alias("processing_time"),
+        F.timestamp_micros(F.unix_micros(start) + F.col("id") * 600_000).alias("event_time"),
     )
-    ordered = df.repartitionByRange(8, "processing_time", "trip_seq").groupBy(F.spark_partition_id().alias("p")).count()
-    assert max(r["count"] for r in ordered.collect()) < n / 4
-    numbered = arrival.number_arrivals(df, POLICY)
+    if most == 500:
+        cells = arrival.ArrivalCells(arrival.seen(df), most)
+        sizes = rows(cells.place(df).groupBy(*arrival.CELL).count(), "count")
+        assert max(sizes)[0] <= 2 * most and sum(s[0] for s in sizes) == n
+    numbered = arrival.number_arrivals(df, POLICY, most=most)
     stats = numbered.agg(F.count(F.lit(1)), F.countDistinct("position"), F.max("position")).first()
     assert tuple(stats) == (n, n, n)
     by_hand = df.orderBy("processing_time", "trip_seq").toPandas()
@@ -187,7 +190,21 @@ def test_one_instant_with_a_third_of_all_rows_is_split_over_ranges(spark):
     assert got["watermark"].iloc[1:].tolist() == before.iloc[1:].tolist()
 
 
-def test_carried_maximum_makes_the_second_half_like_one_stream(spark):
+@pytest.mark.parametrize("most", [1, 7, 40])
+def test_small_cells_change_nothing(spark, most):
+    """Many ties on the arrival clock, and sequences over the whole range of a long."""
+    made = random_trips(200, seed=29, span_minutes=90)
+    trips = [t._replace(trip_seq=(i * 2654435761 % 2**32 - 2**31) * 2**32 + i, processing_time=t.processing_time.replace(second=0)) for i, t in enumerate(made)]
+    want = expected(trips)
+    got = rows(arrival.number_arrivals(frame(spark, trips), POLICY, most=most), "trip_seq", "position", "watermark")
+    assert [r[0] for r in sorted(got, key=lambda r: r[1])] == want["order"]
+    assert {r[0]: r[2] for r in got} == want["marks"]
+    late = rows(arrival.late_side_output(frame(spark, trips), POLICY, most), "trip_seq", "watermark", "lateness_seconds")
+    assert {r[0]: r[1:] for r in late} == want["late"]
+
+
+@pytest.mark.parametrize("most", [20, 1 << 20])
+def test_carried_maximum_makes_the_second_half_like_one_stream(spark, most):
     trips = random_trips(400, seed=17)
     order = sorted(trips, key=lambda t: (t.processing_time, t.trip_seq))
     head, tail = order[:150], order[150:]
@@ -196,7 +213,9 @@ def test_carried_maximum_makes_the_second_half_like_one_stream(spark):
     flagged = flag_late(df, window_closers(df, POLICY), POLICY, carried)
     want = {s for s in expected(trips)["late"] if s in {t.trip_seq for t in tail}}
     assert {r[0] for r in rows(flagged.where("is_late"), "trip_seq")} == want
-    out = rows(arrival.late_side_output(df, POLICY, carried_max=carried), "trip_seq", "watermark")
+    judged = arrival.judge_arrivals(df, POLICY, carried, len(tail), most)
+    assert [r[0] for r in sorted(rows(judged, "trip_seq", "position"), key=lambda r: r[1])] == [t.trip_seq for t in tail]
+    out = rows(arrival.with_lateness(judged.where("is_late"), POLICY), "trip_seq", "watermark")
     assert {r[0]: r[1] for r in out} == {s: expected(trips)["late"][s][0] for s in want}
 
 
