@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.functions.clock import fmt, outside_day, within_day
-from tallyward.operators import arrival, batches, counts, delays, health, schema
+from tallyward.operators import arrival, asof, batches, counts, delays, equality, health, schema
 from tallyward.operators.closing import flag_late, window_closers
+from tallyward.plans import sql_functions
 from tallyward.policy import BATCH_SIZE, CORRECTION_JOB, SAMPLE_ROWS, LatenessPolicy
 from tallyward.session import new_dir, prepare, stage
 from tallyward.sources.trips import (
@@ -21,6 +22,7 @@ from tallyward.sources.trips import (
     write_batches,
 )
 from tallyward.streaming.ingest import COUNT_SCHEMA, CountingStream
+from tallyward.streaming.native import ArrivalCounts
 from tallyward.tables import changelog, corrections
 from tallyward.tables.changelog import ChangeLog
 
@@ -304,6 +306,77 @@ def json_round_trip(trips):
     )
 
 
+@query
+def late_trip_finished_batch(trips):
+    """Each late trip with the newest batch that had finished before it arrived, and whether that batch or one before it
+    had already emitted the trip's window."""
+    flagged = _numbered(trips.select("trip_seq", "event_time", "processing_time"))
+    ends = flagged.groupBy("batch_id").agg(
+        F.max("processing_time").alias("ended"), F.max(F.greatest("max_before", "event_time")).alias("max_event")
+    )
+    # A batch has finished before a trip if its last trip arrived earlier than the trip.
+    ends = ends.select(F.col("batch_id").alias("finished_batch"), "max_event", (F.col("ended") + F.expr("INTERVAL '0.000001' SECOND")).alias("after"))
+    late = flagged.where("is_late").select("trip_seq", "processing_time", "window_start")
+    found = asof.asof_join(late, ends, "processing_time", "after", "trip_seq", ["finished_batch", "max_event"])
+    final = F.col("window_start") + F.expr(f"INTERVAL '{POLICY.final_after}' MINUTE") <= F.col("max_event")
+    return found.select("trip_seq", "processing_time", "finished_batch", F.coalesce(final, F.lit(False)).alias("window_emitted"))
+
+
+@query
+def hourly_both_clocks(trips):
+    """One zone's day, hour by hour on both clocks, with empty hours and a total row."""
+    hours = corrections.hourly_before_after(_closed_event(trips), _closed_processing(trips), CORRECTED_DAY, HARBOR_ZONE)
+    return hours.withColumnsRenamed({"before": "event", "latest": "processing", "missing": "diff"})
+
+
+@query
+def first_and_last_batches(trips):
+    """Ends of the list of batches: the first three and last two, with how many lie between."""
+    numbered = arrival.number_arrivals(trips.select("trip_seq", "event_time", "processing_time"), POLICY)
+    listed = stage(numbered.groupBy("batch_id").agg(F.count(F.lit(1)).alias("trips"), F.max("processing_time").alias("last_arrival")), "batches")
+    return schema.first_and_last(listed, "batch_id")
+
+
+def _counts_and_changed(trips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Closed counts as a plain table, and a copy in which one window has one trip more."""
+    table = stage(_closed_event(trips), "closed-counts")
+    first = table.agg(F.min(F.struct("window_start", "zone")).alias("first"))
+    one_more = F.col("trip_count") + F.when(F.struct("window_start", "zone") == first.scalar(), 1).otherwise(0)
+    return table, stage(table.withColumn("trip_count", one_more).repartition(7), "changed-counts")
+
+
+@query
+def table_differences(trips):
+    """Rows in which two plain tables differ, and how often each side has them."""
+    return equality.row_differences(*_counts_and_changed(trips))
+
+
+@query
+def tables_equal(trips):
+    """A table against a copy in another order, and against one with a changed row."""
+    table, changed = _counts_and_changed(trips)
+    copy = stage(table.repartition(5, "zone"), "copied-counts")
+    return trips.sparkSession.range(0, 1, 1, 1).select(
+        F.lit(equality.same_rows(table, copy)).alias("copy_equal"),
+        F.lit(equality.same_rows(table, changed)).alias("changed_equal"),
+        F.lit(table.count()).alias("rows"),
+    )
+
+
+@query
+def windows_by_sql_function(trips):
+    """A zone's day asked through SQL table functions over plain views: windows, trips in them, arrivals and longest delay."""
+    spark = trips.sparkSession
+    sql_functions.register(spark, trips, _closed_event(trips), POLICY)
+    return spark.sql(
+        f"""SELECT w.window_start, w.trip_count, count(a.trip_seq) AS arrived, max(a.delay_seconds) AS longest_delay
+        FROM windows_between(zone => '{HARBOR_ZONE}', upto => TIMESTAMP '{NEXT_DAY}', since => TIMESTAMP '{CORRECTED_DAY}') w
+        LEFT JOIN trips_arrived(zone => '{HARBOR_ZONE}', since => TIMESTAMP '{CORRECTED_DAY}') a
+          ON a.processing_time >= w.window_start AND a.processing_time < w.window_end
+        GROUP BY ALL"""
+    )
+
+
 # -- versioned count table ------------------------------------------------------------------------
 
 
@@ -469,7 +542,11 @@ class _Crash(Exception):
     pass
 
 
-def _streamed(trips: DataFrame, crash_after: tuple[str, int] | None = None) -> CountingStream:
+def _streamed(
+    trips: DataFrame,
+    crash_after: tuple[str, int] | None = None,
+    after_landing: Callable[[CountingStream], None] | None = None,
+) -> CountingStream:
     """Publish the trips in slices of the arrival clock and stream each one as it lands."""
     spark = trips.sparkSession
     first, last = trips.agg(
@@ -492,6 +569,8 @@ def _streamed(trips: DataFrame, crash_after: tuple[str, int] | None = None) -> C
                 raise
             crash_after = None
             stream.run(landing)
+        if after_landing:
+            after_landing(stream)
     return stream
 
 
@@ -617,3 +696,14 @@ def stop_inside_a_file(trips):
     stream.run(landing, stop_us=spark.range(1).select(stop).first()[0])
     stream.run(landing)
     return stream.summary().select("batch_id", "first_row", "last_row", "late", "event_windows", "event_trips", "processing_windows", "processing_trips")
+
+
+@query
+def native_arrival_counts(trips):
+    """Arrival windows counted by Spark's state store, carried over three runs by its checkpoint."""
+    root = new_dir(trips.sparkSession, "arrival-counts")
+
+    def stored(stream: CountingStream) -> ArrivalCounts:
+        return ArrivalCounts(stream.spark, f"{stream.root}/trips_raw", root, POLICY)
+
+    return stored(_streamed(trips, after_landing=lambda stream: stored(stream).run())).closed()

@@ -463,3 +463,53 @@ FROM (SELECT part AS batch_id, min(position) AS first_row, max(position) AS last
       FROM parts GROUP BY part) b""",
     ),
 }
+
+ORACLE |= {
+    "native_arrival_counts": ORACLE["zone_counts_processing_time"],
+    "late_trip_finished_batch": _with(
+        BATCHES,
+        """SELECT trip_seq, processing_time, b.batch_id AS finished_batch,
+  coalesce(window_start + INTERVAL 27 MINUTE <= b.max_event, false) AS window_emitted
+FROM late l ASOF LEFT JOIN batch_ends b ON l.processing_time > b.max_processing""",
+    ),
+    "hourly_both_clocks": _with(
+        STREAM
+        + """,
+hours AS (
+  SELECT hour,
+    coalesce((SELECT sum(trip_count) FROM event_closed WHERE zone = 'harbor_tunnel'
+      AND window_start >= TIMESTAMP '2024-01-02' AND window_start < TIMESTAMP '2024-01-03'
+      AND date_part('hour', window_start) = hour), 0)::BIGINT AS event,
+    coalesce((SELECT sum(trip_count) FROM arrival_closed WHERE zone = 'harbor_tunnel'
+      AND window_start >= TIMESTAMP '2024-01-02' AND window_start < TIMESTAMP '2024-01-03'
+      AND date_part('hour', window_start) = hour), 0)::BIGINT AS processing
+  FROM range(24) r(hour)
+)""",
+        """SELECT CASE WHEN grouping(hour) = 1 THEN 'TOTAL' ELSE lpad(CAST(hour AS VARCHAR), 2, '0') || ':00' END AS hour,
+  sum(event)::BIGINT AS event, sum(processing)::BIGINT AS processing, (sum(event) - sum(processing))::BIGINT AS diff
+FROM hours GROUP BY ROLLUP (hour)""",
+    ),
+    "first_and_last_batches": _with(
+        BATCHES,
+        """SELECT batch_id, trips, last_arrival, CASE WHEN batch_id <= 3 THEN 'first' ELSE 'last' END AS "end",
+  greatest(batches - 5, 0) AS skipped
+FROM (SELECT batch_id, count(*) AS trips, max(processing_time) AS last_arrival, count(*) OVER () AS batches FROM flagged GROUP BY batch_id)
+WHERE batch_id <= 3 OR batch_id > batches - 2""",
+    ),
+    "table_differences": _with(
+        STREAM + """,
+changed AS (SELECT * FROM event_closed ORDER BY window_start, zone LIMIT 1)""",
+        """SELECT zone, window_start, trip_count, 1::BIGINT AS surplus FROM changed
+UNION ALL SELECT zone, window_start, trip_count + 1, -1 FROM changed""",
+    ),
+    "tables_equal": _with(STREAM, "SELECT true AS copy_equal, false AS changed_equal, count(*) AS rows FROM event_closed"),
+    "windows_by_sql_function": _with(
+        STREAM,
+        """SELECT w.window_start, w.trip_count, count(a.trip_seq) AS arrived,
+  max((epoch_us(a.processing_time) - epoch_us(a.event_time)) / 1e6::DOUBLE) AS longest_delay
+FROM event_closed w LEFT JOIN trips a ON a.zone = 'harbor_tunnel'
+ AND a.processing_time >= w.window_start AND a.processing_time < w.window_start + INTERVAL 15 MINUTE
+WHERE w.zone = 'harbor_tunnel' AND w.window_start >= TIMESTAMP '2024-01-02' AND w.window_start < TIMESTAMP '2024-01-03'
+GROUP BY ALL""",
+    ),
+}
