@@ -33,6 +33,7 @@ NEXT_DAY = "2024-01-03"
 HARBOR_ZONE = "harbor_tunnel"
 OTHER_ZONE = "downtown"
 STREAM_SLICES = 3
+WAIT_FROM = "2024-01-25"  # when the undeclared field of the stream queries gets one more
 REPORTED_COMMITS = 3  # of five, so that the limit shows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -707,3 +708,32 @@ def native_arrival_counts(trips):
         return ArrivalCounts(stream.spark, f"{stream.root}/trips_raw", root, POLICY)
 
     return stored(_streamed(trips, after_landing=lambda stream: stored(stream).run())).closed()
+
+
+def _with_undeclared(trips: DataFrame) -> DataFrame:
+    """Phones send a nested field that no schema declares, and later a further field in it."""
+    seats, pool = F.col("trip_seq") % 4 + 1, F.col("trip_seq") % 3 == 0
+    waits = F.when(F.col("event_time") >= F.lit(WAIT_FROM).cast("timestamp"), F.col("trip_seq") % 7 + 0.5)
+    ride = F.struct(seats.alias("seats"), pool.alias("pool"), waits.cast("decimal(3,1)").alias("wait"))
+    return trips.withColumn("ride", F.when(F.col("surge_multiplier").isNotNull(), ride))
+
+
+@query
+def promoted_field(trips):
+    """A nested field first sent in the middle of the stream, read as a column over all batches."""
+    stream = _streamed(_with_undeclared(trips))
+    stream.promote("seats", "int", "$.ride.seats")
+    stream.promote("pool", "boolean", "$.ride.pool")
+    return stream.trips().groupBy("zone").agg(
+        F.count(F.lit(1)).alias("trips"),
+        F.count("seats").alias("with_seats"),
+        F.sum("seats").alias("seats"),
+        F.count_if("pool").alias("pools"),
+        F.min(F.when(F.col("seats").isNotNull(), F.col("event_time"))).alias("first_with_seats"),
+    )
+
+
+@query
+def schema_history(trips):
+    """Which batch brought which undeclared field."""
+    return _streamed(_with_undeclared(trips)).schema_history()

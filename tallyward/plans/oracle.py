@@ -513,3 +513,27 @@ WHERE w.zone = 'harbor_tunnel' AND w.window_start >= TIMESTAMP '2024-01-02' AND
 GROUP BY ALL""",
     ),
 }
+
+ORACLE |= {
+    "promoted_field": _with(
+        TRIPS,
+        """SELECT zone, count(*) AS trips, count(surge_multiplier) AS with_seats,
+  sum(CASE WHEN surge_multiplier IS NOT NULL THEN trip_seq % 4 + 1 END)::BIGINT AS seats,
+  count(*) FILTER (surge_multiplier IS NOT NULL AND trip_seq % 3 = 0) AS pools,
+  min(event_time) FILTER (surge_multiplier IS NOT NULL) AS first_with_seats
+FROM trips GROUP BY zone""",
+    ),
+    "schema_history": _with(
+        TRIPS
+        + """,
+bounds AS (SELECT min(epoch_us(processing_time)) AS lo, max(epoch_us(processing_time)) AS hi FROM trips),
+slices AS (
+  SELECT *, CASE WHEN epoch_us(processing_time) < lo + (hi - lo) // 3 THEN 1
+                 WHEN epoch_us(processing_time) < lo + (hi - lo) * 2 // 3 THEN 2 ELSE 3 END AS batch_id
+  FROM trips, bounds WHERE surge_multiplier IS NOT NULL
+)""",
+        """SELECT min(batch_id)::BIGINT AS batch_id, 'ride' AS path, 'added' AS change, NULL AS old_type,
+  'struct<pool:boolean,seats:bigint>' AS new_type FROM slices
+UNION ALL SELECT min(batch_id) FILTER (event_time >= TIMESTAMP '2024-01-25'), 'ride.wait', 'added', NULL, 'decimal(2,1)' FROM slices""",
+    ),
+}

@@ -16,7 +16,6 @@ COMPLETENESS_THRESHOLD = 0.97
 BUSY_WINDOWS = 8
 WORST_WINDOWS = 8
 SAMPLE_ROWS = 4
-HISTORY_COMMITS = 6
 
 NORMAL_DELAY_SECONDS = (1, 5)
 TUNNEL_DELAY_SECONDS = (120, 480)

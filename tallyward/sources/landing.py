@@ -126,7 +126,7 @@ class Admitted:
 
     def read(self, spark: SparkSession) -> DataFrame:
         # A file may hold rows of an earlier batch, or rows that are not published yet.
-        rows = read_arrivals(spark, self.files).where(_key() <= _mark(self.last))
+        rows = read_arrivals(spark, self.files, rest=True).where(_key() <= _mark(self.last))
         return rows if self.after is None else rows.where(_key() > _mark(self.after))
 
 

@@ -4,6 +4,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyward.policy import ZONES
 
@@ -15,6 +16,8 @@ TRIP_SCHEMA = (
     "processing_time TIMESTAMP, fare DOUBLE, surge_multiplier DOUBLE"
 )
 OPTIONAL_COLUMNS = ("surge_multiplier",)
+# Fields that nobody declared, as they came.
+REST = "rest"
 
 # Only what the view needs; the time is declared zoned because the pipeline works in UTC instants.
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, value DOUBLE"
@@ -99,7 +102,8 @@ def write_batches(numbered: DataFrame, path: str, rows_per_file: int) -> None:
     their batch_id for that batch size (number_arrivals)."""
     # A range holds whole batches, so files that are cut by their length are the batches.
     ranged = numbered.repartitionByRange("batch_id").sortWithinPartitions(*ARRIVAL)
-    _write_lines(ranged.select(*[c.split()[0] for c in TRIP_SCHEMA.split(", ")]), path, maxRecordsPerFile=rows_per_file)
+    added = ("position", "batch_id", "max_before", "watermark")
+    _write_lines(ranged.drop(*added), path, maxRecordsPerFile=rows_per_file)
 
 
 def _write_lines(rows: DataFrame, path: str, **options) -> None:
@@ -113,6 +117,20 @@ def _with_sequence(trips: DataFrame) -> DataFrame:
     return trips.withColumn("trip_seq", F.coalesce("trip_seq", F.xxhash64("trip_id")))
 
 
-def read_arrivals(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Batch read of JSON lines. A malformed line fails the read instead of becoming NULLs."""
-    return _with_sequence(spark.read.schema(TRIP_SCHEMA).option("mode", "FAILFAST").json(path))
+def read_arrivals(spark: SparkSession, path: str | list[str], rest: bool = False) -> DataFrame:
+    """Batch read of JSON lines. A malformed line fails the read instead of becoming NULLs.
+
+    With rest, fields that TRIP_SCHEMA does not declare come as one VARIANT column `rest`, NULL where there are none.
+    Lines are then parsed once more, so readers that want declared fields only leave it out.
+    """
+    if not rest:
+        return _with_sequence(spark.read.schema(TRIP_SCHEMA).option("mode", "FAILFAST").json(path))
+    declared = T.StructType.fromDDL(TRIP_SCHEMA)
+    options = {"mode": "FAILFAST"}
+    fields = F.map_filter(F.from_json("value", "MAP<STRING, VARIANT>", options), lambda k, v: ~k.isin(declared.names))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select(
+        F.from_json("value", declared, options).alias("trip"),
+        F.when(F.size(fields) > 0, F.parse_json(F.to_json(fields))).alias(REST),
+    )
+    return _with_sequence(parsed.select("trip.*", REST))

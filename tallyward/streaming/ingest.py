@@ -26,10 +26,11 @@ from tallyward.functions.clock import minutes, window_start
 from tallyward.operators import batches
 from tallyward.operators.arrival import CELL_ROWS, judge_arrivals, with_lateness
 from tallyward.operators.counts import both_clocks
+from tallyward.operators.schema import CHANGES, merged, type_changes
 from tallyward.policy import LATE_EXAMPLES, LatenessPolicy
 from tallyward.session import one_row, prepare, stage
 from tallyward.sources.landing import Admission, publish, stream_entries
-from tallyward.sources.trips import OPTIONAL_COLUMNS, TRIP_SCHEMA
+from tallyward.sources.trips import OPTIONAL_COLUMNS, REST, TRIP_SCHEMA
 from tallyward.streaming.live import LANDED
 
 COUNT_SCHEMA = "zone STRING, window_start TIMESTAMP, trip_count BIGINT, batch_id BIGINT"
@@ -43,7 +44,7 @@ CLOSED = ("windows", "trips", "first_start_us", "last_start_us")
 PROGRESS_SCHEMA = (
     "rows BIGINT, total_rows BIGINT, late BIGINT, total_late BIGINT, entries BIGINT, "
     "min_processing_us BIGINT, max_event_us BIGINT, max_processing_us BIGINT, max_seq BIGINT, "
-    "trip_columns STRING, late_columns STRING, "
+    "trip_columns STRING, late_columns STRING, with_rest BIGINT, rest_schema STRING, "
     + ", ".join(f"{clock}_{what} BIGINT" for clock in COUNT_TABLES for what in CLOSED)
 )
 
@@ -144,9 +145,11 @@ class CountingStream:
         before, rows = self._progress_row(batch_id - 1), facts["rows"]
         max_event = _latest(before and before.max_event_us, facts["max_event_us"])
         last_us, last_seq = facts["last"] or (before and (before.max_processing_us, before.max_seq)) or (None, None)
-        seen, late, late_seen, closed = [c for c in OPTIONAL_COLUMNS if facts["optional"][c]], 0, [], {}
+        seen, late_seen, closed = [c for c in OPTIONAL_COLUMNS if facts["optional"][c]], [], {}
+        late, with_rest = 0, 0
         if rows:
-            late, late_seen = self._write_trips(batch, batch_id, rows, seen, before and before.max_event_us)
+            counted = self._write_trips(batch, batch_id, rows, seen, before and before.max_event_us)
+            late, with_rest, late_seen = counted["late"], counted[REST], [c for c in OPTIONAL_COLUMNS if counted[c]]
             self.after_step("trips_raw", batch_id)
             self._write_late(batch_id, late, late_seen)
             self.after_step("late_events", batch_id)
@@ -170,6 +173,8 @@ class CountingStream:
             "max_seq": last_seq,
             "trip_columns": self._add_columns(before and before.trip_columns, seen),
             "late_columns": self._add_columns(before and before.late_columns, late_seen),
+            "with_rest": with_rest,
+            "rest_schema": self._rest_schema(batch_id) if with_rest else None,
             **closed,
         }
         schema = T.StructType.fromDDL(PROGRESS_SCHEMA)
@@ -183,19 +188,28 @@ class CountingStream:
     def _partition(self, table: str, batch_id: int) -> str:
         return f"{self.root}/{table}/batch_id={batch_id}"
 
-    def _write_trips(self, batch, batch_id, rows, seen, carried_us) -> tuple[int, list[str]]:
-        """Judge and write the trips in one pass, and count late ones on the way."""
+    def _write_trips(self, batch, batch_id, rows, seen, carried_us) -> dict[str, int]:
+        """Judge and write the trips in one pass, and count late ones and undeclared fields on the way."""
+        if REST not in batch.columns:
+            batch = batch.withColumn(REST, F.lit(None).cast("variant"))
         if rows > self.cell_rows:
             # Cells are found by looks at all rows, which should not parse the lines each time.
             batch = stage(batch, "arrivals", f"{self.root}/_work/arrivals")
         carried = F.timestamp_micros(F.lit(carried_us).cast("long"))
         judged = judge_arrivals(batch, self.policy, carried, rows, self.cell_rows)
         observed = Observation(f"trips-{batch_id}")
-        counted = {"late": F.count_if("is_late")} | {c: F.count(F.when(F.col("is_late"), F.col(c))) for c in OPTIONAL_COLUMNS}
+        counted = {"late": F.count_if("is_late"), REST: F.count_if(F.col(REST).isNotNull())}
+        counted |= {c: F.count(F.when(F.col("is_late"), F.col(c))) for c in OPTIONAL_COLUMNS}
         judged = judged.observe(observed, *[c.alias(name) for name, c in counted.items()])
         unseen = [c for c in OPTIONAL_COLUMNS if c not in seen]
         judged.drop(*unseen).write.mode("overwrite").parquet(self._partition("trips_raw", batch_id))
-        return observed.get["late"], [c for c in OPTIONAL_COLUMNS if observed.get[c]]
+        return dict(observed.get)
+
+    def _rest_schema(self, batch_id: int) -> str:
+        """One type that holds the undeclared fields of all trips of a batch."""
+        rest = self.spark.read.schema(f"{REST} VARIANT").parquet(self._partition("trips_raw", batch_id))
+        found = rest.where(F.col(REST).isNotNull()).agg(F.schema_of_variant_agg(REST)).first()[0]
+        return found.replace("OBJECT<", "STRUCT<")
 
     def _judged(self, batch_id: int) -> DataFrame:
         """The written trips of a batch: columnar, pruned, durable. Everything else derives from them."""
@@ -324,13 +338,15 @@ class CountingStream:
     def _table(self, name: str, schema: T.StructType, last: int) -> DataFrame:
         # The declared schema gives NULL for a column that older files lack; no footers are merged.
         schema = T.StructType(list(schema)).add("batch_id", T.LongType())
+        return self._read_if_there(name, schema).where(F.col("batch_id") <= last)
+
+    def _read_if_there(self, name: str, schema: T.StructType) -> DataFrame:
         try:
-            rows = self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            rows = self.spark.createDataFrame([], schema)
-        return rows.where(F.col("batch_id") <= last)
+            return self.spark.createDataFrame([], schema)
 
     def _with_optional(self, name: str, ddl: str, added: str, upto: int | None) -> DataFrame:
         last = self.last_batch() if upto is None else upto
@@ -339,7 +355,59 @@ class CountingStream:
         return self._table(name, T.StructType(kept), last)
 
     def trips(self, upto: int | None = None) -> DataFrame:
-        return self._with_optional("trips_raw", TRIP_SCHEMA, "trip_columns", upto)
+        """Every trip, with promoted fields as columns."""
+        promoted = self.promoted()
+        if not promoted:
+            return self._with_optional("trips_raw", TRIP_SCHEMA, "trip_columns", upto)
+        rows = self._with_optional("trips_raw", f"{TRIP_SCHEMA}, {REST} VARIANT", "trip_columns", upto)
+        return rows.withColumns({name: F.try_variant_get(REST, path, kind) for name, (path, kind) in promoted.items()}).drop(REST)
+
+    # -- fields nobody declared ---------------------------------------------------------------------
+
+    def rest(self, upto: int | None = None) -> DataFrame:
+        """trip_seq, batch_id and the undeclared fields of trips that have some, as they came."""
+        rows = self._with_optional("trips_raw", f"trip_seq BIGINT, {REST} VARIANT", "trip_columns", upto)
+        return rows.where(F.col(REST).isNotNull())
+
+    def schemas(self) -> list[tuple[int, T.StructType]]:
+        """(batch_id, undeclared fields) of each batch that has some, from progress."""
+        found = self.progress().where("with_rest > 0").orderBy("batch_id").select("batch_id", "rest_schema").collect()
+        return [(batch_id, T.DataType.fromDDL(ddl)) for batch_id, ddl in found]
+
+    def schema_history(self) -> DataFrame:
+        """What each batch changed about the undeclared fields against those before it: batch_id, path, change, types.
+
+        A field that a batch does not send is not removed by that: known fields stay known.
+        """
+        known, found = T.StructType([]), []
+        for batch_id, fields in self.schemas():
+            together = merged(known, fields)
+            found += [(batch_id, *c) for c in type_changes(known, together)]
+            known = together
+        return self.spark.createDataFrame(found, f"batch_id BIGINT, {CHANGES}")
+
+    def promoted(self) -> dict[str, tuple[str, str]]:
+        """Column name -> (path in the rest, type) of each promoted field."""
+        rows = self._read_if_there("promotions", T.StructType.fromDDL("name STRING, path STRING, type STRING"))
+        return {r.name: (r.path, r.type) for r in rows.orderBy("name").collect()}
+
+    def promote(self, name: str, kind: str, path: str | None = None) -> None:
+        """Make an undeclared field a column of trips(), over all batches and without touching a file.
+
+        path is where it stands in the rest, `$.name` if not said. Refused if a value that some trip carries does not fit the
+        type. Promoting the same field again changes nothing.
+        """
+        path, known = path or f"$.{name}", self.promoted()
+        if known.get(name) == (path, kind):
+            return
+        if name in known or name in T.StructType.fromDDL(TRIP_SCHEMA).names:
+            raise ValueError(f"{name} is a column already")
+        there = F.variant_get(REST, path, "variant")
+        lost = self.rest().where(there.isNotNull() & ~F.is_variant_null(there) & F.try_variant_get(REST, path, kind).isNull()).count()
+        if lost:
+            raise ValueError(f"{lost} values of {path} do not fit {kind}")
+        row = one_row(self.spark, T.StructType.fromDDL("path STRING, type STRING"), {"path": path, "type": kind})
+        row.write.mode("overwrite").parquet(f"{self.root}/promotions/name={name}")
 
     def late_events(self, upto: int | None = None) -> DataFrame:
         return self._with_optional("late_events", f"{TRIP_SCHEMA}, {LATE_COLUMNS}", "late_columns", upto)
