@@ -15,7 +15,8 @@ documents) has a Jaccard similarity of at least 0.8 with it.
    words, the earliest class that has it, which takes one candidate per prefix word even among thousands of
    variants of a line. Only classes that do not resemble the leader are compared with all others of the word.
    A class whose leaders all fail verification is compared with all others in a second round.
-6. Candidates are verified on their words, read again for candidate lines only.
+6. Words are read again for candidate lines only, with a sketch of more parities. Pairs that its sketches still allow
+   are verified on their words, the likeliest of each class first.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ from tallyward.session import stage
 NEED, OF = 4, 5
 BUCKETS = 1 << 15
 HASH_BITS = 27
+#: Words of 64 parities in the sketch of a candidate.
+SKETCHES = 6
 #: Rows up to which positions of lines, or lists of lost lines, are sent to the documents (about 60 bytes each); beyond
 #: that the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -154,22 +157,76 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """set_hash and set_check of classes with a Jaccard similarity of 0.8 to one whose first line is earlier."""
+def _sketch(words: Column) -> Column:
+    """SKETCHES times 64 parities of the words, each time by other bits of their hashes."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+
+    def parities(shift: int) -> Column:
+        def add(bits: Column, h: Column) -> Column:
+            place = F.shiftrightunsigned(h, shift).bitwiseAND(63).cast("int")
+            return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+
+        return F.aggregate(hashes, F.lit(0).cast("long"), add)
+
+    return F.struct(*[parities(6 * i).alias(f"s{i}") for i in range(SKETCHES)])
+
+
+def candidate_words(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The classes of candidate pairs with the words of their first line, read again from the documents, and a sketch of
+    them."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
     wanted = stage(classes.select(*CLASS, *POSITION).join(named, "set_hash", "left_semi"), "line-wanted")
     lines, wanted = lines_of(docs), _small(wanted)
     here = [lines[c].eqNullSafe(wanted[c]) for c in POSITION]
     first = F.struct(*[lines[c] for c in POSITION]).alias("first")
     words = F.array_distinct(line_words(F.col("line"))).alias("words")
-    read = stage(lines.join(wanted, here).select(*CLASS, first, words), "line-words")
-    a, b = (read.select([F.col(c).alias(f"{s}_{c}") for c in read.columns]) for s in "ab")
-    both = pairs.join(a, F.col("a") == F.col("a_set_hash")).join(b, F.col("b") == F.col("b_set_hash"))
-    overlap = F.size(F.array_intersect("a_words", "b_words"))
-    union = F.size("a_words") + F.size("b_words") - overlap
+    read = lines.join(wanted, here).select(*CLASS, first, words)
+    return stage(read.withColumn("n", F.size("words")).withColumn("sketch", _sketch(F.col("words"))), "line-words")
+
+
+def likely(pairs: DataFrame, read: DataFrame) -> DataFrame:
+    """Pairs, the later class as a, whose sketches allow a Jaccard similarity of 0.8, with the difference they show.
+
+    Words stay where they are: what is shuffled here is a sketch and a position for each class.
+    """
+    a, b = (read.select(*[F.col(c).alias(f"{s}_{c}") for c in (*CLASS, "first", "n", "sketch")]) for s in "ab")
+    both = pairs.select("a", "b").join(a, F.col("a") == F.col("a_set_hash")).join(b, F.col("b") == F.col("b_set_hash"))
+    shown = F.greatest(*[F.expr(f"bit_count(a_sketch.s{i} ^ b_sketch.s{i})") for i in range(SKETCHES)])
+    alike = shown * (NEED + OF) <= (F.col("a_n") + F.col("b_n")) * (OF - NEED)
     later_is_a = F.col("a_first") > F.col("b_first")
-    later = [F.when(later_is_a, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(c) for c in CLASS]
-    return both.where(overlap * OF >= union * NEED).select(*later).distinct()
+    ends = {"later": later_is_a, "earlier": ~later_is_a}
+    named = [F.when(is_a, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{end}_{c}") for end, is_a in ends.items() for c in CLASS]
+    return both.where(alike).select(*named, shown.alias("shown")).distinct()
+
+
+def _matches(pairs: DataFrame, read: DataFrame) -> DataFrame:
+    """CLASS of later classes with a Jaccard similarity of 0.8 to the earlier one of a pair, by their words."""
+    sides = {end: read.select(*[F.col(c).alias(f"{end}_{c}") for c in (*CLASS, "words")]) for end in ("later", "earlier")}
+    both = pairs
+    for end, side in sides.items():
+        both = both.join(side, [f"{end}_{c}" for c in CLASS])
+    overlap = F.size(F.array_intersect("later_words", "earlier_words"))
+    union = F.size("later_words") + F.size("earlier_words") - overlap
+    found = both.where(overlap * OF >= union * NEED)
+    return found.select(*[F.col(f"later_{c}").alias(c) for c in CLASS]).distinct()
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """set_hash and set_check of classes with a Jaccard similarity of 0.8 to one whose first line is earlier.
+
+    One match is enough. So each class is first compared with the candidate whose sketch differs least, and only classes that
+    this does not settle are compared with their others.
+    """
+    read = candidate_words(docs, classes, pairs)
+    chances = stage(likely(pairs, read), "line-likely")
+    later = [f"later_{c}" for c in CLASS]
+    other = [f"earlier_{c}" for c in CLASS]
+    best = chances.groupBy(*later).agg(F.min(F.struct("shown", *other)).alias("best")).select(*later, *[f"best.{c}" for c in other])
+    best = stage(best, "line-best")
+    near = stage(_matches(best, read), "line-near")
+    settled = near.withColumnsRenamed({c: f"later_{c}" for c in CLASS})
+    left = chances.drop("shown").join(settled, later, "left_anti").join(best, [*later, *other], "left_anti")
+    return near.unionByName(_matches(left, read)).distinct()
 
 
 def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -202,22 +259,21 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with `text` freed of repeated lines, and removed_lines, the numbers (from 0) of lost lines.
 
-    docs needs doc_id and text; other columns stay as they are (a column named removed_lines is replaced).
-    Words are runs between spaces, in lower case. Lines without a word stay, and do not match anything. NULL
+    docs needs doc_id and text; other columns stay as they are, whatever their names (a column named removed_lines is
+    replaced). Words are runs between spaces, in lower case. Lines without a word stay, and do not match anything. NULL
     texts stay NULL, empty texts empty; a document may lose all its lines and is then empty. Rows with the
     same doc_id and text are one document and come out alike. Among rows with the same doc_id and different
     texts a hash of the text decides which is earlier; rows without doc_id come first. An empty table gives an
     empty result. Equality of word sets is decided by 96-bit hashes of them; all other matches by the words.
     """
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lost = removed_lines(source).select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_row_key"), F.col("removed").alias("_removed"))
+    lost = removed_lines(source).select(F.struct("doc_id", "row_key").alias("lost_key"), "removed")
     lost = _small(stage(lost, "line-lost"))
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    joined = docs.withColumn("_key", key).join(
-        lost, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_row_key")), "left"
-    )
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_removed", i))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    removed = F.coalesce("_removed", F.array().cast("array<int>"))
-    others = [c for c in docs.columns if c != "removed_lines"]
-    return joined.withColumns({"text": text, "removed_lines": removed}).select(*others, "removed_lines")
+    # The row goes through as one value, so that no name in it can clash.
+    key = F.struct("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"))
+    joined = rows.join(lost, F.col("key").eqNullSafe(F.col("lost_key")), "left")
+    left = F.filter(F.split(F.col("row.text"), "\n"), lambda line, i: ~F.array_contains("removed", i))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n")).alias("text")
+    kept = [text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "removed_lines"]
+    return joined.select(*kept, F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))

@@ -78,3 +78,23 @@ def test_rows_without_id_and_repeated_rows(docs):
 def test_native(docs):
     plan = line_dedup.dedup_lines(docs([(1, "a b c d e"), (2, "a b c d f")]))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_clashing_names_come_back_as_they_were(spark):
+    names = ["_key", "_removed", "_doc_id", "_row_key", "row", "key", "removed", "lost_key", "removed_lines", "odd.name", "line"]
+    schema = "doc_id BIGINT, text STRING, " + ", ".join(f"`{n}` STRING" for n in names)
+    docs = spark.createDataFrame([(1, "one two three four", *names), (2, "one two three four\nfive", *names), (None, None, *names)], schema)
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == [*[c for c in docs.columns if c != "removed_lines"], "removed_lines"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows[1]["removed_lines"] == [] and rows[2]["removed_lines"] == [0] and rows[2]["text"] == "five" and rows[None]["text"] is None
+    assert all(r[n] == n for r in rows.values() for n in names if n != "removed_lines")
+
+
+def test_a_class_whose_likeliest_candidate_fails(docs):
+    """Candidates of one line at growing distance; the second comparison finds what the first does not."""
+    words = [f"w{i}" for i in range(40)]
+    cases = [(0, " ".join(words[:34] + ["a1", "a2", "a3", "a4", "a5", "a6"])), (1, " ".join(words[3:] + ["b1", "b2"]))]
+    cases += [(i, " ".join(words[: 40 - i % 5] + [f"c{j}" for j in range(i % 5)])) for i in range(2, 12)]
+    assert result(line_dedup.dedup_lines(docs(cases))) == brute_force(cases)
+
