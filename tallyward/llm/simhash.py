@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.llm.components import components
@@ -54,14 +54,18 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = [fingerprint(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"]
-        )
+        columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(values, np.uint64).view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp"])
+
+
+def _text_hash() -> Column:
+    return F.xxhash64("text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed BIGINT; one row per input row."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id BIGINT, fp BIGINT")
+    """doc_id, text_hash and fp, the fingerprint as a signed BIGINT; one row per input row."""
+    rows = docs.select("doc_id", _text_hash().alias("text_hash"), "text")
+    return rows.mapInArrow(_fingerprints, "doc_id BIGINT, text_hash BIGINT, fp BIGINT")
 
 
 def block_masks(blocks: int, differing: int = MAX_DISTANCE) -> list[int]:
@@ -149,6 +153,18 @@ def close_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return links
 
 
+def _classed(docs: DataFrame, crowd: int) -> DataFrame:
+    """One row per row of docs: doc_id, text_hash, fp, component (a fingerprint) and component_id."""
+    printed = stage(fingerprints(docs), "fingerprints")
+    distinct = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+    linked = components(close_links(distinct.select("fp"), crowd), "fingerprint-links")
+    whole = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    whole = whole.withColumn("component", F.coalesce("component", "fp"))
+    named = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    classes = stage(whole.join(named, "component").select("fp", "component", "component_id"), "fingerprint-classes")
+    return printed.join(classes, "fp")
+
+
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -158,20 +174,28 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     doc_id takes part; it never names a component (NULL only if no row reached has a doc_id). Columns
     other than doc_id and text are ignored; an empty table gives an empty result.
     """
-    printed = stage(fingerprints(docs), "fingerprints")
-    distinct = stage(printed.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    linked = components(close_links(distinct.select("fp"), crowd), "fingerprint-links")
-    whole = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-    whole = whole.withColumn("component", F.coalesce("component", "fp"))
-    named = whole.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    classes = stage(whole.join(named, "component").select("fp", "component_id"), "fingerprint-classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return printed.join(classes, "fp").select("doc_id", hexed, "component_id")
+    return _classed(docs, crowd).select("doc_id", hexed, "component_id")
 
 
 def one_of_each(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """docs with the row of the smallest doc_id of each component; rows that repeat its doc_id all stay
-    if they are in the same component, rows without doc_id only where their component has none."""
-    found = near_duplicates(docs, crowd)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """docs with one row of each component: the one with the smallest doc_id, of several texts of that doc_id
+    the one with the smallest hash. A row without doc_id stays only where its component has no doc_id.
+    Of equal rows (the same doc_id and text) one stays. Columns of any name come through unchanged.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    rows = _classed(docs, crowd).groupBy("component", key.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    best = rows.groupBy("component").agg(F.min(F.struct("key", "rows")).alias("best"))
+    best = stage(best.select(F.col("best.key").alias("best"), F.col("best.rows").alias("rows")), "simhash-kept")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    mine = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", _text_hash().alias("text_hash"))
+    keyed = docs.select(row, mine.alias("key"))
+
+    def kept(chosen: DataFrame) -> DataFrame:
+        return keyed.join(chosen.select("best"), F.col("key").eqNullSafe(F.col("best")), "left_semi")
+
+    # Only rows that are there more than once are grouped with their texts.
+    found = kept(best.where("rows = 1"))
+    if best.where("rows > 1").head(1):
+        found = found.unionByName(kept(best.where("rows > 1")).dropDuplicates(["key"]))
+    return found.select("row.*")

@@ -92,3 +92,43 @@ def test_one_of_each(docs):
 
 def test_empty(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
+
+
+def test_one_row_of_each_component_with_repeated_and_missing_ids(spark, docs):
+    """A row is known by its doc_id and text: neither another text of a doc_id that stays, nor a row without doc_id, slips
+    through."""
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven", "red green blue white black")
+    rows = [(3, a), (5, b), (5, a), (None, a), (None, c), (None, c), (3, a), (7, None), (8, "")]
+    kept = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs(rows)).collect()), key=str)
+    assert kept == sorted([(3, a), (5, b), (None, c), (7, None)], key=str)
+
+
+def one_of_each_by_hand(rows):
+    prints = [plain_fingerprint(t or "") for _, t in rows]
+    linked = [(x, y) for x in range(len(rows)) for y in range(x) if (prints[x] ^ prints[y]).bit_count() <= 3]
+    roots = groups(range(len(rows)), linked)
+    best = {}
+    for at, root in roots.items():
+        i = rows[at][0]
+        best.setdefault(root, []).append((i is None, i or 0))
+    return sorted((min(ids) for ids in best.values()))
+
+
+def test_one_of_each_against_brute_force(spark, docs):
+    rnd = random.Random(4)
+    base = [[f"w{rnd.randrange(400)}" for _ in range(60)] for _ in range(12)]
+    rows = []
+    for n in range(80):
+        words = list(rnd.choice(base))
+        if rnd.random() < 0.3:
+            words[rnd.randrange(60)] = f"x{n}"
+        rows.append((rnd.choice([None, *range(40)]), " ".join(words)))
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.one_of_each(docs(rows)).collect())
+    assert got == one_of_each_by_hand(rows)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", 3), (2, "a b c", "x", "y", 4)], "doc_id BIGINT, text STRING, _keep STRING, `key` STRING, best INT")
+    assert [tuple(r) for r in simhash.one_of_each(docs).collect()] == [(1, "a b c", "x", "y", 3)]
+    assert simhash.one_of_each(docs).columns == docs.columns and simhash.one_of_each(docs.limit(0)).collect() == []
+
