@@ -1,5 +1,6 @@
 """Session settings and staged tables in the shared checkpoint folder."""
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,17 @@ def get_session(app_name: str = "tallyward", **settings) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder, else one in the warehouse."""
+    """Folder every executor can reach: the cluster's checkpoint folder, else one in the warehouse.
+
+    A warehouse on a local disk serves a local master only, as executors elsewhere would not see what others wrote.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staged"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set spark.checkpoint.dir to a folder all executors share; the warehouse is {warehouse}")
+    return f"{warehouse}/staged"
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
@@ -54,6 +61,27 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps now.
+
+    Spark removes them when the driver collects the plans that made them, which on a large heap may come only after
+    the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that no result depends on any more: what was made of them has been staged itself."""
+    for table in staged:
+        context = table.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if staged:
+        release(staged[0].sparkSession)
+
+
 def one_row(spark: SparkSession, schema: T.StructType, values: dict) -> DataFrame:
     """A single row of literals; missing values are NULL."""
 
