@@ -12,12 +12,12 @@ allow that), turns it into a score.
 Counts cover every labelled training row and grow with the input: words are counted per class with a
 map-side combine, n-grams are counted from that word table, as they are, in Spark tables. They are joined to the
 n-grams of the distinct words of all documents, and a word's evidence is added up once. The evidence of the
-SENT_WORDS most frequent words goes to the documents; other words, none of which can be frequent, are joined
-per document and word.
+SENT_WORDS most frequent words goes to the documents; other words are joined per document and word. A long word that is frequent
+all the same has many rows of one key there, but one row on the other side, so Spark splits it like any skewed key.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyward.llm.learning import CALIBRATION_FOLD, FOLDS, Logistic, batch_words, bounded, fold, sample, training_labels, with_rows
-from tallyward.session import stage
+from tallyward.session import discard, release, stage
 
 ORDERS = (2, 3, 4, 5, 6)
 #: Orders up to this one are pooled over the classes.
@@ -110,6 +110,8 @@ class KneserNey:
     """Per order, counts of n-grams by class: gram, n0, n1. Pooled orders have all in n0."""
 
     counts: dict[int, DataFrame]
+    #: Tables that the counts are read from.
+    staged: list[DataFrame] = field(default_factory=list)
 
     def _contexts(self, order: int) -> DataFrame:
         """Per context and class its n-grams' counts and how many different ones there are."""
@@ -132,16 +134,21 @@ class KneserNey:
                 total, n, kinds = (F.coalesce(F.col(f"{c}{own}"), F.lit(0)) for c in ("total", "n", "kinds"))
                 seen = F.greatest(n - DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1))
                 steps.append(F.when(total > 0, seen + DISCOUNT * kinds / F.greatest(total, F.lit(1)) * lower[y]).otherwise(lower[y]).alias(f"lower{y}"))
-            below = stage(rows.select("gram", *steps), f"toxicity-order-{order}")
+            shorter, below = below, stage(rows.select("gram", *steps), f"toxicity-order-{order}")
+            discard(*[t for t in (shorter,) if t is not None])
         return below.select("gram", (F.log("lower1") - F.log("lower0")).alias("evidence"))
 
     def evidence_of(self, words: DataFrame) -> DataFrame:
         """word, n and evidence of a table of distinct words with n."""
         words = stage(words.select("word", "n").withColumn("word_id", F.monotonically_increasing_id()), "toxicity-vocabulary")
         windows = stage(words.select("word", "word_id").mapInArrow(_window_counts(("word_id",)), WINDOWS), "toxicity-windows")
-        found = windows.join(self.gram_evidence(windows.select("gram").distinct()), "gram")
+        grams = stage(windows.select("gram").distinct(), "toxicity-grams")
+        of_gram = self.gram_evidence(grams)
+        found = windows.join(of_gram, "gram")
         summed = found.groupBy(F.col("key").alias("word_id")).agg(F.sum(F.col("n") * F.col("evidence")).alias("evidence"))
-        return stage(words.join(summed, "word_id").select("word", "n", "evidence"), "toxicity-evidence")
+        evidence = stage(words.join(summed, "word_id").select("word", "n", "evidence"), "toxicity-evidence")
+        discard(windows, grams, of_gram, words)
+        return evidence
 
     def word_evidence(self, words: pa.Array) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word of a small array."""
@@ -175,15 +182,17 @@ def fit_models(words: DataFrame) -> KneserNey:
     """words: word, toxic (0, 1) and n, one row per word and class."""
     found = words.mapInArrow(_window_counts(("toxic", "n")), WINDOWS)
     found = stage(found.groupBy("gram", F.col("key").alias("y")).agg(F.sum("n").alias("n")), f"toxicity-grams-{ORDERS[-1]}")
-    counts = {}
+    counts, staged = {}, [found]
     for order in reversed(ORDERS):
         if order < ORDERS[-1]:  # different longer n-grams
             found = stage(found.groupBy(F.expr(f"right(gram, {order})").alias("gram"), "y").agg(F.count(F.lit(1)).alias("n")), f"toxicity-grams-{order}")
+            staged.append(found)
         of_class = [F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)) for y in (0, 1)]
         if order <= SHARED_ORDER:
             of_class = [F.sum("n"), F.sum(F.lit(0).cast("long"))]
         counts[order] = found.groupBy("gram").agg(*(c.alias(f"n{y}") for y, c in enumerate(of_class)))
-    return KneserNey(counts)
+    release(words.sparkSession)
+    return KneserNey(counts, staged)
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +228,7 @@ def _features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[name, "words", "total", "most", "telling", "rare"])
 
     schema = f"{name} {docs.schema[name].dataType.simpleString()}, words BIGINT, total DOUBLE, most DOUBLE, telling DOUBLE, rare ARRAY<STRUCT<word: STRING, times: BIGINT>>"
-    rows = stage(docs.mapInArrow(add_up, schema).withColumn("row_id", F.monotonically_increasing_id()), "toxicity-rows")
+    rows = added = stage(docs.mapInArrow(add_up, schema).withColumn("row_id", F.monotonically_increasing_id()), "toxicity-rows")
     pairs = rows.select("row_id", F.explode("rare").alias("of")).select("row_id", "of.word", "of.times").join(evidence.select("word", "evidence"), "word")
     rest = pairs.groupBy("row_id").agg(
         F.sum(F.col("times") * F.col("evidence")).alias("more"),
@@ -229,7 +238,9 @@ def _features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     n = F.greatest("words", F.lit(1))
     a, c = ((F.col(x) + F.coalesce(F.col(y), F.lit(0))) / n for x, y in (("total", "more"), ("telling", "also")))
     rows = rows.drop("rare").join(rest, "row_id", "left")
-    return stage(rows.select(name, a.alias("a"), F.greatest("most", F.coalesce("top", F.lit(0.0))).alias("b"), c.alias("c")), "toxicity-features")
+    features = stage(rows.select(name, a.alias("a"), F.greatest("most", F.coalesce("top", F.lit(0.0))).alias("b"), c.alias("c")), "toxicity-features")
+    discard(added, sent)
+    return features
 
 
 def _held_apart(known: DataFrame) -> tuple[Column, Column, list[int]] | None:
@@ -270,7 +281,10 @@ def _scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     words = counted.select("text", "toxic").mapInArrow(_count_words, "word STRING, toxic INT, n BIGINT")
     models = fit_models(words.groupBy("word", "toxic").agg(F.sum("n").alias("n")))
     vocabulary = docs.select("text").mapInArrow(_vocabulary, "word STRING, n BIGINT").groupBy("word").agg(F.sum("n").alias("n"))
-    features = _features(keyed, models.evidence_of(vocabulary)).select("key.*", "a", "b", "c")
+    evidence = models.evidence_of(vocabulary)
+    discard(*models.staged)
+    features = _features(keyed, evidence).select("key.*", "a", "b", "c")
+    discard(evidence)
     chosen = [sample(known.where(held & (F.col("label") == y)).select("doc_id", "label"), CALIBRATION_ROWS) for y in (0, 1)]
     measured = with_rows(features, chosen[0].union(chosen[1])).select("a", "b", "c", "label").toArrow()
     curve = _fit_curve(np.column_stack([measured.column(c).to_numpy() for c in "abc"]), measured.column("label").to_numpy(), of_class)
