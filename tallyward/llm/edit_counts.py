@@ -14,14 +14,16 @@ import base64
 from collections.abc import Iterator
 from itertools import accumulate, pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm.learning import bounded
+from tallyward.llm.learning import bounded, small_batches
 
 # Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,13 +52,18 @@ class Counter:
         self.cut = regex.compile(PATTERN)
         self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, int] = {}
+        self.earlier: dict[str, int] = {}
 
     def count(self, piece: str) -> int:
         n = self.known.get(piece)
         if n is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            n = self.known[piece] = len(self.encoding.encode_ordinary(piece))
+            if len(self.known) >= REMEMBERED // 2:
+                # Two halves: what was not asked for while one filled up is forgotten with the other.
+                self.known, self.earlier = {}, self.known
+            n = self.earlier.get(piece)
+            if n is None:
+                n = len(self.encoding.encode_ordinary(piece))
+            self.known[piece] = n
         return n
 
 
@@ -173,6 +180,13 @@ def edit(text: str, tree: Tree, start: int, deleted: int, inserted: str, counter
     return changed, len(chars)
 
 
+def _lists(column: pa.Array) -> list[list[int]]:
+    """Lists of numbers as Python lists, by way of one flat array."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)).tolist()
+    flat = column.flatten().to_numpy().tolist()
+    return [flat[a:b] for a, b in pairwise([0, *ends])]
+
+
 def _stored(trees: list[Tree]) -> list[pa.Array]:
     columns = zip(*(t.stored() for t in trees)) if trees else [[]] * 4
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64())
@@ -190,6 +204,7 @@ def token_trees(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
             trees = [build(t, counter) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), *_stored(trees)], names=NAMES)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(grow, TREE)
 
 
@@ -207,7 +222,8 @@ def recount(trees: DataFrame, vocabulary: Broadcast) -> DataFrame:
         counter = Counter(vocabulary.value)
         for batch in bounded(batches):
             texts, trees, before, again = [], [], [], []
-            for text, edits, *stored in zip(*(batch.column(c).to_pylist() for c in ("text", "edits", *NAMES[2:]))):
+            kept = [_lists(batch.column(c)) for c in NAMES[2:]]
+            for text, edits, *stored in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), *kept):
                 tree, n = Tree(*stored), 0
                 before.append(tree.tokens[1])
                 for e in edits or ():

@@ -5,7 +5,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyward.session import stage
@@ -16,6 +16,7 @@ CALIBRATION_FOLD = 4
 #: Labelled rows up to which they are sent to the documents instead of the documents to them (about 20 bytes each).
 BROADCAST_LABELS = 1_000_000
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -32,6 +33,12 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             start = stop
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Spark sends rows to Python workers in batches of at most BATCH_BYTES (or one row), not of 10,000 rows
+    whatever their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def fold() -> Column:
     """Held out where 0. Depends on doc_id alone and is never an input of a score."""
     return F.crc32(F.col("doc_id").cast("string")) % FOLDS
