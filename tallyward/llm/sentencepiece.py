@@ -29,7 +29,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm.learning import bounded
+from tallyward.llm.learning import bounded, small_batches
 from tallyward.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -320,6 +320,7 @@ def encode(docs: DataFrame, pieces: Pieces, most: int = WORDS) -> DataFrame:
     The ids are those of the model's own encoding without start and end signs. NULL and empty texts have no ids.
     Repeated rows are encoded alike; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     sent = send_encoder(docs.select("text"), pieces, most)
     kept = docs.drop("ids", "n_tokens")
 
@@ -346,6 +347,7 @@ def decode(rows: DataFrame, pieces: Pieces, column: str = "ids") -> DataFrame:
 
     Ids that are not the model's are an error, bytes that are not UTF-8 become replacement characters.
     """
+    small_batches(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(pieces.decoded)
     kept = rows.drop("decoded")
 
