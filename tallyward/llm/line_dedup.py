@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyward.session import stage
+from tallyward.session import discard, release, stage
 
 #: Jaccard similarity as a fraction, kept in integers so that both sides of 0.8 are exact.
 NEED, OF = 4, 5
@@ -175,6 +175,7 @@ def candidate_words(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> Da
     """The classes of candidate pairs with the words of their first line, read again from the documents, and a sketch of
     them."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
+    release(docs.sparkSession)
     wanted = stage(classes.select(*CLASS, *POSITION).join(named, "set_hash", "left_semi"), "line-wanted")
     lines, wanted = lines_of(docs), _small(wanted)
     here = [lines[c].eqNullSafe(wanted[c]) for c in POSITION]
@@ -226,13 +227,16 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     near = stage(_matches(best, read), "line-near")
     settled = near.withColumnsRenamed({c: f"later_{c}" for c in CLASS})
     left = chances.drop("shown").join(settled, later, "left_anti").join(best, [*later, *other], "left_anti")
-    return near.unionByName(_matches(left, read)).distinct()
+    release(docs.sparkSession)
+    found = stage(near.unionByName(_matches(left, read)).distinct(), "line-matches")
+    discard(read, chances, best, near)
+    return found
 
 
 def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """set_hash and set_check of classes that match a class with an earlier first line."""
     pairs = stage(first_candidates(classes), "line-candidates")
-    near = stage(verified(docs, classes, pairs.select("a", "b")), "line-near")
+    near = verified(docs, classes, pairs.select("a", "b"))
     # Compared with leaders instead of all others, and not found near.
     open_classes = pairs.where("by_leader").select(F.col("a").alias("set_hash")).distinct().join(near, "set_hash", "left_anti")
     again = stage(classes.join(open_classes, "set_hash", "left_semi"), "line-again")
@@ -241,13 +245,16 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rows, others = _small(stage(_starts(again, "a"), "line-again-words")), _starts(classes, "b")
     rest = _pairs(others.join(rows, (rows["word"] == others["word"]) & _earlier_and_alike()))
     rest = stage(rest.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "line-candidates")
-    return near.unionByName(verified(docs, classes, rest)).distinct()
+    more = verified(docs, classes, rest)
+    discard(pairs, again, rest)
+    return near.unionByName(more).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, removed: the sorted numbers of removed lines of each document that loses any."""
     sets = stage(line_sets(docs, rarity(docs)), "line-sets")
     classes = stage(line_classes(sets), "line-classes")
+    release(docs.sparkSession)
     near = near_classes(docs, classes).withColumn("near", F.lit(True))
     first = F.struct(*POSITION).alias("first")
     judged = classes.select(*CLASS, first).join(near, list(CLASS), "left")
