@@ -9,7 +9,8 @@ with C characters, T tags, LC characters in links and LT links below the node. T
 densities have the largest sum is the core of the content, and the article or main around it (else the body)
 is its container. Density grows with the size of a node, so it cannot tell a short paragraph from furniture: all
 of the container is kept but blocks beside the path to the core that are half or more links and thinner than
-everything on the path from the body to it. Page furniture that says what it is (by tag, role, class or id) is
+everything on the path from the body to it, and, on a page without article or main, containers of less than a tenth of
+the container that holds two thirds of the page, outside of it and without a heading. Page furniture that says what it is (by tag, role, class or id) is
 left out beforehand, as short articles can be thinner than their footer.
 
 A page is one row and never leaves its task; the parser below is the small per-row helper.
@@ -48,6 +49,18 @@ WEAK_HINTS = frozenset(
     "popup promo promotion recommended related replies reply respond search share sharing signup skip social subscribe "
     "subscription widget".split()
 )
+#: What may stand beside them in a name without making it one of content (ad-hoc-queries, menu-of-the-day); so may numbers
+#: and parts of one or two letters.
+BESIDE_HINTS = frozenset(
+    "aria area bar block body bottom box button center col column container content desktop extra global group header "
+    "holder inner item items layout left line link links list main mobile module outer page panel post primary right root "
+    "row secondary section site slot sticky text thread title top unit wrap wrapper".split()
+)
+#: Never furniture by name: a word in a line of code can be called comment.
+INLINE = frozenset(
+    "a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split()
+)
+CONTAINERS = frozenset(("div", "section", "center", "td"))
 HIDDEN, MARKED, DOUBTFUL = 3, 2, 1
 HOLDS_CONTENT = frozenset(("html", "body", "article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -122,10 +135,13 @@ def _furniture(attrs: dict) -> int:
     """HIDDEN, MARKED as furniture, DOUBTFUL, or 0."""
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style") or ""):
         return HIDDEN
-    parts = {part.lower() for a in ("class", "id", "role") for part in _NAME_PART.findall(attrs.get(a) or "")}
-    if parts & HINTS:
-        return MARKED
-    return min(len(parts & WEAK_HINTS), MARKED)
+    found = set()
+    for name in (name for a in ("class", "id", "role") for name in (attrs.get(a) or "").split()):
+        parts = {part.lower() for part in _NAME_PART.findall(name)}
+        hints = parts & (HINTS | WEAK_HINTS)
+        if all(len(part) <= 2 or part.isdigit() or part in BESIDE_HINTS for part in parts - hints):
+            found |= hints
+    return MARKED if found & HINTS else min(len(found), MARKED)
 
 
 def _left_out(page: Page) -> list[bool]:
@@ -158,7 +174,8 @@ def _left_out(page: Page) -> list[bool]:
         up, tag = page.parents[i], page.tags[i]
         most = (article[i] or no_articles) and 2 * chars[i] > chars[article[i]] and 2 * link_chars[i] < chars[i]
         stays = tag in HOLDS_CONTENT or holds[i] or tag in HEADINGS or most
-        marked = page.marked[i] == MARKED or tag in WRAPS or (page.marked[i] == DOUBTFUL and 2 * link_chars[i] >= chars[i])
+        named = 0 if tag in INLINE else page.marked[i]
+        marked = named >= MARKED or tag in WRAPS or (named == DOUBTFUL and 2 * link_chars[i] >= chars[i])
         out[i] = out[up] or never[i] or (marked and not stays)
         # A header is the page's, or holds the title of an article: then only headings are text.
         out[i] |= tag == "header" and not article[i]
@@ -215,7 +232,15 @@ def main_text(html: str | None) -> str:
     while path[-1] not in (body, 0):
         path.append(page.parents[path[-1]])
     threshold = min(densities[i] for i in path)
-    container = next((i for i in path if page.tags[i] in ("article", "main")), path[-1])
+    article = next((i for i in path if page.tags[i] in ("article", "main")), None)
+    container = path[-1] if article is None else article
+    # On a page without articles: the part that holds most of it. Beside that, a line or two are the page's own.
+    # Paragraphs and lists are text wherever they stand, so only containers beside a container are looked at.
+    most = next((i for i in path if page.tags[i] in CONTAINERS and 3 * chars[i] >= 2 * chars[path[-1]]), path[-1])
+    around = set(path[path.index(most) + 1 :]) if article is None else set()
+    titled = [tag in HEADINGS for tag in page.tags]
+    for i in range(n - 1, 0, -1):
+        titled[page.parents[i]] |= titled[i]
     on_path, keep = set(path), [False] * n
     keep[container] = True
     for i in range(container + 1, n):
@@ -223,7 +248,9 @@ def main_text(html: str | None) -> str:
         beside = up in on_path and up != core and i not in on_path and page.tags[i] not in HEADINGS
         if page.tags[container] in ("article", "main"):
             beside &= page.tags[i] in BLOCK  # a link between words of the article is one of them
-        keep[i] = keep[up] and not out[i] and not (beside and 2 * link_chars[i] >= chars[i] and densities[i] < threshold)
+        thin = 2 * link_chars[i] >= chars[i] and densities[i] < threshold
+        margin = up in around and i not in on_path and page.tags[i] in CONTAINERS and not titled[i] and 10 * chars[i] < chars[most]
+        keep[i] = keep[up] and not out[i] and not (beside and thin) and not margin
     blocks: dict[int, list[str]] = {}
     for node, block, text in page.texts:
         if keep[node] and not out[node]:

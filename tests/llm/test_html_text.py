@@ -66,6 +66,13 @@ def test_all_of_an_article_beside_its_core():
         # A node called comment has most of its article, or is one below it.
         (f"<article><h1>T</h1><div class=comment><p>{P2}</p></div></article>", f"T\n{P2_TEXT}"),
         (f"<article><h1>T</h1><p>{P2}</p><p>{P2}</p><div class=comment><p>{P2}</p></div></article>", f"T\n{P2_TEXT}\n{P2_TEXT}"),
+        # Names that only begin like furniture, and words of code that are called so.
+        (f"<article><h1>T</h1><p>{P2}</p><section class='ad-hoc-queries'><p>{P2}</p></section><div class='menu-of-the-day'>Soup</div></article>", f"T\n{P2_TEXT}\n{P2_TEXT}\nSoup"),
+        (f"<article><p>{P2}</p><pre>x = 1 <span class='token comment'># one</span> <span class=hljs-comment>// two</span></pre></article>", f"{P2_TEXT}\nx = 1 # one // two"),
+        (f"<article><p>{P2}</p><p>{P2}</p><section class='comments-area'><p>Great!</p></section><div class='ad-slot-2'>Buy</div><div id='nav_links1'>Next</div></article>", f"{P2_TEXT}\n{P2_TEXT}"),
+        # Margins of a page that say nothing of themselves.
+        (f"<body><div>We use cookies.</div><div><h2>Story</h2>{f'<p>{P2}</p>' * 4}</div><div>Copyright 2024 Somebody</div></body>", "\n".join(["Story", *[P2_TEXT] * 4])),
+        (f"<body><div><h1>Title</h1></div><div>{f'<p>{P2}</p>' * 4}</div><div><p>{P2}</p></div></body>", "\n".join(["Title", *[P2_TEXT] * 5])),
         # Furniture with links, with two such names, and hidden.
         (f"<article><p>{P2}</p><div class=related><a href=1>One</a> <a href=2>Two</a></div><div class='social-share'>Tell all</div></article>", P2_TEXT),
         (f"<article><p>Short.</p><div hidden><p>{P2}</p></div></article>", "Short."),
