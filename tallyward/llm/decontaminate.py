@@ -14,6 +14,7 @@ another scan of the documents per block.
 """
 
 import math
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -51,7 +52,8 @@ class ItemBlock:
     vocabulary: set[bytes] = field(default_factory=set)
     #: Shingle width and size partition (q below a power of two) -> smallest hashes -> items.
     signatures: dict = field(default_factory=dict)
-    #: Per width: the largest hash in any signature; larger document hashes need no look-up.
+    #: Per width and size partition: the largest hash in any signature. Short items reach furthest, as they have
+    #: few shingles to take the smallest of; larger document hashes are not looked up in a partition.
     reach: dict = field(default_factory=dict)
 
     def add(self, item_id, text: str | None) -> None:
@@ -65,10 +67,11 @@ class ItemBlock:
         self.sets.append(own)
         self.vocabulary.update(words)
         smallest = sorted(xxhash.xxh64_intdigest(s) for s in own)[: math.floor((1 - self.shares) * len(own)) + 1]
-        partition = self.signatures.setdefault((width, len(own).bit_length()), defaultdict(list))
+        key = width, len(own).bit_length()
+        partition = self.signatures.setdefault(key, defaultdict(list))
         for h in smallest:
             partition[h].append(at)
-        self.reach[width] = max(self.reach.get(width, 0), smallest[-1])
+        self.reach[key] = max(self.reach.get(key, 0), smallest[-1])
 
     def found_in(self, text: str | None) -> list[tuple[int, int]]:
         """(item, number of its shingles in the text) of each item contained in the text."""
@@ -76,16 +79,16 @@ class ItemBlock:
         known = np.fromiter(map(self.vocabulary.__contains__, words), bool, len(words))
         upto = np.concatenate(([0], np.cumsum(known)))
         hits = []
-        for width, reach in self.reach.items():
+        for width in {width for width, _ in self.reach}:
             # A shingle of any item has only words of the items.
             starts = np.flatnonzero(upto[width:] - upto[:-width] == width)
             own = {b" ".join(words[i : i + width]) for i in starts.tolist()}
-            hashes = [h for h in map(xxhash.xxh64_intdigest, own) if h <= reach]
+            hashes = sorted(map(xxhash.xxh64_intdigest, own))
             candidates = {
                 item
-                for (of_width, _), partition in self.signatures.items()
-                if of_width == width
-                for h in hashes
+                for key, partition in self.signatures.items()
+                if key[0] == width
+                for h in hashes[: bisect_right(hashes, self.reach[key])]
                 for item in partition.get(h, ())
             }
             for item in candidates:
