@@ -4,8 +4,9 @@ A line is the set of its words. It is removed when an earlier line (by doc_id, t
 documents) has a Jaccard similarity of at least 0.8 with it.
 
 1. Words are ordered by rarity. Their frequencies are counted over all lines into a fixed number of hash
-   buckets, so the order is a small array inside the expression instead of a join of all words. Any total
-   order gives the same result; a rarer start only gives fewer candidates.
+   buckets, so the order is an array inside the expression instead of a join of all words. Any total
+   order gives the same result; a rarer start only gives fewer candidates. A word that is alone in its bucket and
+   occurs once can't be shared, and starts no candidate.
 2. Lines with the same words form a class (a map-side combined minimum finds its first line), so copies
    never meet in a join, however many there are.
 3. Prefix filter: two classes can only match if they share one of their rarest n - ceil(0.8 n) + 1 words.
@@ -19,6 +20,7 @@ documents) has a Jaccard similarity of at least 0.8 with it.
    are verified on their words, the likeliest of each class first.
 """
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,10 +29,11 @@ from tallyward.session import discard, release, stage
 
 #: Jaccard similarity as a fraction, kept in integers so that both sides of 0.8 are exact.
 NEED, OF = 4, 5
-BUCKETS = 1 << 15
+#: Hash buckets that word frequencies are kept in (a byte or two each in the expression that orders words).
+BUCKETS = 1 << 20
 HASH_BITS = 27
 #: Words of 64 parities in the sketch of a candidate.
-SKETCHES = 6
+SKETCHES = 3
 #: Rows up to which positions of lines, or lists of lost lines, are sent to the documents (about 60 bytes each); beyond
 #: that the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -55,11 +58,10 @@ def rarity(docs: DataFrame) -> Column:
     words = docs.select(F.explode(line_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int")
     counts = words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    steps = [0] * BUCKETS
-    most = (1 << (32 - HASH_BITS)) - 1
-    for at, step in counts.select("bucket", F.floor(F.log2("n"))).collect():  # at most BUCKETS rows
-        steps[at] = min(step, most)
-    return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<int>")
+    found = counts.select("bucket", F.floor(F.log2("n")).cast("int").alias("step")).toArrow()  # at most BUCKETS rows
+    steps = np.zeros(BUCKETS, np.int32)
+    steps[found.column("bucket").to_numpy()] = np.minimum(found.column("step").to_numpy(), (1 << (32 - HASH_BITS)) - 1)
+    return F.split(F.lit(",".join(map(str, steps.tolist()))), ",").cast("array<int>")
 
 
 def _by_rarity(hashes: Column, rare: Column) -> Column:
@@ -120,6 +122,8 @@ def _starts(classes: DataFrame, prefix: str) -> DataFrame:
     """word, and who (doc, set_hash, n, bits) and place of each class that has it in its prefix."""
     doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")  # without id comes first
     rows = classes.where("prefix IS NOT NULL").select(F.struct(doc, "set_hash", "n", "bits").alias("who"), F.posexplode("prefix").alias("place", "word"))
+    # A word of the lowest step, alone in its bucket, occurs once in all lines and is shared with none.
+    rows = rows.where(F.col("word") >= -(1 << 31) + (1 << HASH_BITS))
     return rows.select("word", F.col("who").alias(f"{prefix}_who"), F.col("place").alias(f"{prefix}_place"))
 
 
@@ -176,12 +180,18 @@ def candidate_words(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> Da
     them."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
     release(docs.sparkSession)
-    wanted = stage(classes.select(*CLASS, *POSITION).join(named, "set_hash", "left_semi"), "line-wanted")
-    lines, wanted = lines_of(docs), _small(wanted)
-    here = [lines[c].eqNullSafe(wanted[c]) for c in POSITION]
-    first = F.struct(*[lines[c] for c in POSITION]).alias("first")
-    words = F.array_distinct(line_words(F.col("line"))).alias("words")
-    read = lines.join(wanted, here).select(*CLASS, first, words)
+    wanted = classes.select(*CLASS, *POSITION).join(named, "set_hash", "left_semi")
+    line = F.struct("line_no", *CLASS).alias("line")
+    wanted = _small(stage(wanted.groupBy("doc_id", "row_key").agg(F.collect_list(line).alias("wanted")), "line-wanted"))
+    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    here = [keyed[c].eqNullSafe(wanted[c]) for c in ("doc_id", "row_key")]
+    # Only the wanted lines of a document leave its row.
+    whole = keyed.join(wanted, here).select(keyed["doc_id"], keyed["row_key"], F.split("text", "\n").alias("lines"), "wanted")
+    taken = F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get(F.col("lines"), w["line_no"]).alias("text")))
+    rows = whole.select("doc_id", "row_key", F.explode(taken).alias("t"))
+    first = F.struct("doc_id", "row_key", "t.w.line_no").alias("first")
+    words = F.array_distinct(line_words(F.col("t.text"))).alias("words")
+    read = rows.select(*[F.col(f"t.w.{c}") for c in CLASS], first, words)
     return stage(read.withColumn("n", F.size("words")).withColumn("sketch", _sketch(F.col("words"))), "line-words")
 
 
