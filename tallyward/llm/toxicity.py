@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.learning import CALIBRATION_FOLD, FOLDS, Logistic, batch_words, bounded, fold, sample, training_labels, with_rows
+from tallyward.llm.learning import CALIBRATION_FOLD, FOLDS, Logistic, batch_words, bounded, fold, sample, small_batches, training_labels, with_rows
 from tallyward.session import discard, release, stage
 
 ORDERS = (2, 3, 4, 5, 6)
@@ -40,7 +40,7 @@ CALIBRATION_ROWS = 20_000
 TELLING = 3.0
 UNIFORM = 1e-4
 #: N-grams that a task combines before they are shuffled.
-GRAMS_AT_A_TIME = 200_000
+GRAMS_AT_A_TIME = 100_000
 
 START = "\1"
 
@@ -270,6 +270,7 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, of_class: list[int]) -> Logistic:
 
 def _scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_hash and score of every row of docs. Fitted on labelled rows of docs."""
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     known = training_labels(labels, "toxic")
     known = stage(with_rows(docs.select("doc_id"), known).distinct(), "labels-in-use")
