@@ -57,7 +57,7 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_dir(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
