@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyward.llm import learning, quality, toxicity
 
@@ -118,16 +119,84 @@ def test_word_probabilities_sum_to_one(spark):
             assert 0 <= seen <= contexts[c]
 
 
-def test_views_exchange_labels():
-    """A view that sees the label well teaches the other through the pool."""
-    rnd = np.random.default_rng(1)
-    truth = rnd.integers(0, 2, 1200)
-    views = [np.column_stack([truth * 4 + rnd.normal(0, 1, 1200), rnd.normal(0, 1, 1200)]), (truth * 2 + rnd.normal(0, 1, 1200))[:, None]]
-    few, pool, test = slice(0, 20), slice(20, 800), slice(800, 1200)
-    alone = learning.Logistic(views[1][few], truth[few])
-    taught = quality.co_train((views[0][few], views[1][few]), truth[few], (views[0][pool], views[1][pool]))[1]
-    right = [np.mean((m.score(views[1][test]) >= 0.5) == truth[test]) for m in (alone, taught)]
-    assert right[1] >= right[0] - 0.01 and right[1] > 0.8
+def half_labelled(n=400):
+    rows, labels = made(n, seed=3)
+    return rows, [x for x in labels if x[0] % 2]
+
+
+def plain_weights(rows, label, features):
+    """Naive Bayes by counting rows one by one."""
+    of_label = [sum(label(r) == y for r in rows) for y in (0, 1)]
+    counts = {}
+    for r in rows:
+        if label(r) is not None:
+            for f in features(r):
+                counts.setdefault(f, [0, 0])[label(r)] += 1
+    return {f: np.log((n[1] + 0.5) / (of_label[1] + 1)) - np.log((n[0] + 0.5) / (of_label[0] + 1)) for f, n in counts.items()}
+
+
+def test_a_round_of_co_training_against_plain_counting(spark, docs):
+    rows, labels = half_labelled()
+    table = docs(rows).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 7))
+    marked = quality._marked(table, spark.createDataFrame(labels, LABELS), 512)
+    sample = quality._sampled(quality._columns(marked, "calibrate", ["learn"]))
+    model = quality.fit_round(marked, ["learn"], "calibrate", sample, 512)
+    here = marked.collect()
+    known = {i: q for i, q, *_ in labels if not is_held_out(i)}
+    assert {r.doc_id: r.label for r in here if r.role in ("learn", "calibrate")} == known
+    assert {r.doc_id for r in here if r.role == "pool"} == {i for i, _ in rows if i % 2 == 0}
+
+    def learned(r):
+        return r.label if r.role == "learn" else None
+
+    want = plain_weights(here, learned, lambda r: r.slots)
+    assert np.allclose(model.weights, [want.get(s, 0.0) for s in range(512)])
+    for column, got in (("lang", model.langs), ("source", model.sources)):
+        plain = plain_weights(here, learned, lambda r: [r[column]])
+        assert {r[column]: r.weight for r in got.collect()} == pytest.approx(plain)
+
+    # What each view is surest of goes to the other, whole steps at a time.
+    scored = quality.stage(model.with_odds(marked), "test")
+    given, new = quality.hand_over(scored, 0.7)
+    after = given.collect()
+    pool = [r for r in after if r.role == "pool"]
+    handed = 0
+    for view, other in (("text", "metadata"), ("metadata", "text")):
+        odds = {r.doc_id: r[f"{view}_odds"] for r in pool}
+        expected = {}
+        for y, part in ((1, 0.7), (0, 1 - 0.7)):
+            step = {i: int(np.floor((o if y else -o) * 20)) for i, o in odds.items()}
+            most = int(np.ceil(len(pool) * 0.05 * part))
+            for s in sorted({s for s in step.values() if s >= np.ceil(20 * np.log(19))}, reverse=True):
+                if sum(v == y for v in expected.values()) >= most:
+                    break
+                expected |= {i: y for i, at in step.items() if at == s}
+        assert {r.doc_id: r[f"{other}_given"] for r in pool if r[f"{other}_given"] is not None} == expected
+        handed += len(expected)
+    assert handed == new > 0 and all(r.text_given is None and r.metadata_given is None for r in after if r.role != "pool")
+
+    # The next round counts what was handed over.
+    again = quality.fit_round(given, ["learn"], "calibrate", sample, 512)
+    want = plain_weights(after, lambda r: learned(r) if r.role == "learn" else r.text_given, lambda r: r.slots)
+    assert np.allclose(again.weights, [want.get(s, 0.0) for s in range(512)])
+
+
+def test_unlabelled_rows_teach(spark, docs):
+    """With few labels, rounds over the unlabelled rows do not hurt, and every one of them may be labelled."""
+    rows, labels = made(900, seed=5)
+    few = [x for x in labels if x[0] % 12 == 1]
+    got = {r.doc_id: r.predicted for r in quality.quality(docs(rows), spark.createDataFrame(few, LABELS)).collect()}
+    rest = [x for x in labels if x[0] % 12 != 1]
+    assert sum(got[x[0]] == x[1] for x in rest) / len(rest) > 0.9
+
+
+def test_every_source_counts_for_itself(spark, docs):
+    """Hundreds of sources, each all good or all bad, that say everything; texts say nothing."""
+    rows = [(i, "the same words in every text") for i in range(3000)]
+    table = docs(rows).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 300))
+    labels = [(i, int(i % 300 < 150), 0, "x", 1, 1) for i in range(3000) if i // 300 % 3]
+    got = quality.quality(table, spark.createDataFrame(labels, LABELS)).collect()
+    assert sum(r.predicted == int(r.doc_id % 300 < 150) for r in got) > 0.99 * len(got)
 
 
 @pytest.mark.parametrize("sampled, toxic_folds", [(20_000, (1, 2, 3)), (50, (1, 2, 3, 4))])
