@@ -1,9 +1,5 @@
 """Micro-batch bookkeeping over a numbered stream: which batch emits a window, batch summaries."""
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,47 +10,39 @@ from tallyward.operators.arrival import late_by_watermark
 from tallyward.operators.closing import window_closers
 from tallyward.operators.counts import both_clocks, closed_counts, event_time_windows, processing_time_windows
 from tallyward.policy import BATCH_SIZE, LATE_EXAMPLES, LatenessPolicy
+from tallyward.session import stage
 from tallyward.sources.trips import ARRIVAL
 
 TOTAL = "TOTAL"
+#: Closers are looked up by the quarter hour of arrival that a trip falls into.
+SPAN_MICROS = 900_000_000
 
 
-def _slot_counter(closers: pa.Table):
-    """Count the trips of each batch by the number of closers that arrived before them."""
-    closer_time, closer_seq = (closers.column(c).to_numpy() for c in ("time_us", "seq"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            time, seq = (batch.column(c).to_numpy() for c in ("time_us", "seq"))
-            # Trips stand before closers, so that a closer, itself a trip, is the last one of its slot.
-            order = np.lexsort((np.concatenate([seq, closer_seq]), np.concatenate([time, closer_time])))
-            is_closer = order >= len(time)
-            counts = np.bincount(np.cumsum(is_closer)[~is_closer], minlength=len(closer_time) + 1)
-            slots = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "trips"])
-
-    return count
+def _key(time: str, seq: str) -> Column:
+    return F.struct(F.unix_micros(time).alias("us"), F.col(seq).alias("seq"))
 
 
 def closer_positions(trips: DataFrame, closers: DataFrame) -> DataFrame:
     """Stream position of every closer: closer_time, closer_seq, position.
 
-    Only these few positions are needed, so the trips are counted, not sorted: each falls into a slot
-    between two closers, and slots are counted with a map-side combine and added up along the stream.
-    There is at most one closer per distinct window and clock (35,040 windows a year), so the closers
-    themselves can go to every task, and the ordered sum sees one row per closer.
+    Only these few positions are needed, so the trips are counted, not sorted: each falls into a slot between two
+    closers of its span of the arrival clock, and slots are counted with a map-side combine and added up along the stream.
+    A closer, itself a trip, is the last one of its slot. There is at most one closer per distinct window and clock, and
+    the ordered sum sees one row per closer and span, never trips. The lists of closers are staged, so they
+    go to every task only while they are small.
     """
-    time, seq = ARRIVAL
-    points = closers.where(F.col("closer_time").isNotNull()).select(
-        F.unix_micros("closer_time").alias("time_us"), F.col("closer_seq").alias("seq")
-    )
-    points = points.distinct().orderBy("time_us", "seq").toArrow()
-    numbered = trips.sparkSession.createDataFrame(points.append_column("slot", pa.array(range(len(points)), pa.int64())))
-    rows = trips.select(F.unix_micros(time).alias("time_us"), F.col(seq).alias("seq"))
-    slots = rows.mapInArrow(_slot_counter(points), "slot BIGINT, trips BIGINT").groupBy("slot").agg(F.sum("trips").alias("trips"))
-    upto = slots.withColumn("position", F.sum("trips").over(W.orderBy("slot")))
-    return numbered.join(upto, "slot").select(
-        F.timestamp_micros("time_us").alias("closer_time"), F.col("seq").alias("closer_seq"), "position"
+    span = F.floor(F.col("key.us") / SPAN_MICROS)
+    points = closers.where(F.col("closer_time").isNotNull()).select(_key("closer_time", "closer_seq").alias("key"))
+    lists = points.groupBy(span.alias("span")).agg(F.array_sort(F.collect_set("key")).alias("points"))
+    lists = stage(lists, "closer-points")
+    rows = trips.select(_key(*ARRIVAL).alias("key")).withColumn("span", span).join(lists, "span", "left")
+    before = F.size(F.filter("points", lambda point: point < F.col("key")))
+    slot = F.when(F.col("points").isNull(), 0).otherwise(before).alias("slot")
+    slots = rows.groupBy("span", slot).agg(F.count(F.lit(1)).alias("trips"))
+    upto = slots.withColumn("position", F.sum("trips").over(W.orderBy("span", "slot")))
+    each = lists.select("span", F.posexplode("points").alias("slot", "key"))
+    return each.join(upto, ["span", "slot"]).select(
+        F.timestamp_micros("key.us").alias("closer_time"), F.col("key.seq").alias("closer_seq"), "position"
     )
 
 

@@ -77,7 +77,7 @@ def test_side_output_rate_reads_only_what_it_needs(spark):
 
 @pytest.mark.parametrize(
     "name",
-    ["zone_counts_event_time", "completeness_by_zone", "delay_profile", "side_output_rate", "late_events", "watermark_at_arrival"],
+    ["zone_counts_event_time", "completeness_by_zone", "delay_profile", "side_output_rate", "late_events", "watermark_at_arrival", "emission_batch", "batch_summary"],
 )
 def test_hot_paths_stay_in_the_jvm(spark, name):
     plan = plan_of(QUERIES[name](spark, SF))
