@@ -3,8 +3,9 @@
 Each class (toxic, ordinary) has a character model over words, with orders up to six. A word's
 probability is interpolated Kneser-Ney: absolute discounting at each order, occurrences at the highest
 order, continuation counts (distinct longer n-grams that end in it) below. The lowest orders are shared: both
-classes back off to one pooled model, so an expression that neither class has seen tells nothing, and a rare
-one only what the longer contexts it shares with known expressions tell. A document's evidence is the
+classes back off to one pooled model, whose counts are those of the classes added up (a longer n-gram that both
+have counts twice), so an expression that neither class has seen tells nothing, and a rare one only what the longer
+contexts it shares with known expressions tell. A document's evidence is the
 difference of its two log-likelihoods per word, the same for its most telling word, and the share of telling
 words. A logistic curve, fitted on labelled rows of each class that the models have not seen (where the labels
 allow that), turns it into a score.
@@ -52,17 +53,6 @@ def _windows(word: str) -> Iterator[str]:
     return (text[at : at + top] for at in range(len(word) + 1))
 
 
-def _grams(words: pa.Array) -> Iterator[tuple[int, list[int], list[str], list[str]]]:
-    """Per order, at every character of every word: order, word no., context and n-gram.
-
-    A word is read as if start signs stood before it, and ends with an end sign.
-    """
-    windows = [(no, window) for no, word in enumerate(words.to_pylist()) for window in _windows(word)]
-    for order in ORDERS:
-        grams = [window[-order:] for _, window in windows]
-        yield order, [no for no, _ in windows], [gram[:-1] for gram in grams], grams
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in bounded(batches):
         words, places, rows = batch_words(batch.column("text"))
@@ -135,48 +125,26 @@ class KneserNey:
                 seen = F.greatest(n - DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1))
                 steps.append(F.when(total > 0, seen + DISCOUNT * kinds / F.greatest(total, F.lit(1)) * lower[y]).otherwise(lower[y]).alias(f"lower{y}"))
             shorter, below = below, stage(rows.select("gram", *steps), f"toxicity-order-{order}")
-            discard(*[t for t in (shorter,) if t is not None])
+            release(grams.sparkSession)
+            if shorter is not None:
+                discard(shorter)
         return below.select("gram", (F.log("lower1") - F.log("lower0")).alias("evidence"))
 
     def evidence_of(self, words: DataFrame) -> DataFrame:
-        """word, n and evidence of a table of distinct words with n."""
+        """word, n and evidence of a table of distinct words with n. The counts are used up by it."""
         words = stage(words.select("word", "n").withColumn("word_id", F.monotonically_increasing_id()), "toxicity-vocabulary")
         windows = stage(words.select("word", "word_id").mapInArrow(_window_counts(("word_id",)), WINDOWS), "toxicity-windows")
+        release(words.sparkSession)
         grams = stage(windows.select("gram").distinct(), "toxicity-grams")
+        release(words.sparkSession)
         of_gram = self.gram_evidence(grams)
+        discard(grams, *self.staged)
         found = windows.join(of_gram, "gram")
         summed = found.groupBy(F.col("key").alias("word_id")).agg(F.sum(F.col("n") * F.col("evidence")).alias("evidence"))
         evidence = stage(words.join(summed, "word_id").select("word", "n", "evidence"), "toxicity-evidence")
-        discard(windows, grams, of_gram, words)
+        discard(windows, of_gram, words)
         return evidence
 
-    def word_evidence(self, words: pa.Array) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood of each word of a small array."""
-        spark = self.counts[ORDERS[0]].sparkSession
-        rows = self.evidence_of(spark.createDataFrame([(w, 1) for w in set(words.to_pylist())], "word STRING, n BIGINT")).collect()
-        known = {r["word"]: r["evidence"] for r in rows}
-        return np.array([known[w] for w in words.to_pylist()])
-
-    def _collected(self, column: str, tables: dict[int, DataFrame], index: str) -> dict:
-        frames = {order: table.toPandas().set_index(index) for order, table in tables.items()}
-        return {(order, y): frame[f"{column}{y}"] for order, frame in frames.items() for y in (0, 1)}
-
-    @property
-    def grams(self) -> dict:
-        """Counts by (order, class) of a small model."""
-        return self._collected("n", self.counts, "gram")
-
-    @property
-    def contexts(self) -> dict:
-        return {key: s.to_numpy() for key, s in self._collected("total", self._sorted_contexts(), "context").items()}
-
-    @property
-    def kinds(self) -> dict:
-        return {key: s.to_numpy() for key, s in self._collected("kinds", self._sorted_contexts(), "context").items()}
-
-    def _sorted_contexts(self) -> dict[int, DataFrame]:
-        return {order: self._contexts(order).orderBy("context") for order in ORDERS}
-
 
 def fit_models(words: DataFrame) -> KneserNey:
     """words: word, toxic (0, 1) and n, one row per word and class."""
@@ -187,6 +155,7 @@ def fit_models(words: DataFrame) -> KneserNey:
         if order < ORDERS[-1]:  # different longer n-grams
             found = stage(found.groupBy(F.expr(f"right(gram, {order})").alias("gram"), "y").agg(F.count(F.lit(1)).alias("n")), f"toxicity-grams-{order}")
             staged.append(found)
+            release(words.sparkSession)
         of_class = [F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)) for y in (0, 1)]
         if order <= SHARED_ORDER:
             of_class = [F.sum("n"), F.sum(F.lit(0).cast("long"))]
@@ -223,7 +192,8 @@ def _features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
             pairs, times = np.unique(rows[rare] * max(1, len(words)) + places[rare], return_counts=True)
             offsets = np.searchsorted(pairs // max(1, len(words)), np.arange(size + 1)).astype(np.int32)
             others = pa.StructArray.from_arrays([words.take(pa.array(pairs % max(1, len(words)))).cast(pa.string()), pa.array(times.astype(np.int64))], names=["word", "times"])
-            sums = [np.bincount(rows, of, size), most, np.bincount(rows, of > TELLING, size)]
+            # Without any word, bincount counts in whole numbers.
+            sums = [np.bincount(rows, of, size).astype(float), most, np.bincount(rows, of > TELLING, size).astype(float)]
             columns = [batch.column(name), pa.array(np.bincount(rows, minlength=size)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(offsets), others)]
             yield pa.RecordBatch.from_arrays(columns, names=[name, "words", "total", "most", "telling", "rare"])
 
@@ -283,7 +253,6 @@ def _scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     models = fit_models(words.groupBy("word", "toxic").agg(F.sum("n").alias("n")))
     vocabulary = docs.select("text").mapInArrow(_vocabulary, "word STRING, n BIGINT").groupBy("word").agg(F.sum("n").alias("n"))
     evidence = models.evidence_of(vocabulary)
-    discard(*models.staged)
     features = _features(keyed, evidence).select("key.*", "a", "b", "c")
     discard(evidence)
     chosen = [sample(known.where(held & (F.col("label") == y)).select("doc_id", "label"), CALIBRATION_ROWS) for y in (0, 1)]

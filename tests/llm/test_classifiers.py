@@ -78,45 +78,106 @@ def test_without_toxic_keeps_columns_and_clean_rows(spark, docs):
     assert len(clean - ids) <= 0.01 * len(clean) and len(ids - clean) <= 0.05 * len(rows)
 
 
-def test_n_gram_counts_against_plain_counting(spark):
-    """Occurrences at the highest order, distinct longer n-grams below; buckets are the hashes of _grams."""
-    words = [("abcab", 1, 3), ("abc", 0, 2), ("x", 0, 1), ("abcd", 1, 1)]
-    models = toxicity.fit_models(spark.createDataFrame(words, "word STRING, toxic INT, n BIGINT"))
-    table = pa.array([w for w, *_ in words])
-    per_order = {order: (no, context, gram) for order, no, context, gram in toxicity._grams(table)}
+def plain_counts(words):
+    """Per order and class the counts of n-grams, and per order the counts of a pooled model, one word after the other."""
     top = toxicity.ORDERS[-1]
+    counts = {(order, y): {} for order in toxicity.ORDERS for y in (0, 1)}
+    for word, y, n in words:
+        text = toxicity.START * (top - 1) + word + "\n"
+        for at in range(len(word) + 1):
+            gram = text[at : at + top]
+            counts[top, y][gram] = counts[top, y].get(gram, 0) + n
+    for order in reversed(toxicity.ORDERS[:-1]):
+        for y in (0, 1):
+            for longer in counts[order + 1, y]:  # different ones
+                counts[order, y][longer[1:]] = counts[order, y].get(longer[1:], 0) + 1
     for order in toxicity.ORDERS:
-        counts = {}
-        if order == top:
-            for no, c, g in zip(*per_order[order]):
-                key = (words[no][1], g)
-                counts[key] = counts.get(key, 0) + words[no][2]
+        if order <= toxicity.SHARED_ORDER:
+            pooled = {g: sum(counts[order, y].get(g, 0) for y in (0, 1)) for y in (0, 1) for g in counts[order, y]}
+            counts[order, 0] = counts[order, 1] = pooled
+    return counts
+
+
+def plain_probability(counts, y, gram, order=toxicity.ORDERS[-1]):
+    """Interpolated Kneser-Ney by recursion."""
+    if order < toxicity.ORDERS[0]:
+        return toxicity.UNIFORM
+    known = {g: n for g, n in counts[order, y].items() if g[:-1] == gram[-order:-1]}
+    lower = plain_probability(counts, y, gram, order - 1)
+    if not known:
+        return lower
+    total = sum(known.values())
+    seen = max(known.get(gram[-order:], 0) - toxicity.DISCOUNT, 0) / total
+    return seen + toxicity.DISCOUNT * len(known) / total * lower
+
+
+def model_of(spark, words):
+    return toxicity.fit_models(spark.createDataFrame(words, "word STRING, toxic INT, n BIGINT"))
+
+
+WORDS = [("abcab", 1, 3), ("abc", 0, 2), ("x", 0, 1), ("abcd", 1, 1), ("abcab", 0, 7), ("dcba", 0, 1), ("abd", 1, 2), ("é", 1, 4)]
+
+
+def test_n_gram_counts_against_plain_counting(spark):
+    models, want = model_of(spark, WORDS), plain_counts(WORDS)
+    for order in toxicity.ORDERS:
+        got = {r.gram: (r.n0, r.n1) for r in models.counts[order].collect()}
+        if order <= toxicity.SHARED_ORDER:
+            assert got == {g: (n, 0) for g, n in want[order, 0].items()}
         else:
-            longer = {(words[no][1], c2, g2, c, g) for no, c, g, c2, g2 in zip(*per_order[order], *per_order[order + 1][1:])}
-            for y, _, _, c, g in longer:
-                key = (y if order > toxicity.SHARED_ORDER else 0, g)
-                counts[key] = counts.get(key, 0) + 1
-        for (y, g), n in counts.items():
-            assert models.grams[order, y][g] == n
-        assert sum(models.grams[order, y].sum() for y in (0, 1)) == sum(counts.values())
+            assert got == {g: tuple(want[order, y].get(g, 0) for y in (0, 1)) for y in (0, 1) for g in want[order, y]}
+
+
+def test_evidence_against_plain_recursion(spark):
+    """Of n-grams and of words, seen, partly seen and never seen."""
+    counts = plain_counts(WORDS)
+    asked = ["abcab", "abcde", "xab", "zzz", "é", "d"]
+    top = toxicity.ORDERS[-1]
+    grams = {w: [(toxicity.START * (top - 1) + w + "\n")[at : at + top] for at in range(len(w) + 1)] for w in asked}
+    plain = {g: np.log(plain_probability(counts, 1, g)) - np.log(plain_probability(counts, 0, g)) for of in grams.values() for g in of}
+    found = model_of(spark, WORDS).gram_evidence(spark.createDataFrame([(g,) for g in plain], "gram STRING"))
+    assert {r.gram: r.evidence for r in found.collect()} == pytest.approx(plain, abs=1e-9)
+    words = model_of(spark, WORDS).evidence_of(spark.createDataFrame([(w, 1) for w in asked], "word STRING, n BIGINT"))
+    assert {r.word: r.evidence for r in words.collect()} == pytest.approx({w: sum(plain[g] for g in of) for w, of in grams.items()}, abs=1e-9)
+
+
+def test_document_features_against_plain_recursion(spark, docs, monkeypatch):
+    """Frequent words are sent, others joined: both give a document the same evidence."""
+    texts = ["abcab xab", "zzz abcde abcde d", "", "é " * 50 + "abcab"]
+    counts = plain_counts(WORDS)
+    top = toxicity.ORDERS[-1]
+
+    def evidence(word):
+        text = toxicity.START * (top - 1) + word + "\n"
+        grams = [text[at : at + top] for at in range(len(word) + 1)]
+        return sum(np.log(plain_probability(counts, 1, g)) - np.log(plain_probability(counts, 0, g)) for g in grams)
+
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    for sent in (0, 2, 100):
+        monkeypatch.setattr(toxicity, "SENT_WORDS", sent)
+        words = model_of(spark, WORDS).evidence_of(spark.createDataFrame([(w, sum(t.split().count(w) for t in texts)) for w in vocabulary], "word STRING, n BIGINT"))
+        got = toxicity._features(docs(list(enumerate(texts))).select("doc_id", "text"), words).orderBy("doc_id").collect()
+        for row, text in zip(got, texts):
+            of = [evidence(w) for w in text.split()]
+            n = max(1, len(of))
+            assert (row.a, row.b, row.c) == pytest.approx((sum(of) / n, max([0.0, *of]), sum(e > toxicity.TELLING for e in of) / n), abs=1e-9)
 
 
 def test_words_alike_in_four_characters_are_told_apart(spark):
     """After abcde f is toxic, after xbcde g: contexts of four characters say the same of both."""
     words = [("abcdef", 1, 50), ("abcdeg", 0, 50), ("xbcdef", 0, 50), ("xbcdeg", 1, 50)]
-    models = toxicity.fit_models(spark.createDataFrame(words, "word STRING, toxic INT, n BIGINT"))
-    toxic, ordinary = models.word_evidence(pa.array(["abcdef", "abcdeg"]))
-    assert toxic > 3 and ordinary < -3
-
-
-def test_word_probabilities_sum_to_one(spark):
-    """Over all next characters, discounted counts and backoff weights of a context share out everything."""
-    words = [("abcab", 1, 3), ("abd", 1, 2), ("x", 0, 1)]
-    models = toxicity.fit_models(spark.createDataFrame(words, "word STRING, toxic INT, n BIGINT"))
-    for (order, y), contexts in models.contexts.items():
-        for c in np.flatnonzero(contexts):
-            seen = contexts[c] - toxicity.DISCOUNT * models.kinds[order, y][c]
-            assert 0 <= seen <= contexts[c]
+    asked = spark.createDataFrame([("abcdef", 1), ("abcdeg", 1)], "word STRING, n BIGINT")
+    evidence = {r.word: r.evidence for r in model_of(spark, words).evidence_of(asked).collect()}
+    assert evidence["abcdef"] > 3 and evidence["abcdeg"] < -3
+
+
+def test_word_probabilities_sum_to_one():
+    """Over all next characters, discounted counts and backoff weights of a context share out everything but the uniform part."""
+    counts, y = plain_counts(WORDS), 1
+    signs = {g[-1] for g in counts[2, y]}
+    context = "\1\1\1ab"
+    total = sum(plain_probability(counts, y, context + sign) for sign in signs)
+    assert 0.9 < total <= 1 + 1e-9
 
 
 def half_labelled(n=400):
