@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyward.functions.clock import fmt, outside_day, within_day
+from tallyward.functions.measures import zero_if_null
 from tallyward.operators import arrival, asof, batches, counts, delays, equality, health, schema
 from tallyward.operators.closing import flag_late, window_closers
 from tallyward.plans import sql_functions
@@ -320,7 +321,8 @@ def late_trip_finished_batch(trips):
     late = flagged.where("is_late").select("trip_seq", "processing_time", "window_start")
     found = asof.asof_join(late, ends, "processing_time", "after", "trip_seq", ["finished_batch", "max_event"])
     final = F.col("window_start") + F.expr(f"INTERVAL '{POLICY.final_after}' MINUTE") <= F.col("max_event")
-    return found.select("trip_seq", "processing_time", "finished_batch", F.coalesce(final, F.lit(False)).alias("window_emitted"))
+    finished = F.coalesce("finished_batch", F.lit(0)).alias("finished_batch")  # none yet
+    return found.select("trip_seq", "processing_time", finished, F.coalesce(final, F.lit(False)).alias("window_emitted"))
 
 
 @query
@@ -655,7 +657,9 @@ def stream_emission_batch(trips):
 def stream_batch_report(trips):
     """Per micro-batch and zone: trips in windows closed on each clock, late trips and the zone's place among late ones."""
     stream = _micro_batched(trips)
-    return stream.batch_zone_totals().join(stream.late_by_batch(), ["batch_id", "zone"], "full")
+    both = stream.batch_zone_totals().join(stream.late_by_batch(), ["batch_id", "zone"], "full")
+    numbers = ("event_trips", "processing_trips", "late", "place")
+    return both.withColumns({c: zero_if_null(F.col(c)) for c in numbers})
 
 
 @query
@@ -736,4 +740,4 @@ def promoted_field(trips):
 @query
 def schema_history(trips):
     """Which batch brought which undeclared field."""
-    return _streamed(_with_undeclared(trips)).schema_history()
+    return _streamed(_with_undeclared(trips)).schema_history().drop("old_type")

@@ -442,7 +442,9 @@ ORACLE |= {
     }.items()
 }
 ORACLE |= {
-    "stream_batch_report": f"""SELECT * FROM ({ORACLE["batch_zone_totals"]}) FULL JOIN ({ORACLE["late_by_batch"]}) USING (batch_id, zone)""",
+    "stream_batch_report": f"""SELECT batch_id, zone, coalesce(event_trips, 0) AS event_trips,
+  coalesce(processing_trips, 0) AS processing_trips, coalesce(late, 0) AS late, coalesce(place, 0) AS place
+FROM ({ORACLE["batch_zone_totals"]}) FULL JOIN ({ORACLE["late_by_batch"]}) USING (batch_id, zone)""",
     "stop_inside_a_file": _with(
         STREAM
         + """,
@@ -468,7 +470,7 @@ ORACLE |= {
     "native_arrival_counts": ORACLE["zone_counts_processing_time"],
     "late_trip_finished_batch": _with(
         BATCHES,
-        """SELECT trip_seq, processing_time, b.batch_id AS finished_batch,
+        """SELECT trip_seq, processing_time, coalesce(b.batch_id, 0) AS finished_batch,
   coalesce(window_start + INTERVAL 27 MINUTE <= b.max_event, false) AS window_emitted
 FROM late l ASOF LEFT JOIN batch_ends b ON l.processing_time > b.max_processing""",
     ),
@@ -532,8 +534,8 @@ slices AS (
                  WHEN epoch_us(processing_time) < lo + (hi - lo) * 2 // 3 THEN 2 ELSE 3 END AS batch_id
   FROM trips, bounds WHERE surge_multiplier IS NOT NULL
 )""",
-        """SELECT min(batch_id)::BIGINT AS batch_id, 'ride' AS path, 'added' AS change, NULL AS old_type,
+        """SELECT min(batch_id)::BIGINT AS batch_id, 'ride' AS path, 'added' AS change,
   'struct<pool:boolean,seats:bigint>' AS new_type FROM slices
-UNION ALL SELECT min(batch_id) FILTER (event_time >= TIMESTAMP '2024-01-25'), 'ride.wait', 'added', NULL, 'decimal(2,1)' FROM slices""",
+UNION ALL SELECT min(batch_id) FILTER (event_time >= TIMESTAMP '2024-01-25'), 'ride.wait', 'added', 'decimal(2,1)' FROM slices""",
     ),
 }
