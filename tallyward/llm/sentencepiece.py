@@ -20,6 +20,7 @@ import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
+from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,17 @@ LATTICE_CHARS = 48
 REMEMBERED = 1 << 16
 #: Below every score of a piece: what a character without a piece costs in Viterbi.
 UNKNOWN_PENALTY = 10.0
+#: Characters up to which a word's merges are looked up in a list instead of a heap.
+SHORT = 64
 
 # A run of spaces belongs to the word after it. A line break stands alone.
 _WORD = regex.compile(rf"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 
 
+# Packs up to 64 ids as int32.
+_INTS = [Struct(f"={n}i") for n in range(65)]
+
+
 @dataclass
 class Pieces:
     """A model's pieces for text, and the ids of its byte pieces (None: unknown characters become unk_id)."""
@@ -67,14 +74,33 @@ class Pieces:
     def fold(self, word: str) -> list[int]:
         """The ids of one word, by the model's rule."""
         spans = _merge(word, self.scores) if self.kind == "bpe" else _viterbi(word, self.scores, self.longest, self.penalty)
-        out: list[int] = []
-        for span in spans:
-            out += [self.ids[span]] if span in self.ids else self.unknown(span)
-        return out
+        try:
+            return [self.ids[span] for span in spans]
+        except KeyError:  # some character is no piece
+            return [i for span in spans for i in ([self.ids[span]] if span in self.ids else self.unknown(span))]
 
 
 def _merge(word: str, scores: dict[str, float]) -> list[str]:
     """Merge adjacent parts, best score first, then leftmost, until no joined part is a piece."""
+    return _merge_long(word, scores) if len(word) > SHORT else _merge_short(word, scores)
+
+
+def _merge_short(word: str, scores: dict[str, float]) -> list[str]:
+    """With the scores of all neighbours in one list, which is faster than a heap while it is short."""
+    parts, none = list(word), float("-inf")
+    joined = [scores.get(a + b, none) for a, b in pairwise(parts)]
+    while joined and (best := max(joined)) > none:
+        i = joined.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del joined[i]
+        if i < len(joined):
+            joined[i] = scores.get(parts[i] + parts[i + 1], none)
+        if i:
+            joined[i - 1] = scores.get(parts[i - 1] + parts[i], none)
+    return parts
+
+
+def _merge_long(word: str, scores: dict[str, float]) -> list[str]:
     parts: list[str | None] = list(word)
     after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
     waiting: list[tuple[float, int, int, str]] = []
@@ -289,14 +315,18 @@ class Encoder(dict):
 
     def __init__(self, words: dict[str, bytes], pieces: Pieces) -> None:
         super().__init__(words)
-        self.pieces, self.other = pieces, {}
+        self.pieces, self.other, self.earlier = pieces, {}, {}
 
     def __missing__(self, word: str) -> bytes:
         found = self.other.get(word)
         if found is None:
-            if len(self.other) >= REMEMBERED:
-                self.other.clear()
-            found = self.other[word] = np.array(self.pieces.fold(word), np.int32).tobytes()
+            if len(self.other) >= REMEMBERED // 2:
+                self.other, self.earlier = {}, self.other
+            found = self.earlier.get(word)
+            if found is None:
+                ids = self.pieces.fold(word)
+                found = _INTS[len(ids)].pack(*ids) if len(ids) < len(_INTS) else np.array(ids, np.int32).tobytes()
+            self.other[word] = found
         return found
 
     def encode(self, text: str | None) -> np.ndarray:
