@@ -17,10 +17,10 @@ or one endless word changes nothing.
 """
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
-from struct import Struct
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +49,6 @@ SHORT = 64
 _WORD = regex.compile(rf"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 
 
-# Packs up to 64 ids as int32.
-_INTS = [Struct(f"={n}i") for n in range(65)]
-
-
 @dataclass
 class Pieces:
     """A model's pieces for text, and the ids of its byte pieces (None: unknown characters become unk_id)."""
@@ -324,8 +320,7 @@ class Encoder(dict):
                 self.other, self.earlier = {}, self.other
             found = self.earlier.get(word)
             if found is None:
-                ids = self.pieces.fold(word)
-                found = _INTS[len(ids)].pack(*ids) if len(ids) < len(_INTS) else np.array(ids, np.int32).tobytes()
+                found = array("i", self.pieces.fold(word)).tobytes()
             self.other[word] = found
         return found
 
