@@ -20,7 +20,6 @@ documents) has a Jaccard similarity of at least 0.8 with it.
    are verified on their words, the likeliest of each class first.
 """
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +30,7 @@ from tallyward.session import discard, release, stage
 NEED, OF = 4, 5
 #: Hash buckets that word frequencies are kept in (a byte or two each in the expression that orders words).
 BUCKETS = 1 << 20
+RUN = 1 << 10
 HASH_BITS = 27
 #: Words of 64 parities in the sketch of a candidate.
 SKETCHES = 3
@@ -58,10 +58,14 @@ def rarity(docs: DataFrame) -> Column:
     words = docs.select(F.explode(line_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int")
     counts = words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    found = counts.select("bucket", F.floor(F.log2("n")).cast("int").alias("step")).toArrow()  # at most BUCKETS rows
-    steps = np.zeros(BUCKETS, np.int32)
-    steps[found.column("bucket").to_numpy()] = np.minimum(found.column("step").to_numpy(), (1 << (32 - HASH_BITS)) - 1)
-    return F.split(F.lit(",".join(map(str, steps.tolist()))), ",").cast("array<int>")
+    step = F.least(F.floor(F.log2("n")), F.lit((1 << (32 - HASH_BITS)) - 1)).cast("int")
+    runs = counts.groupBy(F.floor(F.col("bucket") / RUN).cast("int").alias("run")).agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("bucket") % RUN).alias("at"), step.alias("step")))).alias("steps")
+    )
+    every = F.transform(F.sequence(F.lit(0), F.lit(RUN - 1)), lambda at: F.coalesce(F.try_element_at("steps", at), F.lit(0)))
+    found = dict(runs.select("run", F.array_join(every.cast("array<string>"), ",")).collect())  # BUCKETS / RUN rows
+    unseen = ",".join("0" * RUN)
+    return F.split(F.lit(",".join(found.get(run, unseen) for run in range(BUCKETS // RUN))), ",").cast("array<int>")
 
 
 def _by_rarity(hashes: Column, rare: Column) -> Column:
