@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tallyward.session import stage
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, tie: str, columns: list[str]) -> DataFrame:
+def asof_join(
+    left: DataFrame, right: DataFrame, left_time: str, right_time: str, tie: str, columns: list[str]
+) -> DataFrame:
     """left with `columns` of the last row of right whose right_time is at or before left_time; NULLs where there is none.
 
     Rows of right with equal time follow the order of `columns`, the last one counts. tie is a column of left that
@@ -24,9 +26,19 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
         raise ValueError(f"columns of both sides: {sorted(clash)}")
     # At one instant rows of right come first, so that left rows see them.
     points = right.where(F.col(right_time).isNotNull()).select(
-        F.col(right_time).alias("t"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("k"), F.struct(*columns).alias("found"), F.lit(None).alias("l")
+        F.col(right_time).alias("t"),
+        F.lit(0).alias("side"),
+        F.lit(None).cast("long").alias("k"),
+        F.struct(*columns).alias("found"),
+        F.lit(None).alias("l"),
+    )
+    looks = left.select(
+        F.col(left_time).alias("t"),
+        F.lit(1).alias("side"),
+        F.col(tie).cast("long").alias("k"),
+        F.lit(None).alias("found"),
+        F.struct(*left.columns).alias("l"),
     )
-    looks = left.select(F.col(left_time).alias("t"), F.lit(1).alias("side"), F.col(tie).cast("long").alias("k"), F.lit(None).alias("found"), F.struct(*left.columns).alias("l"))
     key = ("t", "side", "k", "found")
     ranged = points.unionByName(looks).repartitionByRange(*key).withColumn("range", F.spark_partition_id())
     ranged = stage(ranged, "asof-ranges")  # both looks at it must see the same ranges

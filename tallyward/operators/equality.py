@@ -22,18 +22,22 @@ def row_hash(df: DataFrame, salt: int) -> Column:
 def fingerprints(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, rows and two sums of the row hashes of each bucket that has rows. Sums have 38 digits, so 64-bit hashes of
     2**62 rows fit."""
-    hashed = df.select(F.pmod(row_hash(df, 0), F.lit(buckets)).alias("bucket"), row_hash(df, 1).alias("a"), row_hash(df, 2).alias("b"))
+    bucket = F.pmod(row_hash(df, 0), F.lit(buckets))
+    hashed = df.select(bucket.alias("bucket"), row_hash(df, 1).alias("a"), row_hash(df, 2).alias("b"))
     wide = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).cast("decimal(38,0)")
     return hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), wide("a").alias("sum_a"), wide("b").alias("sum_b"))
 
 
 def differing_buckets(first: DataFrame, second: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Buckets whose fingerprints differ, with the rows of each side in them."""
-    sides = fingerprints(first, buckets).withColumn("side", F.lit(1)).unionByName(fingerprints(second, buckets).withColumn("side", F.lit(-1)))
+    mine, other = (fingerprints(df, buckets).withColumn("side", F.lit(side)) for df, side in ((first, 1), (second, -1)))
+    sides = mine.unionByName(other)
     signed = lambda c: F.sum(F.col(c) * F.col("side"))
     different = (signed("rows") != 0) | (signed("sum_a") != 0) | (signed("sum_b") != 0)
     rows_of = lambda side: F.sum(F.when(F.col("side") == side, F.col("rows")).otherwise(0))
-    per_bucket = sides.groupBy("bucket").agg(rows_of(1).alias("first_rows"), rows_of(-1).alias("second_rows"), different.alias("different"))
+    per_bucket = sides.groupBy("bucket").agg(
+        rows_of(1).alias("first_rows"), rows_of(-1).alias("second_rows"), different.alias("different")
+    )
     return per_bucket.where("different").drop("different")
 
 

@@ -317,7 +317,8 @@ def late_trip_finished_batch(trips):
         F.max("processing_time").alias("ended"), F.max(F.greatest("max_before", "event_time")).alias("max_event")
     )
     # A batch has finished before a trip if its last trip arrived earlier than the trip.
-    ends = ends.select(F.col("batch_id").alias("finished_batch"), "max_event", (F.col("ended") + F.expr("INTERVAL '0.000001' SECOND")).alias("after"))
+    after = (F.col("ended") + F.expr("INTERVAL '0.000001' SECOND")).alias("after")
+    ends = ends.select(F.col("batch_id").alias("finished_batch"), "max_event", after)
     late = flagged.where("is_late").select("trip_seq", "processing_time", "window_start")
     found = asof.asof_join(late, ends, "processing_time", "after", "trip_seq", ["finished_batch", "max_event"])
     final = F.col("window_start") + F.expr(f"INTERVAL '{POLICY.final_after}' MINUTE") <= F.col("max_event")
@@ -700,7 +701,8 @@ def stop_inside_a_file(trips):
     stream = CountingStream(spark, new_dir(spark, "stream"), POLICY)
     stream.run(landing, stop_us=spark.range(1).select(stop).first()[0])
     stream.run(landing)
-    return stream.summary().select("batch_id", "first_row", "last_row", "late", "event_windows", "event_trips", "processing_windows", "processing_trips")
+    closed = [f"{clock}_{what}" for clock in ("event", "processing") for what in ("windows", "trips")]
+    return stream.summary().select("batch_id", "first_row", "last_row", "late", *closed)
 
 
 @query

@@ -29,7 +29,7 @@ from tallyward.operators.counts import both_clocks
 from tallyward.operators.schema import CHANGES, merged, type_changes
 from tallyward.policy import LATE_EXAMPLES, LatenessPolicy
 from tallyward.session import one_row, prepare, stage
-from tallyward.sources.landing import Admission, publish, stream_entries
+from tallyward.sources.landing import Admission, index_of, publish, stream_entries
 from tallyward.sources.trips import OPTIONAL_COLUMNS, REST, TRIP_SCHEMA
 from tallyward.streaming.live import LANDED
 
@@ -81,7 +81,8 @@ class CountingStream:
         With stop_us, trips from that instant of the arrival clock on are left for a later run, also those in a file that
         has earlier ones.
         """
-        publish(self.spark, landing, stop_us)
+        if not publish(self.spark, landing, stop_us) and not index_of(self.spark, landing).head(1):
+            return
         admission = None
 
         def batch(entries: DataFrame, spark_id: int) -> None:

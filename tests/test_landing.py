@@ -109,6 +109,16 @@ def test_files_that_overlap_are_taken_together(spark):
     assert ends == [30, 50, 60]
 
 
+def test_nothing_landed_yet(spark):
+    landing = new_dir(spark, "landing")
+    os.makedirs(local(landing))
+    stream = CountingStream(spark, new_dir(spark, "stream"))
+    stream.run(landing)
+    write_arrivals(frame(spark, make_trips(20)), landing, files=1)
+    stream.run(landing)
+    assert stream.last_batch() == 1 and stream.trips().count() == 20
+
+
 def test_a_file_from_the_past_is_refused(spark):
     trips = make_trips(60)
     landing, root = new_dir(spark, "landing"), new_dir(spark, "stream")
