@@ -29,7 +29,7 @@ from tallyward.session import discard, release, stage
 #: Jaccard similarity as a fraction, kept in integers so that both sides of 0.8 are exact.
 NEED, OF = 4, 5
 #: Hash buckets that word frequencies are kept in (a byte or two each in the expression that orders words).
-BUCKETS = 1 << 20
+BUCKETS = 1 << 17
 RUN = 1 << 10
 HASH_BITS = 27
 #: Words of 64 parities in the sketch of a candidate.
