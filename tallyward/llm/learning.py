@@ -39,6 +39,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts (one per word, with n) from a count on that at most `most` rows reach, without sorting them.
+    Counts are compared on a logarithmic scale."""
+    level = F.floor(8 * F.log2("n")).cast("int")
+    sizes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"))
+    least, total = 1 << 20, 0
+    for at, words in sorted(sizes.collect(), reverse=True):  # at most 8 * 63 levels
+        total += words
+        if total > most:
+            break
+        least = at
+    return counts.where(level >= least)
+
+
 def fold() -> Column:
     """Held out where 0. Depends on doc_id alone and is never an input of a score."""
     return F.crc32(F.col("doc_id").cast("string")) % FOLDS

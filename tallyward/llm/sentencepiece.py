@@ -30,7 +30,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyward.llm.learning import bounded, small_batches
+from tallyward.llm.learning import bounded, most_frequent, small_batches
 from tallyward.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -293,19 +293,6 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return edged.select("word", folded.alias("ids"))
 
 
-def frequent_words(counts: DataFrame, most: int = WORDS) -> DataFrame:
-    """The words from a count on that at most `most` words reach; counts are compared on a logarithmic scale."""
-    level = F.floor(8 * F.log2("n")).cast("int")
-    sizes = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words"))
-    least, total = 1 << 20, 0
-    for at, words in sorted(sizes.collect(), reverse=True):  # at most 8 * 63 levels
-        total += words
-        if total > most:
-            break
-        least = at
-    return counts.where(level >= least).select("word")
-
-
 class Encoder(dict):
     """word -> its ids as int32 bytes; words that were not sent are folded when they come."""
 
@@ -331,7 +318,7 @@ class Encoder(dict):
 def send_encoder(docs: DataFrame, pieces: Pieces, most: int = WORDS) -> Broadcast:
     """Encode the frequent words of docs by the lattice and send them to all tasks."""
     counts = stage(word_counts(docs), "words")
-    encoded = encode_words(frequent_words(counts, most), pieces).toArrow()  # at most `most` rows
+    encoded = encode_words(most_frequent(counts, most), pieces).toArrow()  # at most `most` rows
     ids = encoded.column("ids").combine_chunks()
     flat, cuts = ids.values.to_numpy().astype(np.int32).tobytes(), (ids.offsets.to_numpy() * 4).tolist()
     words = {w: flat[a:b] for w, (a, b) in zip(encoded.column("word").to_pylist(), pairwise(cuts))}

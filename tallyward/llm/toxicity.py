@@ -26,14 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyward.llm.learning import CALIBRATION_FOLD, FOLDS, Logistic, batch_words, bounded, fold, sample, small_batches, training_labels, with_rows
+from tallyward.llm.learning import CALIBRATION_FOLD, FOLDS, Logistic, batch_words, bounded, fold, most_frequent, sample, small_batches, training_labels, with_rows
 from tallyward.session import discard, release, stage
 
 ORDERS = (2, 3, 4, 5, 6)
 #: Orders up to this one are pooled over the classes.
 SHARED_ORDER = 3
 #: Words that are sent to the documents with their evidence, at most, and how long they may be.
-SENT_WORDS, SENT_CHARACTERS = 2**17, 48
+SENT_WORDS, SENT_CHARACTERS = 2**19, 48
 DISCOUNT = 0.75
 #: Rows of each class that the logistic curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
@@ -174,8 +174,7 @@ def _features(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     """docs (text and another column, which stays): evidence per word (a), that of the most telling word (b),
     share of telling words (c). 0 without words."""
     name = next(c for c in docs.columns if c != "text")
-    most_frequent = evidence.where(F.length("word") <= SENT_CHARACTERS).orderBy(F.desc("n"), "word").limit(SENT_WORDS)
-    sent = stage(most_frequent, "toxicity-sent")
+    sent = stage(most_frequent(evidence.where(F.length("word") <= SENT_CHARACTERS), SENT_WORDS), "toxicity-sent")
     model = docs.sparkSession.sparkContext.broadcast(sent.select("word", "evidence").toArrow())
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from itertools import combinations
 import pytest
 import sentencepiece
 
+from tallyward.llm import learning
 from tallyward.llm import sentencepiece as sp
 
 CASES = ["", " ", "a", "  a", "a  b ", "\n", "a\nb", "\ta", "<s>x", "<0x0A>", "\xa0x", "a\x00b", "\r\n", "日本語 テスト", "x" * 300, "ab" * 100, "\n\n a \n", "😀é̃", "the of and " * 20_000]
@@ -68,8 +69,8 @@ def test_models_that_cross_words_are_refused():
 
 def test_frequent_words_are_bounded(spark):
     counts = spark.createDataFrame([(f"w{i}", 1 + 100 // (i + 1)) for i in range(100)], "word STRING, n BIGINT")
-    assert 0 < sp.frequent_words(counts, 10).count() <= 10
-    assert sp.frequent_words(counts, 1000).count() == 100
+    assert 0 < learning.most_frequent(counts, 10).count() <= 10
+    assert learning.most_frequent(counts, 1000).count() == 100
 
 
 def test_empty(docs, pieces):
