@@ -147,16 +147,17 @@ def late_by_watermark(policy: LatenessPolicy) -> Column:
 
 
 def judge_arrivals(
-    trips: DataFrame, policy: LatenessPolicy, carried_max: Column, rows: int, most: int = CELL_ROWS
+    trips: DataFrame, policy: LatenessPolicy, carried_max: Column, rows: int, most: int = CELL_ROWS, part: str | None = None
 ) -> DataFrame:
     """One part of a stream: its trips with position in the part, max_before, window_start and is_late.
 
     carried_max is the newest event time of all parts before, NULL for the first. A part known to have no more rows
-    than a cell is one cell, and needs no totals.
+    than a cell is one cell, and needs no totals. With `part`, the column that tells one part from another, trips are
+    several parts of at most `rows` rows, each with its own carried_max.
     """
     looked = trips.withColumn("seen_us", F.unix_micros("event_time"))
     if rows <= most:
-        order = W.partitionBy().orderBy(*ARRIVAL)
+        order = W.partitionBy(*([part] if part else [])).orderBy(*ARRIVAL)
         before = F.max("seen_us").over(order.rowsBetween(W.unboundedPreceding, -1))
         scanned = looked.withColumn("max_before", F.timestamp_micros(before)).withColumn("position", F.row_number().over(order).cast("long"))
         scanned = scanned.drop("seen_us")

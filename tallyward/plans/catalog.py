@@ -11,7 +11,7 @@ from tallyward.functions.measures import zero_if_null
 from tallyward.operators import arrival, asof, batches, counts, delays, equality, health, schema
 from tallyward.operators.closing import flag_late, window_closers
 from tallyward.plans import sql_functions
-from tallyward.policy import BATCH_SIZE, CORRECTION_JOB, SAMPLE_ROWS, LatenessPolicy
+from tallyward.policy import BATCH_SIZE, BATCHES_PER_TRIGGER, CORRECTION_JOB, SAMPLE_ROWS, LatenessPolicy
 from tallyward.session import new_dir, prepare, stage
 from tallyward.sources.trips import (
     SURGE_FROM,
@@ -638,12 +638,12 @@ def stream_conservation(trips):
 
 
 def _micro_batched(trips: DataFrame) -> CountingStream:
-    """The whole stream in micro-batches of BATCH_SIZE trips, one landed file each."""
+    """The whole stream in micro-batches of BATCH_SIZE trips, one landed file each, worked off as a backlog."""
     spark = trips.sparkSession
     landing = new_dir(spark, "landing")
     write_batches(arrival.number_arrivals(trips, POLICY), landing, BATCH_SIZE)
     stream = CountingStream(spark, new_dir(spark, "stream"), POLICY)
-    stream.run(landing, files_per_batch=1)
+    stream.run(landing, files_per_batch=1, batches_per_trigger=BATCHES_PER_TRIGGER)
     return stream
 
 

@@ -24,6 +24,9 @@ NEXT_MORNING_HOURS = (6, 9)
 
 CORRECTION_JOB = "rebuild-day-from-late"
 
+# Micro-batches of a backlog that are worked on together.
+BATCHES_PER_TRIGGER = 1000
+
 # Copies of one row that a task writes at a time.
 COPIES_PER_STEP = 10_000
 

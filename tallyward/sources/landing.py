@@ -72,7 +72,8 @@ def publish(spark: SparkSession, landing: str, stop_us: int | None = None) -> in
         return 0
     time, key = ARRIVAL[0], _key()
     rows = read_arrivals(spark, new).withColumn("file", F.col("_metadata.file_path"))
-    rows = rows.join(begun, "file", "left").where(F.col("last").isNull() | (key > F.col("last")) | F.col(time).isNull())
+    # A file never goes to one task for this: files that are published in part are few.
+    rows = rows.join(F.broadcast(begun), "file", "left").where(F.col("last").isNull() | (key > F.col("last")) | F.col(time).isNull())
     before = F.lit(True) if stop_us is None else F.unix_micros(time) < F.lit(stop_us)
     inside = lambda c: F.when(before, c)
     found = rows.groupBy("file").agg(
@@ -103,9 +104,10 @@ def publish(spark: SparkSession, landing: str, stop_us: int | None = None) -> in
         published = entries.count()
         if published:
             # One entry per file and, as the first range is never empty, no file without one: a trigger of n files
-            # has n entries.
-            ordered = entries.orderBy("first_us", "first_seq").write.mode("append")
-            ordered.option("maxRecordsPerFile", 1).json(f"{landing}/{INDEX}")
+            # has n entries. All cores write, as small as the entries are.
+            cores = spark.sparkContext.defaultParallelism
+            ordered = entries.repartitionByRange(cores, "first_us", "first_seq").sortWithinPartitions("first_us", "first_seq")
+            ordered.write.mode("append").option("maxRecordsPerFile", 1).json(f"{landing}/{INDEX}")
         return published
     finally:
         found.unpersist()
@@ -130,6 +132,16 @@ class Admitted:
         return rows if self.after is None else rows.where(_key() > _mark(self.after))
 
 
+def read_parts(spark: SparkSession, parts: dict[int, Admitted]) -> DataFrame:
+    """Rows of several batches in one read, with the batch_id of each. The list of their files goes to every task."""
+    spans = [(file, batch_id, a.after, a.last) for batch_id, a in parts.items() for file in a.files]
+    schema = "file STRING, batch_id BIGINT, after STRUCT<us: BIGINT, seq: BIGINT>, last STRUCT<us: BIGINT, seq: BIGINT>"
+    files = sorted({file for a in parts.values() for file in a.files})
+    rows = read_arrivals(spark, files, rest=True).withColumn("file", F.col("_metadata.file_path"))
+    inside = (_key() <= F.col("last")) & (F.col("after").isNull() | (_key() > F.col("after")))
+    return rows.join(F.broadcast(spark.createDataFrame(spans, schema)), "file").where(inside).drop("file", "after", "last")
+
+
 class Admission:
     """Entries after a key, taken a number at a time in arrival order.
 

@@ -7,11 +7,15 @@
     zone_counts_event_time/batch_id=N/        windows closed by batch N
     zone_counts_processing_time/batch_id=N/
     progress/batch_id=N/        clocks and totals after batch N, written last
+    triggers/trigger_id=N/      the last batch of trigger N, where a trigger has more than one
 
 Batch N reads the state of batch N-1 and overwrites only its own partitions, so a replay of the same
 files rewrites the same rows. Readers ignore batches above the newest one in progress. No step lists what
 earlier batches wrote, so a batch costs the same however many came before it.
 
+A backlog of small batches can be worked off many batches at a time: each table then gets the partitions of all of them in
+one write, with the rows that one batch after another would write. Only the progress of the last one makes them visible.
+
 Files are admitted in arrival order by the landing index. A file that begins before what has been counted is refused.
 """
 
@@ -19,6 +23,7 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +34,7 @@ from tallyward.operators.counts import both_clocks
 from tallyward.operators.schema import CHANGES, merged, type_changes
 from tallyward.policy import LATE_EXAMPLES, LatenessPolicy
 from tallyward.session import one_row, prepare, stage
-from tallyward.sources.landing import Admission, index_of, publish, stream_entries
+from tallyward.sources.landing import Admission, Admitted, index_of, publish, read_parts, stream_entries
 from tallyward.sources.trips import OPTIONAL_COLUMNS, REST, TRIP_SCHEMA
 from tallyward.streaming.live import LANDED
 
@@ -44,7 +49,7 @@ CLOSED = ("windows", "trips", "first_start_us", "last_start_us")
 PROGRESS_SCHEMA = (
     "rows BIGINT, total_rows BIGINT, late BIGINT, total_late BIGINT, entries BIGINT, "
     "min_processing_us BIGINT, max_event_us BIGINT, max_processing_us BIGINT, max_seq BIGINT, "
-    "trip_columns STRING, late_columns STRING, with_rest BIGINT, rest_schema STRING, "
+    "trip_columns STRING, late_columns STRING, with_rest BIGINT, rest_schema STRING, upto BIGINT, "
     + ", ".join(f"{clock}_{what} BIGINT" for clock in COUNT_TABLES for what in CLOSED)
 )
 
@@ -53,6 +58,10 @@ def _latest(a: int | None, b: int | None) -> int | None:
     return max((t for t in (a, b) if t is not None), default=None)
 
 
+def _row(figures: dict) -> Row:
+    return Row(**{f.name: figures.get(f.name) for f in T.StructType.fromDDL(PROGRESS_SCHEMA)})
+
+
 class CountingStream:
     def __init__(
         self,
@@ -75,27 +84,42 @@ class CountingStream:
 
     # -- running ------------------------------------------------------------------------------
 
-    def run(self, landing: str, files_per_batch: int | None = None, stop_us: int | None = None) -> None:
+    def run(
+        self, landing: str, files_per_batch: int | None = None, stop_us: int | None = None, batches_per_trigger: int = 1
+    ) -> None:
         """Process everything that has landed and stop; a later run continues from there.
 
         With stop_us, trips from that instant of the arrival clock on are left for a later run, also those in a file that
-        has earlier ones.
+        has earlier ones. With files_per_batch, a trigger takes the files of up to batches_per_trigger batches, which are
+        worked on together.
         """
         if not publish(self.spark, landing, stop_us) and not index_of(self.spark, landing).head(1):
             return
-        admission = None
+        admission, newest = None, 0
+        per_trigger = files_per_batch and files_per_batch * batches_per_trigger
 
         def batch(entries: DataFrame, spark_id: int) -> None:
-            nonlocal admission
+            nonlocal admission, newest
             if admission is None:
-                before = self._progress_row(spark_id)
+                newest = self._last_of_trigger(spark_id)
+                before = self._progress_row(newest)
                 key = before and before.max_processing_us is not None and (before.max_processing_us, before.max_seq)
                 admission = Admission(self.spark, landing, key or None, before.entries if before else 0)
-            admitted = admission.take(entries.count())
-            if admitted.files:
-                self._apply(admitted.read(self.spark), spark_id + 1, admitted.__dict__)
-            else:
-                self.apply(self.spark.createDataFrame([], TRIP_SCHEMA), spark_id + 1)
+            left = entries.count()
+            each = files_per_batch or max(left, 1)
+            taken = [admission.take(min(each, left - at)) for at in range(0, max(left, 1), each)]
+            for block in self._blocks(dict(enumerate(taken, newest + 1))):
+                batch_id, admitted = next(iter(block.items()))
+                if len(block) > 1:
+                    self._apply_block(block)
+                elif admitted.files:
+                    self._apply(admitted.read(self.spark), batch_id, admitted.__dict__)
+                else:
+                    self.apply(self.spark.createDataFrame([], TRIP_SCHEMA), batch_id)
+            newest += len(taken)
+            if newest != spark_id + 1:
+                row = one_row(self.spark, T.StructType.fromDDL("last_batch BIGINT"), {"last_batch": newest})
+                row.write.mode("overwrite").parquet(self._trigger(spark_id + 1))
 
         landed = [
             F.count(F.lit(1)).alias("files"),
@@ -104,7 +128,7 @@ class CountingStream:
             F.max("last_us").alias("last_us"),
         ]
         query = (
-            stream_entries(self.spark, landing, files_per_batch)
+            stream_entries(self.spark, landing, per_trigger)
             .observe(LANDED, *landed)
             .writeStream.foreachBatch(batch)
             .option("checkpointLocation", f"{self.root}/_checkpoint")
@@ -113,6 +137,28 @@ class CountingStream:
         )
         query.awaitTermination()
 
+    def _trigger(self, trigger_id: int) -> str:
+        return f"{self.root}/triggers/trigger_id={trigger_id}"
+
+    def _last_of_trigger(self, trigger_id: int) -> int:
+        """The last batch of a finished trigger: its own number, if no trigger up to it had more than one batch."""
+        try:
+            return self.spark.read.schema("last_batch BIGINT").parquet(self._trigger(trigger_id)).first()[0]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return trigger_id
+
+    def _blocks(self, parts: dict[int, Admitted]) -> list[dict[int, Admitted]]:
+        """Batches in the runs that can be worked on together: not empty, within a cell, and with the same columns."""
+        blocks, kind = [], None
+        for batch_id, a in parts.items():
+            mine = tuple(c for c in OPTIONAL_COLUMNS if a.optional[c]) if 0 < a.rows <= self.cell_rows else None
+            if mine is None or mine != kind:
+                blocks.append({})
+            blocks[-1][batch_id], kind = a, mine
+        return blocks
+
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch of trips. Calling it again with the same rows leaves the same tables."""
         key = F.struct(F.unix_micros("processing_time").alias("us"), F.col("trip_seq").alias("seq"))
@@ -145,7 +191,7 @@ class CountingStream:
         """A batch whose figures are known, so nothing has to be looked at before the first write."""
         before, rows = self._progress_row(batch_id - 1), facts["rows"]
         max_event = _latest(before and before.max_event_us, facts["max_event_us"])
-        last_us, last_seq = facts["last"] or (before and (before.max_processing_us, before.max_seq)) or (None, None)
+        last_us, _ = facts["last"] or (before and (before.max_processing_us, before.max_seq)) or (None, None)
         seen, late_seen, closed = [c for c in OPTIONAL_COLUMNS if facts["optional"][c]], [], {}
         late, with_rest = 0, 0
         if rows:
@@ -162,27 +208,158 @@ class CountingStream:
             if rows:
                 closed |= self._write_closed(clock, batch_id)
                 self.after_step(name, batch_id)
-        figures = {
-            "rows": rows,
-            "total_rows": (before.total_rows if before else 0) + rows,
+        rest = self._rest_schema(batch_id) if with_rest else None
+        figures = self._figures(before, batch_id, facts, seen, late, late_seen, with_rest, rest, closed)
+        self._finish({batch_id: figures})
+
+    def _figures(self, before, batch_id, facts, seen, late, late_seen, with_rest, rest_schema, closed) -> dict:
+        """The progress of a batch, given that of the one before it."""
+        last_us, last_seq = facts["last"] or (before and (before.max_processing_us, before.max_seq)) or (None, None)
+        return {
+            "rows": facts["rows"],
+            "total_rows": (before.total_rows if before else 0) + facts["rows"],
             "late": late,
             "total_late": (before.total_late if before else 0) + late,
             "entries": (before.entries if before else 0) + facts["entries"],
             "min_processing_us": facts["first_us"],
-            "max_event_us": max_event,
+            "max_event_us": _latest(before and before.max_event_us, facts["max_event_us"]),
             "max_processing_us": last_us,
             "max_seq": last_seq,
             "trip_columns": self._add_columns(before and before.trip_columns, seen),
             "late_columns": self._add_columns(before and before.late_columns, late_seen),
             "with_rest": with_rest,
-            "rest_schema": self._rest_schema(batch_id) if with_rest else None,
+            "rest_schema": rest_schema,
+            "upto": batch_id,
             **closed,
         }
-        schema = T.StructType.fromDDL(PROGRESS_SCHEMA)
-        one_row(self.spark, schema, figures).write.mode("overwrite").parquet(self._partition("progress", batch_id))
-        self._newest = batch_id, Row(**{f.name: figures.get(f.name) for f in schema})
-        self.after_step("progress", batch_id)
-        self.on_batch(batch_id, figures)
+
+    def _finish(self, figures: dict[int, dict]) -> None:
+        """Write the progress of batches that were worked on together, that of the last one after all others."""
+        schema, last = T.StructType.fromDDL(PROGRESS_SCHEMA), max(figures)
+        earlier = [(*[f.get(c.name) for c in schema], b) for b, f in figures.items() if b != last]
+        if earlier:
+            self._write_parts(self.spark.createDataFrame(earlier, T.StructType(list(schema)).add("batch_id", T.LongType())), "progress")
+        one_row(self.spark, schema, figures[last]).write.mode("overwrite").parquet(self._partition("progress", last))
+        self._newest = last, _row(figures[last])
+        self._after("progress", figures)
+        for batch_id, mine in figures.items():
+            self.on_batch(batch_id, mine)
+
+    def _after(self, step: str, batch_ids) -> None:
+        for batch_id in batch_ids:
+            self.after_step(step, batch_id)
+
+    # -- many batches at a time -------------------------------------------------------------------
+
+    def _work(self, rows: DataFrame, name: str) -> DataFrame:
+        return stage(rows, name, f"{self.root}/_work/{name}")
+
+    def _write_parts(self, rows: DataFrame, table: str) -> None:
+        """Overwrite the partitions that rows have, one file in each. They are dealt to all cores however few rows they
+        have: what a partition costs is its file."""
+        cores = self.spark.sparkContext.defaultParallelism
+        parts = rows.repartition(cores, "batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        parts.partitionBy("batch_id").parquet(f"{self.root}/{table}")
+
+    def _apply_block(self, parts: dict[int, Admitted]) -> None:
+        """Successive batches with the same optional columns, each within a cell, as _apply would leave them one by one."""
+        first, before = min(parts), self._progress_row(min(parts) - 1)
+        carried, clocks = before and before.max_event_us, []
+        for batch_id, a in parts.items():
+            newest = _latest(carried, a.max_event_us)
+            clocks.append((batch_id, carried, newest, a.last[0]))
+            carried = newest
+        schema = "batch_id BIGINT, carried_us BIGINT, max_event_us BIGINT, max_processing_us BIGINT"
+        marks = self.spark.createDataFrame(clocks, schema)
+        seen = [c for c in OPTIONAL_COLUMNS if parts[first].optional[c]]
+
+        rows = read_parts(self.spark, parts).join(F.broadcast(marks.select("batch_id", "carried_us")), "batch_id")
+        most = max(a.rows for a in parts.values())
+        judged = judge_arrivals(rows, self.policy, F.timestamp_micros("carried_us"), most, self.cell_rows, "batch_id")
+        judged = self._work(judged.drop("carried_us"), "judged")
+        counted = {"late": F.count_if("is_late"), REST: F.count_if(F.col(REST).isNotNull())}
+        counted |= {c: F.count(F.when(F.col("is_late"), F.col(c))) for c in OPTIONAL_COLUMNS}
+        found = judged.groupBy("batch_id").agg(F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counted.items()])
+        counts = {r.batch_id: r for r in found.collect()}
+        for batch_id, a in parts.items():
+            if batch_id not in counts or counts[batch_id].rows != a.rows:
+                raise ValueError(f"batch {batch_id}: files changed since they were published")
+        late_seen = {b: [c for c in OPTIONAL_COLUMNS if r[c]] for b, r in counts.items()}
+        rest = {}
+        if any(r[REST] for r in counts.values()):
+            types = judged.where(F.col(REST).isNotNull()).groupBy("batch_id").agg(F.schema_of_variant_agg(REST).alias("type"))
+            rest = {r.batch_id: r.type.replace("OBJECT<", "STRUCT<") for r in types.collect()}
+
+        self._write_parts(judged.drop(*[c for c in OPTIONAL_COLUMNS if c not in seen]), "trips_raw")
+        self._after("trips_raw", parts)
+        if any(r.late for r in counts.values()):
+            late = with_lateness(judged.where("is_late"), self.policy).drop("is_late", REST)
+            self._write_parts(late.drop(*[c for c in OPTIONAL_COLUMNS if not any(c in l for l in late_seen.values())]), "late_events")
+        self._after("late_events", parts)
+        tallies = self._work(self._tallied(judged, "batch_id"), "tallies")
+        self._write_parts(tallies, "tallies")
+        self._after("tallies", parts)
+        states = self._work(self._states(tallies, marks, first, max(parts)), "states")
+        self._write_parts(states, "window_state")
+        self._after("window_state", parts)
+        closed, start = states.where("closed"), F.unix_micros("window_start")
+        for clock, name in COUNT_TABLES.items():
+            mine = closed.where(F.col("clock") == clock).select("zone", "window_start", "trip_count", "batch_id")
+            self._write_parts(mine, name)
+            self._after(name, parts)
+        totals = closed.groupBy("batch_id", "clock").agg(F.count(F.lit(1)), F.sum("trip_count"), F.min(start), F.max(start))
+        ended = {(b, clock): found for b, clock, *found in totals.collect()}
+
+        figures = {}
+        for batch_id, a in parts.items():
+            of_closed = {
+                f"{clock}_{what}": value
+                for clock in COUNT_TABLES
+                for what, value in zip(CLOSED, ended.get((batch_id, clock), (0, 0, None, None)))
+            }
+            mine = counts[batch_id]
+            figures[batch_id] = self._figures(
+                before, batch_id, a.__dict__, seen, mine.late, late_seen[batch_id], mine[REST], rest.get(batch_id), of_closed
+            )
+            figures[batch_id]["upto"] = max(parts)
+            before = _row(figures[batch_id])
+        self._finish(figures)
+
+    def _states(self, tallies: DataFrame, marks: DataFrame, first: int, last: int) -> DataFrame:
+        """Window state after each batch from first to last: a window is there from the first batch that counts a trip in it,
+        or from the first of all if it was open before, up to the batch that closes it."""
+        window = ["clock", "zone", "window_start"]
+        added = tallies.where("trips > 0").select(*window, F.col("trips").alias("trip_count"), "batch_id")
+        if first > 1:
+            left = self._state(first - 1).where(~F.col("closed")).drop("closed")
+            added = added.unionByName(left.withColumn("batch_id", F.lit(first - 1).cast("long")))
+        order = W.partitionBy(*window).orderBy("batch_id")
+        runs = added.withColumn("following", F.lead("batch_id").over(order)).withColumn(
+            "trip_count", F.sum("trip_count").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+        )
+        # Both clocks only grow, so a window is closed by the first batch that reaches its mark.
+        by_batch = F.array_sort(F.collect_list(F.struct("batch_id", "max_event_us", "max_processing_us")))
+        reached = marks.agg(by_batch.alias("m")).select(
+            F.col("m.max_event_us").alias("event_marks"), F.col("m.max_processing_us").alias("processing_marks")
+        )
+
+        def closes(marks_of: str, after: int) -> Column:
+            mark = F.unix_micros(F.col("window_start") + minutes(after))
+            return F.lit(first) + F.size(F.filter(marks_of, lambda us: us < mark))
+
+        final = F.when(F.col("clock") == "event", closes("event_marks", self.policy.final_after)).otherwise(
+            closes("processing_marks", self.policy.window_minutes)
+        )
+        ends = added.select("clock", "window_start").distinct().crossJoin(F.broadcast(reached))
+        ends = ends.select("clock", "window_start", final.cast("long").alias("closing"))
+        spans = (
+            runs.join(ends, ["clock", "window_start"])
+            .withColumn("since", F.greatest("batch_id", F.lit(first)))
+            .withColumn("upto", F.least(F.coalesce("following", F.lit(last + 1)) - 1, "closing", F.lit(last)))
+            .where("since <= upto")
+        )
+        each = spans.select(*window, "trip_count", "closing", F.explode(F.sequence("since", "upto")).alias("batch_id"))
+        return each.select(*window, "trip_count", (F.col("batch_id") == F.col("closing")).alias("closed"), "batch_id")
 
     # -- writing ------------------------------------------------------------------------------
 
@@ -223,15 +400,17 @@ class CountingStream:
             found.drop(*unseen).write.mode("overwrite").parquet(self._partition("late_events", batch_id))
 
     def _write_tallies(self, batch_id: int) -> None:
+        self._tallied(self._judged(batch_id)).write.mode("overwrite").parquet(self._partition("tallies", batch_id))
+
+    def _tallied(self, judged: DataFrame, *part: str) -> DataFrame:
         """Both clocks in one grouping: a trip counts in its event window, on time or late, and in its arrival window."""
         own = F.struct(F.lit("event").alias("clock"), F.col("window_start"), F.col("is_late"))
         arrival = window_start(F.col("processing_time"), self.policy)
         other = F.struct(F.lit("processing").alias("clock"), arrival.alias("window_start"), F.lit(False).alias("is_late"))
-        placed = self._judged(batch_id).select("zone", F.explode(F.array(own, other)).alias("w")).select("zone", "w.*")
-        tallies = placed.groupBy("clock", "zone", "window_start").agg(
+        placed = judged.select(*part, "zone", F.explode(F.array(own, other)).alias("w")).select(*part, "zone", "w.*")
+        return placed.groupBy(*part, "clock", "zone", "window_start").agg(
             F.count_if(~F.col("is_late")).alias("trips"), F.count_if("is_late").alias("late")
         )
-        tallies.write.mode("overwrite").parquet(self._partition("tallies", batch_id))
 
     def _state(self, batch_id: int) -> DataFrame:
         return self.spark.read.schema(STATE_SCHEMA).parquet(self._partition("window_state", batch_id))
@@ -285,11 +464,13 @@ class CountingStream:
         return self.spark.read.schema(PROGRESS_SCHEMA).parquet(self._partition("progress", batch_id)).first()
 
     def progress(self) -> DataFrame:
-        """One row per finished batch."""
+        """One row per finished batch. Batches worked on together are finished when the last of them is."""
         schema = T.StructType.fromDDL(PROGRESS_SCHEMA).add("batch_id", T.LongType())
+        written = self.spark.read.schema(schema).parquet(f"{self.root}/progress")
+        whole = written.where(F.coalesce("upto", "batch_id") == F.col("batch_id")).agg(F.max("batch_id")).scalar()
         return (
-            self.spark.read.schema(schema)
-            .parquet(f"{self.root}/progress")
+            written.where(F.col("batch_id") <= whole)
+            .drop("upto")
             .withColumn("max_event_time", F.timestamp_micros("max_event_us"))
             .withColumn("max_processing_time", F.timestamp_micros("max_processing_us"))
             .withColumn("watermark", F.col("max_event_time") - minutes(self.policy.watermark_delay_minutes))

@@ -9,7 +9,8 @@ LANDED = "landed"
 
 
 class LiveFigures(StreamingQueryListener):
-    """Per trigger: its batch id, files and rows admitted, arrival range, and how long it took.
+    """Per trigger: its number (that of its batch, unless triggers have several), files and rows admitted, arrival range,
+    and how long it took.
 
     Register it with spark.streams.addListener. `seen` keeps the newest figures, at most `keep`, and `tell` is
     called with each. Nothing is read again for them.
