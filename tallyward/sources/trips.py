@@ -5,6 +5,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from tallyward.policy import ZONES
 
@@ -93,6 +94,16 @@ def write_arrivals(trips: DataFrame, path: str, files: int | None = None) -> Non
 
     A column that is NULL is left out of its line, as from a phone that does not know it yet.
     """
+    if files == 1:
+        # All tasks sort, each a range. The one that writes the file takes the sorted ranges one after another from disk,
+        # and holds none of them.
+        ranges = trips.orderBy(*ARRIVAL).persist(StorageLevel.DISK_ONLY)
+        try:
+            ranges.count()
+            _write_lines(ranges.coalesce(1), path)
+        finally:
+            ranges.unpersist()
+        return
     ranged = trips.repartitionByRange(files, *ARRIVAL) if files else trips.repartitionByRange(*ARRIVAL)
     _write_lines(ranged.sortWithinPartitions(*ARRIVAL), path)
 
