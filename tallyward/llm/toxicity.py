@@ -19,6 +19,7 @@ all the same has many rows of one key there, but one row on the other side, so S
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ CALIBRATION_ROWS = 20_000
 #: Evidence (natural logarithm of the odds) from which on a word is telling.
 TELLING = 3.0
 UNIFORM = 1e-4
+#: Parts of the words whose n-grams are shuffled one after another, so that the disk holds the shuffle of one part.
+PARTS = 4
 #: N-grams that a task combines before they are shuffled.
 GRAMS_AT_A_TIME = 100_000
 
@@ -139,10 +142,15 @@ class KneserNey:
         release(words.sparkSession)
         of_gram = self.gram_evidence(grams)
         discard(grams, *self.staged)
-        found = windows.join(of_gram, "gram")
-        summed = found.groupBy(F.col("key").alias("word_id")).agg(F.sum(F.col("n") * F.col("evidence")).alias("evidence"))
+        parts = []
+        for part in range(PARTS):
+            found = windows.where(F.col("key") % PARTS == part).join(of_gram, "gram")
+            summed = found.groupBy(F.col("key").alias("word_id")).agg(F.sum(F.col("n") * F.col("evidence")).alias("evidence"))
+            parts.append(stage(summed, "toxicity-sums"))
+        discard(windows, of_gram)
+        summed = reduce(DataFrame.unionByName, parts)
         evidence = stage(words.join(summed, "word_id").select("word", "n", "evidence"), "toxicity-evidence")
-        discard(windows, of_gram, words)
+        discard(words, *parts)
         return evidence
 
 

@@ -15,6 +15,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+#: Spark drops the shuffle files of a query when it ends. A table that was written does not need them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings that results depend on to a session somebody else made."""
@@ -53,11 +56,17 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
     The result survives lost executors, is computed once however often it is used, and has a
     true size on file: Spark broadcasts it in a join only when that size is under
-    spark.sql.autoBroadcastJoinThreshold, and otherwise shuffles with AQE skew handling.
+    spark.sql.autoBroadcastJoinThreshold, and otherwise shuffles with AQE skew handling. The shuffle files of
+    the write are gone with it, so steps staged one after another need the disk of the largest, not of all.
     """
     spark = df.sparkSession
     path = path or new_dir(spark, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -171,6 +171,25 @@ def test_words_alike_in_four_characters_are_told_apart(spark):
     assert evidence["abcdef"] > 3 and evidence["abcdeg"] < -3
 
 
+def test_n_grams_are_shuffled_a_part_of_the_words_at_a_time(spark, monkeypatch):
+    """Every word has its evidence from one part, whatever their number."""
+    asked = spark.createDataFrame([(w, 1) for w in ["walking", "zurgao", "x", *ORDINARY]], "word STRING, n BIGINT").distinct().repartition(1)
+    sums, found = [], []
+
+    def staged(df, label, **options):
+        table = learning.stage(df, label, **options)
+        if label == "toxicity-sums":
+            sums.append(table.count())
+        return table
+
+    monkeypatch.setattr(toxicity, "stage", staged)
+    for parts in (1, 4):
+        monkeypatch.setattr(toxicity, "PARTS", parts)
+        found.append({r.word: (r.n, round(r.evidence, 9)) for r in model_of(spark, WORDS).evidence_of(asked).collect()})
+    assert found[0] == found[1] and len(found[0]) == asked.count()
+    assert sums[0] == asked.count() == sum(sums[1:]) and len(sums) == 5 and max(sums[1:]) <= sums[0] // 4 + 1
+
+
 def test_word_probabilities_sum_to_one():
     """Over all next characters, discounted counts and backoff weights of a context share out everything but the uniform part."""
     counts, y = plain_counts(WORDS), 1
