@@ -20,6 +20,8 @@ documents) has a Jaccard similarity of at least 0.8 with it.
    are verified on their words, the likeliest of each class first.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,9 @@ NEED, OF = 4, 5
 BUCKETS = 1 << 17
 RUN = 1 << 10
 HASH_BITS = 27
+#: Parts of the prefix words, and of the pairs to be verified, that are shuffled one after another, so that the disk
+#: holds the shuffle of one part.
+PARTS = 4
 #: Words of 64 parities in the sketch of a candidate.
 SKETCHES = 3
 #: Rows up to which positions of lines, or lists of lost lines, are sent to the documents (about 60 bytes each); beyond
@@ -146,13 +151,16 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.col("a_who.set_hash").alias("a"), F.col("b_who.set_hash").alias("b"))
 
 
-def first_candidates(classes: DataFrame) -> DataFrame:
-    """a, b, by_leader: each class with the leaders it resembles, and, for words whose leader it does not resemble, with
-    all earlier classes that pass the filters.
+def _in_part(key: str, part: int) -> Column:
+    return F.pmod(key, F.lit(PARTS)) == part
+
+
+def _candidates_of(classes: DataFrame, part: int) -> DataFrame:
+    """first_candidates by the words of one part.
 
     Both sides of the join have the same rows and columns before the leader is added, so Spark deals them by word once.
     """
-    a, b = _starts(classes, "a"), _starts(classes, "b")
+    a, b = (_starts(classes, side).where(_in_part("word", part)) for side in "ab")
     led = a.withColumn("leader", F.min("a_who").over(W.partitionBy("word"))).where("leader.set_hash <> a_who.set_hash")
     led = led.withColumn("by_leader", _alike("a_who.", "leader."))
     chosen = F.when(F.col("by_leader"), F.col("b_who.set_hash") == F.col("leader.set_hash")).otherwise(_earlier_and_alike())
@@ -160,6 +168,17 @@ def first_candidates(classes: DataFrame) -> DataFrame:
     return found.groupBy(F.col("a_who.set_hash").alias("a"), F.col("b_who.set_hash").alias("b")).agg(F.bool_or("by_leader").alias("by_leader"))
 
 
+def first_candidates(classes: DataFrame) -> DataFrame:
+    """a, b, by_leader: each class with the leaders it resembles, and, for words whose leader it does not resemble, with
+    all earlier classes that pass the filters. One row per a and b.
+    """
+    parts = [stage(_candidates_of(classes, part), "line-candidates-part") for part in range(PARTS)]
+    found = reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(F.bool_or("by_leader").alias("by_leader"))
+    found = stage(found, "line-candidates")
+    discard(*parts)
+    return found
+
+
 def _small(rows: DataFrame) -> DataFrame:
     """Staged rows, marked to be sent to the other side of a join if there are few enough."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
@@ -242,14 +261,15 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     settled = near.withColumnsRenamed({c: f"later_{c}" for c in CLASS})
     left = chances.drop("shown").join(settled, later, "left_anti").join(best, [*later, *other], "left_anti")
     release(docs.sparkSession)
-    found = stage(near.unionByName(_matches(left, read)).distinct(), "line-matches")
-    discard(read, chances, best, near)
+    parts = [stage(_matches(left.where(_in_part("later_set_hash", part)), read), "line-matches-part") for part in range(PARTS)]
+    found = stage(reduce(DataFrame.unionByName, parts, near).distinct(), "line-matches")
+    discard(read, chances, best, near, *parts)
     return found
 
 
 def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """set_hash and set_check of classes that match a class with an earlier first line."""
-    pairs = stage(first_candidates(classes), "line-candidates")
+    pairs = first_candidates(classes)
     near = verified(docs, classes, pairs.select("a", "b"))
     # Compared with leaders instead of all others, and not found near.
     open_classes = pairs.where("by_leader").select(F.col("a").alias("set_hash")).distinct().join(near, "set_hash", "left_anti")
@@ -257,8 +277,14 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     if not again.head(1):
         return near
     rows, others = _small(stage(_starts(again, "a"), "line-again-words")), _starts(classes, "b")
-    rest = _pairs(others.join(rows, (rows["word"] == others["word"]) & _earlier_and_alike()))
-    rest = stage(rest.distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "line-candidates")
+    parts = []
+    for part in range(PARTS):
+        some = others.where(_in_part("word", part))
+        found = _pairs(some.join(rows, (rows["word"] == some["word"]) & _earlier_and_alike()))
+        parts.append(stage(found.distinct(), "line-again-part"))
+    rest = reduce(DataFrame.unionByName, parts).distinct()
+    rest = stage(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "line-candidates")
+    discard(*parts)
     more = verified(docs, classes, rest)
     discard(pairs, again, rest)
     return near.unionByName(more).distinct()

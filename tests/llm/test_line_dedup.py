@@ -4,6 +4,7 @@ from itertools import combinations
 import pytest
 
 from tallyward.llm import line_dedup
+from tallyward.session import stage
 
 
 def brute_force(cases):
@@ -98,3 +99,19 @@ def test_a_class_whose_likeliest_candidate_fails(docs):
     cases += [(i, " ".join(words[: 40 - i % 5] + [f"c{j}" for j in range(i % 5)])) for i in range(2, 12)]
     assert result(line_dedup.dedup_lines(docs(cases))) == brute_force(cases)
 
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_prefix_words_are_shuffled_a_part_at_a_time(docs, monkeypatch, parts):
+    """Each prefix word is in one part, and what the parts find together does not depend on their number."""
+    steps = []
+
+    def staged(df, label, **options):
+        steps.append(label)
+        return stage(df, label, **options)
+
+    monkeypatch.setattr(line_dedup, "stage", staged)
+    monkeypatch.setattr(line_dedup, "PARTS", parts)
+    cases = [(i, line) for i, line in enumerate(similar_lines(4, 60))]
+    assert result(line_dedup.dedup_lines(docs(cases))) == brute_force(cases)
+    assert steps.count("line-candidates-part") == parts
