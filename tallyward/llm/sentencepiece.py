@@ -17,14 +17,15 @@ or one endless word changes nothing.
 """
 
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import chain, pairwise, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +47,7 @@ UNKNOWN_PENALTY = 10.0
 SHORT = 64
 
 # A run of spaces belongs to the word after it. A line break stands alone.
-_WORD = regex.compile(rf"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
+_WORD = re.compile(rf"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 
 
 @dataclass
@@ -83,16 +84,16 @@ def _merge(word: str, scores: dict[str, float]) -> list[str]:
 
 def _merge_short(word: str, scores: dict[str, float]) -> list[str]:
     """With the scores of all neighbours in one list, which is faster than a heap while it is short."""
-    parts, none = list(word), float("-inf")
-    joined = [scores.get(a + b, none) for a, b in pairwise(parts)]
+    parts, none, score = list(word), float("-inf"), scores.get
+    joined = list(map(score, map(add, word, word[1:]), repeat(none)))
     while joined and (best := max(joined)) > none:
         i = joined.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
         del joined[i]
+        parts[i] = part = parts[i] + parts.pop(i + 1)
         if i < len(joined):
-            joined[i] = scores.get(parts[i] + parts[i + 1], none)
+            joined[i] = score(part + parts[i + 1], none)
         if i:
-            joined[i - 1] = scores.get(parts[i - 1] + parts[i], none)
+            joined[i - 1] = score(parts[i - 1] + part, none)
     return parts
 
 
@@ -175,7 +176,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
-            words = pa.array([w for t in batch.column("text") for w in words_of(t.as_py())], pa.large_string())
+            words = pa.array(list(chain.from_iterable(map(words_of, batch.column("text").to_pylist()))), pa.large_string())
             found = words.value_counts()
             yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["word", "n"])
 
