@@ -11,7 +11,8 @@ documents) has a Jaccard similarity of at least 0.8 with it.
    never meet in a join, however many there are.
 3. Prefix filter: two classes can only match if they share one of their rarest n - ceil(0.8 n) + 1 words.
 4. Length filter; positional filter: from the places of the shared word, enough words must be left to reach
-   the needed overlap; and 64 parities of each class's words bound the difference of two sets.
+   the needed overlap; and parities of each class's words bound the difference of two sets: 64 of them, or 256 for
+   lines of WIDE words, where 64 parities are as good as random and would let through most pairs that share a word.
 5. It is enough to know one earlier match. So a class is first compared with the leader of each of its prefix
    words, the earliest class that has it, which takes one candidate per prefix word even among thousands of
    variants of a line. Only classes that do not resemble the leader are compared with all others of the word.
@@ -21,6 +22,7 @@ documents) has a Jaccard similarity of at least 0.8 with it.
 """
 
 from functools import reduce
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,6 +36,8 @@ NEED, OF = 4, 5
 BUCKETS = 1 << 17
 RUN = 1 << 10
 HASH_BITS = 27
+#: Words from which a line has 64 parities of each quarter of its words instead of 64 of all.
+WIDE = 48
 #: Parts of the prefix words, and of the pairs to be verified, that are shuffled one after another, so that the disk
 #: holds the shuffle of one part.
 PARTS = 4
@@ -45,6 +49,7 @@ BROADCAST_ROWS = 1_000_000
 
 POSITION = ("doc_id", "row_key", "line_no")
 CLASS = ("set_hash", "set_check")
+BITS = ("bits0", "bits1", "bits2", "bits3")
 
 
 def line_words(line: Column) -> Column:
@@ -73,64 +78,78 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(found.get(run, unseen) for run in range(BUCKETS // RUN))), ",").cast("array<int>")
 
 
-def _by_rarity(hashes: Column, rare: Column) -> Column:
-    """Word hashes in the order (how common, hash), as numbers of 32 bits."""
+def _number(h: Column, rare: Column) -> Column:
+    """A word's hash as a number of 32 bits in the order (how common, hash)."""
+    step = F.get(rare, h.bitwiseAND(BUCKETS - 1).cast("int"))
+    # The sign bit is turned, so that signed numbers sort by the step in their highest bits.
+    unsigned = F.shiftleft(step, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS).cast("int"))
+    return unsigned.bitwiseXOR(F.lit(-(1 << 31)))
 
-    def number(h: Column) -> Column:
-        step = F.get(rare, h.bitwiseAND(BUCKETS - 1).cast("int"))
-        # The sign bit is turned, so that signed numbers sort by the step in their highest bits.
-        unsigned = F.shiftleft(step, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS).cast("int"))
-        return unsigned.bitwiseXOR(F.lit(-(1 << 31)))
 
-    return F.sort_array(F.transform(hashes, number))
+def _parities(numbers: Column) -> Column:
+    """64 parities of numbers, by their lowest six bits, which is what a shift looks at."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", one, x)))
 
 
-def _bits(hashes: Column) -> Column:
-    def add(bits: Column, h: Column) -> Column:
-        place = F.shiftrightunsigned(h, 20).bitwiseAND(63).cast("int")
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
+def _bits(hashes: Column, numbers: Column) -> list[Column]:
+    """BITS of a line. hashes are sorted and numbers in the same order, so each quarter of all hashes is a slice."""
 
-    return F.aggregate(hashes, F.lit(0).cast("long"), add)
+    def below(limit: int) -> Column:
+        return F.size(F.filter(hashes, lambda h: h < F.lit(limit).cast("long")))
+
+    ends = [F.lit(0), *[below(quarter << 62) for quarter in (-1, 0, 1)], F.size(hashes)]
+    slices = [F.slice(numbers, start + 1, end - start) for start, end in pairwise(ends)]
+    wide, narrow = F.size(hashes) >= WIDE, [_parities(numbers), *[F.lit(0).cast("long")] * (len(BITS) - 1)]
+    return [F.when(wide, _parities(part)).otherwise(all_of_it) for part, all_of_it in zip(slices, narrow)]
 
 
 def line_sets(docs: DataFrame, rare: Column) -> DataFrame:
     """Per line with a word: position, class (set_hash and set_check, 96 bits), n (distinct words), prefix
-    and bits (64 parities of the words, by their hash: each differing word turns one of them).
+    and BITS (parities of the words, by their hash: each differing word turns one of them).
 
     Prefix words are 32-bit numbers: different words with the same number only add candidates.
     """
     hashes = F.sort_array(F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))))
     hashed = lines_of(docs).where(F.trim("line") != "").select(*POSITION, hashes.alias("hashes"))
-    n = F.size("hashes")
+    # Up to three words, 0.8 needs the same words.
+    numbers = F.when(F.size("hashes") > 3, F.transform("hashes", lambda h: _number(h, rare)))
+    numbered = hashed.select(*POSITION, "hashes", numbers.alias("numbers"))
     prefix_length = F.expr(f"size(hashes) - (size(hashes) * {NEED} + {OF - 1}) div {OF} + 1").cast("int")
-    return hashed.select(
+    several = F.col("numbers").isNotNull()
+    return numbered.select(
         *POSITION,
         F.xxhash64("hashes").alias("set_hash"),
         F.hash("hashes").alias("set_check"),
-        n.alias("n"),
-        # Up to three words, 0.8 needs the same words.
-        F.when(n > 3, F.slice(_by_rarity(F.col("hashes"), rare), F.lit(1), prefix_length)).alias("prefix"),
-        F.when(n > 3, _bits(F.col("hashes"))).alias("bits"),
+        F.size("hashes").alias("n"),
+        F.when(several, F.slice(F.sort_array("numbers"), F.lit(1), prefix_length)).alias("prefix"),
+        *[F.when(several, bits).alias(name) for name, bits in zip(BITS, _bits(F.col("hashes"), F.col("numbers")))],
     )
 
 
 def line_classes(sets: DataFrame) -> DataFrame:
     """One row per class, with the position of its first line."""
     first = F.min(F.struct(*POSITION)).alias("first")
-    return sets.groupBy(*CLASS, "n", "prefix", "bits").agg(first).select(*CLASS, "n", "prefix", "bits", "first.*")
+    return sets.groupBy(*CLASS, "n", "prefix", *BITS).agg(first).select(*CLASS, "n", "prefix", *BITS, "first.*")
 
 
 def _alike(a: str, b: str) -> Column:
-    """Length filter, and parities: the bits that differ are at most |A - B| + |B - A|, and |A - B| + |B - A| can be at most (n_a + n_b) / 9 at 0.8."""
+    """Length filter, and parities: the bits that differ are at most |A - B| + |B - A|, and |A - B| + |B - A| can be at most (n_a + n_b) / 9 at 0.8.
+
+    The parities of all words are those of the quarters joined by XOR, so a wide line is comparable to a narrow one.
+    """
     n_a, n_b = f"{a}n", f"{b}n"
     sizes = f"least({n_a}, {n_b}) * {OF} >= greatest({n_a}, {n_b}) * {NEED}"
-    return F.expr(f"{sizes} AND bit_count({a}bits ^ {b}bits) * {NEED + OF} <= ({n_a} + {n_b}) * {OF - NEED}")
+    wide = " + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in BITS)
+    narrow = f"bit_count({' ^ '.join(f'{side}{c}' for side in (a, b) for c in BITS)})"
+    differ = f"CASE WHEN least({n_a}, {n_b}) >= {WIDE} THEN {wide} ELSE {narrow} END"
+    return F.expr(f"{sizes} AND ({differ}) * {NEED + OF} <= ({n_a} + {n_b}) * {OF - NEED}")
 
 
 def _starts(classes: DataFrame, prefix: str) -> DataFrame:
-    """word, and who (doc, set_hash, n, bits) and place of each class that has it in its prefix."""
+    """word, and who (doc, set_hash, n, BITS) and place of each class that has it in its prefix."""
     doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")  # without id comes first
-    rows = classes.where("prefix IS NOT NULL").select(F.struct(doc, "set_hash", "n", "bits").alias("who"), F.posexplode("prefix").alias("place", "word"))
+    rows = classes.where("prefix IS NOT NULL").select(F.struct(doc, "set_hash", "n", *BITS).alias("who"), F.posexplode("prefix").alias("place", "word"))
     # A word of the lowest step, alone in its bucket, occurs once in all lines and is shared with none.
     rows = rows.where(F.col("word") >= -(1 << 31) + (1 << HASH_BITS))
     return rows.select("word", F.col("who").alias(f"{prefix}_who"), F.col("place").alias(f"{prefix}_place"))

@@ -115,3 +115,28 @@ def test_prefix_words_are_shuffled_a_part_at_a_time(docs, monkeypatch, parts):
     cases = [(i, line) for i, line in enumerate(similar_lines(4, 60))]
     assert result(line_dedup.dedup_lines(docs(cases))) == brute_force(cases)
     assert steps.count("line-candidates-part") == parts
+
+
+def long_lines(seed, lines, size):
+    """Lines of distinct words out of few, so that each pair shares some prefix word and hardly any is alike."""
+    rnd = random.Random(seed)
+    return [" ".join(f"w{i}" for i in rnd.sample(range(1200), size)) for _ in range(lines)]
+
+
+def test_long_lines_that_share_a_rare_word_are_no_candidates(docs):
+    """64 parities of some 200 words are as good as random: a good part of such pairs passed them."""
+    table = docs([*enumerate(long_lines(3, 120, 220))])
+    sets = line_dedup.line_sets(table, line_dedup.rarity(table))
+    assert line_dedup.first_candidates(line_dedup.line_classes(sets)).count() == 0
+
+
+def test_wide_and_narrow_lines(docs):
+    """Variants on both sides of WIDE, and long ones, that lose words or get others up to and beyond the limit."""
+    rnd, lines = random.Random(5), []
+    for base in [line.split(" ") for size in (line_dedup.WIDE - 4, line_dedup.WIDE, line_dedup.WIDE + 6, 130) for line in long_lines(size, 2, size)]:
+        for share in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.21, 0.25):
+            kept = base[: round(len(base) * (1 - share))]
+            lines += [" ".join(kept), " ".join([*kept, *[f"x{rnd.randrange(900)}" for _ in range(round(len(base) * share / 2))]])]
+    rnd.shuffle(lines)
+    cases = [*enumerate(lines)]
+    assert result(line_dedup.dedup_lines(docs(cases))) == brute_force(cases)
