@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -75,3 +76,25 @@ def test_frequent_words_are_bounded(spark):
 
 def test_empty(docs, pieces):
     assert sp.decode(sp.encode(docs([]), pieces), pieces).count() == 0
+
+
+def test_words_are_cut_as_by_the_expression():
+    """Texts without runs of spaces are cut without the expression, one by one and a batch at a time."""
+    rnd = random.Random(4)
+    texts = CASES + [None, "▁", " \n", "a \n b"] + ["".join(rnd.choice(" \n▁ab\té\xa0") for _ in range(rnd.randint(0, 8))) for _ in range(20_000)]
+    cut = [sp._WORD.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
+    assert [sp.words_of(t) for t in texts] == cut
+    batch = pa.array([None, *texts])[1:]
+    assert sorted(sp.batch_words(batch).to_pylist()) == sorted(w for words in cut for w in words)
+
+
+def test_batches_of_ids_are_decoded_whole(pieces):
+    """Slices of a batch, with NULL and empty lists, bytes that are no UTF-8 and ids that the model lacks."""
+    table = pa.array(pieces.decoded, pa.large_binary())
+    library = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
+    ids = [[1] * 3, None, [], *map(library.encode, CASES), [pieces.byte_ids[200]]]
+    texts = ["", "", *CASES, "�"]
+    assert sp.decode_ids(pa.array(ids, pa.list_(pa.int32()))[1:], table) == texts
+    for wrong in (10**6, -1, None):
+        with pytest.raises((pa.ArrowIndexError, ValueError)):
+            sp.decode_ids(pa.array([[wrong]], pa.list_(pa.int32())), table)
