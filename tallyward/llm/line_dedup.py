@@ -3,8 +3,8 @@
 A line is the set of its words. It is removed when an earlier line (by doc_id, then line number, over all
 documents) has a Jaccard similarity of at least 0.8 with it.
 
-1. Words are ordered by rarity. Their frequencies are counted over all lines into a fixed number of hash
-   buckets, so the order is an array inside the expression instead of a join of all words. Any total
+1. Texts are cut into words once, and each line is staged as the sorted hashes of its words. Words are ordered by
+   rarity. Their frequencies are counted over all lines into a fixed number of hash buckets, so the order is an array inside the expression instead of a join of all words. Any total
    order gives the same result; a rarer start only gives fewer candidates. A word that is alone in its bucket and
    occurs once can't be shared, and starts no candidate.
 2. Lines with the same words form a class (a map-side combined minimum finds its first line), so copies
@@ -35,7 +35,8 @@ NEED, OF = 4, 5
 #: Hash buckets that word frequencies are kept in (a byte or two each in the expression that orders words).
 BUCKETS = 1 << 17
 RUN = 1 << 10
-HASH_BITS = 27
+#: Bits of a word's hash in the number that orders words, below its step, and steps that double the frequency.
+HASH_BITS, OCTAVE = 55, 4
 #: Words from which a line has 64 parities of each quarter of its words instead of 64 of all.
 WIDE = 48
 #: Parts of the prefix words, and of the pairs to be verified, that are shuffled one after another, so that the disk
@@ -63,74 +64,100 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return keyed.select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """Per line with a word: position; hashes, its distinct words as sorted 64-bit hashes; and ends, their _quarters. Texts
+    are cut and hashed only here: a word is 8 bytes from here on."""
+    hashes = F.sort_array(F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))))
+    hashed = lines_of(docs).where(F.trim("line") != "").select(*POSITION, hashes.alias("hashes"))
+    return hashed.withColumn("ends", _quarters(F.col("hashes")))
+
+
+def _steps(hashed: DataFrame) -> Column:
+    """Array of BUCKETS steps: how many lines have the words of a bucket, on a logarithmic scale."""
+    words = hashed.select(F.explode("hashes").alias("h"))
+    counts = words.groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    step = F.least(F.floor(F.log2("n") * OCTAVE), F.lit((1 << (63 - HASH_BITS)) - 1)).cast("int")
+    # Buckets without a word have no count; each run gets a row of all its places.
+    unseen = hashed.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.lit(0).alias("step"))
+    every = counts.select("bucket", step.alias("step")).unionByName(unseen)
+    places = every.groupBy("bucket").agg(F.max("step").alias("step"))
+    run = F.floor(F.col("bucket") / RUN).cast("int").alias("run")
+    listed = F.sort_array(F.collect_list(F.struct("bucket", "step")))
+    runs = places.groupBy(run).agg(F.array_join(F.transform(listed, lambda x: x["step"].cast("string")), ",").alias("steps"))
+    found = dict(runs.collect())  # BUCKETS / RUN rows
+    return F.split(F.lit(",".join(found[run] for run in range(BUCKETS // RUN))), ",").cast("array<bigint>")
+
+
 def rarity(docs: DataFrame) -> Column:
-    """Array of BUCKETS steps: how common the words of a bucket are, on a logarithmic scale."""
-    words = docs.select(F.explode(line_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
-    bucket = F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int")
-    counts = words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    step = F.least(F.floor(F.log2("n")), F.lit((1 << (32 - HASH_BITS)) - 1)).cast("int")
-    runs = counts.groupBy(F.floor(F.col("bucket") / RUN).cast("int").alias("run")).agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("bucket") % RUN).alias("at"), step.alias("step")))).alias("steps")
-    )
-    every = F.transform(F.sequence(F.lit(0), F.lit(RUN - 1)), lambda at: F.coalesce(F.try_element_at("steps", at), F.lit(0)))
-    found = dict(runs.select("run", F.array_join(every.cast("array<string>"), ",")).collect())  # BUCKETS / RUN rows
-    unseen = ",".join("0" * RUN)
-    return F.split(F.lit(",".join(found.get(run, unseen) for run in range(BUCKETS // RUN))), ",").cast("array<int>")
+    """The steps that order the words of all lines."""
+    return _steps(hashed_lines(docs))
 
 
 def _number(h: Column, rare: Column) -> Column:
-    """A word's hash as a number of 32 bits in the order (how common, hash)."""
-    step = F.get(rare, h.bitwiseAND(BUCKETS - 1).cast("int"))
-    # The sign bit is turned, so that signed numbers sort by the step in their highest bits.
-    unsigned = F.shiftleft(step, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS).cast("int"))
-    return unsigned.bitwiseXOR(F.lit(-(1 << 31)))
+    """A word's hash as a number in the order (how common, hash). It is never NULL; coalesce says so to Spark, which sorts
+    arrays as primitives only if they can't hold a NULL, and takes any column of a file for one that can."""
+    step = F.get(rare, h.bitwiseAND(BUCKETS - 1))
+    number = F.shiftleft(step, HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    return F.coalesce(number, F.lit(0).cast("long"))
 
 
-def _parities(numbers: Column) -> Column:
-    """64 parities of numbers, by their lowest six bits, which is what a shift looks at."""
+def _parities(hashes: Column) -> Column:
+    """64 parities of hashes, by their lowest six bits."""
     one = F.lit(1).cast("long")
-    return F.aggregate(numbers, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", one, x)))
+    return F.aggregate(
+        hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int")))
+    )
 
 
-def _bits(hashes: Column, numbers: Column) -> list[Column]:
-    """BITS of a line. hashes are sorted and numbers in the same order, so each quarter of all hashes is a slice."""
+def _quarters(hashes: Column) -> Column:
+    """Where the quarters of all hashes begin and end in sorted ones; NULL for lines that are not WIDE.
 
-    def below(limit: int) -> Column:
-        return F.size(F.filter(hashes, lambda h: h < F.lit(limit).cast("long")))
+    The bounds of the quarters are sorted in among the hashes, so that their places are found without a lambda function.
+    """
+    bounds = [F.lit(quarter << 62).cast("long") for quarter in (-1, 0, 1)]
+    among = F.sort_array(F.concat(hashes, F.array(*bounds)))
+    ends = [(F.array_position(among, bound) - (i + 1)).cast("int") for i, bound in enumerate(bounds)]
+    return F.when(F.size(hashes) >= WIDE, F.array(F.lit(0), *ends, F.size(hashes)))
 
-    ends = [F.lit(0), *[below(quarter << 62) for quarter in (-1, 0, 1)], F.size(hashes)]
-    slices = [F.slice(numbers, start + 1, end - start) for start, end in pairwise(ends)]
-    wide, narrow = F.size(hashes) >= WIDE, [_parities(numbers), *[F.lit(0).cast("long")] * (len(BITS) - 1)]
-    return [F.when(wide, _parities(part)).otherwise(all_of_it) for part, all_of_it in zip(slices, narrow)]
 
+def _bits(hashes: Column, ends: Column) -> list[Column]:
+    """BITS of a line: parities of each quarter of its words, or of all of them."""
+    starts = [F.get(ends, F.lit(i)) for i in range(len(BITS) + 1)]
+    slices = [F.slice(hashes, start + 1, end - start) for start, end in pairwise(starts)]
+    narrow = [_parities(hashes), *[F.lit(0).cast("long")] * (len(BITS) - 1)]
+    return [F.when(ends.isNotNull(), _parities(part)).otherwise(all_of_it) for part, all_of_it in zip(slices, narrow)]
 
-def line_sets(docs: DataFrame, rare: Column) -> DataFrame:
-    """Per line with a word: position, class (set_hash and set_check, 96 bits), n (distinct words), prefix
-    and BITS (parities of the words, by their hash: each differing word turns one of them).
 
-    Prefix words are 32-bit numbers: different words with the same number only add candidates.
-    """
-    hashes = F.sort_array(F.array_distinct(F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))))
-    hashed = lines_of(docs).where(F.trim("line") != "").select(*POSITION, hashes.alias("hashes"))
-    # Up to three words, 0.8 needs the same words.
-    numbers = F.when(F.size("hashes") > 3, F.transform("hashes", lambda h: _number(h, rare)))
-    numbered = hashed.select(*POSITION, "hashes", numbers.alias("numbers"))
+def _sets(hashed: DataFrame, rare: Column) -> DataFrame:
+    """line_sets from hashed_lines."""
+    size = F.size("hashes")
+    several = size > 3  # Up to three words, 0.8 needs the same words.
     prefix_length = F.expr(f"size(hashes) - (size(hashes) * {NEED} + {OF - 1}) div {OF} + 1").cast("int")
-    several = F.col("numbers").isNotNull()
-    return numbered.select(
+    numbers = F.sort_array(F.transform("hashes", lambda h: _number(h, rare)))
+    return hashed.select(
         *POSITION,
         F.xxhash64("hashes").alias("set_hash"),
         F.hash("hashes").alias("set_check"),
-        F.size("hashes").alias("n"),
-        F.when(several, F.slice(F.sort_array("numbers"), F.lit(1), prefix_length)).alias("prefix"),
-        *[F.when(several, bits).alias(name) for name, bits in zip(BITS, _bits(F.col("hashes"), F.col("numbers")))],
+        size.alias("n"),
+        F.when(several, F.slice(numbers, F.lit(1), prefix_length)).alias("prefix"),
+        *[F.when(several, bits).alias(name) for name, bits in zip(BITS, _bits(F.col("hashes"), F.col("ends")))],
     )
 
 
+def line_sets(docs: DataFrame, rare: Column) -> DataFrame:
+    """Per line with a word: position, class (set_hash and set_check, 96 bits), n (distinct words), prefix
+    and BITS (parities of the words, by their hash: each differing word turns one of them).
+
+    Prefix words are numbers with HASH_BITS of the hash: different words with the same number only add candidates.
+    """
+    return _sets(hashed_lines(docs), rare)
+
+
 def line_classes(sets: DataFrame) -> DataFrame:
     """One row per class, with the position of its first line."""
-    first = F.min(F.struct(*POSITION)).alias("first")
-    return sets.groupBy(*CLASS, "n", "prefix", *BITS).agg(first).select(*CLASS, "n", "prefix", *BITS, "first.*")
+    # Lines of a class have the same n, prefix and BITS, so the position decides which is the minimum.
+    first = F.min(F.struct(*POSITION, "n", "prefix", *BITS)).alias("first")
+    return sets.groupBy(*CLASS).agg(first).select(*CLASS, "first.*")
 
 
 def _alike(a: str, b: str) -> Column:
@@ -146,13 +173,13 @@ def _alike(a: str, b: str) -> Column:
     return F.expr(f"{sizes} AND ({differ}) * {NEED + OF} <= ({n_a} + {n_b}) * {OF - NEED}")
 
 
-def _starts(classes: DataFrame, prefix: str) -> DataFrame:
-    """word, and who (doc, set_hash, n, BITS) and place of each class that has it in its prefix."""
-    doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc")  # without id comes first
-    rows = classes.where("prefix IS NOT NULL").select(F.struct(doc, "set_hash", "n", *BITS).alias("who"), F.posexplode("prefix").alias("place", "word"))
+def _starts(classes: DataFrame, side: str) -> DataFrame:
+    """word, and doc, set_hash, n, BITS and place of each class that has it in its prefix, named by side."""
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63))).alias(f"{side}_doc")  # without id comes first
+    of_class = [doc, *[F.col(c).alias(f"{side}_{c}") for c in ("set_hash", "n", *BITS)]]
+    rows = classes.where("prefix IS NOT NULL").select(*of_class, F.posexplode("prefix").alias(f"{side}_place", "word"))
     # A word of the lowest step, alone in its bucket, occurs once in all lines and is shared with none.
-    rows = rows.where(F.col("word") >= -(1 << 31) + (1 << HASH_BITS))
-    return rows.select("word", F.col("who").alias(f"{prefix}_who"), F.col("place").alias(f"{prefix}_place"))
+    return rows.where(F.col("word") >= 1 << HASH_BITS)
 
 
 def _earlier_and_alike() -> Column:
@@ -161,13 +188,13 @@ def _earlier_and_alike() -> Column:
     In place: overlap needed is ceil(t / (1 + t) * (n_a + n_b)); the shared word and what follows it on both
     sides must be able to give it.
     """
-    in_place = F.expr(f"least(a_who.n - a_place, b_who.n - b_place) * {NEED + OF} >= (a_who.n + b_who.n) * {NEED}")
-    other = F.col("a_who.set_hash") != F.col("b_who.set_hash")
-    return (F.col("b_who.doc") <= F.col("a_who.doc")) & other & _alike("a_who.", "b_who.") & in_place
+    in_place = F.expr(f"least(a_n - a_place, b_n - b_place) * {NEED + OF} >= (a_n + b_n) * {NEED}")
+    other = F.col("a_set_hash") != F.col("b_set_hash")
+    return (F.col("b_doc") <= F.col("a_doc")) & in_place & other & _alike("a_", "b_")
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.col("a_who.set_hash").alias("a"), F.col("b_who.set_hash").alias("b"))
+    return joined.select(F.col("a_set_hash").alias("a"), F.col("b_set_hash").alias("b"))
 
 
 def _in_part(key: str, part: int) -> Column:
@@ -177,14 +204,18 @@ def _in_part(key: str, part: int) -> Column:
 def _candidates_of(classes: DataFrame, part: int) -> DataFrame:
     """first_candidates by the words of one part.
 
-    Both sides of the join have the same rows and columns before the leader is added, so Spark deals them by word once.
+    Both sides of the join have the same rows and columns before the leader is added, so Spark deals them by word once. A
+    filter that Spark could move to one side would end that, so all of them are in one CASE.
     """
     a, b = (_starts(classes, side).where(_in_part("word", part)) for side in "ab")
-    led = a.withColumn("leader", F.min("a_who").over(W.partitionBy("word"))).where("leader.set_hash <> a_who.set_hash")
-    led = led.withColumn("by_leader", _alike("a_who.", "leader."))
-    chosen = F.when(F.col("by_leader"), F.col("b_who.set_hash") == F.col("leader.set_hash")).otherwise(_earlier_and_alike())
+    # Plain columns only, as an expression in the window would be worked out before the rows are dealt.
+    earliest = W.partitionBy("word").orderBy("a_doc", "a_set_hash").rowsBetween(W.unboundedPreceding, W.currentRow)
+    leader = {f"leader_{c}": F.first(f"a_{c}").over(earliest) for c in ("set_hash", "n", *BITS)}
+    led = a.withColumns(leader).where("leader_set_hash <> a_set_hash")
+    led = led.select(*a.columns, _alike("a_", "leader_").alias("by_leader"), F.col("leader_set_hash").alias("leader"))
+    chosen = F.when(F.col("by_leader"), F.col("b_set_hash") == F.col("leader")).otherwise(_earlier_and_alike())
     found = led.join(b, (led["word"] == b["word"]) & chosen)
-    return found.groupBy(F.col("a_who.set_hash").alias("a"), F.col("b_who.set_hash").alias("b")).agg(F.bool_or("by_leader").alias("by_leader"))
+    return found.groupBy(F.col("a_set_hash").alias("a"), F.col("b_set_hash").alias("b")).agg(F.bool_or("by_leader").alias("by_leader"))
 
 
 def first_candidates(classes: DataFrame) -> DataFrame:
@@ -198,14 +229,17 @@ def first_candidates(classes: DataFrame) -> DataFrame:
     return found
 
 
+def _few(rows: DataFrame) -> bool:
+    return rows.count() <= BROADCAST_ROWS
+
+
 def _small(rows: DataFrame) -> DataFrame:
     """Staged rows, marked to be sent to the other side of a join if there are few enough."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if _few(rows) else rows
 
 
-def _sketch(words: Column) -> Column:
+def _sketch(hashes: Column) -> Column:
     """SKETCHES times 64 parities of the words, each time by other bits of their hashes."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
 
     def parities(shift: int) -> Column:
         def add(bits: Column, h: Column) -> Column:
@@ -234,7 +268,8 @@ def candidate_words(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> Da
     first = F.struct("doc_id", "row_key", "t.w.line_no").alias("first")
     words = F.array_distinct(line_words(F.col("t.text"))).alias("words")
     read = rows.select(*[F.col(f"t.w.{c}") for c in CLASS], first, words)
-    return stage(read.withColumn("n", F.size("words")).withColumn("sketch", _sketch(F.col("words"))), "line-words")
+    hashed = read.select("*", F.size("words").alias("n"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    return stage(hashed.withColumn("sketch", _sketch(F.col("hashes"))).drop("hashes"), "line-words")
 
 
 def likely(pairs: DataFrame, read: DataFrame) -> DataFrame:
@@ -278,11 +313,16 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     best = stage(best, "line-best")
     near = stage(_matches(best, read), "line-near")
     settled = near.withColumnsRenamed({c: f"later_{c}" for c in CLASS})
-    left = chances.drop("shown").join(settled, later, "left_anti").join(best, [*later, *other], "left_anti")
-    release(docs.sparkSession)
-    parts = [stage(_matches(left.where(_in_part("later_set_hash", part)), read), "line-matches-part") for part in range(PARTS)]
+    left = stage(chances.drop("shown").join(settled, later, "left_anti").join(best, [*later, *other], "left_anti"), "line-left")
+    discard(chances, best)
+    # Few pairs are left, so most classes need not be dealt out again with their words.
+    ends = F.explode(F.array(*[F.struct(*[F.col(f"{end}_{c}").alias(c) for c in CLASS]) for end in ("later", "earlier")])).alias("end")
+    named = stage(left.select(ends).select("end.*").distinct(), "line-left-classes")
+    words = stage(read.join(_small(named), list(CLASS), "left_semi"), "line-left-words")
+    discard(read)
+    parts = [stage(_matches(left.where(_in_part("later_set_hash", part)), words), "line-matches-part") for part in range(PARTS)]
     found = stage(reduce(DataFrame.unionByName, parts, near).distinct(), "line-matches")
-    discard(read, chances, best, near, *parts)
+    discard(left, named, words, near, *parts)
     return found
 
 
@@ -292,26 +332,31 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     near = verified(docs, classes, pairs.select("a", "b"))
     # Compared with leaders instead of all others, and not found near.
     open_classes = pairs.where("by_leader").select(F.col("a").alias("set_hash")).distinct().join(near, "set_hash", "left_anti")
-    again = stage(classes.join(open_classes, "set_hash", "left_semi"), "line-again")
+    open_classes = stage(open_classes, "line-open")
+    again = stage(classes.join(_small(open_classes), "set_hash", "left_semi"), "line-again")
     if not again.head(1):
         return near
-    rows, others = _small(stage(_starts(again, "a"), "line-again-words")), _starts(classes, "b")
-    parts = []
-    for part in range(PARTS):
-        some = others.where(_in_part("word", part))
+    rows, others = stage(_starts(again, "a"), "line-again-words"), _starts(classes, "b")
+    few, parts = _few(rows), []
+    if few:  # nothing is shuffled, so all words are read at once
+        rows = F.broadcast(rows)
+    for part in range(1 if few else PARTS):
+        some = others if few else others.where(_in_part("word", part))
         found = _pairs(some.join(rows, (rows["word"] == some["word"]) & _earlier_and_alike()))
         parts.append(stage(found.distinct(), "line-again-part"))
     rest = reduce(DataFrame.unionByName, parts).distinct()
     rest = stage(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "line-candidates")
     discard(*parts)
     more = verified(docs, classes, rest)
-    discard(pairs, again, rest)
+    discard(pairs, open_classes, again, rest)
     return near.unionByName(more).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, removed: the sorted numbers of removed lines of each document that loses any."""
-    sets = stage(line_sets(docs, rarity(docs)), "line-sets")
+    hashed = stage(hashed_lines(docs), "line-hashes")
+    sets = stage(_sets(hashed, _steps(hashed)), "line-sets")
+    discard(hashed)
     classes = stage(line_classes(sets), "line-classes")
     release(docs.sparkSession)
     near = near_classes(docs, classes).withColumn("near", F.lit(True))

@@ -140,3 +140,22 @@ def test_wide_and_narrow_lines(docs):
     rnd.shuffle(lines)
     cases = [*enumerate(lines)]
     assert result(line_dedup.dedup_lines(docs(cases))) == brute_force(cases)
+
+
+def test_words_are_cut_once_before_classes_are_compared(docs, monkeypatch):
+    """Frequencies, sets and parities come from the staged hashes of words, not from the texts again."""
+    steps, cut = [], line_dedup.line_words
+
+    def staged(df, label, **options):
+        steps.append(label)
+        return stage(df, label, **options)
+
+    def words(line):
+        steps.append("words")
+        return cut(line)
+
+    monkeypatch.setattr(line_dedup, "stage", staged)
+    monkeypatch.setattr(line_dedup, "line_words", words)
+    cases = [(i, line) for i, line in enumerate(similar_lines(6, 40))]
+    assert result(line_dedup.dedup_lines(docs(cases))) == brute_force(cases)
+    assert steps[: steps.index("line-classes")].count("words") == 1
