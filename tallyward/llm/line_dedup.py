@@ -4,9 +4,9 @@ A line is the set of its words. It is removed when an earlier line (by doc_id, t
 documents) has a Jaccard similarity of at least 0.8 with it.
 
 1. Texts are cut into words once, and each line is staged as the sorted hashes of its words. Words are ordered by
-   rarity. Their frequencies are counted over all lines into a fixed number of hash buckets, so the order is an array inside the expression instead of a join of all words. Any total
-   order gives the same result; a rarer start only gives fewer candidates. A word that is alone in its bucket and
-   occurs once can't be shared, and starts no candidate.
+   rarity. Their frequencies are counted over all lines into a fixed number of hash buckets, so the order is an array
+   inside the expression instead of a join of all words. Any total order gives the same result; a rarer start only gives
+   fewer candidates. A word that is alone in its bucket and occurs once can't be shared, and starts no candidate.
 2. Lines with the same words form a class (a map-side combined minimum finds its first line), so copies
    never meet in a join, however many there are.
 3. Prefix filter: two classes can only match if they share one of their rarest n - ceil(0.8 n) + 1 words.
