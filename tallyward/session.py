@@ -2,6 +2,7 @@
 
 import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ RUNTIME_SETTINGS = {
 #: Spark drops the shuffle files of a query when it ends. A table that was written does not need them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: The number of tasks that look up a list of paths; Spark's own is a task for each path.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings that results depend on to a session somebody else made."""
@@ -51,6 +55,17 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tallyward/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A runtime setting that holds inside only."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write df once and read it back.
 
@@ -61,12 +76,8 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_dir(spark, label)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with setting(spark, CLEANUP, "true"):
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

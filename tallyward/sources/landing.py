@@ -1,7 +1,7 @@
 """The landing index: which files hold which part of the arrival order.
 
 `publish` looks at files that have landed since the last time and appends one entry for each to `_index` in the
-landing folder: the first and last (processing_time, trip_seq) of its rows, how many there are, and what a batch
+landing folder, by default in a file of its own: the first and last (processing_time, trip_seq) of its rows, how many there are, and what a batch
 needs to know before it writes anything. The stream admits files by these entries, in arrival order; when files
 were modified, and in what order they are listed, does not matter.
 
@@ -13,8 +13,10 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyward.session import LISTING, setting
 from tallyward.sources.trips import ARRIVAL, OPTIONAL_COLUMNS, read_arrivals
 
 INDEX = "_index"
@@ -45,20 +47,32 @@ def index_of(spark: SparkSession, landing: str) -> DataFrame:
 
 
 def stream_entries(spark: SparkSession, landing: str, files_per_batch: int | None = None) -> DataFrame:
-    """Entries as they are published, each in a file of its own."""
+    """Entries as they are published; files_per_batch limits the index files of a trigger."""
     reader = spark.readStream.schema(ENTRY).option("mode", "FAILFAST")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(f"{landing}/{INDEX}")
 
 
+def most_together(spark: SparkSession, landing: str) -> int:
+    """The largest number of entries in a file of the index."""
+    sizes = index_of(spark, landing).groupBy(F.col("_metadata.file_path")).count()
+    return sizes.agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+
+
+def _listing(spark: SparkSession):
+    """Many paths are looked up by a few tasks per core."""
+    return setting(spark, LISTING, str(4 * spark.sparkContext.defaultParallelism))
+
+
 def _landed(spark: SparkSession, landing: str) -> DataFrame:
     """Paths of all files in the folder. Only the listing is read."""
     return spark.read.format("binaryFile").load(landing).select(F.col("_metadata.file_path").alias("file"))
 
 
-def publish(spark: SparkSession, landing: str, stop_us: int | None = None) -> int:
-    """Append entries for rows that have none yet and arrived before stop_us, and return how many.
+def publish(spark: SparkSession, landing: str, stop_us: int | None = None, together: int = 1) -> int:
+    """Append entries for rows that have none yet and arrived before stop_us, and return how many. An index file holds
+    `together` of them, in arrival order; the last one may hold less.
 
     Calling it again publishes nothing twice, also after a call that failed half way. Rows without a time are
     refused before anything is written.
@@ -71,7 +85,8 @@ def publish(spark: SparkSession, landing: str, stop_us: int | None = None) -> in
     if not new:
         return 0
     time, key = ARRIVAL[0], _key()
-    rows = read_arrivals(spark, new).withColumn("file", F.col("_metadata.file_path"))
+    with _listing(spark):
+        rows = read_arrivals(spark, new).withColumn("file", F.col("_metadata.file_path"))
     # A file never goes to one task for this: files that are published in part are few.
     rows = rows.join(F.broadcast(begun), "file", "left").where(F.col("last").isNull() | (key > F.col("last")) | F.col(time).isNull())
     before = F.lit(True) if stop_us is None else F.unix_micros(time) < F.lit(stop_us)
@@ -103,11 +118,17 @@ def publish(spark: SparkSession, landing: str, stop_us: int | None = None) -> in
         )
         published = entries.count()
         if published:
-            # One entry per file and, as the first range is never empty, no file without one: a trigger of n files
-            # has n entries. All cores write, as small as the entries are.
+            # As many entries per file as asked for and, as the first range is never empty, no file without one. All cores
+            # write, as small as the entries are.
             cores = spark.sparkContext.defaultParallelism
-            ordered = entries.repartitionByRange(cores, "first_us", "first_seq").sortWithinPartitions("first_us", "first_seq")
-            ordered.write.mode("append").option("maxRecordsPerFile", 1).json(f"{landing}/{INDEX}")
+            if together == 1:
+                ordered = entries.repartitionByRange(cores, "first_us", "first_seq").sortWithinPartitions("first_us", "first_seq")
+            else:
+                # One task numbers them, one row for each landed file. A range holds whole files of the index.
+                number = F.row_number().over(W.orderBy("first_us", "first_seq", "file")) - 1
+                numbered = entries.withColumn("number", number).withColumn("part", F.floor(F.col("number") / together))
+                ordered = numbered.repartitionByRange(cores, "part").sortWithinPartitions("number").drop("number", "part")
+            ordered.write.mode("append").option("maxRecordsPerFile", together).json(f"{landing}/{INDEX}")
         return published
     finally:
         found.unpersist()
@@ -137,7 +158,8 @@ def read_parts(spark: SparkSession, parts: dict[int, Admitted]) -> DataFrame:
     spans = [(file, batch_id, a.after, a.last) for batch_id, a in parts.items() for file in a.files]
     schema = "file STRING, batch_id BIGINT, after STRUCT<us: BIGINT, seq: BIGINT>, last STRUCT<us: BIGINT, seq: BIGINT>"
     files = sorted({file for a in parts.values() for file in a.files})
-    rows = read_arrivals(spark, files, rest=True).withColumn("file", F.col("_metadata.file_path"))
+    with _listing(spark):
+        rows = read_arrivals(spark, files, rest=True).withColumn("file", F.col("_metadata.file_path"))
     inside = (_key() <= F.col("last")) & (F.col("after").isNull() | (_key() > F.col("after")))
     return rows.join(F.broadcast(spark.createDataFrame(spans, schema)), "file").where(inside).drop("file", "after", "last")
 

@@ -111,10 +111,11 @@ def write_arrivals(trips: DataFrame, path: str, files: int | None = None) -> Non
 def write_batches(numbered: DataFrame, path: str, rows_per_file: int) -> None:
     """Append JSON lines in arrival order, rows_per_file in each file but the last of all. numbered are trips with
     their batch_id for that batch size (number_arrivals)."""
-    # A range holds whole batches, so files that are cut by their length are the batches.
-    ranged = numbered.repartitionByRange("batch_id").sortWithinPartitions(*ARRIVAL)
+    # A task holds whole batches, the shorter one last, so files that are cut by their length are the batches. Ranges would
+    # be found by a look at all rows, for which they would be numbered once more.
+    dealt = numbered.repartition("batch_id").sortWithinPartitions("batch_id", *ARRIVAL)
     added = ("position", "batch_id", "max_before", "watermark")
-    _write_lines(ranged.drop(*added), path, maxRecordsPerFile=rows_per_file)
+    _write_lines(dealt.drop(*added), path, maxRecordsPerFile=rows_per_file)
 
 
 def _write_lines(rows: DataFrame, path: str, **options) -> None:

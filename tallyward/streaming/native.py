@@ -25,7 +25,8 @@ class ArrivalCounts:
 
     def counts(self) -> DataFrame:
         """The streaming aggregation: one state row per zone and open window."""
-        trips = self.spark.readStream.schema(f"{TRIP_SCHEMA}, batch_id BIGINT").parquet(self.trips_path)
+        # Files of runs of batches and folders of batches may stand side by side.
+        trips = self.spark.readStream.schema(TRIP_SCHEMA).option("recursiveFileLookup", "true").parquet(self.trips_path)
         window = F.window("processing_time", f"{self.policy.window_minutes} minutes")
         return (
             trips.select("zone", "processing_time")
